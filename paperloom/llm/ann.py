@@ -4,8 +4,8 @@ The halves of the vectors are quantised apart, so k centroids each make k * k ce
 their summed inner products with a heap, best first, until the cells visited hold enough entries; their entries are
 reranked exactly. Codebooks are fitted on a bounded sample (SAMPLE rows with the smallest hashes); every row is indexed.
 
-Cells and the queries that visit them meet in blocks of bounded size: a cell with many entries or visitors is split, so one
-vector that a third of the rows share does no harm. Each block returns its best `top` per query only.
+Entries and queries meet by the first half's centroid, a query with the list of cells that it visits there, in blocks of
+bounded size: a centroid with many entries or visitors is split, so one vector that a third of the rows share does no harm. Each block returns its best `top` per query only.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from .common import column, cut
 
 TOP = 20
 SAMPLE = 20_000
-#: Entries that a query's cells hold together: this many at least, and this share of all rows' square root more.
-LEAST, PER_ROOT = 3000, 12
+#: Entries that a query's cells hold together: this many at least, or this share of all. Vectors without structure need
+#: about half for a recall of 0.9 (a cell says little about them); clustered ones far less.
+LEAST, SHARE = 3000, 0.55
 BLOCK = 4096
 
 
@@ -72,10 +73,10 @@ class MultiIndex:
         return out
 
 
-def rerank(q: np.ndarray, e: np.ndarray, ids: np.ndarray, own: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, entry row, score) of each query's best entries; ids ascend. Scores sum in the order of dimensions, so equal vectors tie."""
+def rerank(q: np.ndarray, e: np.ndarray, ids: np.ndarray, own: np.ndarray, top: int, visited: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, entry row, score) of each query's best entries in the cells it visits; ids ascend. Scores sum in the order of dimensions, so equal vectors tie."""
     rough = q @ e.T
-    rough[ids[None, :] == own[:, None]] = -np.inf
+    rough[~visited | (ids[None, :] == own[:, None])] = -np.inf
     rows, cols = [], []
     slack = 1e-9 * (1 + np.abs(rough, where=np.isfinite(rough), out=np.zeros_like(rough)).max(initial=0))
     for k in range(len(q)):
@@ -114,10 +115,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     dims, total = size.d, size.n
     rows = rows.filter(F.size(v) == dims)
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(min(SAMPLE, max(2000, total // 4))).select("v").collect()])
-    k = k or int(np.clip(round(total**0.25 * 1.1), 2, 256))
+    k = k or int(np.clip(round(4 * total**0.25), 2, 256))
     half = max(1, dims // 2)
     index = MultiIndex(kmeans(sample[:, :half], k), kmeans(sample[:, half:], k) if dims > 1 else np.zeros((1, 0)))
-    enough = enough or max(LEAST, int(PER_ROOT * total**0.5))
+    enough = enough or max(LEAST, int(SHARE * total))
 
     def matrix(b) -> np.ndarray:
         col = column(b, "v")
@@ -128,28 +129,32 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "v"), pa.array(index.cells(matrix(b)), pa.int32())], ["id", "v", "cell"])
 
-    placed = cut(rows.mapInArrow(place, "id long, v array<double>, cell int"))
-    n_cells = len(index.first) * len(index.second)
-    sizes = np.zeros(n_cells, np.int64)
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # n_cells rows at most
+    width = len(index.second)
+    placed = cut(rows.mapInArrow(place, "id long, v array<double>, cell int").withColumn("row", F.floor(F.col("cell") / width).cast("int")))
+    sizes = np.zeros(len(index.first) * width, np.int64)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row for each cell at most
         sizes[r.cell] = r.n
 
     def walk(batches):
         for b in batches:
             ids, x = column(b, "id").to_numpy(), matrix(b)
-            for s in range(0, len(ids), 500):
-                cells = [index.visit(q, sizes, enough + 1) for q in x[s : s + 500]]
-                of = np.repeat(np.arange(s, s + len(cells)), [len(c) for c in cells])
-                if len(of):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[of]), column(b, "v").take(pa.array(of)), pa.array(np.concatenate(cells), pa.int32())], ["id", "v", "cell"])
-
-    asked = cut(placed.filter(F.col("id") % query_mod == 0).select("id", "v").mapInArrow(walk, "id long, v array<double>, cell int"))
-    visits = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    split = lambda n: F.element_at(F.array(*[F.lit(max(1, -(-int(x) // BLOCK))) for x in n]), F.col("cell") + 1)
-    e_parts, q_parts = split(sizes), split([visits.get(c, 0) for c in range(n_cells)])
+            for s in range(0, len(ids), 200):
+                of, at, cells = [], [], []
+                for k, q in enumerate(x[s : s + 200]):
+                    seen = np.sort(np.array(index.visit(q, sizes, enough + 1), np.int32))
+                    own = np.unique(seen // width)
+                    of += [s + k] * len(own)
+                    at += own.tolist()
+                    cells += np.split(seen % width, np.searchsorted(seen // width, own)[1:]) if len(own) else []
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of], pa.int64()), column(b, "v").take(pa.array(of, pa.int64())), pa.array(at, pa.int32()), pa.array([c.astype(np.uint8).tobytes() for c in cells], pa.binary())], ["id", "v", "row", "cells"])
+
+    asked = cut(placed.filter(F.col("id") % query_mod == 0).select("id", "v").mapInArrow(walk, "id long, v array<double>, row int, cells binary"))
+    visits = {r.row: r.n for r in asked.groupBy("row").agg(F.count("*").alias("n")).collect()}
+    split = lambda n: F.element_at(F.array(*[F.lit(max(1, -(-int(x) // BLOCK))) for x in n]), F.col("row") + 1)
+    e_parts, q_parts = split(sizes.reshape(-1, width).sum(axis=1)), split([visits.get(c, 0) for c in range(len(index.first))])
     salt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    entries = placed.filter(F.col("cell").isin([*visits]) if len(visits) < n_cells else F.lit(True)).withColumn("ep", salt(e_parts)).withColumn("qp", every(q_parts))
+    entries = placed.withColumn("ep", salt(e_parts)).withColumn("qp", every(q_parts))
     queries = asked.withColumn("qp", salt(q_parts)).withColumn("ep", every(e_parts))
 
     def score(e: pa.Table, q: pa.Table) -> pa.Table:
@@ -158,10 +163,14 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         e = e.sort_by("id")
         take = lambda t: (t.column("id").to_numpy(), np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, dims))
         (ids, x), (own, y) = take(e), take(q)
-        parts = [rerank(y[s : s + 256], x, ids, own[s : s + 256], top) for s in range(0, len(own), 256)]
+        place = e.column("cell").to_numpy() % width
+        open_ = np.zeros((len(own), width), bool)
+        for k, c in enumerate(q.column("cells").to_pylist()):
+            open_[k, np.frombuffer(c, np.uint8)] = True
+        parts = [rerank(y[s : s + 256], x, ids, own[s : s + 256], top, open_[s : s + 256][:, place]) for s in range(0, len(own), 256)]
         return pa.table({"query_id": np.concatenate([own[s * 256 + r] for s, (r, _, _) in enumerate(parts)]), "vec_id": np.concatenate([ids[c] for _, c, _ in parts]), "score": np.concatenate([z for _, _, z in parts])})
 
-    key = ("cell", "ep", "qp")
+    key = ("row", "ep", "qp")
     found = entries.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(score, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

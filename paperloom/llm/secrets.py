@@ -100,9 +100,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Texts are scanned and counted over the whole table; only documents with such spans change.
     """
-    docs = cut(docs.withColumn("__uid", F.monotonically_increasing_id()))
-    rows = docs.select(F.col("__uid").alias("doc_id"), F.col("source").alias("repo"), F.col("source").alias("owner"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    hits = judged(rows).select(F.col("doc_id").alias("__uid"), F.filter("spans", lambda s: ~s.copied).alias("spans")).filter(F.size("spans") > 0)
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.select(key.alias("doc_id"), F.col("source").alias("repo"), F.col("source").alias("owner"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    hits = judged(rows).select(F.col("doc_id").alias("__key"), F.filter("spans", lambda s: ~s.copied).alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["__key"])
     text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -113,8 +113,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     done = F.aggregate("spans", zero, step, lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
     new = F.when(F.col("spans").isNotNull(), done).otherwise(text)
-    cols = [c for c in docs.columns if c != "__uid"]
-    out = docs.join(hits, "__uid", "left").withColumn("text", new)
+    cols = docs.columns
+    out = docs.withColumn("__key", key).join(hits, "__key", "left").withColumn("text", new)
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*cols)
@@ -122,7 +122,3 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
 def query(spark, sf_dir):
     return find_secrets(documents(spark, sf_dir))
-
-
-#: DuckDB has no look-around, so mixed tokens are maximal runs of their own and their outside characters, cut from the text first.
-ORACLE_SQL = None
