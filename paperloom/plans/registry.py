@@ -1,6 +1,161 @@
-"""All queries by name, and their SQL equivalents."""
+"""All queries by name, and their SQL equivalents.
+
+Most operators are declarative: one builder gives the Spark SQL that runs and the SQL that checks it, by dialect. The
+normalisers run as column expressions and are checked against SQL written apart.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import normalise as N
+from ..operators import evaluation as E
+from ..operators import layout as L
+from ..sources import render as R
+from .dialect import Duck, Spark, run
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+#: Rows of the inventory that each query covers.
+COVERS: dict[str, str] = {}
+
+
+def sql(name: str, covers: str, build) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, build(Spark()))
+    ORACLE[name] = build(Duck())
+    COVERS[name] = covers
+
+
+def column_query(name: str, covers: str, source, select, oracle) -> None:
+    """A projection by column expressions over `source(d)`; oracle: SQL over the same source."""
+
+    def query(spark, sf_dir):
+        return select(run(spark, sf_dir, source(Spark())))
+
+    QUERIES[name], ORACLE[name], COVERS[name] = query, oracle(Duck(), source(Duck())), covers
+
+
+# ---- sources
+sql("tokens_receipt", "S12 S24 D1", lambda d: R.receipts(d))
+sql("tokens_statement", "S13 S14 S24 W4", lambda d: R.statements(d))
+sql("tokens_payment_order", "S15", lambda d: R.payment_orders(d))
+sql("ledger", "S13 D6 W4", lambda d: f"SELECT doc_id, CAST(row_idx AS BIGINT) AS row_idx, date, description, amount, balance, opening FROM ({R.ledger(d)}) l")
+sql("upload_gate", "S3", lambda d: f"SELECT page_id, ext, CASE WHEN length(html) > 2000 THEN 413 WHEN ext NOT IN ('.jpg', '.jpeg', '.png', '.tiff', '.tif', '.pdf') THEN 415 ELSE 200 END AS status FROM (SELECT page_id, html, lower(coalesce({d.rx('url', '[.][a-z]+$')}, '')) AS ext FROM pages) p")
+sql("split_test_train", "S7", lambda d: "SELECT doc_id, CASE WHEN rn <= 50 THEN 'test' ELSE 'train' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) r")
+sql("latest_state", "S18 M15", lambda d: "SELECT user_id AS doc_id, max_by(event_type, event_id) AS state, count(*) AS n_updates FROM events GROUP BY user_id")
+sql("results_of_job", "S19", lambda d: f"SELECT event_id, user_id, {d.json_int('props', 'k')} AS k FROM events WHERE {d.json_int('props', 'k')} IS NOT NULL AND user_id % 10 = 3")
+
+
+# ---- normalisers
+def _messy(d):
+    return f"SELECT doc_id || '-' || CAST(tok_idx AS STRING) AS id, text FROM ({L.all_tokens(d)}) t"
+
+
+column_query("norm_money", "N1", _messy, lambda t: t.select("id", N.norm_money(F.col("text")).alias("amount")), lambda d, s: f"SELECT id, {L.money(d, 'text')} AS amount FROM ({s}) m")
+column_query("norm_date", "N2", _messy, lambda t: t.select("id", N.norm_date(F.col("text")).alias("date")), lambda d, s: f"SELECT id, {L.date(d, 'text')} AS date FROM ({s}) m")
+column_query("norm_text", "N3", lambda d: "SELECT doc_id AS id, text FROM documents", lambda t: t.select("id", F.md5(N.norm_text(F.col("text"))).alias("digest")), lambda d, s: f"SELECT id, md5(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')))) AS digest FROM ({s}) m")
+column_query("norm_payment", "N4 N6", _messy, lambda t: t.select("id", N.norm_payment(F.col("text")).alias("method")), lambda d, s: "SELECT id, CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN '{N.LABELS.get(k, k.upper())}'" for k in N.PAYMENT) + f" END AS method FROM ({s}) m")
+column_query("norm_invoice", "N5 N6", _messy, lambda t: t.select("id", N.norm_invoice(F.col("text")).alias("invoice")), lambda d, s: f"SELECT id, {d.rx('upper(text)', '[A-Z]{1,4}[0-9]{3,}')} AS invoice FROM ({s}) m")
+column_query("signed_money", "N7", _messy, lambda t: t.select("id", N.signed_money(F.col("text")).alias("amount")), lambda d, s: f"SELECT id, {L.signed(d, 'text')} AS amount FROM ({s}) m")
+column_query("account_number", "N8", _messy, lambda t: t.select("id", N.account_number(F.col("text")).alias("account")), lambda d, s: f"SELECT id, {d.rx('''replace(text, ' ', '')''', '[0-9]{8,}')} AS account FROM ({s}) m")
+column_query("diacritic_ratio", "N12", lambda d: "SELECT doc_id, text FROM documents", lambda t: t.select("doc_id", F.round(N.diacritic_ratio(F.col("text")), 6).alias("ratio")), lambda d, s: f"SELECT doc_id, round(CASE WHEN length(text) > 0 THEN CAST(length(text) - length(translate(text, '{N.VN_LETTERS}', '')) AS DOUBLE) / length(text) ELSE 0.0 END, 6) AS ratio FROM ({s}) m")
+column_query("cjk_ratio", "N11", lambda d: "SELECT doc_id, text FROM documents", lambda t: t.select("doc_id", F.round(N.cjk_ratio(F.col("text")), 6).alias("ratio")), lambda d, s: f"SELECT doc_id, round(CASE WHEN length(text) > 0 THEN CAST(length(text) - length(regexp_replace(text, '[一-鿿　-〿]', '', 'g')) AS DOUBLE) / length(text) ELSE 0.0 END, 6) AS ratio FROM ({s}) m")
+sql("statement_period", "N9", lambda d: f"SELECT doc_id, min({L.date(d, 'text')}) || ' - ' || max({L.date(d, 'text')}) AS period FROM ({R.statements(d)}) t GROUP BY doc_id")
+sql("kv_value", "N10", lambda d: f"SELECT doc_id, tok_idx, CASE WHEN contains(lower(text), 'account') THEN {d.rx('''replace(text, ' ', '')''', '[0-9]{6,}')} WHEN contains(lower(text), 'amount') THEN CAST({L.signed(d, 'text')} AS STRING) WHEN contains(lower(text), 'date') THEN {L.date(d, 'text')} ELSE lower(trim(CASE WHEN contains(text, ':') THEN substr(text, instr(text, ':') + 1) ELSE text END)) END AS value FROM ({R.payment_orders(d)}) t")
+PLAUSIBLE = lambda d: f"SELECT doc_id, tok_idx, CAST(v AS DOUBLE) AS amount FROM (SELECT doc_id, tok_idx, trim(replace(replace(text, ',', ''), ' ', '')) AS v FROM ({L.all_tokens(d)}) t) x WHERE {d.has('v', '^[0-9]{1,6}([.][0-9]{1,2})?$')} AND try_cast(v AS DOUBLE) BETWEEN 0.1 AND 50000 AND NOT try_cast(v AS DOUBLE) BETWEEN 1900 AND 2100"
+sql("plausible_amounts", "N13", PLAUSIBLE)
+sql("box_normalise", "N17", lambda d: f"SELECT doc_id, tok_idx, greatest(0, least(1000, CAST(floor(x0 / w * 1000) AS INT))) AS x0, greatest(0, least(1000, CAST(floor(y1 / h * 1000) AS INT))) AS y1 FROM (SELECT doc_id, tok_idx, x0, y1, max(x1) OVER (PARTITION BY doc_id) AS w, max(y1) OVER (PARTITION BY doc_id) AS h FROM ({R.receipts(d)}) t) b")
+sql("charset", "N19", lambda d: "SELECT ch, count(*) AS n FROM (SELECT " + ("explode(split(text, ''))" if d.name == "spark" else "unnest(string_split(text, ''))") + " AS ch FROM benchmark) c WHERE ch <> '' GROUP BY ch")
+sql("subset_tags", "N22", lambda d: f"SELECT item_id, CASE WHEN length(text) > 0 AND CAST(length(text) - length({d.ra('text', '[0-9]', '')}) AS DOUBLE) / length(text) >= 0.3 THEN 1 ELSE 0 END AS digits FROM benchmark")
+sql("exact_match", "N24", lambda d: f"SELECT item_id, exact FROM ({E.text_scores(d)}) s")
+QUERIES["guard_repeats"] = lambda spark, sf_dir: run(spark, sf_dir, "SELECT doc_id, text FROM documents").select("doc_id", ((F.length("text") == 0) | (F.length("text") > 4000) | F.col("text").rlike(r"(.{4,})\1{4,}")).alias("rejected"))
+COVERS["guard_repeats"] = "N14"
+
+# ---- layout
+sql("lines", "L1 D2 W1 W10", lambda d: L.lines(d, R.receipts(d)))
+sql("rows", "L2 W1", lambda d: L.lines(d, R.statements(d), 0.7, "greatest(hh, 1)"))
+sql("reading_order", "L3 W10", lambda d: f"SELECT doc_id, tok_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY (y0 + y1) / 2, (x0 + x1) / 2, tok_idx) AS BIGINT) AS pos FROM ({R.statements(d)}) t")
+sql("anchor_hits", "L4", lambda d: f"SELECT doc_id, tok_idx, field, min(CAST(instr(lower(text), kw) AS BIGINT)) AS first_at FROM ({R.receipts(d)}) t JOIN {L.ANCHORS} AS a(field, kw) ON contains(lower(t.text), a.kw) GROUP BY doc_id, tok_idx, field")
+sql("header_row", "L6 L7 W6", lambda d: L.header(d))
+sql("column_bounds", "L8 W8", lambda d: f"SELECT doc_id, col, cx, (cx + lead(cx) OVER (PARTITION BY doc_id ORDER BY cx)) / 2 AS bound FROM ({L.header(d)}) h")
+sql("cells", "L9", lambda d: L.cells(d))
+sql("line_items", "L10 L12 D6", lambda d: L.items(d))
+sql("required_columns", "L12", lambda d: f"SELECT doc_id, CASE WHEN sum(CASE WHEN col IN ('date', 'description', 'balance') THEN 1 ELSE 0 END) = 3 AND (max(CASE WHEN col = 'amount' THEN 1 ELSE 0 END) = 1 OR sum(CASE WHEN col IN ('debit', 'credit') THEN 1 ELSE 0 END) = 2) THEN 1 ELSE 0 END AS ok FROM ({L.header(d)}) h GROUP BY doc_id")
+sql("tall_boxes", "L20 W11", lambda d: f"SELECT t.doc_id, t.tok_idx, CASE WHEN t.y1 - t.y0 > 1.8 * m.h THEN 1 ELSE 0 END AS tall FROM ({L.all_tokens(d)}) t JOIN (SELECT doc_id, {d.exact('y1 - y0', 0.5)} AS h FROM ({L.all_tokens(d)}) u GROUP BY doc_id) m ON m.doc_id = t.doc_id")
+sql("critical_boxes", "L21", lambda d: f"SELECT t.doc_id, t.tok_idx, CASE WHEN t.y0 < 0.3 * p.h OR {d.has('t.text', L.DATE)} OR {d.has('t.text', L.MONEY)} THEN 1 ELSE 0 END AS critical FROM ({R.receipts(d)}) t JOIN (SELECT doc_id, max(y1) AS h FROM ({R.receipts(d)}) u GROUP BY doc_id) p ON p.doc_id = t.doc_id")
+sql("page_stats", "L23", lambda d: f"SELECT doc_id, max(nullif({L.money(d, 'text')}, 0)) AS max_money, max(x1) AS w, max(y1) AS h, max(y1 - y0) AS line_h FROM ({L.lines(d, R.receipts(d))}) l GROUP BY doc_id")
+REGION = lambda d: f"SELECT g.img, g.idx, b.box, (b.x0 + b.x1) / 2 AS cx FROM ({E.boxes(d)[0]}) g JOIN ({E.boxes(d)[1]}) b ON g.img = b.img AND (b.x0 + b.x1) / 2 BETWEEN g.x0 - 5 AND g.x1 + 5 AND (b.y0 + b.y1) / 2 BETWEEN g.y0 - 5 AND g.y1 + 5"
+sql("region_tokens", "L15 L22", lambda d: f"SELECT img, idx, {d.agg('CAST(box AS STRING)', 'cx, box')} AS boxes, count(*) AS n FROM ({REGION(d)}) r GROUP BY img, idx")
+sql("choose_span", "L14", lambda d: f"SELECT img, box, idx FROM (SELECT b.img, b.box, g.idx, row_number() OVER (PARTITION BY b.img, b.box ORDER BY CASE WHEN (b.y0 + b.y1) / 2 BETWEEN g.y0 AND g.y1 THEN 0 ELSE 1 END, abs((b.y0 + b.y1 - g.y0 - g.y1) / 2), g.idx) AS rn FROM ({E.boxes(d)[1]}) b JOIN ({E.boxes(d)[0]}) g ON g.img = b.img) r WHERE rn = 1")
+
+# ---- features, classification, selection
+sql("candidates", "C1 C2 C3 L23", lambda d: f"SELECT doc_id, line_idx, field, norm, round(prox, 6) AS prox, round(score, 6) AS score FROM ({L.candidates(d)}) c")
+sql("receipt_fields", "C4 W7 D4", lambda d: f"SELECT doc_id, field, value, confidence FROM ({L.fields(d)}) f")
+sql("document_features", "C6 W2 D14", lambda d: f"SELECT doc_id, stmt, rcpt, po, round(money_share, 6) AS money_share, round(CAST(row_share AS DOUBLE), 6) AS row_share, n_money FROM ({L.document_features(d)}) f")
+sql("document_type", "C7", lambda d: L.document_type(d))
+sql("training_set", "C9", lambda d: f"SELECT c.doc_id, c.line_idx, c.field, CASE WHEN c.norm = g.gold THEN 1 ELSE 0 END AS label FROM ({L.candidates(d)}) c JOIN ({E.gold_fields(d)}) g ON g.doc_id = c.doc_id AND g.field = c.field WHERE c.norm IS NOT NULL AND g.gold IS NOT NULL")
+BIO = lambda d: f"SELECT doc_id, tok_idx, CASE WHEN {d.has('text', L.DATE)} THEN 'DATE' WHEN {d.has('text', '^[0-9,.]+$')} THEN 'TOTAL' WHEN tok_idx = 0 THEN 'MERCHANT' ELSE 'O' END AS cls FROM ({R.receipts(d)}) t"
+sql("bio_labels", "C13 W5", lambda d: f"SELECT doc_id, tok_idx, CASE WHEN cls = 'O' THEN 'O' WHEN lag(cls) OVER (PARTITION BY doc_id ORDER BY tok_idx) = cls THEN 'I-' || cls ELSE 'B-' || cls END AS tag FROM ({BIO(d)}) b")
+sql("field_merge", "C15", lambda d: f"SELECT doc_id, field, CASE WHEN value IS NULL OR confidence < 0.75 THEN coalesce(gold, value) ELSE value END AS value FROM (SELECT g.doc_id, g.field, g.pred AS value, coalesce(g.confidence, 0) AS confidence, g.gold FROM ({E.gold_fields(d)}) g WHERE g.field = 'merchant_name') m")
+PO_KEYS = "(VALUES ('sender_name', 'remitter'), ('sender_account', 'from account'), ('beneficiary_name', 'payee'), ('beneficiary_account', 'to account'), ('amount', 'amount'), ('content', 'remark'), ('date', 'date'))"
+sql("key_values", "C16", lambda d: f"SELECT doc_id, field, CASE WHEN contains(field, 'account') THEN {d.rx('''replace(text, ' ', '')''', '[0-9]{6,}')} WHEN field = 'amount' THEN CAST({L.signed(d, 'text')} AS STRING) WHEN field = 'date' THEN {L.date(d, 'text')} ELSE lower(trim(substr(text, instr(text, ':') + 1))) END AS value FROM (SELECT t.doc_id, k.field, t.text, row_number() OVER (PARTITION BY t.doc_id, k.field ORDER BY t.tok_idx) AS rn FROM ({R.payment_orders(d)}) t JOIN {PO_KEYS} AS k(field, kw) ON contains(lower(t.text), k.kw)) r WHERE rn = 1")
+sql("statement_header", "C17", lambda d: f"SELECT doc_id, max(CASE WHEN tok_idx = 0 THEN text END) AS bank_name, max(CASE WHEN contains(lower(text), 'account no') THEN {d.rx('''replace(text, ' ', '')''', '[0-9]{8,}')} END) AS account_number, max(CASE WHEN contains(lower(text), 'opening balance') THEN {L.signed(d, 'text')} END) AS opening, max(CASE WHEN contains(lower(text), 'closing balance') THEN {L.signed(d, 'text')} END) AS closing FROM ({R.statements(d)}) t GROUP BY doc_id")
+sql("language_route", "C18", lambda d: f"SELECT lang, count(*) AS n, CAST(sum(CASE WHEN CAST(length(text) - length(translate(text, '{N.VN_LETTERS}', '')) AS DOUBLE) / greatest(length(text), 1) >= 0.06 THEN 1 ELSE 0 END) AS BIGINT) AS routed FROM documents GROUP BY lang")
+
+# ---- guards, routing, reconciliation
+sql("routing", "G1 D10", lambda d: f"SELECT doc_id, reasons, needs_review FROM ({L.routing(d)}) r")
+sql("sanity_flags", "G2", lambda d: f"SELECT doc_id, flags FROM ({L.sanity(d)}) s")
+sql("cross_validate_total", "G3", lambda d: f"SELECT s.doc_id, s.total, m.seen FROM (SELECT doc_id, try_cast(gold AS DOUBLE) AS total FROM ({E.gold_fields(d)}) g WHERE field = 'total_amount') s JOIN (SELECT doc_id, max(amount) AS seen FROM ({PLAUSIBLE(d)}) a GROUP BY doc_id) m ON m.doc_id = s.doc_id WHERE s.total > 0 AND m.seen >= 2.1 * s.total")
+sql("reconcile", "G5 G6 W3", lambda d: f"SELECT doc_id, CAST(row_reconcile AS DOUBLE) AS row_reconcile, closing_reconcile, n_rows FROM ({L.reconcile(d)}) r")
+sql("statement_triggers", "G8", lambda d: f"SELECT doc_id, concat_ws(',', CASE WHEN row_reconcile < 0.7 THEN 'reconcile' END, CASE WHEN n_rows < 3 THEN 'few_items' END) AS reasons FROM ({L.reconcile(d)}) r")
+RESULTS = lambda d: f"SELECT t.doc_id, t.doc_type, coalesce(r.needs_review, CASE WHEN q.row_reconcile < 0.7 THEN 1 ELSE 0 END, 0) AS needs_review, coalesce(r.reasons, '') AS reasons FROM ({L.document_type(d)}) t LEFT JOIN ({L.routing(d)}) r ON r.doc_id = t.doc_id LEFT JOIN ({L.reconcile(d)}) q ON q.doc_id = t.doc_id"
+sql("document_results", "G10 G11 D8 D9", RESULTS)
+sql("batch_summary", "A23 D9", lambda d: f"SELECT doc_type, count(*) AS total, CAST(sum(needs_review) AS BIGINT) AS needs_review, CASE WHEN sum(needs_review) = 0 THEN 'completed' ELSE 'partial_completed' END AS status FROM ({RESULTS(d)}) r GROUP BY doc_type")
+sql("data_validation", "G13", lambda d: f"SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS non_empty, CASE WHEN avg(CASE WHEN gold IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 1 ELSE 0 END AS covered, CASE WHEN min(CASE WHEN field = 'total_amount' THEN try_cast(gold AS DOUBLE) END) > 0 THEN 1 ELSE 0 END AS totals_ok FROM ({E.gold_fields(d)}) g")
+sql("eval_gate", "G14 A8", lambda d: f"SELECT round(avg(CAST({E.F1} AS DOUBLE)), 4) AS macro_f1, CASE WHEN avg({E.F1}) >= 0.6 THEN 1 ELSE 0 END AS passed FROM ({E.counts(d)}) c WHERE tp + fn > 0")
+sql("latency_gate", "G15", lambda d: f"SELECT config, median, CASE WHEN median <= 50 * 1.4 THEN 1 ELSE 0 END AS passed FROM ({E.percentiles(d)}) p")
+
+# ---- metrics
+sql("text_scores", "A1 A2 A3", lambda d: E.text_scores(d))
+sql("field_f1", "A4 A7", lambda d: f"SELECT field, tp, fp, fn, CAST({E.F1} AS DOUBLE) AS f1 FROM ({E.counts(d)}) c")
+sql("calibration_bins", "A5", lambda d: E.calibration(d))
+sql("calibration_error", "A5", lambda d: f"SELECT round(sum(n * abs(mean_conf - accuracy)) / sum(n), 3) AS ece FROM ({E.calibration(d)}) c")
+sql("all_required_correct", "A9", lambda d: f"SELECT round(avg(ok), 4) AS rate, count(*) AS n FROM (SELECT doc_id, min(CASE WHEN pred = gold OR (pred IS NULL AND gold IS NULL) THEN 1.0 ELSE 0.0 END) AS ok FROM ({E.gold_fields(d)}) g WHERE field IN ('date', 'total_amount') GROUP BY doc_id) r".replace("avg(ok)", "avg(CAST(ok AS DOUBLE))"))
+sql("percentiles", "A10", lambda d: f"SELECT config, n, p50_upper, p95_below, p95_capped, median FROM ({E.percentiles(d)}) p")
+sql("exact_match_rate", "A11 A13", lambda d: f"SELECT field, round(avg(CASE WHEN pred = gold THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 4) AS rate FROM ({E.gold_fields(d)}) g WHERE gold IS NOT NULL GROUP BY field")
+sql("statement_rows", "A12", lambda d: f"SELECT CAST(sum(CASE WHEN g.date IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN g.date IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN abs(p.amount - g.amount) < 1 THEN 1 ELSE 0 END) AS BIGINT) AS amount_ok FROM ({L.items(d)}) p LEFT JOIN (SELECT doc_id, date, amount FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, date ORDER BY row_idx) AS rn FROM ({R.ledger(d)}) l) f WHERE rn = 1) g ON g.doc_id = p.doc_id AND g.date = p.date")
+sql("unseen_gold_rows", "A12", lambda d: f"SELECT doc_id, count(*) AS fn FROM ({R.ledger(d)}) g WHERE NOT EXISTS (SELECT 1 FROM ({L.items(d)}) p WHERE p.doc_id = g.doc_id AND p.date = g.date AND p.amount > 0) GROUP BY doc_id")
+TRUE_TYPE = "CASE substr(doc_id, 1, 1) WHEN 'r' THEN 'receipt' WHEN 's' THEN 'bank_statement' ELSE 'payment_order' END"
+sql("routing_accuracy", "A14 A24", lambda d: f"SELECT {TRUE_TYPE} AS true_type, doc_type, count(*) AS n FROM ({L.document_type(d)}) t GROUP BY {TRUE_TYPE}, doc_type")
+sql("box_overlap", "A15", lambda d: f"SELECT img, idx, box, share FROM ({E.overlaps(d)}) o WHERE share >= 0.3")
+sql("detector_taxonomy", "A16", lambda d: f"SELECT kind, count(*) AS n FROM (SELECT g.img, g.idx, CASE WHEN coalesce(o.n, 0) = 0 THEN 'DETECT_MISS' WHEN o.n > 1 THEN 'OVERSPLIT' ELSE 'OK' END AS kind FROM ({E.boxes(d)[0]}) g LEFT JOIN (SELECT img, idx, count(*) AS n FROM ({E.overlaps(d)}) o0 WHERE share >= 0.3 GROUP BY img, idx) o ON o.img = g.img AND o.idx = g.idx) k GROUP BY kind")
+sql("order_inversions", "A17", lambda d: f"SELECT a.img, max(CASE WHEN a.y0 > b.y0 THEN 1 ELSE 0 END) AS inverted FROM ({E.boxes(d)[1]}) a JOIN ({E.boxes(d)[1]}) b ON a.img = b.img AND a.box < b.box GROUP BY a.img")
+sql("bucket_errors", "A18", lambda d: f"SELECT item_id % 4 AS bucket, round(avg(cer), 4) AS cer FROM ({E.text_scores(d)}) s GROUP BY item_id % 4")
+sql("model_comparison", "A19 A32", lambda d: f"SELECT item_id % 2 AS model, item_id % 5 AS field, round(avg(anls), 4) AS anls, round(avg(cer), 4) AS cer FROM ({E.text_scores(d)}) s GROUP BY item_id % 2, item_id % 5")
+sql("best_region", "A20", lambda d: f"SELECT img, idx, box, share FROM (SELECT *, row_number() OVER (PARTITION BY img, idx ORDER BY share DESC, box) AS rn FROM ({E.overlaps(d)}) o) r WHERE rn = 1 AND share >= 0.3")
+sql("throughput", "A21", lambda d: f"SELECT config, round(60000 * 5 / avg(ms), 4) AS per_minute FROM ({E.latencies(d)}) l GROUP BY config")
+sql("sweep_best", "A22", lambda d: f"SELECT config, median FROM (SELECT config, median, row_number() OVER (ORDER BY median, config) AS rn FROM ({E.percentiles(d)}) p) r WHERE rn = 1")
+sql("token_f1", "A25", lambda d: f"SELECT tag, count(*) AS n FROM (SELECT CASE WHEN cls = 'O' THEN 'O' ELSE 'E' END AS tag FROM ({BIO(d)}) b) t GROUP BY tag")
+sql("entity_spans", "A26", lambda d: f"SELECT doc_id, cls, min(tok_idx) AS first, max(tok_idx) AS last FROM (SELECT *, tok_idx - row_number() OVER (PARTITION BY doc_id, cls ORDER BY tok_idx) AS island FROM ({BIO(d)}) b) i WHERE cls <> 'O' GROUP BY doc_id, cls, island")
+sql("reject_counts", "A27", lambda d: "SELECT lang, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) < 50 THEN 'short' ELSE 'ok' END AS reason, count(*) AS n FROM documents GROUP BY lang, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) < 50 THEN 'short' ELSE 'ok' END")
+sql("high_risk", "A28", lambda d: f"SELECT count(*) AS docs, CAST(sum(CASE WHEN f.conf > 0.85 AND r.needs_review = 1 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk FROM (SELECT doc_id, avg(confidence) AS conf FROM ({L.fields(d)}) x GROUP BY doc_id) f JOIN ({L.routing(d)}) r ON r.doc_id = f.doc_id")
+sql("route_identity", "A30", lambda d: f"SELECT a.doc_id, CASE WHEN a.t = b.t THEN 1 ELSE 0 END AS same FROM (SELECT doc_id, {d.agg('text', 'tok_idx')} AS t FROM ({R.receipts(d)}) x GROUP BY doc_id) a JOIN (SELECT doc_id, {d.agg('text', 'line_idx')} AS t FROM ({L.lines(d, R.receipts(d))}) y GROUP BY doc_id) b ON a.doc_id = b.doc_id")
+sql("robustness", "A31", lambda d: f"SELECT item_id % 4 AS degradation, count(*) AS n, round(avg(cer), 4) AS cer, round(avg(anls), 4) AS anls, round(avg(CAST(exact AS DOUBLE)), 4) AS exact FROM ({E.text_scores(d)}) s GROUP BY item_id % 4")
+
+# ---- monitoring
+sql("histogram_buckets", "M12 D20", lambda d: E.histogram(d))
+sql("latency_p95", "M3", lambda d: E.quantile(d, 0.95))
+sql("latency_median", "M9", lambda d: E.quantile(d, 0.5))
+ratio = lambda c, n="n": f"round(CAST({c} AS DOUBLE) / {n}, 6)"
+sql("error_rate", "M4", lambda d: f"SELECT instant, {ratio('n_error')} AS rate, CASE WHEN {ratio('n_error')} > 0.05 THEN 1 ELSE 0 END AS firing FROM ({E.sliding(d, 7200, 3600)}) s")
+sql("review_rate", "M5", lambda d: f"SELECT instant, {ratio('n_view')} AS rate, CASE WHEN {ratio('n_view')} > 0.9 THEN 1 ELSE 0 END AS firing FROM ({E.sliding(d, 7200, 3600)}) s")
+sql("review_spike", "M6", lambda d: f"SELECT s.instant, CASE WHEN CAST(s.n_view AS DOUBLE) / s.n > 1.4 * CAST(l.n_view AS DOUBLE) / l.n THEN 1 ELSE 0 END AS firing FROM ({E.sliding(d, 3600, 3600)}) s JOIN ({E.sliding(d, 43200, 3600)}) l ON l.instant = s.instant")
+sql("high_risk_rate", "M7", lambda d: f"SELECT instant, round(n_error / 7200.0, 9) AS per_second FROM ({E.sliding(d, 7200, 3600)}) s".replace("n_error / 7200.0", "CAST(n_error AS DOUBLE) / 7200"))
+sql("fallback_rate", "M8", lambda d: f"SELECT instant, round(CAST(n_purchase AS DOUBLE) / 7200, 9) AS per_second FROM ({E.sliding(d, 7200, 3600)}) s")
+sql("alert_hold", "M10", lambda d: E.held(d, "CAST(n_error AS DOUBLE) / n > 0.05", 3600, 3))
+sql("idempotent_upload", "M14", lambda d: "SELECT user_id, props, min(event_id) AS first_id, count(*) AS n FROM events GROUP BY user_id, props")
+sql("request_counters", "M16", lambda d: "SELECT event_type AS endpoint, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY event_type")
+
+# ---- registry
+sql("registry_state", "R1 R2 D17", lambda d: f"SELECT model, version, max_by(op, seq) AS stage, count(*) AS n_events FROM ({E.registry_events(d)}) e GROUP BY model, version")
+sql("registry_active", "R3", lambda d: f"SELECT model, coalesce(max_by(CASE WHEN op = 'production' THEN version END, CASE WHEN op = 'production' THEN seq END), max_by(version, seq)) AS active FROM ({E.registry_events(d)}) e GROUP BY model")
