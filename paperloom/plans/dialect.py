@@ -70,7 +70,7 @@ class Duck(Spark):
         return f"strftime({t}, '%Y-%m-%d')"
 
     def epoch(self, t):
-        return f"CAST(epoch({t}) AS BIGINT)"
+        return f"CAST(floor(epoch({t})) AS BIGINT)"
 
     def exact(self, x, q):
         return f"quantile_cont({x}, {q})"
