@@ -40,7 +40,8 @@ def byte_symbols() -> list[str]:
 class BpeCodec:
     """Encoder and decoder for a tokenizers file with NFC, white-space folding, lower case and word-end suffix."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, speculate: bool = True):
+        self.speculate = speculate
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -87,7 +88,7 @@ class BpeCodec:
         self.keys = np.zeros(0, np.uint64)
         self.from_, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, list[int]] = {}
 
     # ---- one word
 
@@ -194,6 +195,10 @@ class BpeCodec:
         import unicodedata
 
         if chunk.isascii() and b"<|" not in chunk:
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[-1:] in b".,;:!?" and chunk[:-1].isalpha():
+                return [chunk[:-1].lower(), chunk[-1:]]
             return [w.encode() for w in self.words.findall(chunk.decode().lower())]
         out: list[bytes | int] = []
         text = chunk.decode("utf-8", "replace")
@@ -203,17 +208,22 @@ class BpeCodec:
             elif part:
                 part = unicodedata.normalize("NFC", part)
                 part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
-                out += [w.encode() for w in self.words.findall(part)]
+                out += [part.encode()] if part.isalpha() else [w.encode() for w in self.words.findall(part)]
         return out
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
-        cut = [self.pieces(c) for c in chunks]
-        new = list(dict.fromkeys(w for c in cut for w in c if isinstance(w, bytes) and w not in self.known))
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            self.known[w] = np.array(ids, np.uint32)
-        none = np.zeros(0, np.uint32)
-        of = lambda x: self.known[x] if isinstance(x, bytes) else np.array([x], np.uint32)
-        return [of(c[0]) if len(c) == 1 else np.concatenate([of(x) for x in c]) if c else none for c in cut]
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, count of each)."""
+        cut, known = [self.pieces(c) for c in chunks], self.known
+        new = list(dict.fromkeys(w for c in cut for w in c if isinstance(w, bytes) and w not in known))
+        known.update(zip(new, self.encode_words(new) if self.speculate else map(self.merge, new), strict=True))
+        flat: list[int] = []
+        count = np.zeros(len(cut), np.int64)
+        for k, c in enumerate(cut):
+            n = len(flat)
+            for x in c:
+                flat += known[x] if isinstance(x, bytes) else (x,)
+            count[k] = len(flat) - n
+        return np.array(flat, np.uint32), count
 
     def encode_block(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in one array, their bounds)."""
@@ -230,10 +240,9 @@ class BpeCodec:
         if fresh.any():
             raw = texts.data.tobytes()
             where = first[fresh]
-            ids = self.encode_chunks([raw[s : s + n] for s, n in zip(starts[where].tolist(), lengths[where].tolist(), strict=True)])
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, count = self.encode_chunks([raw[s : s + n] for s, n in zip(starts[where].tolist(), lengths[where].tolist(), strict=True)])
             from_ = len(self.flat) + np.cumsum(count) - count
-            self.flat = np.concatenate([self.flat, *ids])
+            self.flat = np.concatenate((self.flat, ids))
             keys = np.concatenate((self.keys, distinct[fresh]))
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]
@@ -259,14 +268,14 @@ class BpeCodec:
         return self.decode_bytes(np.asarray(ids, np.uint32)).decode()
 
 
-_codecs: dict[str, BpeCodec] = {}
+_codecs: dict[tuple[str, bool], BpeCodec] = {}
 
 
-def codec(path: str) -> BpeCodec:
-    """One per worker."""
-    if path not in _codecs:
-        _codecs[path] = BpeCodec(path)
-    return _codecs[path]
+def codec(path: str, speculate: bool = True) -> BpeCodec:
+    """One per worker. Without speculation every word is merged at once: the same ids, for text whose words mostly fail the check."""
+    if (path, speculate) not in _codecs:
+        _codecs[path, speculate] = BpeCodec(path, speculate)
+    return _codecs[path, speculate]
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

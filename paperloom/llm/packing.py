@@ -54,7 +54,7 @@ def pieces_of(docs: DataFrame, path: str | None, capacity: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        bpe, rows = codec(path or vocabulary()), []
+        bpe, rows = codec(path or vocabulary(), speculate=False), []
         for b in blocks(batches):
             ids, at = bpe.encode_block(Texts(column(b, "text")))
             for k, doc in enumerate(column(b, "doc_id").to_pylist()):
