@@ -15,7 +15,8 @@ longest match, and of the level as a context. It serialises to one buffer that c
 
 Scale. Blocks of text are reduced to distinct (w, v, u) with the documents they occur in before any shuffle. Words
 with over a quarter of a shard's fair share are dealt by (w, v) instead; there are at most four of these a shard, and only their
-counts are broadcast. The number of shards grows with the tokens. Words are told apart by 64-bit hashes.
+counts are broadcast. The number of shards grows with the tokens. Predicted words are told apart by
+64-bit hashes, contexts by 48 bits of theirs.
 """
 
 from __future__ import annotations
@@ -32,10 +33,13 @@ from .common import Texts, batch_of, blocks, column, crc_mod, documents, mix, ru
 A, MU = 0.02, 4.0
 ALPHA = 0.1
 #: Tokens of a shard.
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 2_000_000
+#: Contexts are told apart by so many bits of their hash, predicted words by all 64.
+CONTEXT_BITS = 48
 BITS = 16
 _START, _END = np.uint64(1), np.uint64(2)
 _U = np.uint64
+_CONTEXT = np.uint64((1 << CONTEXT_BITS) - 1)
 _NO_ID = -(2**63)
 
 
@@ -324,7 +328,7 @@ def _vocabulary_stats(rows: DataFrame, shards: int) -> tuple[int, int, int, list
             order = np.argsort(shard, kind="stable")
             words, n, shard = words[order], n[order], shard[order]
             at = runs(shard)
-            yield batch_of(schema, shard[at[:-1]], [words[s:e].tobytes() for s, e in zip(at, at[1:])], [n[s:e].astype(np.int64).tobytes() for s, e in zip(at, at[1:])], [b.num_rows] + [0] * (len(at) - 2))
+            yield batch_of(schema, shard[at[:-1]], [words[s:e].tobytes() for s, e in zip(at, at[1:])], [n[s:e].astype(np.uint32).tobytes() for s, e in zip(at, at[1:])], [b.num_rows] + [0] * (len(at) - 2))
 
     out = pa.schema([("n", pa.int64()), ("v", pa.int64()), ("docs", pa.int64()), ("hot", pa.binary()), ("hot_n", pa.binary())])
 
@@ -332,7 +336,7 @@ def _vocabulary_stats(rows: DataFrame, shards: int) -> tuple[int, int, int, list
         words, counts, docs = [], [], 0
         for b in batches:
             words += [np.frombuffer(x, _U) for x in column(b, "words").to_pylist()]
-            counts += [np.frombuffer(x, np.int64) for x in column(b, "counts").to_pylist()]
+            counts += [np.frombuffer(x, np.uint32) for x in column(b, "counts").to_pylist()]
             docs += sum(column(b, "docs").to_pylist())
             if len(words) > 64:
                 words, counts = _summed(words, counts)
@@ -360,7 +364,7 @@ def _shard_blobs(rows: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for b in blocks(batches, 2 << 20):
+        for b in blocks(batches, 6 << 20):
             texts = Texts(column(b, "text"))
             w, v, u, doc = _tokens(texts)
             ids = np.where(np.asarray(column(b, "doc_id").is_null()), _NO_ID, np.asarray(column(b, "doc_id").fill_null(0)))
@@ -374,7 +378,7 @@ def _shard_blobs(rows: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame
             shard = _deal(w, shards)
             if len(hot_words):
                 is_hot = np.isin(words, hot_words)[wi]
-                shard[is_hot] = _deal(mix(w[is_hot]) ^ v[is_hot], shards)
+                shard[is_hot] = _deal(mix(w[is_hot]) ^ (v[is_hot] & _CONTEXT), shards)
             key = wi.astype(_U) << _U(42) | vi.astype(_U) << _U(21) | ui.astype(_U)
             order = np.lexsort((doc, key, shard))
             at = runs(shard[order])
@@ -384,15 +388,22 @@ def _shard_blobs(rows: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame
                 own_docs, d = np.unique(doc[part], return_inverse=True)
                 k = runs(key[part])
                 first = part[k[:-1]]
-                triple = np.concatenate((wi[first], vi[first], ui[first]))
-                own_words, t = np.unique(triple, return_inverse=True)
-                arrays = (words[own_words], ids[own_docs], train[own_docs].astype(np.uint8), t.reshape(3, -1).astype(np.uint32), np.diff(k).astype(np.uint32), d.astype(np.uint16 if len(own_docs) < 65536 else np.uint32))
+                own_w, tw = np.unique(wi[first], return_inverse=True)
+                own_c, tc = np.unique(np.concatenate((vi[first], ui[first])), return_inverse=True)
+                step = np.diff(tw, prepend=0)
+                contexts = (words[own_c] & _CONTEXT).view(np.uint16).reshape(-1, 4)[:, : CONTEXT_BITS // 16]
+                arrays = (words[own_w], contexts.T, ids[own_docs], train[own_docs].astype(np.uint8), _narrow(step), _narrow(tc.reshape(2, -1)), _narrow(np.diff(k)), _narrow(d))
                 made.append(squeeze.compress(b"".join(struct.pack("<cq", a.dtype.char.encode(), a.size) + a.tobytes() for a in map(np.ascontiguousarray, arrays))))
             yield batch_of(schema, shard[order[at[:-1]]], made)
 
     return rows.mapInArrow(run, "shard int, blob binary")
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    top = int(x.max(initial=0))
+    return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
+
+
 def _open(blob: bytes) -> list[np.ndarray]:
     import zstandard
 
@@ -405,29 +416,35 @@ def _open(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _score_shard(blobs, scale: float, hot: dict[int, int], docs_out: int):
+def _score_shard(blobs, scale: float, hot: dict[int, int]):
     """Build the shard's trie from the training positions and score all its positions. Yields arrays per document."""
-    grams, where, counts, doc_parts = [], [], [], []
+    parts, counts, doc_parts = ([], [], []), [], []
     for blob in blobs:
-        words, ids, train, t, n, d = _open(blob)
-        t = t.reshape(3, -1)
-        of = np.repeat(np.arange(len(n)), n)
-        grams.append(words[t])
-        counts.append(np.bincount(of, weights=train[d], minlength=len(n)).astype(np.int64))
-        doc_parts.append((ids, of, d, len(n)))
-    if not grams:
+        words, contexts, ids, train, step, t, n, d = _open(blob)
+        wide = np.zeros((contexts.size // (CONTEXT_BITS // 16), 4), np.uint16)
+        wide[:, : CONTEXT_BITS // 16] = contexts.reshape(CONTEXT_BITS // 16, -1).T
+        contexts, t = wide.view(_U).reshape(-1), t.reshape(2, -1)
+        for own, x in zip(parts, (words[np.cumsum(step, dtype=np.int64)], contexts[t[0]], contexts[t[1]]), strict=True):
+            own.append(x)
+        of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        counts.append(np.bincount(of, weights=train[d], minlength=len(n)).astype(np.int32))
+        doc_parts.append((ids, n, d))
+    if not counts:
         return
-    g, count = np.concatenate(grams, axis=1), np.concatenate(counts)
-    order = np.lexsort(g[::-1])
-    g = g[:, order]
-    new = np.ones(g.shape[1], bool)
-    new[1:] = (g[:, 1:] != g[:, :-1]).any(axis=0)
+    w, v, u = (np.concatenate(x) for x in parts)
+    parts, count = None, np.concatenate(counts)
+    order = np.lexsort((u, v, w))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in (w, v, u):
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
     firsts = np.flatnonzero(new)
-    inverse = np.empty(len(order), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    w, v, u = (x[firsts] for x in g)
-    total = np.add.reduceat(count[order], firsts)
-    del g, grams, order, new
+    inverse = np.empty(len(order), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    w, v, u = (x[order[firsts]] for x in (w, v, u))
+    total = np.add.reduceat(count[order], firsts).astype(np.int64)
+    del order, new
     trie = Trie.from_buffer(Trie.build(w, v, u, total, hot, scale).to_bytes())
     num, den, c = np.empty(len(w)), np.empty(len(w)), np.empty(len(w), np.int64)
     for s in range(0, len(w), 250_000):
@@ -436,9 +453,9 @@ def _score_shard(blobs, scale: float, hot: dict[int, int], docs_out: int):
     den[w == _END] = 0.0  # nothing follows it
     gain, base = num - den, np.log10(c + ALPHA)
     at = 0
-    for ids, of, d, n in doc_parts:
-        k = inverse[at : at + n][of]
-        at += n
+    for ids, n, d in doc_parts:
+        k = np.repeat(inverse[at : at + len(n)], n)
+        at += len(n)
         sums = [np.bincount(d, weights=x, minlength=len(ids)) for x in (np.ones(len(k)), c[k] > 0, base[k], gain[k])]
         yield ids, sums
 
@@ -464,7 +481,7 @@ def score_documents(docs: DataFrame, holdout_mod: int = 10, id_col: str = "doc_i
 
     def run(batches):
         blobs = (x for b in batches for x in column(b, "blob").to_pylist())
-        for ids, sums in _score_shard(blobs, scale, hot, 0):
+        for ids, sums in _score_shard(blobs, scale, hot):
             yield batch_of(schema, ids, *sums)
 
     sums = _shard_blobs(rows, shards, hot).repartitionById(shards, F.col("shard")).mapInArrow(run, "doc_id long, n_tokens double, n_known double, base double, gain double")
