@@ -68,10 +68,10 @@ def _unpack(words: np.ndarray, index: np.ndarray, bits: int) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bits as fixed fields, high parts as gaps in unary; a directory of counts answers select."""
+    """A non-decreasing sequence: low bits as fixed fields, high parts as gaps in unary."""
 
-    def __init__(self, n, low_bits, low, unary, ranks):
-        self.n, self.low_bits, self.low, self.unary, self.ranks = n, low_bits, low, unary, ranks
+    def __init__(self, n, low_bits, low, unary):
+        self.n, self.low_bits, self.low, self.unary, self.directory = n, low_bits, low, unary, None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -82,22 +82,14 @@ class EliasFano:
         unary = np.zeros((int(high[-1]) + n if n else 0) // 64 + 2, _U)
         at = high + np.arange(n)
         np.bitwise_or.at(unary, at >> 6, _U(1) << (at & 63).astype(_U))
-        ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(unary), dtype=np.int64)))
-        return cls(n, bits, _pack(values & _U((1 << bits) - 1), bits), unary, ranks)
+        return cls(n, bits, _pack(values & _U((1 << bits) - 1), bits), unary)
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """Position of the k-th one or zero."""
-        before = self.ranks if ones else np.arange(len(self.ranks), dtype=np.int64) * 64 - self.ranks
-        word = np.searchsorted(before, k, "right") - 1
-        bits = self.unary[np.minimum(word, len(self.unary) - 1)]
-        bits = bits if ones else ~bits
-        left, at = k - before[word], np.zeros(len(k), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):  # the half that holds it, each time
-            below = np.bitwise_count((bits >> at.astype(_U)) & _U((1 << step) - 1)).astype(np.int64)
-            right = left >= below
-            left -= np.where(right, below, 0)
-            at += np.where(right, step, 0)
-        return word * 64 + at
+        """Position of the k-th one or zero, from a directory built on first use."""
+        if self.directory is None:
+            bits = np.unpackbits(self.unary.view(np.uint8), bitorder="little")
+            self.directory = (np.flatnonzero(bits == 0).astype(np.int32), np.flatnonzero(bits).astype(np.int32))
+        return self.directory[ones][k].astype(np.int64)
 
     def __getitem__(self, k: np.ndarray) -> np.ndarray:
         k = np.asarray(k, np.int64)
@@ -107,7 +99,7 @@ class EliasFano:
         """Index of the first value not below x (n if there is none)."""
         x = np.asarray(x, _U)
         high = (x >> _U(self.low_bits)).astype(np.int64)
-        most = len(self.unary) * 64 - self.ranks[-1] - 1
+        most = len(self.unary) * 64 - self.n - 1
         lo = np.where(high > 0, self._select(np.clip(high - 1, 0, most), False) - high + 1, 0)
         hi = self._select(np.clip(high, 0, most), False) - high
         lo, hi = np.minimum(lo, self.n), np.minimum(hi, self.n)
@@ -121,11 +113,11 @@ class EliasFano:
         return lo
 
     def parts(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits], np.int64), self.low, self.unary, self.ranks]
+        return [np.array([self.n, self.low_bits], np.int64), self.low, self.unary]
 
     @classmethod
-    def from_parts(cls, head, low, unary, ranks) -> EliasFano:
-        return cls(int(head[0]), int(head[1]), low.view(_U), unary.view(_U), ranks.view(np.int64))
+    def from_parts(cls, head, low, unary) -> EliasFano:
+        return cls(int(head[0]), int(head[1]), low.view(_U), unary.view(_U))
 
 
 class Quantiser:
@@ -271,7 +263,7 @@ class Trie:
             parts.append(p)
             at += -(-p.nbytes // 8) * 8
         take = iter(parts)
-        ef = lambda: EliasFano.from_parts(*(next(take) for _ in range(4)))
+        ef = lambda: EliasFano.from_parts(*(next(take) for _ in range(3)))
         vocabulary, levels = ef(), []
         for k, values in enumerate((3, 2, 1)):
             ids, pointers = ef(), ef() if k < 2 else None
