@@ -173,14 +173,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long")
 
 
-def pairs(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (a, b, likeness) of distinct fingerprints with Jaccard >= least, by their smallest doc_id; `membership` has the rest.
-
-    Sets are partitioned by the logarithm of their length to base 1/least, so partners lie in one's own partition or the
-    next. Within a partition they meet through the rarest signatures of their prefix, longest possible for the threshold.
-    """
+def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n, fp, sigs of documents that have an id and a signature."""
     small_batches(docs.sparkSession, 500)
-    schema = "doc_id long, n int, fp string, sigs array<long>"
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("doc_id is not null")
 
     def run(batches):
@@ -189,7 +184,22 @@ def pairs(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id", text_col
             own = [sets[s:e] for s, e in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([len(x) for x in own], pa.int32()), pa.array([fingerprint(x) for x in own]), pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))], ["doc_id", "n", "fp", "sigs"])
 
-    sets = docs.mapInArrow(run, schema).filter("n > 0")
+    return docs.mapInArrow(run, "doc_id long, n int, fp string, sigs array<long>").filter("n > 0")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and rep, the smallest doc_id with the same fingerprint."""
+    sets = _sets(docs, id_col, text_col).select("doc_id", F.sha2("fp", 256).alias("fp"))
+    return sets.join(sets.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp").select("doc_id", "rep")
+
+
+def pairs(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (a, b, likeness) of distinct fingerprints with Jaccard >= least, by their smallest doc_id; `classes` tells who shares one.
+
+    Sets are partitioned by the logarithm of their length to base 1/least, so partners lie in one's own partition or the
+    next. Within a partition they meet through the rarest signatures of their prefix, longest possible for the threshold.
+    """
+    sets = _sets(docs, id_col, text_col)
     reps = cut(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sigs").alias("sigs")).drop("fp"))
     tokens = reps.select("doc_id", "n", F.explode("sigs").alias("sig"))
     freq = tokens.groupBy("sig").agg(F.count("*").alias("df"))
