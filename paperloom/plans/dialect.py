@@ -87,3 +87,10 @@ def run(spark, sf_dir, text):
         if re.search(rf"\b{t}\b", text):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(text)
+
+
+def shared_folder(spark) -> str:
+    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where that is unset."""
+    import tempfile
+
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-")

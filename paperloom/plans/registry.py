@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
+from ..functions import recognition as C
 from ..operators import evaluation as E
 from ..operators import layout as L
+from ..operators import structure as T
 from ..sources import render as R
-from .dialect import Duck, Spark, run
+from ..streaming import events as S
+from .dialect import Duck, Spark, run, shared_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -159,3 +162,52 @@ sql("request_counters", "M16", lambda d: "SELECT event_type AS endpoint, count(*
 # ---- registry
 sql("registry_state", "R1 R2 D17", lambda d: f"SELECT model, version, max_by(op, seq) AS stage, count(*) AS n_events FROM ({E.registry_events(d)}) e GROUP BY model, version")
 sql("registry_active", "R3", lambda d: f"SELECT model, coalesce(max_by(CASE WHEN op = 'production' THEN version END, CASE WHEN op = 'production' THEN seq END), max_by(version, seq)) AS active FROM ({E.registry_events(d)}) e GROUP BY model")
+
+# ---- table structure, merged tokens, guards
+sql("split_merged_tokens", "L5", lambda d: T.split_merged(d, T.merged_tokens(d)))
+sql("header_contamination", "L13", lambda d: T.contaminated(d))
+sql("grid", "L16 L14", lambda d: T.grid(d))
+sql("grid_items", "L17", lambda d: T.grid_items(d))
+sql("table_mode", "L18 S21", lambda d: T.table_mode(d))
+sql("cjk_filter", "G4", lambda d: T.cjk_filtered(d))
+sql("geometry_risk", "G7", lambda d: T.geometry(d))
+sql("escalation", "G9 G12", lambda d: T.escalated(d))
+TAGS = lambda d: f"SELECT b.doc_id, b.tok_idx, CASE WHEN b.cls = 'O' THEN 'O' ELSE 'B-' || b.cls END AS tag, t.text FROM ({BIO(d)}) b JOIN ({R.receipts(d)}) t ON t.doc_id = b.doc_id AND t.tok_idx = b.tok_idx"
+sql("entity_text", "C14 X9", lambda d: T.entity_text(d, TAGS(d)))
+sql("first_subword", "X9", lambda d: T.first_subword(d))
+sql("recogniser_merge", "C19", lambda d: T.merged_recognisers(d))
+sql("crop_parent", "N23", lambda d: "SELECT doc_id, regexp_extract(name, '^(.*)_([0-9]+)$', 1) AS parent, CAST(regexp_extract(name, '^(.*)_([0-9]+)$', 2) AS BIGINT) AS idx FROM (SELECT doc_id, source || '_' || CAST(doc_id AS STRING) AS name FROM documents) n")
+sql("reply_json", "N15", lambda d: f"SELECT event_id, {d.json_int(d.rx('''('Sure: ' || props || ' done')''', '(?s)[{].*[}]'), 'k')} AS k FROM events")
+
+# ---- profiles and training sets
+sql("stage_profile", "X4 A10 D19", lambda d: T.nearest_rank(d))
+sql("warm_latency", "X7 X8", lambda d: T.warm_latency(d))
+sql("latency_ablation", "A29", lambda d: f"SELECT p.config, p.p50_upper, p.p95_capped, w.mean, w.n FROM ({E.percentiles(d)}) p JOIN ({T.warm_latency(d)}) w ON w.config = p.config")
+sql("stress", "X5", lambda d: T.stress(d))
+sql("stage_timings", "R8", lambda d: T.timings(d))
+sql("labels_by_parent", "X3", lambda d: f"SELECT source AS parent, {d.agg('lang', 'doc_id', ',')} AS labels, count(*) AS n FROM documents GROUP BY source")
+sql("document_training_set", "X11 L23", lambda d: f"SELECT f.doc_id, f.stmt, f.rcpt, f.po, f.n_money, s.w, s.h, {TRUE_TYPE.replace('doc_id', 'f.doc_id')} AS label FROM ({L.document_features(d)}) f JOIN (SELECT doc_id, max(x1) AS w, max(y1) AS h FROM ({L.all_tokens(d)}) t GROUP BY doc_id) s ON s.doc_id = f.doc_id")
+sql("weighted_mix", "X12", lambda d: "SELECT lang, item, count(*) AS n FROM (SELECT lang, doc_id % 10 AS item FROM documents UNION ALL SELECT 'benchmark', item_id % 10 FROM benchmark CROSS JOIN (VALUES (1), (2), (3)) AS w(k)) m GROUP BY lang, item")
+sql("best_epoch", "X13 X1", lambda d: f"SELECT bucket, min_by(epoch, cer) AS best, min(cer) AS cer FROM (SELECT item_id % 4 AS bucket, item_id % 5 AS epoch, round(avg(cer), 6) + CAST(item_id % 5 AS DOUBLE) / 1000000000 AS cer FROM ({E.text_scores(d)}) s GROUP BY item_id % 4, item_id % 5) e GROUP BY bucket")
+sql("sorted_boxes", "X16 X18", lambda d: f"SELECT img, box, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, round(x0, 1) AS left_x, CAST(row_number() OVER (PARTITION BY img ORDER BY y0, x0, box) AS BIGINT) AS place FROM ({E.boxes(d)[1]}) b")
+sql("detections", "X17", lambda d: f"SELECT img, box, CASE box % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'table row' ELSE 'table column' END AS label, x0, y0, x1, y1 FROM (SELECT *, CAST(box * 37 % 100 AS DOUBLE) / 100 AS score FROM ({E.boxes(d)[1]}) b) s WHERE score > 0.5")
+sql("jobs", "R7", lambda d: "SELECT user_id AS job_id, count(*) AS n, CASE WHEN count(*) BETWEEN 1 AND 50 THEN 'accepted' ELSE 'rejected' END AS status FROM events GROUP BY user_id")
+column_query("nfc_labels", "N18", lambda d: "SELECT doc_id, text FROM documents", lambda t: t.select("doc_id", F.md5(C.nfc(F.trim("text"))).alias("digest"), C.label_reason(F.col("text")).alias("reason")), lambda d, s: f"SELECT doc_id, md5(nfc_normalize(trim(text))) AS digest, CASE WHEN text IS NULL THEN 'malformed_line' WHEN trim(text) = '' THEN 'empty_label' END AS reason FROM ({s}) m")
+CHARSET = "abcdefghijklmnopqrstuvwxyz"
+QUERIES["charset_codec"] = lambda spark, sf_dir: run(spark, sf_dir, "SELECT item_id, text FROM benchmark").select("item_id", C.collapse(C.encode_chars(F.col("text"), CHARSET), CHARSET).alias("text"))
+COVERS["charset_codec"] = "N20"
+QUERIES["word_error_rate"] = lambda spark, sf_dir: run(spark, sf_dir, E.pairs(Spark())).select("item_id", F.round(C.wer("pred", "gold"), 6).alias("wer"))
+COVERS["word_error_rate"] = "A6"
+
+# ---- streams
+for _name, _covers, _stream, _mode in (
+    ("stream_tumbling", "M1 M2", lambda e: S.tumbling(e), "complete"),
+    ("stream_sliding", "M4", lambda e: S.sliding_errors(e), "complete"),
+    ("stream_sessions", "", lambda e: S.sessions(e), "complete"),
+    ("stream_once", "M14", lambda e: S.once_by_key(e).select("user_id", "props", "event_id"), "append"),
+):
+    QUERIES[_name] = lambda spark, sf_dir, stream=_stream, mode=_mode: S.drain(stream(S.read_events(spark, f"{sf_dir}/events.parquet")), shared_folder(spark), mode)[0]
+    COVERS[_name] = _covers
+ORACLE["stream_tumbling"] = "SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+ORACLE["stream_sliding"] = "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) + k * 3600 AS instant, count(*) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS n_error FROM events CROSS JOIN (VALUES (1), (2)) AS o(k) GROUP BY 1"
+ORACLE["stream_sessions"] = "SELECT user_id, min(t) AS start, max(t) + 1800 AS stop, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id) AS s FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 1800 THEN 0 ELSE 1 END AS b FROM events) x) y GROUP BY user_id, s"
