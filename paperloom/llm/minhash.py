@@ -6,8 +6,9 @@
    group meets the same centre in all bands. Centres are found by a pre-aggregated minimum, never by gathering
    a bucket in one task.
 3. Candidates are confirmed on the full sets, and connected components found by minimum labels with pointer jumping.
-4. In buckets that still span several components, further rounds put a newly drawn centre against the members of
-   other components, until a round finds no link (at most ROUNDS).
+4. In buckets that still span several components, a few rounds put a newly drawn centre against the members of
+   other components. They only merge cheaply; members of what stays split after them go to an exact join on full sets
+   (prefixes of the rarest shingles by pair of length classes, in salted blocks), which leaves no pair in a bucket untested.
 
 A pair at the threshold shares no bucket with probability (1 - 0.75^5)^51, about 1e-6, and less above it.
 """
@@ -26,6 +27,8 @@ BINS_LOG2 = 8
 BAND_ROWS = 5
 PERCENT = 75
 ROUNDS = 3
+#: Ratio of the bounds of length classes, slots for shingle frequencies, and members of a join key in one block.
+LENGTH_RATIO, SLOTS_LOG2, BLOCK = 1.05, 20, 1024
 _U = np.uint64
 
 
@@ -132,15 +135,106 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return rows.mapInArrow(run, "a long, b long")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """cut(df) without the size that Spark estimates for it; the estimates of joins multiply, and over many rounds planning would take longer than the work."""
+    jdf, spark = cut(df)._jdf, df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
+
+
+def length_bounds(longest: int, ratio: float = LENGTH_RATIO) -> np.ndarray:
+    """Smallest size of each length class, up to the class after that of the longest set."""
+    out = [1]
+    while out[-1] <= longest:
+        out.append(max(out[-1] + 1, int(out[-1] * ratio)))
+    return np.array(out)
+
+
+def prefix_keys(x: np.ndarray, shared: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of the shared tokens of a set in order of rarity, and their side. Sets as alike as percent share a key: for each class of a partner's length, the tokens that any overlap large enough must touch."""
+    n = len(x)
+    own = int(np.searchsorted(bounds, n, "right")) - 1
+    least, most = -(-percent * n // 100), 100 * n // percent
+    keys, sides = [], []
+    for g in range(int(np.searchsorted(bounds, least, "right")) - 1, min(int(np.searchsorted(bounds, most, "right")), len(bounds))):
+        overlap = -(-percent * (n + max(least, int(bounds[g]))) // (100 + percent))
+        k = max(0, n - overlap + 1)
+        part = x[:k][shared[:k]]
+        keys.append(mix(part ^ randoms(1, 1000003 * min(g, own) + max(g, own))))
+        sides.append(np.full(len(part), 0 if g == own else 1 if own < g else 2, np.int32))
+    return np.concatenate(keys).view(np.int64), np.concatenate(sides)
+
+
+def shared_prefixes(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b), a < b, of members (rep, component) of different components: all that are as alike as percent are among them."""
+    held = cut(sets.join(members.select(F.col("rep").alias("doc_id"), "component"), "doc_id"))
+    slots = 1 << SLOTS_LOG2
+    slot_of = lambda x: (x >> _U(64 - SLOTS_LOG2)).astype(np.int64)
+
+    def frequencies(batches):
+        n, low, high = np.zeros(slots, np.int64), np.full(slots, np.iinfo(np.int64).max), np.full(slots, np.iinfo(np.int64).min)
+        for b in batches:
+            for component, x in zip(column(b, "component").to_pylist(), column(b, "shingles"), strict=True):
+                at = slot_of(np.frombuffer(x.as_buffer(), _U))
+                np.add.at(n, at, 1)
+                low[at], high[at] = np.minimum(low[at], component), np.maximum(high[at], component)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(low[at]), pa.array(high[at])], ["slot", "n", "low", "high"])
+
+    # frequencies by slot order the shingles; those of a slot that meets one component only bring nothing together
+    common = np.zeros(slots, np.int64)
+    found = held.mapInArrow(frequencies, "slot int, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("slot", "n").toArrow()
+    common[np.asarray(found["slot"])] = np.asarray(found["n"])
+    bounds = length_bounds(int(held.agg(F.max(F.length("shingles"))).first()[0]) // 8 * 100 // percent + 1)
+    schema = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("rep", pa.int64()), ("component", pa.int64())])
+
+    def run(batches):
+        for t in batches:
+            for rep, component, x in zip(column(t, "doc_id").to_pylist(), column(t, "component").to_pylist(), column(t, "shingles"), strict=True):
+                x = np.frombuffer(x.as_buffer(), _U)
+                n = common[slot_of(x)]
+                order = np.lexsort((x, n))
+                keys, sides = prefix_keys(x[order], n[order] > 0, bounds, percent)
+                yield batch_of(schema, keys, sides, np.full(len(keys), rep), np.full(len(keys), component))
+
+    rows = held.mapInArrow(run, "key long, side int, rep long, component long")
+    # a key counts if it brings components together; its members are dealt to blocks, and each pair of blocks is joined apart
+    salts = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
+    dealt = cut(rows.join(salts, "key").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("key", F.least("salt", "other").alias("p"), F.greatest("salt", "other").alias("q"), "salt", "side", "rep", "component")
+    left, right = dealt.alias("l"), dealt.alias("r")
+    fits = (F.col("l.rep") < F.col("r.rep")) & (F.col("l.component") != F.col("r.component")) & ((F.col("l.side") == 0) | (F.col("l.side") != F.col("r.side"))) & ((F.col("l.p") == F.col("l.q")) | (F.col("l.salt") != F.col("r.salt")))
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "p", "q")]
+    pairs = left.join(right, [*on, fits]).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+
+    # counts of shingles by their first byte bound the overlap of a pair, at a fraction of the full sets
+    def sketch(batches):
+        for t in batches:
+            counts = [np.bincount((np.frombuffer(x.as_buffer(), _U) >> _U(56)).astype(np.int64), minlength=256) for x in column(t, "shingles")]
+            yield batch_of(pa.schema([("doc_id", pa.int64()), ("counts", pa.binary())]), column(t, "doc_id"), [c.astype(np.uint16 if c.max() < 1 << 16 else np.int64).tobytes() for c in counts])
+
+    def possible(batches):
+        read = lambda x: np.frombuffer(x.as_buffer(), np.uint16 if len(x.as_buffer()) == 512 else np.int64).astype(np.int64)
+        for t in batches:
+            keep = []
+            for x, y in zip(column(t, "ca"), column(t, "cb"), strict=True):
+                x, y = read(x), read(y)
+                keep.append((100 + percent) * int(np.minimum(x, y).sum()) >= percent * int(x.sum() + y.sum()))
+            keep = pa.array(keep, pa.bool_())
+            yield batch_of(pa.schema([("a", pa.int64()), ("b", pa.int64())]), column(t, "a").filter(keep), column(t, "b").filter(keep))
+
+    counts = cut(held.mapInArrow(sketch, "doc_id long, counts binary"))
+    return pairs.join(counts.toDF("a", "ca"), "a").join(counts.toDF("b", "cb"), "b").select("a", "b", "ca", "cb").mapInArrow(possible, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of the edges (a, b): the smallest id reachable. Labels spread to neighbours, then jump to their label's label."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("of_b")), "b").groupBy("a").agg(F.min("of_b").alias("near"))
         spread = labels.join(near, "a", "left").select("a", F.least("label", F.coalesce("near", "label")).alias("new"), F.col("label").alias("old"))
         jump = spread.select(F.col("a").alias("new"), F.col("new").alias("far"))
-        moved = cut(spread.join(jump, "new", "left").select("a", F.least("new", F.coalesce("far", "new")).alias("label"), "old"))
+        moved = settled(spread.join(jump, "new", "left").select("a", F.least("new", F.coalesce("far", "new")).alias("label"), "old"))
         labels = moved.select("a", "label")
         if moved.filter(F.col("label") != F.col("old")).isEmpty():
             return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
@@ -169,22 +263,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         sets = cut(full_sets(texts))
         links = cut(confirmed(pairs, sets, percent))
         tested = pairs
-        for k in range(ROUNDS + 1):
-            label = components(links) if not links.isEmpty() else None
-            if k == ROUNDS:
-                break
+
+        def in_buckets(label):
             seen = members.select("key", "rep")
-            seen = seen.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")) if label is not None else seen.withColumn("component", F.col("rep"))
+            return seen.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")) if label is not None else seen.withColumn("component", F.col("rep"))
+
+        for k in range(ROUNDS):
+            label = components(links) if not links.isEmpty() else None
+            seen = in_buckets(label)
             split = seen.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep"), F.col("component"))).alias("c")).filter("low < high")
             more = seen.join(split.select("key", "c"), "key").filter("component != c.component").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
             more = cut(more.join(tested, ["a", "b"], "left_anti"))
             if more.isEmpty():
-                break
+                continue
             found = cut(confirmed(more, sets, percent))
             tested = tested.unionByName(more)
-            if found.isEmpty():
-                continue
-            links = cut(links.unionByName(found))
+            if not found.isEmpty():
+                links = cut(links.unionByName(found))
+        label = components(links) if not links.isEmpty() else None
+        seen = in_buckets(label)
+        # the star has tested the only pair of a bucket of two
+        split = seen.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high and n > 2")
+        left = cut(seen.join(split.select("key"), "key", "left_semi").select("rep", "component").distinct())
+        if not left.isEmpty():
+            more = cut(shared_prefixes(left, sets, percent).join(tested, ["a", "b"], "left_anti"))
+            found = cut(confirmed(more, sets, percent))
+            if not found.isEmpty():
+                label = components(cut(links.unionByName(found)))
     out = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left") if label is not None else reps.withColumn("component", F.lit(None).cast("long"))
     linked = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sig.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -125,6 +125,39 @@ def test_minhash_equals_brute_force(spark):
     assert got == label
 
 
+def families(members, pairs, shared, unique, extra):
+    """A template family: documents of a shared passage and a tail each; of the first ones, pairs share a part of their tails."""
+    word = lambda *k: "w" + "x".join(map(str, k))
+    docs = []
+    for k in range(members):
+        common = [word("p", k // 2, x) for x in range(extra)] if k < 2 * pairs else [word("q", k, x) for x in range(extra)]
+        docs.append((k, " ".join([word(x) for x in range(shared)] + common + [word("t", k, x) for x in range(unique)])))
+    return docs
+
+
+def test_minhash_finds_pairs_in_template_families(spark):
+    docs = families(300, 100, 204, 34, 7)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in docs)}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert like(0, 1) >= 0.75 and like(0, 2) < 0.75 and like(298, 299) < 0.75
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 if k < 200 else k for k in range(300)}
+
+
+def test_shared_prefixes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    sets, base = [], np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
+    for k in range(150):
+        x = base[rng.random(len(base)) < rng.uniform(0.8, 1)] if k % 3 else base[: int(rng.integers(1, 9))]
+        sets.append(np.unique(np.concatenate((x, rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64)))))
+    frame = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sets)], "doc_id long, shingles binary")
+    members = spark.createDataFrame([(k, k % 40) for k in range(150)], "rep long, component long")
+    got = {(r.a, r.b) for r in minhash.shared_prefixes(members, frame).collect()}
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if a % 40 != b % 40 and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert want and want <= got and all(a < b and a % 40 != b % 40 for a, b in got)
+
+
 def test_spotsigs(spark, edge, empty):
     rows = {r.doc_id: r for r in spotsigs.fingerprint_documents(edge).collect()}
     assert len(rows) == len(EDGE)
