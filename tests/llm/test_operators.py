@@ -184,6 +184,19 @@ def test_language_and_toxicity(spark, edge, empty):
     assert toxicity.score_toxicity(edge, labels.limit(0)).count() == len(EDGE)
 
 
+def test_language_rejects_unlearned_languages_and_noise(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(docs.filter("doc_id % 4 <> 2"))
+    strange = [
+        "Wczoraj wieczorem poszliśmy do kina, żeby zobaczyć nowy film o przyrodzie", "Hôm nay trời rất đẹp và chúng tôi đi dạo trong công viên gần nhà",
+        "Σήμερα ο καιρός είναι καλός και πηγαίνουμε στη θάλασσα", "Сегодня хорошая погода и мы идем гулять в парк", "今天天气很好我们去公园散步",
+        "asdkjh qwpoei zmxncb qpwoei laksjd zxmnbv qowieu alskdj", "dGhpcyBpcyBhIHRlc3Qgb2YgYmFzZTY0IGVuY29kZWQgZGF0YQ==aGVsbG8gd29ybGQ",
+    ]
+    assert model.predict(Texts(pa.array(strange)))[2].all()
+    held = language.identify(docs.filter("doc_id % 4 = 2"), model, keep=("lang", "text")).filter("lang is not null and score > 0")
+    assert held.count() > 100 and held.filter("rejected").count() <= held.count() // 100
+
+
 def test_secrets(edge, empty):
     rows = {r.doc_id: r for r in secrets.find_secrets(edge).collect()}
     assert (rows[8].n_assign, rows[8].n_hex) == (1, 1) and rows[8].spans == "assign:0:31,hex:9:31" and rows[1].spans == ""
