@@ -34,18 +34,68 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir; one of our own only where that is unset, which a local master alone can share."""
     sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paperloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and forget its lineage; survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df in the shared checkpoint folder and forget its lineage; survives lost executors.
+
+    The size that Spark estimated for df goes too: the estimates of joins multiply, and over many rounds planning would take longer than the work.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    jdf = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Delete the files of what cut() gave and nothing will read again."""
+    for df in cuts:
+        spark = df.sparkSession
+        todo = [df._jdf.queryExecution().toRdd()]
+        while todo:
+            rdd = todo.pop()
+            if rdd.getCheckpointFile().isDefined():
+                path = spark._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            else:
+                own = rdd.dependencies()
+                todo += [own.apply(k).rdd() for k in range(own.size())]
+
+
+class Bits:
+    """A set of 64-bit values as a bit map of bounded size (2**MOST_LOG2 bits, 8 MB, at most): has() may be true for others, never false for its own.
+
+    Once there are more values than bits it holds nothing back, and what it filters for must be exact without it.
+    """
+
+    MOST_LOG2, LEAST_LOG2, PART = 26, 15, 15
+
+    def __init__(self, log2: int, words: np.ndarray):
+        self.log2, self.words = log2, words
+
+    @classmethod
+    def of(cls, df: DataFrame, name: str) -> Bits:
+        n = df.count()
+        log2 = min(max((16 * n).bit_length(), cls.LEAST_LOG2), cls.MOST_LOG2)
+        slot = F.shiftrightunsigned(F.xxhash64(F.col(name).cast("long")), 64 - log2)
+        parts = df.select(F.shiftright(slot, cls.PART).alias("part"), slot.bitwiseAND((1 << cls.PART) - 1).alias("bit"))
+        words = np.zeros((1 << log2) // 8, np.uint8)
+        size = (1 << cls.PART) // 8
+        for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # 4 KB for each part
+            words[r.part * size : (r.part + 1) * size] = np.frombuffer(bytes(r.bits), np.uint8)
+        return cls(log2, words)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        slot = xxhash64(values) >> _U(64 - self.log2)
+        return (self.words[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 > 0
 
 
 def width(spark: SparkSession) -> int:
@@ -69,6 +119,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def xxhash64(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """What Spark's xxhash64() gives for longs, unsigned. The factors are XXH64's fixed values."""
+    p = [_U(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+    turn = lambda v, k: v << _U(k) | v >> _U(64 - k)
+    x = np.asarray(x, np.int64).view(_U)
+    h = (turn(x * p[1], 31) * p[0]) ^ (_U(seed + 8) + p[4])
+    h = turn(h, 27) * p[0] + p[3]
+    h = (h ^ h >> _U(33)) * p[1]
+    h = (h ^ h >> _U(29)) * p[2]
+    return h ^ h >> _U(32)
+
+
 def randoms(n: int, seed: int) -> np.ndarray:
     """n fixed odd 64-bit multipliers."""
     return mix((np.arange(1, n + 1, dtype=_U) + _U(seed)) * _U(0x9E3779B97F4A7C15)) | _U(1)

@@ -1,16 +1,17 @@
 """Near-duplicate documents: one-permutation hashing with optimal densification, banded buckets, star edges.
 
 1. Every document gets its set of five-word shingles, a 128-bit fingerprint of the set and the bucket keys of its
-   bands. Equal sets are one class, kept by its smallest doc_id; only representatives go on.
-2. Each bucket emits a star from its smallest member to the others, so n members make n - 1 candidates and a tight
-   group meets the same centre in all bands. Centres are found by a pre-aggregated minimum, never by gathering
-   a bucket in one task.
+   bands. Equal sets are one class, named by its smallest doc_id; only classes go on.
+2. Each bucket emits a star from its smallest member to the others, so n members make n - 1 candidates. Centres are
+   found by a pre-aggregated minimum, never by gathering a bucket in one task. Of the stars that reach a class, the one
+   with the most shared bands is confirmed first: a candidate for each class at most.
 3. Candidates are confirmed on the full sets, and connected components found by minimum labels with pointer jumping.
-4. In buckets that still span several components, a few rounds put a newly drawn centre against the members of
-   other components. They only merge cheaply; members of what stays split after them go to an exact join on full sets
-   (prefixes of the rarest shingles by pair of length classes, in salted blocks), which leaves no pair in a bucket untested.
+4. Buckets that then still span several components may hide further links. All their members go to an exact join: the
+   rarest shingles of each set, as many as any partner must meet, with the places that bound the overlap. It leaves no
+   pair of a bucket untested, so the stars decide only in which order links are found.
 
-A pair at the threshold shares no bucket with probability (1 - 0.75^5)^51, about 1e-6, and less above it.
+A pair at the threshold shares no bucket with probability (1 - 0.75^5)^51, about 1e-6, and less above it. The work of
+step 4 is (members outside a shingle's largest component) x (its members), in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -20,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, batch_of, blocks, column, cut, documents, mix, randoms, runs, small_batches
+from .common import Bits, Texts, batch_of, blocks, column, cut, documents, forget, ints, mix, randoms, runs, small_batches
 
 WORDS = 5
 BINS_LOG2 = 8
 BAND_ROWS = 5
 PERCENT = 75
-ROUNDS = 3
-#: Ratio of the bounds of length classes, slots for shingle frequencies, and members of a join key in one block.
-LENGTH_RATIO, SLOTS_LOG2, BLOCK = 1.05, 20, 1024
+#: Slots for shingle frequencies, and members of a join key in one block.
+SLOTS_LOG2, BLOCK = 20, 1024
 _U = np.uint64
 
 
@@ -105,21 +105,42 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, fa long, fb long, bands array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+def bucket_rows(classes: DataFrame, bits: Bits) -> DataFrame:
+    """(key, rep) of the buckets whose keys are in bits, and a few others."""
+    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
 
     def run(batches):
-        for b in blocks(batches):
-            sets, at = shingle_sets(Texts(column(b, "text")))
-            yield batch_of(schema, column(b, "doc_id"), [sets[s:e].tobytes() for s, e in zip(at, at[1:])])
+        for b in batches:
+            lists = column(b, "bands")
+            keys = np.asarray(lists.flatten())
+            hit = bits.has(keys)
+            yield batch_of(schema, keys[hit], np.repeat(ints(b, "rep"), np.diff(np.asarray(lists.offsets)))[hit])
+
+    return classes.select("rep", "bands").mapInArrow(run, "key long, rep long")
+
+
+def full_sets(docs: DataFrame, bits: Bits | None = None) -> DataFrame:
+    """doc_id, f (hash of the set) and shingles of the documents whose ids are in bits, and a few others. Rows that repeat an id and a set count once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("f", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches):
+        for whole in batches:
+            ids = column(whole, "doc_id")
+            wanted = np.asarray(ids.is_valid())
+            if bits is not None:
+                wanted = wanted & bits.has(np.asarray(ids.fill_null(0)))
+            for b in blocks([whole.filter(pa.array(wanted))]):
+                sets, at = shingle_sets(Texts(column(b, "text")))
+                sums = np.where(np.diff(at) > 0, np.add.reduceat(mix(np.concatenate((sets, [_U(0)]))), at[:-1]), _U(0))
+                yield batch_of(schema, column(b, "doc_id"), sums.view(np.int64), [sets[s:e].tobytes() for s, e in zip(at, at[1:])])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, f long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union."""
+    """The pairs (a, b) with 100 * intersection >= percent * union. An id with several sets is linked by any of them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+    rows = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def run(batches):
         for t in batches:
@@ -128,171 +149,142 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
                 x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
+                both = int((y[at] == x).sum()) if len(y) else 0
                 keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch_of(schema, column(t, "a").filter(pa.array(keep)), column(t, "b").filter(pa.array(keep)))
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """cut(df) without the size that Spark estimates for it; the estimates of joins multiply, and over many rounds planning would take longer than the work."""
-    jdf, spark = cut(df)._jdf, df.sparkSession
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
-
-
-def length_bounds(longest: int, ratio: float = LENGTH_RATIO) -> np.ndarray:
-    """Smallest size of each length class, up to the class after that of the longest set."""
-    out = [1]
-    while out[-1] <= longest:
-        out.append(max(out[-1] + 1, int(out[-1] * ratio)))
-    return np.array(out)
-
-
-def prefix_keys(x: np.ndarray, shared: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of the shared tokens of a set in order of rarity, and their side. Sets as alike as percent share a key: for each class of a partner's length, the tokens that any overlap large enough must touch."""
-    n = len(x)
-    own = int(np.searchsorted(bounds, n, "right")) - 1
-    least, most = -(-percent * n // 100), 100 * n // percent
-    keys, sides = [], []
-    for g in range(int(np.searchsorted(bounds, least, "right")) - 1, min(int(np.searchsorted(bounds, most, "right")), len(bounds))):
-        overlap = -(-percent * (n + max(least, int(bounds[g]))) // (100 + percent))
-        k = max(0, n - overlap + 1)
-        part = x[:k][shared[:k]]
-        keys.append(mix(part ^ randoms(1, 1000003 * min(g, own) + max(g, own))))
-        sides.append(np.full(len(part), 0 if g == own else 1 if own < g else 2, np.int32))
-    return np.concatenate(keys).view(np.int64), np.concatenate(sides)
-
-
-def shared_prefixes(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b), a < b, of members (rep, component) of different components: all that are as alike as percent are among them."""
-    held = cut(sets.join(members.select(F.col("rep").alias("doc_id"), "component"), "doc_id"))
+def rarity(held: DataFrame) -> np.ndarray:
+    """By slot of the shingles' hashes, a class of how many sets hold one; 0 where one component only does, so nothing is brought together."""
     slots = 1 << SLOTS_LOG2
-    slot_of = lambda x: (x >> _U(64 - SLOTS_LOG2)).astype(np.int64)
 
     def frequencies(batches):
         n, low, high = np.zeros(slots, np.int64), np.full(slots, np.iinfo(np.int64).max), np.full(slots, np.iinfo(np.int64).min)
         for b in batches:
             for component, x in zip(column(b, "component").to_pylist(), column(b, "shingles"), strict=True):
-                at = slot_of(np.frombuffer(x.as_buffer(), _U))
+                at = (np.frombuffer(x.as_buffer(), _U) >> _U(64 - SLOTS_LOG2)).astype(np.int64)
                 np.add.at(n, at, 1)
                 low[at], high[at] = np.minimum(low[at], component), np.maximum(high[at], component)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(low[at]), pa.array(high[at])], ["slot", "n", "low", "high"])
 
-    # frequencies by slot order the shingles; those of a slot that meets one component only bring nothing together
-    common = np.zeros(slots, np.int64)
-    found = held.mapInArrow(frequencies, "slot int, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("slot", "n").toArrow()
-    common[np.asarray(found["slot"])] = np.asarray(found["n"])
-    bounds = length_bounds(int(held.agg(F.max(F.length("shingles"))).first()[0]) // 8 * 100 // percent + 1)
-    schema = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("rep", pa.int64()), ("component", pa.int64())])
+    found = held.mapInArrow(frequencies, "slot int, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
+    found = found.select("slot", F.least(F.lit(255), F.lit(1) + F.floor(F.log2("n") * 4)).cast("short").alias("c")).toArrow()  # a row for each slot at most
+    out = np.zeros(slots, np.uint8)
+    out[np.asarray(found["slot"])] = np.asarray(found["c"])
+    return out
+
+
+def shared_prefixes(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b), a < b, of members (rep, component) of different components: all that are as alike as percent are among them.
+
+    Sets are ordered by rarity. Two sets of n and m shingles that are as alike as percent share least = ceil(percent * (n + m) /
+    (100 + percent)) of them, so their first common one stands at places p and q with 1 + min(n - p, m - q) - 1 >= least,
+    within the first n - ceil(percent * n / 100) + 1 of either.
+    """
+    held = cut(sets.join(members.select(F.col("rep").alias("doc_id"), "component"), "doc_id").select("doc_id", "component", "shingles"))
+    classes = rarity(held)
+    schema = pa.schema([("key", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("rep", pa.int64()), ("component", pa.int64())])
 
     def run(batches):
         for t in batches:
-            for rep, component, x in zip(column(t, "doc_id").to_pylist(), column(t, "component").to_pylist(), column(t, "shingles"), strict=True):
+            keys, places, sizes = [], [], []
+            for x in column(t, "shingles"):
                 x = np.frombuffer(x.as_buffer(), _U)
-                n = common[slot_of(x)]
-                order = np.lexsort((x, n))
-                keys, sides = prefix_keys(x[order], n[order] > 0, bounds, percent)
-                yield batch_of(schema, keys, sides, np.full(len(keys), rep), np.full(len(keys), component))
-
-    rows = held.mapInArrow(run, "key long, side int, rep long, component long")
-    # a key counts if it brings components together; its members are dealt to blocks, and each pair of blocks is joined apart
-    salts = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
-    dealt = cut(rows.join(salts, "key").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("key", F.least("salt", "other").alias("p"), F.greatest("salt", "other").alias("q"), "salt", "side", "rep", "component")
-    left, right = dealt.alias("l"), dealt.alias("r")
-    fits = (F.col("l.rep") < F.col("r.rep")) & (F.col("l.component") != F.col("r.component")) & ((F.col("l.side") == 0) | (F.col("l.side") != F.col("r.side"))) & ((F.col("l.p") == F.col("l.q")) | (F.col("l.salt") != F.col("r.salt")))
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "p", "q")]
-    pairs = left.join(right, [*on, fits]).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
-
-    # counts of shingles by their first byte bound the overlap of a pair, at a fraction of the full sets
-    def sketch(batches):
-        for t in batches:
-            counts = [np.bincount((np.frombuffer(x.as_buffer(), _U) >> _U(56)).astype(np.int64), minlength=256) for x in column(t, "shingles")]
-            yield batch_of(pa.schema([("doc_id", pa.int64()), ("counts", pa.binary())]), column(t, "doc_id"), [c.astype(np.uint16 if c.max() < 1 << 16 else np.int64).tobytes() for c in counts])
-
-    def possible(batches):
-        read = lambda x: np.frombuffer(x.as_buffer(), np.uint16 if len(x.as_buffer()) == 512 else np.int64).astype(np.int64)
-        for t in batches:
-            keep = []
-            for x, y in zip(column(t, "ca"), column(t, "cb"), strict=True):
-                x, y = read(x), read(y)
-                keep.append((100 + percent) * int(np.minimum(x, y).sum()) >= percent * int(x.sum() + y.sum()))
-            keep = pa.array(keep, pa.bool_())
-            yield batch_of(pa.schema([("a", pa.int64()), ("b", pa.int64())]), column(t, "a").filter(keep), column(t, "b").filter(keep))
-
-    counts = cut(held.mapInArrow(sketch, "doc_id long, counts binary"))
-    return pairs.join(counts.toDF("a", "ca"), "a").join(counts.toDF("b", "cb"), "b").select("a", "b", "ca", "cb").mapInArrow(possible, "a long, b long")
+                c, n = classes[(x >> _U(64 - SLOTS_LOG2)).astype(np.int64)], len(x)
+                order = np.lexsort((x, c))[: n - -(-percent * n // 100) + 1]
+                at = np.flatnonzero(c[order] > 0)
+                keys.append(x[order[at]].view(np.int64))
+                places.append(at)
+                sizes.append(len(at))
+            n = np.array([len(x.as_buffer()) // 8 for x in column(t, "shingles")], np.int64)
+            if sum(sizes):
+                yield batch_of(schema, np.concatenate(keys), np.concatenate(places), np.repeat(n, sizes), np.repeat(ints(t, "doc_id"), sizes), np.repeat(ints(t, "component"), sizes))
+
+    rows = cut(held.mapInArrow(run, "key long, place int, n int, rep long, component long"))
+    # a key counts if it brings components together. Its members outside its largest component (rest) meet all its
+    # members, in a grid of blocks: a cell joins BLOCK of the one and BLOCK of the other
+    own = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    grid = own.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).filter(F.col("all") > F.col("main.n"))
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    grid = cut(grid.select("key", F.col("main.component").alias("main"), blocks_of(F.col("all")).alias("across"), blocks_of(F.col("all") - F.col("main.n")).alias("down")))
+    dealt = cut(rows.join(grid, "key"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    salt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    left = dealt.filter("component <> main").withColumn("i", salt("down")).withColumn("j", every("across")).alias("l")
+    right = dealt.withColumn("j", salt("across")).withColumn("i", every("down")).alias("r")
+    n, m = F.col("l.n").cast("long"), F.col("r.n").cast("long")
+    least = F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+    fits = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep"))) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - F.col("l.place"), m - F.col("r.place")) >= least)
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "i", "j")]
+    return left.join(right, [*on, fits]).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every vertex of the edges (a, b): the smallest id reachable. Labels spread to neighbours, then jump to their label's label."""
-    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    """(id, component) of every vertex of the edges (a, b): the smallest id reachable. Labels spread to neighbours, then jump to their label's label.
+
+    Both joins of a round read what was cut before, so that Spark can split the task of a vertex or label that many rows share.
+    """
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("of_b")), "b").groupBy("a").agg(F.min("of_b").alias("near"))
-        spread = labels.join(near, "a", "left").select("a", F.least("label", F.coalesce("near", "label")).alias("new"), F.col("label").alias("old"))
-        jump = spread.select(F.col("a").alias("new"), F.col("new").alias("far"))
-        moved = settled(spread.join(jump, "new", "left").select("a", F.least("new", F.coalesce("far", "new")).alias("label"), "old"))
+        spread = cut(labels.join(near, "a").select("a", F.least("label", "near").alias("new"), F.col("label").alias("old")))
+        moved = cut(spread.join(spread.select(F.col("a").alias("new"), F.col("new").alias("far")), "new", "left").select("a", F.least("new", F.coalesce("far", "new")).alias("label"), "old"))
+        forget(labels, spread)
         labels = moved.select("a", "label")
         if moved.filter(F.col("label") != F.col("old")).isEmpty():
+            forget(both)
             return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
+        labels, moved = cut(labels), forget(moved)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    Null, empty and blank texts have no shingles and link with nothing. Repeated rows share their component, and
-    each has its row. A null doc_id links with nothing and is kept. An empty table gives an empty result. Other columns are ignored.
+    Null, empty and blank texts have no shingles and link with nothing. Rows that share a doc_id are one document: they are
+    linked, by whatever any of their texts links with, and each has its row. A null doc_id links with nothing and is kept.
+    An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     sig = cut(signatures(docs))
     real = sig.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = real.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands"))
+    classes = cut(real.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     rows = classes.select("rep", F.explode("bands").alias("key"))
-    stars = rows.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = cut(rows.join(stars, "key").select("key", "rep", "centre"))
-    pairs = cut(members.filter("rep > centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
-    reps = real.select("doc_id", "n_shingles", "fa", "fb").join(classes.select("fa", "fb", "rep"), ["fa", "fb"])
+    stars = cut(rows.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    members = cut(bucket_rows(classes, Bits.of(stars, "key")).join(stars, "key").select("key", "rep", "centre"))
+    reps = cut(sig.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "fa", "fb").join(classes.select("fa", "fb", "rep"), ["fa", "fb"]).select("doc_id", "n_shingles", "rep"))
+    alone = sig.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    forget(classes, stars)
+
+    repeated = reps.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("doc_id")
+    links = cut(reps.join(repeated, "doc_id").filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+    stars = members.filter("rep > centre").groupBy("rep", "centre").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("best"))
+    pairs = cut(stars.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")))
     label = None
     if not pairs.isEmpty():
-        texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = cut(full_sets(texts))
-        links = cut(confirmed(pairs, sets, percent))
-        tested = pairs
-
-        def in_buckets(label):
-            seen = members.select("key", "rep")
-            return seen.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")) if label is not None else seen.withColumn("component", F.col("rep"))
-
-        for k in range(ROUNDS):
-            label = components(links) if not links.isEmpty() else None
-            seen = in_buckets(label)
-            split = seen.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep"), F.col("component"))).alias("c")).filter("low < high")
-            more = seen.join(split.select("key", "c"), "key").filter("component != c.component").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
-            more = cut(more.join(tested, ["a", "b"], "left_anti"))
-            if more.isEmpty():
-                continue
-            found = cut(confirmed(more, sets, percent))
-            tested = tested.unionByName(more)
-            if not found.isEmpty():
-                links = cut(links.unionByName(found))
-        label = components(links) if not links.isEmpty() else None
-        seen = in_buckets(label)
-        # the star has tested the only pair of a bucket of two
-        split = seen.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high and n > 2")
-        left = cut(seen.join(split.select("key"), "key", "left_semi").select("rep", "component").distinct())
+        ids = members.select(F.col("rep").alias("doc_id")).distinct()
+        texts = full_sets(docs, Bits.of(ids, "doc_id")).join(ids, "doc_id", "left_semi")
+        sets = cut(texts.groupBy("doc_id", "f").agg(F.first("shingles").alias("shingles")).drop("f"))
+        links = cut(links.unionByName(confirmed(pairs, sets, percent)))
+        label = components(links)
+        seen = members.select("key", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        split = cut(seen.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"))
+        left = cut(seen.join(split, "key").select("rep", "component").distinct())
         if not left.isEmpty():
-            more = cut(shared_prefixes(left, sets, percent).join(tested, ["a", "b"], "left_anti"))
-            found = cut(confirmed(more, sets, percent))
+            found = cut(confirmed(shared_prefixes(left, sets, percent), sets, percent))
             if not found.isEmpty():
-                label = components(cut(links.unionByName(found)))
+                label = components(links.unionByName(found))
+        forget(split, left, sets)
+    elif not links.isEmpty():
+        label = components(links)
+    forget(members, pairs)
     out = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left") if label is not None else reps.withColumn("component", F.lit(None).cast("long"))
     linked = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = sig.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
