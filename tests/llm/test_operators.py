@@ -76,10 +76,11 @@ def test_elias_fano_and_trie(tmp_path):
     assert (ef.successor(q) == np.searchsorted(x, q)).all()
     w, v, u = (rng.integers(10, 40, 3000).astype(np.uint64) for _ in range(3))
     g, n = np.unique(np.stack((w, v, u)), axis=1, return_counts=True)
-    trie = ngram.Trie.build(*g, n, {}, 0.01)
+    hot = (ngram.Hot(), ngram.Hot())
+    trie = ngram.Trie.build(*g, n, hot, 0.01)
     trie.save(str(tmp_path / "t"))
     mapped = ngram.Trie.map(str(tmp_path / "t"))
-    num, den, c = mapped.lookup(*g, 0.01)
+    num, den, c = mapped.lookup(*g, 0.01, hot)
     cw, cp = Counter(), Counter()
     for a, b, k in zip(g[0].tolist(), g[1].tolist(), n.tolist()):
         cw[a] += k
