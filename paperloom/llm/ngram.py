@@ -11,17 +11,23 @@ builds one trie and scores all positions that end in its words; only sums per do
 
 Trie. Each level holds the ids of the children relative to their parent's range as one monotone Elias-Fano
 sequence, monotone Elias-Fano pointers to the next level, and quantised log probabilities: of the level as the
-longest match, and of the level as a context. It serialises to one buffer that can be memory-mapped.
-
-Scale. Blocks of text are reduced to distinct (w, v, u) with the documents they occur in before any shuffle. Words
-with over a quarter of a shard's fair share are dealt by (w, v) instead; there are at most four of these a shard, and only their
-counts are broadcast. The number of shards grows with the tokens. Predicted words are told apart by
-64-bit hashes, contexts by 48 bits of theirs.
+longest match, and of the level as a context. A shard writes its trie to a file of its own and scores through a memory
+map of it. Lookups come in sorted order, so a chunk of them decodes only the range of the bits that it touches.
+
+Scale. A position travels to its shard as three word codes (of the COMMON most frequent words, a table of bounded size;
+others as hashes) and its document's place in its block of text, some seven bytes; back come sums per document. A
+word with over a quarter of a shard's fair share of the tokens is dealt by (w, v), such a pair by (w, v, u), and such
+a trigram by block. At most four of each a shard are so frequent; only their counts are broadcast. The number of
+shards grows with the tokens. Predicted words are told apart by 64-bit hashes, contexts by 48 bits of theirs.
 """
 
 from __future__ import annotations
 
+import functools
+import mmap
+import os
 import struct
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +43,11 @@ SHARD_TOKENS = 2_000_000
 #: Contexts are told apart by so many bits of their hash, predicted words by all 64.
 CONTEXT_BITS = 48
 BITS = 16
+#: Words that have a code of their own; bytes of text in one block.
+COMMON, BLOCK = 1 << 18, 6 << 20
 _START, _END = np.uint64(1), np.uint64(2)
 _U = np.uint64
 _CONTEXT = np.uint64((1 << CONTEXT_BITS) - 1)
-_NO_ID = -(2**63)
 
 
 # ---- Elias-Fano
@@ -71,7 +78,12 @@ class EliasFano:
     """A non-decreasing sequence: low bits as fixed fields, high parts as gaps in unary."""
 
     def __init__(self, n, low_bits, low, unary):
-        self.n, self.low_bits, self.low, self.unary, self.directory = n, low_bits, low, unary, None
+        self.n, self.low_bits, self.low, self.unary = n, low_bits, low, unary
+        # ones before every STRIDE-th word: where to start decoding
+        ones = np.bitwise_count(unary).astype(np.int64)
+        self.before = np.concatenate(([0], np.cumsum(ones)))[:: self.STRIDE].copy()
+
+    STRIDE = 64
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -85,11 +97,17 @@ class EliasFano:
         return cls(n, bits, _pack(values & _U((1 << bits) - 1), bits), unary)
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """Position of the k-th one or zero, from a directory built on first use."""
-        if self.directory is None:
-            bits = np.unpackbits(self.unary.view(np.uint8), bitorder="little")
-            self.directory = (np.flatnonzero(bits == 0).astype(np.int32), np.flatnonzero(bits).astype(np.int32))
-        return self.directory[ones][k].astype(np.int64)
+        """Position of the k-th one or zero. Decodes the words between the least and the largest k only."""
+        if not len(k):
+            return k
+        words = np.arange(len(self.before), dtype=np.int64) * self.STRIDE
+        before = self.before if ones else words * 64 - self.before
+        first = max(int(np.searchsorted(before, int(k.min()), "right")) - 1, 0)
+        last = int(np.searchsorted(before, int(k.max()), "right"))
+        part = self.unary[int(words[first]) : last * self.STRIDE]
+        bits = np.unpackbits(part.view(np.uint8), bitorder="little")
+        at = np.flatnonzero(bits if ones else bits == 0)
+        return at[k - before[first]] + int(words[first]) * 64
 
     def __getitem__(self, k: np.ndarray) -> np.ndarray:
         k = np.asarray(k, np.int64)
@@ -177,8 +195,8 @@ class Trie:
         self.vocabulary, self.levels = vocabulary, [words, pairs, triples]
 
     @classmethod
-    def build(cls, w, v, u, count, unigrams, scale: float, a: float = A, mu: float = MU, bits: int = BITS) -> Trie:
-        """w, v, u: hashes, with the training counts; rows distinct. unigrams: {hash: count} of split words. scale: MU / Z."""
+    def build(cls, w, v, u, count, hot: tuple[Hot, Hot], scale: float, a: float = A, mu: float = MU, bits: int = BITS) -> Trie:
+        """w, v, u: hashes, with the training counts; rows distinct. hot: counts of split words and pairs. scale: MU / Z."""
         keep = count > 0
         w, v, u, count = w[keep], v[keep], u[keep], count[keep]
         words = np.unique(np.concatenate((w, v, u)))
@@ -191,8 +209,8 @@ class Trie:
         word_at = runs(pw)
         ww = pw[word_at[:-1]]
         word_count = np.add.reduceat(pair_count, word_at[:-1]) if len(pw) else pair_count
-        for k, h in enumerate(words[ww].tolist() if unigrams else ()):
-            word_count[k] = unigrams.get(h, word_count[k])
+        word_count = hot[0].of(words[ww], word_count)
+        pair_count = hot[1].of(pair_key(words[pw], words[pv]), pair_count)
         floor = scale * (word_count + ALPHA)  # MU times the unigram probability
         of_word = np.repeat(np.arange(len(ww)), np.diff(word_at))
         of_pair = np.repeat(np.arange(len(pw)), np.diff(pair_at))
@@ -204,10 +222,10 @@ class Trie:
         one.exact = word_count
         return cls(EliasFano.of(words), one, two, three)
 
-    def lookup(self, w, v, u, scale: float, mu: float = MU, split: dict | None = None, a: float = A) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def lookup(self, w, v, u, scale: float, hot: tuple[Hot, Hot], mu: float = MU, a: float = A) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each trigram: log10 of the numerator, log10 of the denominator of contexts that end in (v, w), and the count of w.
 
-        split: counts of words dealt over several shards, for those whose training rows are elsewhere.
+        hot: counts of words and pairs dealt over several shards, for those whose training rows are elsewhere.
         """
         one, two, three = self.levels
         n, no = len(w), np.full(len(w), -1, np.int64)
@@ -229,12 +247,17 @@ class Trie:
         count = np.where(k1 >= 0, one.exact[k1], 0) if one.ids.n else np.zeros(n, np.int64)
         num = np.where(k1 >= 0, one.value(0, k1), np.log10(scale * ALPHA)) if one.ids.n else np.full(n, np.log10(scale * ALPHA))
         den = np.where(k1 >= 0, one.value(1, k1), np.log10(mu)) if one.ids.n else np.full(n, np.log10(mu))
-        if split:
-            lost = np.flatnonzero(k1 < 0)
-            c = np.array([split.get(h, 0) for h in w[lost].tolist()], np.int64)
+        lost = np.flatnonzero(k1 < 0)
+        if len(hot[0].keys) and len(lost):
+            c = hot[0].of(w[lost], np.zeros(len(lost), np.int64))
             count[lost], num[lost], den[lost] = c, np.log10(scale * (c + ALPHA)), np.log10(a * c + mu)
         s = np.flatnonzero(k2 >= 0)
         num[s], den[s] = two.value(0, k2[s]), two.value(1, k2[s])
+        lost = np.flatnonzero(k2 < 0)
+        if len(hot[1].keys) and len(lost):
+            c = hot[1].of(pair_key(w[lost], v[lost]), np.zeros(len(lost), np.int64))
+            lost, c = lost[c > 0], c[c > 0]
+            num[lost], den[lost] = np.log10(scale * (count[lost] + ALPHA) + a * c), np.log10(c + a * count[lost] + mu)
         s = np.flatnonzero(k3 >= 0)
         num[s] = three.value(0, k3[s])
         return num, den, count
@@ -278,8 +301,6 @@ class Trie:
 
     @classmethod
     def map(cls, path: str) -> Trie:
-        import mmap
-
         with open(path, "rb") as f:
             return cls.from_buffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
@@ -308,181 +329,307 @@ def _deal(h: np.ndarray, n: int) -> np.ndarray:
     return (mix(h ^ _U(0x5DEECE66D)) % _U(n)).astype(np.int32)
 
 
-def _vocabulary_stats(rows: DataFrame, shards: int) -> tuple[int, int, int, list[tuple[int, int]]]:
-    """(N, V, training documents, words with over a sixteenth of a part's tokens) over training rows."""
-    schema = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("docs", pa.int64())])
+def pair_key(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix(mix(w) ^ (v & _CONTEXT))
 
-    def count(batches):
-        for b in blocks(batches):
-            w, *_ = _tokens(Texts(column(b, "text")))
-            words, n = np.unique(w, return_counts=True)
-            shard = _deal(words, shards)
-            order = np.argsort(shard, kind="stable")
-            words, n, shard = words[order], n[order], shard[order]
-            at = runs(shard)
-            yield batch_of(schema, shard[at[:-1]], [words[s:e].tobytes() for s, e in zip(at, at[1:])], [n[s:e].astype(np.uint32).tobytes() for s, e in zip(at, at[1:])], [b.num_rows] + [0] * (len(at) - 2))
 
-    out = pa.schema([("n", pa.int64()), ("v", pa.int64()), ("docs", pa.int64()), ("hot", pa.binary()), ("hot_n", pa.binary())])
+def triple_key(w: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return mix(mix(pair_key(w, v)) ^ (u & _CONTEXT) ^ _U(0x9E3779B97F4A7C15))
+
+
+class Hot:
+    """Counts of the n-grams of one order that are dealt over several shards, by their keys (sorted)."""
+
+    def __init__(self, keys=(), counts=()):
+        keys, counts = np.array(keys, _U), np.array(counts, np.int64)
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def of(self, keys: np.ndarray, other: np.ndarray) -> np.ndarray:
+        at = self.find(keys)
+        return np.where(at >= 0, self.counts[at], other) if len(self.counts) else other
+
+
+def _counts(rows: DataFrame, parts: int, order: int, hot: Hot, floor: int, common: int = 0) -> dict:
+    """Training counts of n-grams whose suffix (of one word less) is hot: tokens n, distinct ones v, training texts, the n-grams
+    that count floor or more (with floor 0: over a sixteenth of a part's tokens), and the `common` most frequent ones. Blocks are summed before they are dealt.
+    """
+    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("docs", pa.int64())])
+
+    def count(batches):
+        for b in blocks(batches, BLOCK):
+            w, v, u, _ = _tokens(Texts(column(b, "text")))
+            if order > 1:
+                own = np.flatnonzero(hot.find(w if order == 2 else pair_key(w, v)) >= 0)
+                w = pair_key(w[own], v[own]) if order == 2 else triple_key(w[own], v[own], u[own])
+            keys, n = np.unique(w, return_counts=True)
+            part = _deal(keys, parts)
+            by = np.argsort(part, kind="stable")
+            keys, n, part = keys[by], n[by].astype(np.uint32), part[by]
+            at = runs(part)
+            if len(keys):
+                yield batch_of(schema, part[at[:-1]], [keys[s:e].tobytes() for s, e in zip(at, at[1:])], [_planes(n[s:e]) for s, e in zip(at, at[1:])], [b.num_rows] + [0] * (len(at) - 2))
+
+    out = pa.schema([("n", pa.int64()), ("v", pa.int64()), ("docs", pa.int64()), ("hot", pa.binary()), ("hot_n", pa.binary()), ("common", pa.binary())])
 
     def total(batches):
-        words, counts, docs = [], [], 0
+        keys, counts, docs = [], [], 0
         for b in batches:
-            words += [np.frombuffer(x, _U) for x in column(b, "words").to_pylist()]
-            counts += [np.frombuffer(x, np.uint32) for x in column(b, "counts").to_pylist()]
+            keys += [np.frombuffer(x, _U) for x in column(b, "keys").to_pylist()]
+            counts += [_from_planes(x) for x in column(b, "counts").to_pylist()]
             docs += sum(column(b, "docs").to_pylist())
-            if len(words) > 64:
-                words, counts = _summed(words, counts)
-        if words:
-            (w,), (n,) = _summed(words, counts)
-            hot = n * 16 >= n.sum()
-            yield batch_of(out, [int(n.sum())], [len(w)], [docs], [w[hot].tobytes()], [n[hot].tobytes()])
+            if len(keys) > 64:
+                keys, counts = _summed(keys, counts)
+        if keys:
+            (k,), (n,) = _summed(keys, counts)
+            is_hot = n >= (floor or max(1, n.sum() / 16))
+            top = k[np.lexsort((k, -n))[: -(-common // parts)]]
+            yield batch_of(out, [int(n.sum())], [len(k)], [docs], [k[is_hot].tobytes()], [n[is_hot].astype(np.int64).tobytes()], [top.tobytes()])
+
+    got = rows.filter("train").select("text").mapInArrow(count, "part int, keys binary, counts binary, docs long").repartitionById(parts, F.col("part")).mapInArrow(total, "n long, v long, docs long, hot binary, hot_n binary, common binary").collect()
+    join = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(bytes(r[name]), kind) for r in got)])
+    return {"n": sum(r.n for r in got), "v": sum(r.v for r in got), "docs": sum(r.docs for r in got), "hot": Hot(join("hot", _U), join("hot_n", np.int64)), "common": np.sort(join("common", _U))}
 
-    got = rows.filter("train").select("text").mapInArrow(count, "shard int, words binary, counts binary, docs long").repartitionById(shards, F.col("shard")).mapInArrow(total, "n long, v long, docs long, hot binary, hot_n binary").collect()
-    hot = [(int(a), int(b)) for r in got for a, b in zip(np.frombuffer(bytes(r.hot), _U), np.frombuffer(bytes(r.hot_n), np.int64), strict=True)]
-    return sum(r.n for r in got), sum(r.v for r in got), sum(r.docs for r in got), hot
 
+def _summed(keys, counts):
+    k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return [k], [np.bincount(inverse, weights=np.concatenate(counts), minlength=len(k)).astype(np.int64)]
 
-def _summed(words, counts):
-    w, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    return [w], [np.bincount(inverse, weights=np.concatenate(counts), minlength=len(w)).astype(np.int64)]
 
+# ---- blobs: arrays of integers as compressed byte planes
 
-def _shard_blobs(rows: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame:
-    """Positions of every block, dealt by predicted word: distinct trigrams, and the documents that each occurs in."""
+
+@functools.cache
+def _zstd():
     import zstandard
 
-    schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
-    hot_words = np.array(sorted(hot), _U)
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
-    def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for b in blocks(batches, 6 << 20):
-            texts = Texts(column(b, "text"))
-            w, v, u, doc = _tokens(texts)
-            ids = np.where(np.asarray(column(b, "doc_id").is_null()), _NO_ID, np.asarray(column(b, "doc_id").fill_null(0)))
-            train = np.asarray(column(b, "train"))
-            words, at = np.unique(np.concatenate((w, [_START])), return_inverse=True)
-            start = at[-1]
-            wi = at[:-1]
-            same = lambda k: np.concatenate((np.zeros(min(k, len(doc)), bool), doc[k:] == doc[:-k]))
-            vi = np.where(same(1), np.roll(wi, 1), start)
-            ui = np.where(same(2), np.roll(wi, 2), start)
-            shard = _deal(w, shards)
-            if len(hot_words):
-                is_hot = np.isin(words, hot_words)[wi]
-                shard[is_hot] = _deal(mix(w[is_hot]) ^ (v[is_hot] & _CONTEXT), shards)
-            key = wi.astype(_U) << _U(42) | vi.astype(_U) << _U(21) | ui.astype(_U)
-            order = np.lexsort((doc, key, shard))
-            at = runs(shard[order])
-            made = []
-            for s, e in zip(at, at[1:]):
-                part = order[s:e]
-                own_docs, d = np.unique(doc[part], return_inverse=True)
-                k = runs(key[part])
-                first = part[k[:-1]]
-                own_w, tw = np.unique(wi[first], return_inverse=True)
-                own_c, tc = np.unique(np.concatenate((vi[first], ui[first])), return_inverse=True)
-                step = np.diff(tw, prepend=0)
-                contexts = (words[own_c] & _CONTEXT).view(np.uint16).reshape(-1, 4)[:, : CONTEXT_BITS // 16]
-                arrays = (words[own_w], contexts.T, ids[own_docs], train[own_docs].astype(np.uint8), _narrow(step), _narrow(tc.reshape(2, -1)), _narrow(np.diff(k)), _narrow(d))
-                made.append(squeeze.compress(b"".join(struct.pack("<cq", a.dtype.char.encode(), a.size) + a.tobytes() for a in map(np.ascontiguousarray, arrays))))
-            yield batch_of(schema, shard[order[at[:-1]]], made)
 
-    return rows.mapInArrow(run, "shard int, blob binary")
+def _planes(x: np.ndarray, width: int | None = None) -> bytes:
+    """Non-negative integers: how many bytes each takes, how many there are, and their bytes by significance, compressed."""
+    x = np.ascontiguousarray(x, _U)
+    width = width or max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return struct.pack("<BI", width, len(x)) + _zstd()[0].compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    top = int(x.max(initial=0))
-    return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
+def _from_planes(raw: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BI", raw)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(_zstd()[1].decompress(raw[5:]), np.uint8).reshape(width, n).T
+    return out.view(_U).reshape(-1)
 
 
-def _open(blob: bytes) -> list[np.ndarray]:
-    import zstandard
+def _bundle(*parts: bytes) -> bytes:
+    return b"".join(struct.pack("<I", len(p)) + p for p in parts)
+
 
-    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+def _unbundle(raw: bytes) -> list[bytes]:
+    at, out = 0, []
     while at < len(raw):
-        kind, size = struct.unpack_from("<cq", raw, at)
-        a = np.frombuffer(raw, np.dtype(kind.decode()), size, at + 9)
-        out.append(a)
-        at += 9 + a.nbytes
+        (n,) = struct.unpack_from("<I", raw, at)
+        out.append(raw[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def _coded(h: np.ndarray, code: np.ndarray, n_codes: int, literal_bytes: int) -> tuple[bytes, bytes]:
+    """Words as codes (n_codes: none), and the hashes of those without one."""
+    rare = code < 0
+    literal = np.ascontiguousarray(h[rare]).view(np.uint8).reshape(-1, 8)[:, :literal_bytes]
+    return _planes(np.where(rare, n_codes, code)), literal.tobytes()
+
+
+def _decoded(codes: bytes, literals: bytes, table: np.ndarray, literal_bytes: int) -> np.ndarray:
+    code = _from_planes(codes).astype(np.int64)
+    rare = code == len(table)
+    out = np.zeros(len(code), _U)
+    out[~rare] = table[code[~rare]]
+    wide = np.zeros((int(rare.sum()), 8), np.uint8)
+    wide[:, :literal_bytes] = np.frombuffer(literals, np.uint8).reshape(-1, literal_bytes)
+    out[rare] = wide.view(_U).reshape(-1)
     return out
 
 
-def _score_shard(blobs, scale: float, hot: dict[int, int]):
-    """Build the shard's trie from the training positions and score all its positions. Yields arrays per document."""
-    parts, counts, doc_parts = ([], [], []), [], []
-    for blob in blobs:
-        words, contexts, ids, train, step, t, n, d = _open(blob)
-        wide = np.zeros((contexts.size // (CONTEXT_BITS // 16), 4), np.uint16)
-        wide[:, : CONTEXT_BITS // 16] = contexts.reshape(CONTEXT_BITS // 16, -1).T
-        contexts, t = wide.view(_U).reshape(-1), t.reshape(2, -1)
-        for own, x in zip(parts, (words[np.cumsum(step, dtype=np.int64)], contexts[t[0]], contexts[t[1]]), strict=True):
-            own.append(x)
-        of = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        counts.append(np.bincount(of, weights=train[d], minlength=len(n)).astype(np.int32))
-        doc_parts.append((ids, n, d))
-    if not counts:
+def _position_blobs(rows: DataFrame, shards: int, hot: tuple[Hot, Hot, Hot], table: np.ndarray) -> DataFrame:
+    """shard, block, blob: the positions of every block of text, dealt to shards; and with `ids` the documents of the block, dealt by its number."""
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("ids", pa.bool_()), ("blob", pa.binary())])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for b in blocks(batches, BLOCK):
+            number += 1
+            w, v, u, doc = _tokens(Texts(column(b, "text")))
+            train = np.asarray(column(b, "train"))
+            words, at = np.unique(np.concatenate((w, [_START])), return_inverse=True)
+            place = np.minimum(np.searchsorted(table, words), max(len(table) - 1, 0))
+            code = np.where(table[place] == words, place, -1) if len(table) else np.full(len(words), -1)
+            own, start = code[at[:-1]], code[at[-1]]
+            back = lambda k: np.where(np.concatenate((np.zeros(min(k, len(doc)), bool), doc[k:] == doc[:-k])), np.roll(own, k), start)
+            codes = (own, back(1), back(2))
+            shard = _deal(w, shards)
+            one = np.flatnonzero(hot[0].find(w) >= 0)
+            pair = pair_key(w[one], v[one])
+            shard[one] = _deal(pair, shards)
+            two = np.flatnonzero(hot[1].find(pair) >= 0)
+            triple = triple_key(w[one[two]], v[one[two]], u[one[two]])
+            shard[one[two]] = _deal(np.where(hot[2].find(triple) >= 0, mix(triple ^ _U(number)), triple), shards)
+            order = np.argsort(shard, kind="stable")  # positions of a shard stay in the order of documents
+            cuts = runs(shard[order])
+            w, v, u, doc, codes = w[order], v[order], u[order], doc[order], [c[order] for c in codes]
+            made = []
+            for s, e in zip(cuts, cuts[1:]):
+                parts = [_planes(np.diff(doc[s:e], prepend=0)), _planes(train[doc[s:e]].astype(np.uint8))]
+                for h, c, size in zip((w, v, u), codes, (8, CONTEXT_BITS // 8, CONTEXT_BITS // 8)):
+                    parts += _coded(h[s:e], c[s:e], len(table), size)
+                made.append(_bundle(*parts))
+            sizes = np.bincount(doc, minlength=b.num_rows)
+            ids = column(b, "doc_id")
+            whole = _bundle(np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), np.asarray(ids.is_valid()).astype(np.uint8).tobytes(), _planes(sizes))
+            n = len(made)
+            yield batch_of(schema, np.append(shard[order[cuts[:-1]]], number % shards), np.full(n + 1, number), np.arange(n + 1) == n, [*made, whole])
+
+    return rows.mapInArrow(run, "shard int, block long, ids boolean, blob binary")
+
+
+def _score_shard(blobs: list[tuple[int, bytes]], scale: float, hot: tuple[Hot, Hot, Hot], table: np.ndarray):
+    """Build the shard's trie from the training positions and score all its positions. Yields (block, sums per document)."""
+    parts, trains, docs = ([], [], []), [], []
+    for _, blob in blobs:
+        gaps, train, *coded = _unbundle(blob)
+        docs.append(np.cumsum(_from_planes(gaps)).astype(np.int32))
+        trains.append(_from_planes(train).astype(bool))
+        for k, size in enumerate((8, CONTEXT_BITS // 8, CONTEXT_BITS // 8)):
+            parts[k].append(_decoded(coded[2 * k], coded[2 * k + 1], table, size))
+    if not docs:
         return
     w, v, u = (np.concatenate(x) for x in parts)
-    parts, count = None, np.concatenate(counts)
+    parts = None
+    v &= _CONTEXT
+    u &= _CONTEXT
     order = np.lexsort((u, v, w))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
+    new = np.ones(len(order), bool)
+    new[1:] = False
     for x in (w, v, u):
         x = x[order]
         new[1:] |= x[1:] != x[:-1]
     firsts = np.flatnonzero(new)
     inverse = np.empty(len(order), np.int32)
     inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    total = np.add.reduceat(np.concatenate(trains)[order].astype(np.int64), firsts)
     w, v, u = (x[order[firsts]] for x in (w, v, u))
-    total = np.add.reduceat(count[order], firsts).astype(np.int64)
     del order, new
-    trie = Trie.from_buffer(Trie.build(w, v, u, total, hot, scale).to_bytes())
+    if len(hot[2].keys):
+        total = hot[2].of(triple_key(w, v, u), total)
+    handle, path = tempfile.mkstemp(suffix=".trie")  # this task's own; unlinked once it is mapped
+    os.close(handle)
+    try:
+        Trie.build(w, v, u, total, hot[:2], scale).save(path)
+        trie = Trie.map(path)
+    finally:
+        os.unlink(path)
     num, den, c = np.empty(len(w)), np.empty(len(w)), np.empty(len(w), np.int64)
     for s in range(0, len(w), 250_000):
         e = s + 250_000
-        num[s:e], den[s:e], c[s:e] = trie.lookup(w[s:e], v[s:e], u[s:e], scale, split=hot)
+        num[s:e], den[s:e], c[s:e] = trie.lookup(w[s:e], v[s:e], u[s:e], scale, hot[:2])
     den[w == _END] = 0.0  # nothing follows it
-    gain, base = num - den, np.log10(c + ALPHA)
+    gain, base, known = num - den, np.log10(c + ALPHA), c > 0
     at = 0
-    for ids, n, d in doc_parts:
-        k = np.repeat(inverse[at : at + len(n)], n)
-        at += len(n)
-        sums = [np.bincount(d, weights=x, minlength=len(ids)) for x in (np.ones(len(k)), c[k] > 0, base[k], gain[k])]
-        yield ids, sums
-
-
-def score_documents(docs: DataFrame, holdout_mod: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    for (block, _), doc in zip(blobs, docs, strict=True):
+        k = inverse[at : at + len(doc)]
+        at += len(doc)
+        cuts = runs(doc)[:-1]
+        sums = [np.add.reduceat(x[k], cuts) for x in (known.astype(np.int64), base, gain)]
+        # base sums keep 36 bits of their fraction, sums of gains 23
+        low = (sums[1].view(_U) + _U(0x8000)).view(np.uint8).reshape(-1, 8)[:, 2:].T
+        yield block, _bundle(_planes(np.diff(doc[cuts], prepend=0)), _planes(sums[0]), np.ascontiguousarray(low).tobytes(), sums[2].astype("<f4").tobytes())
+
+
+def _gather(blocks_):
+    """Sums of the documents of some blocks, from all shards. blocks_: rows (block, ids, blob) in any order."""
+    known, wide = {}, {}
+    for block, is_ids, blob in blocks_:
+        parts = _unbundle(blob)
+        if is_ids:
+            wide[block] = parts
+            continue
+        gaps, n, low, gain = parts
+        doc = np.cumsum(_from_planes(gaps)).astype(np.int64)
+        base = np.zeros((len(doc), 8), np.uint8)
+        base[:, 2:] = np.frombuffer(low, np.uint8).reshape(6, -1).T
+        top = int(doc[-1]) + 1
+        sums = known.get(block)
+        if sums is None or sums.shape[1] < top:
+            grown = np.zeros((3, top))
+            if sums is not None:
+                grown[:, : sums.shape[1]] = sums
+            sums = known[block] = grown
+        sums[0, doc] += _from_planes(n)
+        sums[1, doc] += base.view(np.float64).reshape(-1)
+        sums[2, doc] += np.frombuffer(gain, "<f4")
+    for block, (ids, valid, sizes) in wide.items():
+        yield pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(valid, np.uint8) == 0), _from_planes(sizes).astype(np.int64), known[block]
+
+
+def score_documents(docs: DataFrame, holdout_mod: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, common: int = COMMON) -> DataFrame:
     """Log10 probabilities of every document under a model of those that aren't held out, and under its unigrams.
 
-    Null and empty texts have one token, the end. Rows that share a doc_id (also a null one) count as one document:
-    their tokens and scores add up. With no training document, counts are zero and every word is as likely as an
-    unknown one. An empty table gives an empty result. Other columns are ignored.
+    Null and empty texts have one token, the end. Every row is a document of its own, also where rows share a doc_id or
+    have none (such learn). With no training document, counts are zero and every word is as likely as an unknown one.
+    An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     doc_id = docs[id_col].cast("long")
     rows = docs.select(doc_id.alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(crc_mod(doc_id, holdout_mod) != 0, F.lit(True)).alias("train"))
-    total, distinct, n_docs, hot = _vocabulary_stats(rows, width(spark))
-    shards = max(width(spark), -(-total // shard_tokens))
-    hot = {h: n for h, n in hot if n * 4 * shards >= total}
-    z = total + ALPHA * (distinct + 1)
+    parts = width(spark)
+    words = _counts(rows, parts, 1, Hot(), 0, common)
+    total, table = words["n"], words["common"]
+    shards = max(parts, -(-total // shard_tokens))
+    floor = max(2, -(-total // (4 * shards)))
+    often = words["hot"].counts >= floor
+    hot = [Hot(words["hot"].keys[often], words["hot"].counts[often])]
+    for order in (2, 3):
+        hot.append(_counts(rows, parts, order, hot[-1], floor)["hot"] if len(hot[-1].keys) else Hot())
+    hot = tuple(hot)
+    z = total + ALPHA * (words["v"] + 1)
     scale = MU / z
-    first = float(np.log10(n_docs + A * n_docs + MU))  # the context of each text's first token
-    schema = pa.schema([("doc_id", pa.int64())] + [(c, pa.float64()) for c in ("n_tokens", "n_known", "base", "gain")])
+    first = float(np.log10(words["docs"] + A * words["docs"] + MU))  # the context of each text's first token
 
-    def run(batches):
-        blobs = (x for b in batches for x in column(b, "blob").to_pylist())
-        for ids, sums in _score_shard(blobs, scale, hot):
-            yield batch_of(schema, ids, *sums)
-
-    sums = _shard_blobs(rows, shards, hot).repartitionById(shards, F.col("shard")).mapInArrow(run, "doc_id long, n_tokens double, n_known double, base double, gain double")
-    per_doc = sums.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")))
-    key = F.when(F.col("doc_id") != _NO_ID, F.col("doc_id"))
-    n = F.col("n_tokens")
+    def score(batches):
+        own = []
+        for b in batches:
+            own += zip(column(b, "block").to_pylist(), column(b, "ids").to_pylist(), column(b, "blob").to_pylist(), strict=True)
+        kinds = pa.schema([("block", pa.int64()), ("ids", pa.bool_()), ("blob", pa.binary())])
+        for row in own:
+            if row[1]:
+                yield batch_of(kinds, *([x] for x in row))
+        for block, sums in _score_shard([(x, blob) for x, ids, blob in own if not ids], scale, hot, table):
+            yield batch_of(kinds, [block], [False], [sums])
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())])
+
+    def gather(batches):
+        rows = (r for b in batches for r in zip(column(b, "block").to_pylist(), column(b, "ids").to_pylist(), column(b, "blob").to_pylist(), strict=True))
+        for ids, sizes, sums in _gather(rows):
+            yield batch_of(schema, ids, sizes, np.rint(sums[0]).astype(np.int64), sums[1], sums[2])
+
+    scored = _position_blobs(rows, shards, hot, table).repartitionById(shards, F.col("shard")).select("block", "ids", "blob").mapInArrow(score, "block long, ids boolean, blob binary")
+    per_doc = scored.repartition(parts, "block").mapInArrow(gather, "doc_id long, n_tokens long, n_known long, base double, gain double")
     return per_doc.select(
-        key.alias("doc_id"), F.coalesce(crc_mod(key, holdout_mod) == 0, F.lit(False)).alias("held_out"), n.cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - n * float(np.log10(z))).alias("base_score"), (F.col("gain") - first).alias("score"),
+        "doc_id", F.coalesce(crc_mod(F.col("doc_id"), holdout_mod) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * float(np.log10(z))).alias("base_score"), (F.col("gain") - first).alias("score"),
     )
 
 
