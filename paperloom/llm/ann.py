@@ -21,9 +21,9 @@ from .common import column, cut
 
 TOP = 20
 SAMPLE = 20_000
-#: Entries that a query's cells hold together: this many at least, or this share of all. Vectors without structure need
-#: about half for a recall of 0.9 (a cell says little about them); clustered ones far less.
-LEAST, SHARE = 3000, 0.55
+#: Share of all entries that a query's cells hold together. Vectors without structure need nearly half for a recall of 0.9
+#: (a cell says little about them); clustered ones far less. Finer cells need a smaller share and a longer walk.
+SHARE, FINE = 0.5, 5
 BLOCK = 4096
 
 
@@ -115,10 +115,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     dims, total = size.d, size.n
     rows = rows.filter(F.size(v) == dims)
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(min(SAMPLE, max(2000, total // 4))).select("v").collect()])
-    k = k or int(np.clip(round(4 * total**0.25), 2, 256))
+    k = k or int(np.clip(round(FINE * total**0.25), 2, 256))
     half = max(1, dims // 2)
     index = MultiIndex(kmeans(sample[:, :half], k), kmeans(sample[:, half:], k) if dims > 1 else np.zeros((1, 0)))
-    enough = enough or max(LEAST, int(SHARE * total))
+    enough = enough or max(top, -int(-SHARE * total // 1))
 
     def matrix(b) -> np.ndarray:
         col = column(b, "v")

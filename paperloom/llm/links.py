@@ -2,8 +2,9 @@
 
 Explicit rules (host suffix, path prefix) decide first; the longest wins. Other pages take their host's verdict: trust
 spreads from hosts that allow rules name along links, distrust from hosts that block rules name against them (a page that
-links to a bad host is suspect). Both are personalised PageRanks of a few damped steps over distinct host pairs; a host
-is blocked if its distrust is at least `threshold` of the two together. A host with neither is allowed.
+links to a bad host is suspect). Both are personalised PageRanks over distinct host pairs, iterated until no further
+host is reached and no rank moves by more than TOLERANCE of itself; a host is blocked if its distrust is at least
+`threshold` of the two together. A host with neither is allowed.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -21,7 +22,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DAMPING, STEPS, THRESHOLD = 0.85, 8, 0.8
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-3, 0.8
 
 
 def host_of(url: Column) -> Column:
@@ -48,22 +49,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return rows.filter("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """host, trust, distrust after a few steps. seeds: host, trust, distrust (restart weights). Mass of hosts without links is lost, not spread."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust at rest. seeds: host, trust, distrust (restart weights). Mass of hosts without links is lost, not spread.
+
+    What both joins of a step read was cut before, so that Spark can split the task of a host with very many links.
+    """
     start = cut(seeds.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
     if edges.isEmpty():
         return start
-    out = edges.groupBy("src").agg(F.sum("n").alias("n_out"))
-    back = edges.groupBy("dst").agg(F.sum("n").alias("n_in"))
-    e = cut(edges.join(out, "src").join(back, "dst").select("src", "dst", (F.col("n") / F.col("n_out")).alias("f"), (F.col("n") / F.col("n_in")).alias("b")))
-    restart = start.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
+    out, back = (cut(edges.groupBy(c).agg(F.sum("n").alias(n))) for c, n in (("src", "n_out"), ("dst", "n_in")))
+    half = cut(edges.join(out, "src"))
+    e = cut(half.join(back, "dst").select("src", "dst", (F.col("n") / F.col("n_out")).alias("f"), (F.col("n") / F.col("n_in")).alias("b")))
+    forget(out, back, half)
+    zero, names = F.lit(0.0), ("trust", "distrust", "was_trust", "was_distrust")
+    restart = start.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"), zero.alias("was_trust"), zero.alias("was_distrust"))
     rank = start
-    for _ in range(steps):
-        zero = F.lit(0.0)
-        forward = e.join(rank.select(F.col("host").alias("src"), "trust").filter("trust > 0"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("f") * damping).alias("trust"), zero.alias("distrust"))
-        against = e.join(rank.select(F.col("host").alias("dst"), "distrust").filter("distrust > 0"), "dst").select(F.col("src").alias("host"), zero.alias("trust"), (F.col("distrust") * F.col("b") * damping).alias("distrust"))
-        rank = cut(restart.unionByName(forward).unionByName(against).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
-    return rank
+    while True:
+        forward = e.join(rank.select(F.col("host").alias("src"), "trust").filter("trust > 0"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("f") * damping).alias("trust"), zero.alias("distrust"), zero.alias("was_trust"), zero.alias("was_distrust"))
+        against = e.join(rank.select(F.col("host").alias("dst"), "distrust").filter("distrust > 0"), "dst").select(F.col("src").alias("host"), zero.alias("trust"), (F.col("distrust") * F.col("b") * damping).alias("distrust"), zero.alias("was_trust"), zero.alias("was_distrust"))
+        was = rank.select("host", zero.alias("trust"), zero.alias("distrust"), F.col("trust").alias("was_trust"), F.col("distrust").alias("was_distrust"))
+        new = cut(restart.unionByName(forward).unionByName(against).unionByName(was).groupBy("host").agg(*(F.sum(c).alias(c) for c in names)))
+        forget(rank) if rank is not start else None
+        rank = new.select("host", "trust", "distrust")
+        moved = F.greatest(*(F.abs(F.col(c) - F.col(f"was_{c}")) - tolerance * F.col(c) for c in names[:2])) > 0
+        if new.filter(moved).isEmpty():
+            forget(e)
+            return rank
 
 
 def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Each pattern's matches get their places from the pieces between them (split) and their own lengths. The base kinds are
 assign, access and hex. Besides these, long mixed tokens are candidates. Candidate strings are hashed and counted by
-distinct repositories and owners over the whole corpus: one that many owners share is a copied example, one that few
-have is live-looking. Live-looking mixed tokens outside base spans are added as spans of kind `live`.
+distinct repositories and owners over the whole corpus: one that COPIED_OWNERS owners share, or two with COPIED_REPOS
+repositories between them, is a copied example; one that few have, or one owner in however many repositories, is
+live-looking. Live-looking mixed tokens outside base spans are added as spans of kind `live`.
 """
 
 from __future__ import annotations
@@ -21,8 +22,14 @@ VALUE = r"""^(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["'
 #: Long tokens with a letter and a digit; e-mail addresses, URLs and file names have other characters.
 MIXED = r"(?<![A-Za-z0-9_@./-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_@./-])"
 ORDER = ("assign", "access", "hex", "live")
-#: A secret with at least so many owners is a copied example.
-COPIED_OWNERS = 3
+#: A secret with at least so many owners, or two owners and so many repositories, is a copied example.
+COPIED_OWNERS, COPIED_REPOS = 3, 4
+
+
+def _running(values: Column, op) -> Column:
+    """Running totals of an array under an associative op: shifts by 1, 2, 4, ..., each one pass over the array."""
+    shifts = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(values))
+    return F.reduce(shifts, values, lambda a, s: F.transform(a, lambda x, i: F.when(i >= s, op(F.get(a, i - s), x)).otherwise(x)))
 
 
 def _spans(text: Column, pattern: str, kind: int, value: Column | None = None, least: int = 0) -> Column:
@@ -30,15 +37,9 @@ def _spans(text: Column, pattern: str, kind: int, value: Column | None = None, l
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     secret = (lambda m: F.regexp_replace(m, VALUE, "")) if value is not None else (lambda m: m)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,secret:string>>").alias("out"))
-
-    def step(acc, m):
-        start = acc.at + m.gap
-        end = start + F.length(m.text)
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), secret(m.text).alias("secret")))).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("text"), g.alias("gap")))
-    spans = F.aggregate(pairs, zero, step, lambda a: a.out)
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("text"), g.alias("gap"), F.length(m).alias("n")))
+    ends = _running(F.transform(pairs, lambda x: x.gap + x.n), lambda a, b: a + b)
+    spans = F.zip_with(pairs, ends, lambda x, end: F.struct((end - x.n).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), secret(x.text).alias("secret")))
     if least:
         spans = F.filter(spans, lambda s: F.length(s.secret) >= least)
     none = F.array().cast("array<struct<start:int,kind:int,end:int,secret:string>>")
@@ -64,10 +65,10 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return repos.groupBy("hash").agg(F.sum("n").alias("n_found"), F.sum("r").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def judged(docs: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def judged(docs: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """doc_id, uid, spans (sorted; start, kind, end, copied) of documents: base ones, and live-looking mixed ones."""
     scanned = cut(scan(docs).withColumn("uid", F.monotonically_increasing_id()))
-    copied = ownership(scanned).select("hash", (F.col("n_owners") >= copied_owners).alias("copied"))
+    copied = cut(ownership(scanned).select("hash", ((F.col("n_owners") >= copied_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= copied_repos))).alias("copied")))
     rows = scanned.select("uid", F.explode(F.concat("base", "mixed")).alias("s")).withColumn("hash", F.sha2(F.col("s.secret"), 256))
     rows = rows.join(copied, "hash").filter((F.col("s.kind") < 3) | ~F.col("copied"))
     spans = rows.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end", "copied"))).alias("spans"))
@@ -98,27 +99,28 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span that isn't a copied example replaced by a mark, overlapping spans by one; n_chars follows.
 
-    Texts are scanned and counted over the whole table; only documents with such spans change.
+    Texts are scanned and counted over the whole table; only documents with such spans change. Null and empty texts stay as
+    they are, equal rows change alike, and other columns are kept under their names. An empty table gives an empty result.
     """
-    key = F.xxhash64("doc_id", "text")
-    rows = docs.select(key.alias("doc_id"), F.col("source").alias("repo"), F.col("source").alias("owner"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    hits = judged(rows).select(F.col("doc_id").alias("__key"), F.filter("spans", lambda s: ~s.copied).alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["__key"])
-    text = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        inside = s.start < acc.at  # overlaps the span before
-        gap = F.substring(text, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0)))
-        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(inside, acc.out).otherwise(F.concat(acc.out, gap, F.lit(mark))).alias("out"))
-
-    done = F.aggregate("spans", zero, step, lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
-    new = F.when(F.col("spans").isNotNull(), done).otherwise(text)
-    cols = docs.columns
+    text, cols = F.col("text"), docs.columns
+    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit(""))), 256)
+    repo = F.concat_ws("/", "source", "lang") if "lang" in cols else F.col("source")
+    rows = docs.select(key.alias("doc_id"), repo.alias("repo"), F.col("source").alias("owner"), F.coalesce(text, F.lit("")).alias("text"))
+    live = F.filter("spans", lambda s: ~s.copied)
+    hits = cut(judged(rows).select(F.col("doc_id").alias("__key"), live.alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["__key"]))
+    spans = F.col("__spans")
+    reach = _running(F.transform(spans, lambda s: s.end), F.greatest)  # where the spans up to here end
+    before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+    kept = F.transform(spans, lambda s, i: F.when((i > 0) & (s.start < before(i)), F.lit("")).otherwise(F.concat(F.substring(text, before(i) + 1, s.start - before(i)), F.lit(mark))))
+    rest = F.substring(text, F.element_at(reach, -1) + 1, F.length(text))
+    new = F.when(spans.isNotNull(), F.concat(F.array_join(kept, ""), rest)).otherwise(text)
     out = docs.withColumn("__key", key).join(hits, "__key", "left").withColumn("text", new)
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(spans.isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*cols)
 
 
 def query(spark, sf_dir):
-    return find_secrets(documents(spark, sf_dir))
+    """These tables have sources only: a source is an owner, its part in one language a repository."""
+    docs = documents(spark, sf_dir)
+    return find_secrets(docs.withColumn("repo", F.concat_ws("/", "source", "lang")), repo_col="repo")

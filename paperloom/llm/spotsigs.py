@@ -131,11 +131,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids = docs.select("doc_id")
     bounds = _bounds(ids, parts)
     firsts = {r.p: r.d for r in ids.groupBy(_part(F.col("doc_id"), bounds).alias("p")).agg(F.min("doc_id").alias("d")).collect()}
-    present = sorted(firsts)
-    to = {firsts[p]: present[k - 1] for k, p in enumerate(present)}  # each part's first document also goes to the part before it
-    n_parts = len(bounds) + 1
+    n_parts, present = len(bounds) + 1, sorted(firsts)
+    before = dict(zip(present, present[-1:] + present[:-1]))  # each part's first document also goes to the part before it
+    of_part = lambda values: F.array(*[F.lit(values.get(p)).cast("long") for p in range(n_parts)])
     part = _part(F.col("doc_id"), bounds).cast("int")
-    extra = F.create_map(*[F.lit(x) for k, v in to.items() for x in (k, v)])[F.col("doc_id")].cast("int") if to else F.lit(None).cast("int")
+    extra = F.when(F.get(of_part(firsts), part) == F.col("doc_id"), F.get(of_part(before), part)).cast("int")
     rows = docs.select("doc_id", "text", F.explode(F.filter(F.array(F.struct(part.alias("p"), F.lit(0).alias("late")), F.struct(extra.alias("p"), F.lit(1).alias("late"))), lambda x: x.p.isNotNull())).alias("at"))
     rows = rows.select(F.col("at.p").alias("p"), F.col("at.late").alias("late"), "doc_id", "text").repartitionById(n_parts, F.col("p")).sortWithinPartitions("late", "doc_id", "text").drop("p")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_signatures", pa.int64())])

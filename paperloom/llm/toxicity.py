@@ -4,7 +4,9 @@ A linear classifier over hashed binary features (words, and their first four and
 toxic documents and unlabelled text only. The risk is  P * R+(positive)  +  max(0, R-(unlabelled) - P * R-(positive)),
 P being the class prior; when the second part falls below zero, the step climbs it instead, so that the model can't
 explain the hidden positives among the unlabelled away. P is the share of toxic ones among labelled training documents.
-Both samples are bounded (POSITIVES, UNLABELLED documents with the smallest hashes).
+Both are samples by a hash of doc_id, each row taken with the chance that makes POSITIVES and UNLABELLED documents of
+them all (all, if there are fewer). Features are counted and chosen where the sample is; the driver gets the chosen
+features (MOST of them at most) and, for each sampled document, which of them it has.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, column, crc_mod, documents, mix, small_batches
+from .common import Texts, batch_of, blocks, column, crc_mod, cut, documents, forget, mix, small_batches
 
 POSITIVES, UNLABELLED = 1500, 4500
 ROUNDS = 1500
 #: Share of the positives that a feature must be in, so that copies of one document choose none.
 LEAST_SHARE = 0.02
+#: Features of a model, the ones with the largest excess among positives.
+MOST = 4096
 _U = np.uint64
 _PUNCTUATION = b".,!?;:\"'()"
 
@@ -68,29 +72,24 @@ class Model:
         return sigmoid(out)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = ROUNDS, rate: float = 4.0, decay: float = 1e-4) -> Model:
-    """Full-batch descent on the non-negative risk with logistic loss.
+def choose(counts: DataFrame, n_p: int, n_u: int, prior: float, most: int = MOST) -> np.ndarray:
+    """Sorted codes of the features (code, in_p, in_u: documents of either sample that have it) of whose documents at least
+    half would be positive under the prior, beyond what chance explains."""
+    expected = F.col("in_u") * (n_p / n_u)
+    excess = (F.col("in_p") - expected) / F.sqrt(expected + 0.5)
+    good = (F.col("in_p") >= max(3, LEAST_SHARE * n_p)) & (prior * F.col("in_p") >= 0.5 * expected) & (excess >= 4)
+    rows = counts.filter(good).select("code", excess.alias("excess")).orderBy(F.desc("excess"), "code").limit(most).collect()
+    return np.sort(np.array([r.code for r in rows], np.int64))
 
-    positive, unlabelled: distinct features of each document. Chosen are the features of whose documents at least half
-    would be positive under the prior, beyond what chance explains.
-    """
-    n_p, n_u = len(positive), len(unlabelled)
-    bias = float(np.log(prior / (1 - prior)))
-    if not n_p or not n_u:
+
+def fit(rows: list[np.ndarray], positive: np.ndarray, chosen: np.ndarray, prior: float, rounds: int = ROUNDS, rate: float = 4.0, decay: float = 1e-4) -> Model:
+    """Full-batch descent on the non-negative risk with logistic loss. rows: each document's features, as places in chosen."""
+    bias, n_p, n_u = float(np.log(prior / (1 - prior))), int(positive.sum()), int((~positive).sum())
+    if not n_p or not n_u or not len(chosen):
         return Model(np.zeros(0, np.int64), np.zeros(0), bias)
-    seen, in_p = np.unique(np.concatenate(positive), return_counts=True)
-    other, in_u = np.unique(np.concatenate(unlabelled), return_counts=True)
-    at = np.minimum(np.searchsorted(other, seen), len(other) - 1)
-    expected = n_p * np.where(other[at] == seen, in_u[at], 0) / n_u if len(other) else np.zeros(len(seen))
-    good = (in_p >= max(3, LEAST_SHARE * n_p)) & (prior * in_p >= 0.5 * expected) & (in_p - expected >= 4 * np.sqrt(expected + 0.5))
-    chosen = seen[good]
-    rows = []
-    for x in [*positive, *unlabelled]:
-        k = np.minimum(np.searchsorted(chosen, x), len(chosen) - 1) if len(chosen) else np.zeros(len(x), int)
-        rows.append(k[chosen[k] == x] if len(chosen) else k[:0])
-    flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    w, b, is_p = np.zeros(len(chosen)), bias, np.arange(n_p + n_u) < n_p
-    for _ in range(rounds if len(chosen) else 0):
+    flat, of = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    w, b, is_p = np.zeros(len(chosen)), bias, positive
+    for _ in range(rounds):
         z = np.bincount(of, weights=w[flat], minlength=len(rows)) + b
         s, loss = sigmoid(z), np.logaddexp(0, z)
         if loss[~is_p].mean() - prior * loss[is_p].mean() >= 0:
@@ -103,26 +102,48 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def train(rows: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """rows: doc_id, text. labels: doc_id, toxic; both without what is held out."""
+    """rows: doc_id, text. labels: doc_id, toxic; both without what is held out. Of rows that share a doc_id the smallest text counts."""
     labels = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = float(labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.1)
     prior = min(max(prior, 0.01), 0.9)
-
-    def codes(batches):
-        for b in blocks(batches):
-            c, at = features(Texts(column(b, "text")))
-            yield pa.RecordBatch.from_arrays([pa.array([np.unique(c[s:e]).tobytes() for s, e in zip(at, at[1:])], pa.binary())], ["x"])
-
-    def sample(df: DataFrame, n: int, seed: int) -> list[np.ndarray]:
-        picked = df.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
-        total = picked.count()
-        if total > 2 * n:  # so that few rows are sorted
-            picked = picked.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * 1.5 * n / total))
-        got = picked.orderBy("h", "doc_id").limit(n).select("text").mapInArrow(codes, "x binary").collect()
-        return [np.frombuffer(r.x, np.int64) for r in got]
-
-    return fit(sample(rows.join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi"), positives, 1), sample(rows, unlabelled, 2), prior)
+    rows = rows.filter("doc_id is not null").select("doc_id", "text")
+    scale = 1 << 30
+    chance = lambda n, total, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(scale)) < int(scale * min(1.0, n / max(total, 1)))
+    toxic = cut(labels.filter("toxic = 1").select("doc_id").join(rows.select("doc_id"), "doc_id", "left_semi"))
+    known = F.broadcast(toxic.filter(chance(positives, toxic.count(), 1)).withColumn("positive", F.lit(True)))  # about `positives` ids, whatever the input
+    total = rows.count()
+    own = [rows.join(known, "doc_id"), rows.filter(chance(unlabelled, total, 2)).withColumn("positive", F.lit(False))]
+    sample = cut(own[0].unionByName(own[1]).groupBy("doc_id", "positive").agg(F.min("text").alias("text")))
+    n_p, n_u = (sample.filter(c).count() for c in ("positive", "not positive"))
+    counted = pa.schema([("code", pa.int64()), ("in_p", pa.int64()), ("in_u", pa.int64())])
+
+    def count(batches):
+        for b in blocks(batches, 1 << 20):
+            codes, at = features(Texts(column(b, "text")))
+            once = [np.unique(codes[s:e]) for s, e in zip(at, at[1:])]
+            code, place = np.unique(np.concatenate(once), return_inverse=True)
+            of_p = np.repeat(np.asarray(column(b, "positive")), [len(x) for x in once])
+            n = [np.bincount(place[of_p == k], minlength=len(code)).astype(np.int64) for k in (True, False)]
+            yield batch_of(counted, code, *n)
+
+    model = Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
+    if n_p and n_u:
+        counts = sample.mapInArrow(count, "code long, in_p long, in_u long").groupBy("code").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+        chosen = choose(counts, n_p, n_u, prior)
+
+        def places(batches):
+            for b in blocks(batches, 1 << 20):
+                codes, at = features(Texts(column(b, "text")))
+                k = np.minimum(np.searchsorted(chosen, codes), max(len(chosen) - 1, 0))
+                hit = chosen[k] == codes if len(chosen) else np.zeros(len(codes), bool)
+                own = [np.unique(k[s:e][hit[s:e]]).astype(np.uint16).tobytes() for s, e in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "positive"), pa.array(own, pa.binary())], ["doc_id", "positive", "x"])
+
+        got = sorted(sample.mapInArrow(places, "doc_id long, positive boolean, x binary").collect())
+        model = fit([np.frombuffer(bytes(r.x), np.uint16) for r in got], np.array([r.positive for r in got]), chosen, prior)
+    forget(toxic, sample)
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
