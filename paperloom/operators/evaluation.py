@@ -18,13 +18,65 @@ def gold_fields(d):
 
 def pairs(d):
     """Prediction and gold texts: benchmark passages, damaged by arithmetic."""
-    return f"SELECT item_id, gold, CASE item_id % 4 WHEN 0 THEN gold WHEN 1 THEN substr(gold, 2) WHEN 2 THEN replace(gold, 'e', 'x') ELSE 'none' END AS pred FROM (SELECT item_id, {d.ra('text', '[^ -~]', '?')} AS gold FROM benchmark) b"
+    return f"SELECT item_id, gold, pred FROM ({runs(d)}) r WHERE model = 'base'"
+
+
+def runs(d):
+    """Two readers over degraded passages, as a fixture: item_id, model, degradation, field, gold, pred. The tuned one loses less."""
+    gold = f"SELECT item_id, {d.ra('text', '[^ -~]', '?')} AS gold FROM benchmark"
+    kinds = "(VALUES (0, 'none'), (1, 'crop'), (2, 'blur'), (3, 'lost')) AS k(n, degradation)"
+    return f"""
+    SELECT item_id, m.model, k.degradation, CASE WHEN {d.has('gold', '[0-9]')} THEN 'numbers' ELSE 'words' END AS field, gold,
+      CASE k.n WHEN 0 THEN gold WHEN 1 THEN substr(gold, 2) WHEN 2 THEN CASE m.model WHEN 'base' THEN replace(gold, 'e', 'x') ELSE replace(gold, 'z', 's') END ELSE CASE m.model WHEN 'base' THEN 'none' ELSE substr(gold, 1, 20) END END AS pred
+    FROM ({gold}) b JOIN {kinds} ON b.item_id % 4 = k.n CROSS JOIN (VALUES ('base'), ('tuned')) AS m(model)"""
+
+
+def scored(d, rows):
+    """Rows with cer, similarity, anls and exact added; rows have gold and pred."""
+    edits, most = "CAST(levenshtein(coalesce(pred, ''), coalesce(gold, '')) AS DOUBLE)", "greatest(length(coalesce(pred, '')), length(coalesce(gold, '')), 1)"
+    cer = f"CASE WHEN length(coalesce(gold, '')) = 0 THEN CASE WHEN length(coalesce(pred, '')) = 0 THEN 0.0 ELSE 1.0 END ELSE {edits} / length(gold) END"
+    sim = f"1 - {edits} / {most}"
+    return f"SELECT *, round({cer}, 6) AS cer, round({sim}, 6) AS similarity, round(CASE WHEN {sim} >= 0.5 THEN {sim} ELSE 0 END, 6) AS anls, CASE WHEN lower(trim(coalesce(pred, ''))) = lower(trim(coalesce(gold, ''))) THEN 1 ELSE 0 END AS exact FROM ({rows}) p"
 
 
 def text_scores(d):
-    cer = "CASE WHEN length(gold) = 0 THEN CASE WHEN length(pred) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(levenshtein(pred, gold) AS DOUBLE) / length(gold) END"
-    sim = "1 - CAST(levenshtein(pred, gold) AS DOUBLE) / greatest(length(pred), length(gold), 1)"
-    return f"SELECT item_id, round({cer}, 6) AS cer, round({sim}, 6) AS similarity, round(CASE WHEN {sim} >= 0.5 THEN {sim} ELSE 0 END, 6) AS anls, CASE WHEN lower(trim(coalesce(pred, ''))) = lower(trim(coalesce(gold, ''))) THEN 1 ELSE 0 END AS exact FROM ({pairs(d)}) p"
+    return f"SELECT item_id, cer, similarity, anls, exact FROM ({scored(d, pairs(d))}) s"
+
+
+def bucket_errors(d):
+    """Mean error of both readers by bucket, and the tuned one's relative drop; a text is in every bucket that fits it."""
+    rows = f"SELECT s.model, s.cer, u.bucket FROM ({scored(d, runs(d))}) s CROSS JOIN (VALUES ('all'), ('digits'), ('short'), ('long')) AS u(bucket) WHERE u.bucket = 'all' OR (u.bucket = 'digits' AND length({d.ra('s.gold', '[^0-9]', '')}) >= 2) OR (u.bucket = 'short' AND length(s.gold) < 300) OR (u.bucket = 'long' AND length(s.gold) >= 200)"
+    mean = lambda m: f"avg(CASE WHEN model = '{m}' THEN cer END)"
+    return f"SELECT bucket, n, round(base, 4) AS base, round(tuned, 4) AS tuned, round(CASE WHEN base > 0 THEN (base - tuned) / base ELSE 0 END, 4) AS drop_share FROM (SELECT bucket, count(*) AS n, {mean('base')} AS base, {mean('tuned')} AS tuned FROM ({rows}) r GROUP BY bucket) b"
+
+
+def tags(d):
+    """Gold and predicted classes of receipt tokens: gold from the renderer, predictions by the text's shape; unreadable tokens are masked."""
+    gold = "CASE WHEN tok_idx = 0 THEN 'MERCHANT' WHEN tok_idx = 1 THEN 'INVOICE' WHEN tok_idx = 2 AND text <> 'Counter 4' THEN 'DATE' WHEN tok_idx = 5 THEN 'TOTAL' WHEN tok_idx = 6 THEN 'PAYMENT' ELSE 'O' END"
+    pred = f"CASE WHEN {d.has('text', layout.DATE)} THEN 'DATE' WHEN {d.has('lower(text)', '^(invoice|bill)')} THEN 'INVOICE' WHEN {d.has('text', '^[0-9,.]+$')} THEN 'TOTAL' WHEN tok_idx = 0 THEN 'MERCHANT' WHEN {d.has('lower(text)', 'cash|visa|momo|payment')} THEN 'PAYMENT' WHEN {d.has('lower(text)', 'tong|item')} THEN 'TOTAL' ELSE 'O' END"
+    return f"SELECT doc_id, tok_idx, {gold} AS gold, {pred} AS pred, CASE WHEN conf < 0.62 THEN 1 ELSE 0 END AS masked FROM ({render.receipts(d)}) t"
+
+
+def f1_of(tp, fp, fn):
+    return f"CASE WHEN {tp} > 0 THEN round(2.0 * {tp} / (2.0 * {tp} + {fp} + {fn}), 4) ELSE 0.0 END"
+
+
+def token_f1(d, rows=None):
+    """Micro F1 over tokens that aren't masked; the class O is neither found nor missed."""
+    one = lambda c: f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"SELECT tp, fp, fn, CAST({f1_of('tp', 'fp', 'fn')} AS DOUBLE) AS f1 FROM (SELECT {one("pred <> 'O' AND pred = gold")} AS tp, {one("pred <> 'O' AND pred <> gold")} AS fp, {one("gold <> 'O' AND pred <> gold")} AS fn FROM ({rows or tags(d)}) t WHERE masked = 0) c"
+
+
+def spans(d, rows, cls):
+    """Runs of one class that isn't O, in the order of tokens: doc_id, cls, first, last."""
+    return f"SELECT doc_id, cls, min(tok_idx) AS first, max(tok_idx) AS last FROM (SELECT doc_id, tok_idx, {cls} AS cls, tok_idx - row_number() OVER (PARTITION BY doc_id, {cls} ORDER BY tok_idx) AS island FROM ({rows}) b) i WHERE cls <> 'O' GROUP BY doc_id, cls, island"
+
+
+def entity_f1(d, rows=None):
+    """F1 by class, and of all: a span counts if class, first and last token agree."""
+    rows = rows or tags(d)
+    both = f"SELECT coalesce(g.cls, p.cls) AS cls, CASE WHEN g.cls IS NOT NULL AND p.cls IS NOT NULL THEN 1 ELSE 0 END AS tp, CASE WHEN g.cls IS NULL THEN 1 ELSE 0 END AS fp, CASE WHEN p.cls IS NULL THEN 1 ELSE 0 END AS fn FROM ({spans(d, rows, 'gold')}) g FULL OUTER JOIN ({spans(d, rows, 'pred')}) p ON p.doc_id = g.doc_id AND p.cls = g.cls AND p.first = g.first AND p.last = g.last"
+    return f"SELECT cls, tp, fp, fn, CAST({f1_of('tp', 'fp', 'fn')} AS DOUBLE) AS f1 FROM (SELECT k.cls, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM (SELECT cls, tp, fp, fn FROM ({both}) b UNION ALL SELECT 'all', tp, fp, fn FROM ({both}) b2) k GROUP BY k.cls) c"
 
 
 def counts(d):
@@ -94,15 +146,47 @@ def registry_events(d):
     return "SELECT event_id AS seq, 'm' || CAST(user_id % 7 AS STRING) AS model, 'v' || CAST(event_id % 5 AS STRING) AS version, CASE event_type WHEN 'purchase' THEN 'production' WHEN 'signup' THEN 'staging' WHEN 'error' THEN 'archived' ELSE 'register' END AS op FROM events WHERE event_type <> 'view'"
 
 
+def _accepted(d, events):
+    """Operations on versions that are registered by then."""
+    return f"SELECT * FROM (SELECT *, min(CASE WHEN op = 'register' THEN seq END) OVER (PARTITION BY model, version) AS since FROM ({events or registry_events(d)}) e0) e1 WHERE seq >= since"
+
+
+def registry_state(d, events=None):
+    """Stage of every version: a newly registered one is in staging, and promoting one to production archives the one before it."""
+    last = f"SELECT model, version, max_by(op, seq) AS op, max(seq) AS seq, count(*) AS n_events FROM ({_accepted(d, events)}) a GROUP BY model, version"
+    promoted = f"SELECT model, max(seq) AS promoted FROM ({_accepted(d, events)}) a WHERE op = 'production' GROUP BY model"
+    return f"SELECT l.model, l.version, CASE WHEN l.op = 'register' THEN 'staging' WHEN l.op = 'production' AND p.promoted > l.seq THEN 'archived' ELSE l.op END AS stage, l.n_events FROM ({last}) l LEFT JOIN ({promoted}) p ON p.model = l.model"
+
+
+def registry_active(d, events=None):
+    """The version last promoted to production, else the one last registered."""
+    of = lambda op: f"max_by(CASE WHEN op = '{op}' THEN version END, CASE WHEN op = '{op}' THEN seq END)"
+    return f"SELECT model, coalesce({of('production')}, {of('register')}) AS active FROM ({_accepted(d, events)}) a GROUP BY model"
+
+
 def boxes(d):
-    """Gold regions and detected boxes by image, from line items: arithmetic boxes on a page."""
+    """Gold regions and detected boxes by image, from line items: three regions an order, arithmetic boxes on a page; both with texts."""
     return (
-        "SELECT o_orderkey AS img, o_orderkey % 3 AS idx, CAST(10 AS DOUBLE) AS x0, CAST(10 + 40 * (o_orderkey % 3) AS DOUBLE) AS y0, CAST(110 AS DOUBLE) AS x1, CAST(40 + 40 * (o_orderkey % 3) AS DOUBLE) AS y1 FROM orders WHERE o_orderkey % 5 < 3",
-        "SELECT l_orderkey AS img, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS box, CAST(l_partkey % 60 AS DOUBLE) AS x0, CAST(l_suppkey % 100 AS DOUBLE) AS y0, CAST(l_partkey % 60 + 60 AS DOUBLE) AS x1, CAST(l_suppkey % 100 + 25 AS DOUBLE) AS y1 FROM lineitem",
+        "SELECT o_orderkey AS img, r.idx, CAST(10 AS DOUBLE) AS x0, CAST(10 + 40 * r.idx AS DOUBLE) AS y0, CAST(110 AS DOUBLE) AS x1, CAST(40 + 40 * r.idx AS DOUBLE) AS y1, 'region ' || CAST(o_orderkey AS STRING) AS text FROM orders CROSS JOIN (VALUES (0), (1), (2)) AS r(idx)",
+        "SELECT l_orderkey AS img, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS box, CAST(l_partkey % 60 AS DOUBLE) AS x0, CAST(l_suppkey % 100 AS DOUBLE) AS y0, CAST(l_partkey % 60 + 60 AS DOUBLE) AS x1, CAST(l_suppkey % 100 + 25 + (l_partkey % 4) * 15 AS DOUBLE) AS y1, CASE WHEN l_partkey % 3 = 0 THEN 'x' ELSE 'region ' END || CAST(l_orderkey AS STRING) AS text FROM lineitem",
     )
 
 
 def overlaps(d):
     gold, found = boxes(d)
     inter = "greatest(0, least(g.x1, b.x1) - greatest(g.x0, b.x0)) * greatest(0, least(g.y1, b.y1) - greatest(g.y0, b.y0))"
-    return f"SELECT g.img, g.idx, b.box, round({inter} / ((g.x1 - g.x0) * (g.y1 - g.y0)), 6) AS share FROM ({gold}) g JOIN ({found}) b ON g.img = b.img WHERE {inter} > 0"
+    return f"SELECT g.img, g.idx, b.box, g.text AS gold, b.text AS pred, round({inter} / ((g.x1 - g.x0) * (g.y1 - g.y0)), 6) AS share FROM ({gold}) g JOIN ({found}) b ON g.img = b.img WHERE {inter} > 0"
+
+
+def taxonomy(d):
+    """The cause of each gold region: no box on it, a box that lies on other regions too, several boxes, a text read wrong (over half its characters), or none."""
+    near = f"SELECT *, count(*) OVER (PARTITION BY img, box) AS n_regions FROM ({overlaps(d)}) o WHERE share >= 0.3"
+    cause = f"SELECT img, idx, count(*) AS n, max(n_regions) AS shared, max(cer) AS cer FROM ({scored(d, near)}) s GROUP BY img, idx"
+    return f"SELECT g.img, g.idx, CASE WHEN c.n IS NULL THEN 'DETECT_MISS' WHEN c.shared >= 2 THEN 'OVERMERGE' WHEN c.n >= 2 THEN 'OVERSPLIT' WHEN c.cer > 0.5 THEN 'REC_ERROR' ELSE 'OK' END AS cause FROM ({boxes(d)[0]}) g LEFT JOIN ({cause}) c ON c.img = g.img AND c.idx = g.idx"
+
+
+def batches(d, rows=None):
+    """Summary of each job (an hour of a user's events): errors fail, views need review (and count as done), purchases took the fallback."""
+    rows = rows or f"SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(floor({d.epoch('ts')} / 3600) AS BIGINT) AS STRING) AS job, event_type AS outcome FROM events"
+    one = lambda c: f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"SELECT *, CASE WHEN failed = total THEN 'failed' WHEN failed > 0 THEN 'partial_completed' ELSE 'completed' END AS status FROM (SELECT job, count(*) AS total, {one("outcome <> 'error'")} AS success, {one("outcome = 'view'")} AS needs_review, {one("outcome = 'error'")} AS failed, {one("outcome = 'purchase'")} AS fallback FROM ({rows}) e GROUP BY job) s"

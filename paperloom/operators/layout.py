@@ -8,14 +8,22 @@ from ..sources import render
 MONEY = "[0-9]{1,3}(?:,[0-9]{3})+(?:[.][0-9]{1,2})?|[0-9]+[.][0-9]{2}|[0-9]{3,}"
 DATE = "[0-9]{1,2} *[/.-] *[0-9]{1,2} *[/.-] *[0-9]{2,4}"
 #: Keywords of the receipt fields, of table columns, of document kinds and of footers.
-ANCHORS = "(VALUES ('date','date'),('date','ngay'),('total_amount','total'),('total_amount','amount'),('total_amount','sum'),('total_amount','tong cong'),('total_amount','thanh tien'),('total_amount','tong'),('invoice_id','invoice'),('invoice_id','bill'),('invoice_id','receipt'),('invoice_id','no'),('invoice_id','hoa don'),('invoice_id','so hd'),('invoice_id','ma gd'),('payment_method','cash'),('payment_method','card'),('payment_method','qr'),('payment_method','visa'),('payment_method','momo'),('payment_method','tien mat'),('payment_method','the'),('payment_method','payment'),('payment_method','chuyen khoan'))"
-COLUMNS = "(VALUES ('date','date'),('date','ngay'),('description','desc'),('description','description'),('description','dien giai'),('description','noi dung'),('amount','amount'),('amount','so tien'),('debit','debit'),('debit','withdrawal'),('debit','no'),('credit','credit'),('credit','deposit'),('credit','co'),('balance','balance'),('balance','so du'),('ref','ref'),('ref','soct'),('ref','so ct'))"
+ANCHOR_WORDS = {
+    "date": ("date", "ngay"), "total_amount": ("total", "amount", "sum", "tong cong", "thanh tien", "tong"),
+    "invoice_id": ("invoice", "bill", "receipt", "no", "hoa don", "so hd", "ma gd"), "payment_method": ("cash", "card", "qr", "visa", "momo", "tien mat", "the", "payment", "chuyen khoan"),
+}
+ANCHORS = "(VALUES " + ",".join(f"('{f}','{w}')" for f, words in ANCHOR_WORDS.items() for w in words) + ")"
+COLUMNS = {
+    "date": ("date", "ngay", "ngày"), "description": ("desc", "description", "dien giai", "diễn giải", "noi dung", "nội dung"), "amount": ("amount", "so tien", "số tiền"),
+    "debit": ("debit", "withdrawal", "no", "nợ"), "credit": ("credit", "deposit", "co", "có"), "balance": ("balance", "so du", "số dư"), "ref": ("ref", "soct", "so ct", "số ct"),
+}
 STATEMENT = ("statement", "sao ke", "balance", "so du", "account no", "so tai khoan", "opening", "closing")
 RECEIPT = ("total", "tong cong", "invoice", "hoa don", "thanh tien", "receipt")
 ORDER = ("payment order", "uy nhiem chi", "beneficiary", "nguoi huong", "remitter", "ben chuyen", "to account", "tk huong")
-FOOTER = "total|tong|closing|ending|so du cuoi|c/f|carried"
+FOOTER = "total|tong|tổng|closing|ending|so du cuoi|số dư cuối|c/f|carried"
 FIELDS = "(VALUES ('merchant_name', 0), ('date', 1), ('total_amount', 2), ('invoice_id', 3), ('payment_method', 4))"
-THRESHOLDS = "(VALUES ('date', 1, 0.75), ('total_amount', 2, 0.80))"
+#: Least confidence by field, the one of other fields, and the fields that a receipt needs.
+LEAST, LEAST_OTHER, REQUIRED = {"date": 0.75, "total_amount": 0.80, "merchant_name": 0.65}, 0.75, ("date", "total_amount")
 
 
 def money(d, s):
@@ -43,52 +51,111 @@ def lines(d, tokens, factor=0.6, h="greatest(ph, 1)"):
     GROUP BY doc_id, line"""
 
 
-def candidates(d):
-    """Receipt lines with features, norm values and rule scores per field."""
-    pay = "CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN '{v}'" for k, v in (("cash", "CASH"), ("card", "CARD"), ("qr", "QR"), ("visa", "CARD"), ("momo", "MOMO"), ("tien mat", "CASH"), ("the", "THE"), ("payment", "PAYMENT"), ("chuyen khoan", "CHUYEN KHOAN"))) + " END"
+#: Payment words and what they stand for.
+PAYMENT = (("cash", "CASH"), ("card", "CARD"), ("qr", "QR"), ("visa", "CARD"), ("momo", "MOMO"), ("tien mat", "CASH"), ("the", "THE"), ("payment", "PAYMENT"), ("chuyen khoan", "CHUYEN KHOAN"))
+
+
+def line_facts(d, tokens=None):
+    """Receipt lines with what every field may need: values, the page's extent and largest amount, and how near an anchor of each field is.
+
+    One pass over the lines of a document: the anchors' centres are gathered by a window (a page has few lines) instead of a self-join.
+    """
+    over = "OVER (PARTITION BY doc_id)"
+    says = lambda f: "(" + " OR ".join(f"contains(low, '{w}')" for w in ANCHOR_WORDS[f]) + ")"
+    pay = "CASE " + " ".join(f"WHEN contains(low, '{k}') THEN '{v}'" for k, v in PAYMENT) + " END"
+    near = ", ".join(f"coalesce({d.best(f'at_{f}', 'h', 'greatest(0, 1 - (abs(cx - h.cx) + abs(cy - h.cy)) / 1000)')}, 0) AS near_{f}" for f in ANCHOR_WORDS)
+    at = ", ".join(f"{d.gather(f'CASE WHEN {says(f)} THEN {d.point()} END', over)} AS at_{f}" for f in ANCHOR_WORDS)
     return f"""
-    WITH ln AS ({lines(d, render.receipts(d))}), m AS (SELECT *, (y0 + y1) / 2 AS cy, (x0 + x1) / 2 AS cx, {money(d, 'text')} AS amt FROM ln),
-    st AS (SELECT doc_id, max(nullif(amt, 0)) AS max_amt, max(y1) AS page_h, max(x1) AS page_w FROM m GROUP BY doc_id),
-    hit AS (SELECT DISTINCT m.doc_id, m.line_idx, m.cx, m.cy, a.field FROM m JOIN {ANCHORS} AS a(field, kw) ON contains(lower(m.text), a.kw)),
-    prox AS (SELECT m.doc_id, m.line_idx, h.field, max(greatest(0, 1 - (abs(m.cx - h.cx) + abs(m.cy - h.cy)) / 1000)) AS prox FROM m JOIN hit h ON h.doc_id = m.doc_id GROUP BY m.doc_id, m.line_idx, h.field)
-    SELECT m.doc_id, m.line_idx, f.field, f.ord, m.text, m.conf, coalesce(p.prox, 0) AS prox, m.cy, st.page_h,
-      CASE f.field WHEN 'total_amount' THEN CAST(m.amt AS STRING) WHEN 'date' THEN {date(d, 'm.text')} WHEN 'invoice_id' THEN {d.rx('upper(m.text)', '[A-Z]{1,4}[0-9]{3,}')} WHEN 'payment_method' THEN {pay} ELSE lower(m.text) END AS norm,
-      CASE f.field WHEN 'merchant_name' THEN 1 - m.cy / st.page_h WHEN 'total_amount' THEN 0.5 * coalesce(p.prox, 0) + 0.5 * (CASE WHEN m.amt = st.max_amt THEN 1 ELSE 0 END) ELSE 0.4 + 0.6 * coalesce(p.prox, 0) END AS score
-    FROM m JOIN st ON st.doc_id = m.doc_id CROSS JOIN {FIELDS} AS f(field, ord) LEFT JOIN prox p ON p.doc_id = m.doc_id AND p.line_idx = m.line_idx AND p.field = f.field"""
+    SELECT *, {near} FROM (
+      SELECT *, max(nullif(amt, 0)) {over} AS max_amt, max(y1) {over} AS page_h, max(x1) {over} AS page_w, max(y1 - y0) {over} AS line_h, {at} FROM (
+        SELECT *, (y0 + y1) / 2 AS cy, (x0 + x1) / 2 AS cx, lower(text) AS low, {money(d, 'text')} AS amt, {date(d, 'text')} AS dt, {d.rx('upper(text)', '[A-Z]{1,4}[0-9]{3,}')} AS inv, {pay.replace('low', 'lower(text)')} AS pay
+        FROM ({lines(d, tokens or render.receipts(d))}) ln) m) g"""
+
+
+def by_field(values, other):
+    return "CASE f.field " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
+
 
+def candidates(d, tokens=None):
+    """Receipt lines with norm values and rule scores per field."""
+    near = by_field({f: f"near_{f}" for f in ANCHOR_WORDS}, "0")
+    norm = by_field({"total_amount": "CAST(amt AS STRING)", "date": "dt", "invoice_id": "inv", "payment_method": "pay"}, "low")
+    score = by_field({"merchant_name": "1 - cy / page_h", "total_amount": "0.5 * near_total_amount + 0.5 * (CASE WHEN amt = max_amt THEN 1 ELSE 0 END)"}, f"0.4 + 0.6 * ({near})")
+    return f"SELECT doc_id, line_idx, f.field, f.ord, text, conf, {near} AS prox, cy, page_h, {norm} AS norm, {score} AS score FROM ({line_facts(d, tokens)}) m CROSS JOIN {FIELDS} AS f(field, ord)"
 
-def fields(d):
+
+def features(d, tokens=None):
+    """The eleven numbers of each candidate (line and field) and its field as five flags."""
+    has = lambda c: f"CASE WHEN {c} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+    share = lambda a, b: f"round(CAST({a} AS DOUBLE) / greatest({b}, 1), 6)"
+    numbers = {
+        "conf": "CAST(conf AS DOUBLE)", "y_share": share("cy", "page_h"), "x_share": share("cx", "page_w"), "height_share": share("y1 - y0", "page_h"),
+        "digit_share": share(f"length(text) - length({d.ra('text', '[0-9]', '')})", "length(text)"), "is_money": has(d.has("text", MONEY)), "is_date": has(d.has("text", DATE)), "length_share": "CAST(least(length(text), 40) AS DOUBLE) / 40",
+        "is_largest": has("amt IS NOT NULL AND max_amt IS NOT NULL AND amt >= max_amt"), "prox": f"round(CAST({by_field({f: f'near_{f}' for f in ANCHOR_WORDS}, '0')} AS DOUBLE), 6)", "is_tallest": has("y1 - y0 >= line_h - 0.000001"),
+    }
+    flags = {f"field_{k}": has(f"f.field = '{k}'") for k in ("merchant_name", *ANCHOR_WORDS)}
+    return f"SELECT doc_id, line_idx, f.field, {', '.join(f'{v} AS {k}' for k, v in {**numbers, **flags}.items())} FROM ({line_facts(d, tokens)}) m CROSS JOIN {FIELDS} AS f(field, ord)"
+
+
+def fields(d, tokens=None):
     """Argmax per field over candidates with a value; the earliest line wins ties."""
+    first = lambda x: f"min_by(CASE WHEN norm IS NOT NULL THEN {x} END, CASE WHEN norm IS NOT NULL THEN {d.pair('-round(score, 9)', 'line_idx')} END)"
     return f"""
-    SELECT k.doc_id, k.field, k.ord, b.norm AS value, coalesce(b.confidence, 0) AS confidence FROM (SELECT DISTINCT doc_id, field, ord FROM ({candidates(d)}) c0) k LEFT JOIN (
-      SELECT doc_id, field, norm, round(least(1, 0.6 * score + 0.4 * (0.5 * conf + 0.5)), 3) AS confidence FROM (
-        SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY round(score, 9) DESC, line_idx) AS rn FROM ({candidates(d)}) c WHERE norm IS NOT NULL) r WHERE rn = 1) b ON b.doc_id = k.doc_id AND b.field = k.field"""
+    SELECT doc_id, field, ord, value, coalesce(round(least(1, 0.6 * score + 0.4 * (0.5 * conf + 0.5)), 3), 0) AS confidence FROM (
+      SELECT doc_id, field, ord, {first('norm')} AS value, {first('score')} AS score, {first('conf')} AS conf FROM ({candidates(d, tokens)}) c GROUP BY doc_id, field, ord) b"""
 
 
-def header(d):
-    """First row with three or more distinct column keywords; the first token wins a column."""
-    t = f"SELECT *, (y0 + y1) / 2 AS cy, (x0 + x1) / 2 AS cx, CAST(floor(y0 / 5) AS INT) AS yrow FROM ({render.statements(d)}) t0"
-    word = "(^|[^a-z0-9_])' || k.kw || '([^a-z0-9_]|$)"
-    match = f"(lower(t.text) RLIKE ('{word}'))" if d.name == "spark" else f"regexp_matches(lower(t.text), '{word}')"
+def row_tokens(d, tokens):
+    """Tokens with cx, cy, their row (yrow, from 0 at the top) and place (pos) among the tokens of the document, row by row from the left."""
     return f"""
-    SELECT doc_id, yrow, col, min(cx) AS cx FROM (SELECT t.doc_id, t.yrow, k.col, t.cx, count(*) OVER (PARTITION BY t.doc_id, t.yrow) AS n FROM ({t}) t JOIN {COLUMNS} AS k(col, kw) ON {match}) h
-    WHERE n >= 3 GROUP BY doc_id, yrow, col"""
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY yrow, x0, cy, tok_idx) AS pos FROM (
+      SELECT *, sum(CASE WHEN pcy IS NULL OR abs(cy - pcy) <= 0.7 * greatest(y1 - y0, 1) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY cy, tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS yrow FROM (
+        SELECT *, (x0 + x1) / 2 AS cx, lag(cy) OVER (PARTITION BY doc_id ORDER BY cy, tok_idx) AS pcy FROM (SELECT *, (y0 + y1) / 2 AS cy FROM ({tokens}) t0) t1) t2) t3"""
+
+
+def names_column(d, text, col):
+    """Whether a keyword of the column stands in the text as a whole word."""
+    edge = "[^a-z0-9_À-ỹ]"
+    return d.has(f"lower({text})", f"(^|{edge})({'|'.join(COLUMNS[col])})({edge}|$)")
 
 
-def cells(d):
-    """Tokens below the header dealt to columns by their left edge against the midpoints of header centres."""
+def header_rows(d, tokens):
+    """The first row of each document that names three columns or more, with the centre of each column's first token (c0, c1, ...; null where it isn't named)."""
+    centres = ", ".join(f"min_by(CASE WHEN m{k} THEN cx END, CASE WHEN m{k} THEN pos END) AS c{k}" for k in range(len(COLUMNS)))
+    named = ", ".join(f"{names_column(d, 'text', c)} AS m{k}" for k, c in enumerate(COLUMNS))
+    count = " + ".join(f"CASE WHEN c{k} IS NULL THEN 0 ELSE 1 END" for k in range(len(COLUMNS)))
     return f"""
-    SELECT t.doc_id, t.yrow, b.col, {d.agg('t.text', 't.x0')} AS text FROM (SELECT *, CAST(floor(y0 / 5) AS INT) AS yrow FROM ({render.statements(d)}) t0) t JOIN (
-      SELECT doc_id, yrow, col, coalesce((lag(cx) OVER w + cx) / 2, -1e9) AS lo, coalesce((lead(cx) OVER w + cx) / 2, 1e9) AS hi FROM ({header(d)}) h WINDOW w AS (PARTITION BY doc_id ORDER BY cx)) b
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY yrow) AS first FROM (
+      SELECT doc_id, yrow, {centres} FROM (SELECT doc_id, yrow, pos, cx, {named} FROM ({row_tokens(d, tokens)}) r) n GROUP BY doc_id, yrow) g WHERE {count} >= 3) f WHERE first = 1"""
+
+
+def header(d, tokens=None):
+    """doc_id, yrow, col, cx of the columns that the header row names, from the left."""
+    pick = "CASE k.ord " + " ".join(f"WHEN {k} THEN h.c{k}" for k in range(len(COLUMNS))) + " END"
+    names = ", ".join(f"({k}, '{c}')" for k, c in enumerate(COLUMNS))
+    return f"SELECT * FROM (SELECT h.doc_id, CAST(h.yrow AS BIGINT) AS yrow, k.col, k.ord, {pick} AS cx FROM ({header_rows(d, tokens or render.statements(d))}) h CROSS JOIN (VALUES {names}) AS k(ord, col)) u WHERE cx IS NOT NULL"
+
+
+def cells(d, tokens=None):
+    """Tokens below the header dealt to columns by their left edge against the midpoints of the header's centres."""
+    tokens = tokens or render.statements(d)
+    return f"""
+    SELECT t.doc_id, CAST(t.yrow AS BIGINT) AS yrow, b.col, trim({d.agg('t.text', 't.pos')}) AS text FROM ({row_tokens(d, tokens)}) t JOIN (
+      SELECT doc_id, yrow, col, coalesce((lag(cx) OVER w + cx) / 2, -1e9) AS lo, coalesce((lead(cx) OVER w + cx) / 2, 1e9) AS hi FROM ({header(d, tokens)}) h WINDOW w AS (PARTITION BY doc_id ORDER BY cx, ord)) b
     ON b.doc_id = t.doc_id AND t.yrow > b.yrow AND t.x0 >= b.lo AND t.x0 < b.hi GROUP BY t.doc_id, t.yrow, b.col"""
 
 
-def items(d):
-    cell = lambda c: f"max(CASE WHEN col = '{c}' THEN text END)"
+def items(d, tokens=None):
+    """Transactions: rows with a date, without a footer word in the description, and with an amount (else credit less debit) or a balance."""
+    cell = lambda c: f"coalesce(max(CASE WHEN col = '{c}' THEN text END), '')"
+    side = lambda c: f"coalesce({signed(d, c)}, 0)"
+    pair = f"CASE WHEN {side('deb')} <> 0 OR {side('cre')} <> 0 THEN abs({side('cre')}) - abs({side('deb')}) END"
     return f"""
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY yrow) AS BIGINT) AS row_idx, {date(d, 'dt')} AS date, ds AS description, {signed(d, 'am')} AS amount, {signed(d, 'ba')} AS balance
-    FROM (SELECT doc_id, yrow, {cell('date')} AS dt, {cell('description')} AS ds, {cell('amount')} AS am, {cell('balance')} AS ba FROM ({cells(d)}) c GROUP BY doc_id, yrow) g
-    WHERE (am IS NOT NULL OR ba IS NOT NULL) AND NOT ({d.has("lower(coalesce(ds, '') || ' ' || coalesce(dt, ''))", FOOTER)} AND {date(d, 'dt')} IS NULL)"""
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY yrow) AS BIGINT) AS row_idx, date, description, amount, balance FROM (
+      SELECT doc_id, yrow, {date(d, 'dt')} AS date, nullif(lower(ds), '') AS description, CASE WHEN am <> '' THEN {signed(d, 'am')} ELSE {pair} END AS amount, {signed(d, 'ba')} AS balance
+      FROM (SELECT doc_id, yrow, {cell('date')} AS dt, {cell('description')} AS ds, {cell('amount')} AS am, {cell('debit')} AS deb, {cell('credit')} AS cre, {cell('balance')} AS ba FROM ({cells(d, tokens)}) c GROUP BY doc_id, yrow) g
+      WHERE {d.has('dt', '[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}')} AND NOT {d.has('lower(ds)', FOOTER)}) i
+    WHERE amount IS NOT NULL OR balance IS NOT NULL"""
 
 
 def all_tokens(d):
@@ -108,21 +175,34 @@ def document_type(d):
     return f"SELECT doc_id, stmt, rcpt, po, CASE WHEN stmt >= rcpt AND stmt >= po THEN 'bank_statement' WHEN rcpt >= po THEN 'receipt' ELSE 'payment_order' END AS doc_type, CAST(0.6 AS DOUBLE) AS confidence FROM ({document_features(d)}) f"
 
 
-def routing(d):
+def reasons(d, f="f", required=REQUIRED):
+    """SQL of a required field's reason for review, null if there is none, and of its turn. Confidences show two decimals."""
+    least = f"CASE {f}.field " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LEAST.items()) + f" ELSE {LEAST_OTHER} END"
+    turn = f"CASE {f}.field " + " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(required)) + " END"
+    return f"CASE WHEN {f}.value IS NULL THEN 'missing:' || {f}.field WHEN {f}.confidence < {least} THEN 'low_conf:' || {f}.field || '=' || {d.fixed2(f + '.confidence')} END", turn
+
+
+def routing(d, fields_sql=None, required=REQUIRED):
     """Required fields against their thresholds; reasons in the required order."""
-    reason = "CASE WHEN f.value IS NULL THEN 'missing:' || f.field WHEN f.confidence < r.least THEN 'low_conf:' || f.field END"
-    return f"""
-    SELECT f.doc_id, coalesce({d.agg(reason, 'r.ord', ',')}, '') AS reasons, max(CASE WHEN f.value IS NULL OR f.confidence < r.least THEN 1 ELSE 0 END) AS needs_review
-    FROM ({fields(d)}) f JOIN {THRESHOLDS} AS r(field, ord, least) ON r.field = f.field GROUP BY f.doc_id"""
+    reason, turn = reasons(d, required=required)
+    names = ", ".join(f"'{r}'" for r in required)
+    return f"SELECT doc_id, coalesce({d.agg('reason', 'turn', ',')}, '') AS reasons, max(CASE WHEN reason IS NULL THEN 0 ELSE 1 END) AS needs_review FROM (SELECT f.doc_id, {reason} AS reason, {turn} AS turn FROM ({fields_sql or fields(d)}) f WHERE f.field IN ({names})) r GROUP BY doc_id"
+
+
+def stated(d):
+    """The opening and closing balances that each statement's head states."""
+    rest = "trim(substr(text, instr(text, ':') + 1))"
+    said = lambda words: f"max(CASE WHEN {d.has('lower(text)', words)} THEN {signed(d, rest)} END)"
+    return f"SELECT doc_id, {said('^(opening balance|so du dau):')} AS opening, {said('^(closing balance|so du cuoi):')} AS closing FROM ({render.statements(d)}) t GROUP BY doc_id"
 
 
-def reconcile(d):
+def reconcile(d, items_sql=None, heads=None):
     """Share of rows whose balance follows from the last known one, and whether the closing balance follows from all."""
     over = "PARTITION BY doc_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return f"""
-    SELECT doc_id, round(avg(CASE WHEN abs(prev + amount - balance) < 1 THEN 1.0 ELSE 0.0 END), 3) AS row_reconcile, CASE WHEN abs(max(opening) + sum(amount) - max(CASE WHEN row_idx = n THEN balance END)) < 1 THEN 1 ELSE 0 END AS closing_reconcile, count(*) AS n_rows FROM (
-      SELECT i.doc_id, i.row_idx, i.amount, i.balance, o.opening, count(*) OVER (PARTITION BY i.doc_id) AS n, coalesce(i.prev, o.opening) AS prev
-      FROM (SELECT *, {d.lastnn('balance', over)} AS prev FROM ({items(d)}) i0) i JOIN (SELECT doc_id, max(opening) AS opening FROM ({render.ledger(d)}) l GROUP BY doc_id) o ON o.doc_id = i.doc_id) x
+    SELECT doc_id, round(avg(CASE WHEN abs(prev + amount - balance) < 1 THEN 1.0 ELSE 0.0 END), 3) AS row_reconcile, CASE WHEN abs(max(opening) + sum(amount) - max(closing)) < 1 THEN 1 ELSE 0 END AS closing_reconcile, count(*) AS n_rows FROM (
+      SELECT i.doc_id, i.row_idx, i.amount, i.balance, o.opening, o.closing, coalesce(i.prev, o.opening) AS prev
+      FROM (SELECT *, {d.lastnn('balance', over)} AS prev FROM ({items_sql or items(d)}) i0) i JOIN ({heads or stated(d)}) o ON o.doc_id = i.doc_id) x
     GROUP BY doc_id"""
 
 

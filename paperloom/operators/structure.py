@@ -9,8 +9,8 @@ CJK = "[一-鿿　-〿]"
 
 
 def merged_tokens(d):
-    """Four tokens of each receipt run together, as a recogniser that misses gaps gives them."""
-    return f"SELECT doc_id, CAST(0 AS INT) AS tok_idx, {d.agg('text', 'tok_idx')} AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(conf) AS conf FROM ({render.receipts(d)}) t WHERE tok_idx IN (1, 2, 4, 5) GROUP BY doc_id"
+    """The tokens of each receipt run together, as a recogniser that misses gaps gives them."""
+    return f"SELECT doc_id, CAST(0 AS INT) AS tok_idx, {d.agg('text', 'tok_idx')} AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(conf) AS conf FROM ({render.receipts(d)}) t GROUP BY doc_id"
 
 
 def split_merged(d, tokens):
@@ -29,39 +29,77 @@ def split_merged(d, tokens):
     FROM seg WHERE length(text) = 0 OR trim(substr(text, CAST(pos + 1 AS INT), CAST(stop - pos AS INT))) <> ''"""
 
 
-def header_cells(d):
-    """The words of the header line of each statement, numbered from the left."""
-    return f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY x0) - 1 AS BIGINT) AS cell, text FROM ({render.statements(d)}) t WHERE y0 = 200"
+def header_cells(d, tokens=None):
+    """The words of the header row of each statement, numbered from the left, with their edges."""
+    tokens = tokens or render.statements(d)
+    return f"SELECT t.doc_id, CAST(row_number() OVER (PARTITION BY t.doc_id ORDER BY t.pos) - 1 AS BIGINT) AS cell, t.text, t.x0, t.x1 FROM ({layout.row_tokens(d, tokens)}) t JOIN ({layout.header_rows(d, tokens)}) h ON h.doc_id = t.doc_id AND h.yrow = t.yrow"
+
+
+def cell_columns(d):
+    """Which columns each header cell could name: doc_id, cell, text, ord."""
+    names = "CASE k.ord " + " ".join(f"WHEN {k} THEN {layout.names_column(d, 'c.text', c)}" for k, c in enumerate(layout.COLUMNS)) + " END"
+    ords = ", ".join(f"({k})" for k in range(len(layout.COLUMNS)))
+    return f"SELECT c.doc_id, c.cell, c.text, k.ord FROM ({header_cells(d)}) c CROSS JOIN (VALUES {ords}) AS k(ord) WHERE {names}"
+
+
+def semantic_columns(d):
+    """Header cells folded into columns: from the left, each cell takes the first column that it names and no cell before it has taken.
+
+    A cell's first choice goes to the leftmost that makes it; rounds settle the rest, as many as a cell can name columns.
+    """
+    sql = f"SELECT doc_id, cell, text, ord, CAST(0 AS INT) AS taken FROM ({cell_columns(d)}) c0"
+    # round k: a cell whose best remaining column is taken by an earlier cell moves on to its next one
+    for _ in range(3):
+        best = f"SELECT *, min(ord) OVER (PARTITION BY doc_id, cell) AS best FROM ({sql}) b0"
+        owner = f"SELECT *, min(CASE WHEN ord = best THEN cell END) OVER (PARTITION BY doc_id, ord) AS owner FROM ({best}) b1"
+        sql = f"SELECT doc_id, cell, text, ord, taken FROM ({owner}) b2 WHERE owner IS NULL OR owner >= cell"
+    names = "CASE ord " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(layout.COLUMNS)) + " END"
+    return f"SELECT doc_id, cell, text, {names} AS col FROM (SELECT *, min(ord) OVER (PARTITION BY doc_id, cell) AS best FROM ({sql}) s) z WHERE ord = best"
 
 
 def contaminated(d):
-    """Whether a header cell already holds what a row would: a date, an amount, a footer word."""
-    bad = f"(k.col = 'date' AND {d.has('c.text', layout.DATE)}) OR (k.col IN ('amount', 'balance', 'debit', 'credit') AND {layout.signed(d, 'c.text')} IS NOT NULL) OR (k.col = 'description' AND {d.has('lower(c.text)', layout.FOOTER)})"
-    return f"SELECT c.doc_id, max(CASE WHEN {bad} THEN 1 ELSE 0 END) AS contaminated FROM ({header_cells(d)}) c JOIN {layout.COLUMNS} AS k(col, kw) ON contains(lower(c.text), k.kw) GROUP BY c.doc_id"
+    """Whether a header cell already holds what a row would: a date, an amount, an account number, a footer word."""
+    bare = "replace(text, ' ', '')"
+    bad = f"(col = 'date' AND {d.has('text', layout.DATE)}) OR (col IN ('amount', 'balance', 'debit', 'credit') AND {layout.signed(d, 'text')} IS NOT NULL) OR (col = 'ref' AND {d.has(bare, '[0-9]{8,}')}) OR (col = 'description' AND {d.has('lower(text)', layout.FOOTER)})"
+    return f"SELECT doc_id, max(CASE WHEN {bad} THEN 1 ELSE 0 END) AS contaminated FROM ({semantic_columns(d)}) c GROUP BY doc_id"
+
+
+def table_tokens(d):
+    """Tokens from the header row down, with the row's number in the table."""
+    return f"SELECT t.*, CAST(t.yrow - h.yrow AS BIGINT) AS r0 FROM ({layout.row_tokens(d, render.statements(d))}) t JOIN ({layout.header_rows(d, render.statements(d))}) h ON h.doc_id = t.doc_id AND t.yrow >= h.yrow"
 
 
 def grid(d):
-    """Tokens dealt to row and column boxes of the table: the box that holds the centre, else the nearest, the lower on a tie."""
+    """Tokens dealt to the row and column boxes of the table: the box that holds the centre, else the nearest, the lower on a tie.
+
+    Row boxes are those of the clustered rows, column boxes reach from one header cell to the next.
+    """
     pick = lambda c, lo, hi: f"CASE WHEN {c} BETWEEN {lo} AND {hi} THEN 0 ELSE 1 END, CASE WHEN {c} BETWEEN {lo} AND {hi} THEN 0 ELSE abs({c} - ({lo} + {hi}) / 2) END"
-    t = f"SELECT doc_id, tok_idx, text, x0, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM ({render.statements(d)}) s WHERE y0 >= 200"
-    rows = f"SELECT DISTINCT doc_id, CAST((y0 - 200) / 34 AS BIGINT) AS r, y0 AS lo, y0 + 30 AS hi FROM ({render.statements(d)}) s WHERE y0 >= 200"
-    cols = f"SELECT doc_id, cell AS c, x0 AS lo, coalesce(lead(x0) OVER (PARTITION BY doc_id ORDER BY cell), x0 + 200) - 1 AS hi FROM (SELECT doc_id, x0, row_number() OVER (PARTITION BY doc_id ORDER BY x0) - 1 AS cell FROM ({render.statements(d)}) s WHERE y0 = 200) h"
+    rows = f"SELECT doc_id, r0 AS r, min(y0) AS lo, max(y1) AS hi FROM ({table_tokens(d)}) q0 GROUP BY doc_id, r0"
+    cols = f"SELECT doc_id, cell AS c, x0 AS lo, coalesce(lead(x0) OVER (PARTITION BY doc_id ORDER BY cell), x0 + 200) - 1 AS hi FROM ({header_cells(d)}) h"
     return f"""
     SELECT doc_id, r, CAST(c AS BIGINT) AS c, {d.agg('text', 'cx, tok_idx')} AS text, count(*) AS n FROM (
       SELECT x.doc_id, x.tok_idx, x.text, x.cx, x.r, k.c, row_number() OVER (PARTITION BY x.doc_id, x.tok_idx ORDER BY {pick('x.cx', 'k.lo', 'k.hi')}, k.c) AS rn FROM (
-        SELECT t.*, q.r, row_number() OVER (PARTITION BY t.doc_id, t.tok_idx ORDER BY {pick('t.cy', 'q.lo', 'q.hi')}, q.r) AS rr FROM ({t}) t JOIN ({rows}) q ON q.doc_id = t.doc_id) x
+        SELECT t.doc_id, t.tok_idx, t.text, t.cx, q.r, row_number() OVER (PARTITION BY t.doc_id, t.tok_idx ORDER BY {pick('t.cy', 'q.lo', 'q.hi')}, q.r) AS rr FROM ({table_tokens(d)}) t JOIN ({rows}) q ON q.doc_id = t.doc_id AND q.r BETWEEN t.r0 - 1 AND t.r0 + 1) x
       JOIN ({cols}) k ON k.doc_id = x.doc_id WHERE x.rr = 1) y WHERE rn = 1 GROUP BY doc_id, r, c"""
 
 
 def grid_items(d):
-    """Line items of the grid below its header row, in the four columns of the rendered tables."""
-    cell = lambda k: f"max(CASE WHEN c = {k} THEN text END)"
-    return f"SELECT doc_id, r AS row_idx, {layout.date(d, 'dt')} AS date, lower(ds) AS description, {layout.signed(d, 'am')} AS amount, {layout.signed(d, 'ba')} AS balance FROM (SELECT doc_id, r, {cell(0)} AS dt, {cell(1)} AS ds, {cell(2)} AS am, {cell(3)} AS ba FROM ({grid(d)}) g WHERE r > 0 GROUP BY doc_id, r) x WHERE {layout.signed(d, 'am')} IS NOT NULL OR {layout.signed(d, 'ba')} IS NOT NULL"
+    """Transactions of the grid below its header row, by the columns that the header cells name."""
+    cell = lambda c: f"coalesce(max(CASE WHEN s.col = '{c}' THEN g.text END), '')"
+    side = lambda c: f"coalesce({layout.signed(d, c)}, 0)"
+    pair = f"CASE WHEN {side('deb')} <> 0 OR {side('cre')} <> 0 THEN abs({side('cre')}) - abs({side('deb')}) END"
+    return f"""
+    SELECT doc_id, r AS row_idx, date, description, amount, balance FROM (
+      SELECT doc_id, r, {layout.date(d, 'dt')} AS date, nullif(lower(ds), '') AS description, CASE WHEN am <> '' THEN {layout.signed(d, 'am')} ELSE {pair} END AS amount, {layout.signed(d, 'ba')} AS balance FROM (
+        SELECT g.doc_id, g.r, {cell('date')} AS dt, {cell('description')} AS ds, {cell('amount')} AS am, {cell('debit')} AS deb, {cell('credit')} AS cre, {cell('balance')} AS ba FROM ({grid(d)}) g JOIN ({semantic_columns(d)}) s ON s.doc_id = g.doc_id AND s.cell = g.c WHERE g.r > 0 GROUP BY g.doc_id, g.r) x
+      WHERE {d.has('dt', '[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}')} AND NOT {d.has('lower(ds)', layout.FOOTER)}) y
+    WHERE amount IS NOT NULL OR balance IS NOT NULL"""
 
 
 def table_mode(d, mode="hybrid"):
     """Which extraction a statement takes; the hybrid needs a clean header and three quarters of the tokens in the grid."""
-    share = f"SELECT g.doc_id, round(CAST(g.n AS DOUBLE) / greatest(t.n, 1), 3) AS rate FROM (SELECT doc_id, sum(n) AS n FROM ({grid(d)}) q GROUP BY doc_id) g JOIN (SELECT doc_id, count(*) AS n FROM ({render.statements(d)}) s WHERE y0 >= 200 GROUP BY doc_id) t ON t.doc_id = g.doc_id"
+    share = f"SELECT g.doc_id, round(CAST(g.n AS DOUBLE) / greatest(t.n, 1), 3) AS rate FROM (SELECT doc_id, sum(n) AS n FROM ({grid(d)}) q GROUP BY doc_id) g JOIN (SELECT doc_id, count(*) AS n FROM ({table_tokens(d)}) s GROUP BY doc_id) t ON t.doc_id = g.doc_id"
     use = {"rules": "FALSE", "structure": "TRUE", "hybrid": "coalesce(c.contaminated, 1) = 0 AND s.rate >= 0.75"}[mode]
     return f"SELECT s.doc_id, s.rate, coalesce(c.contaminated, 1) AS contaminated, CASE WHEN {use} THEN 'structure' ELSE 'rules' END AS chosen FROM ({share}) s LEFT JOIN ({contaminated(d)}) c ON c.doc_id = s.doc_id"
 
@@ -88,7 +126,7 @@ def escalated(d):
     """A second reader's values replace the first's at 0.80; review follows from the required fields again."""
     second = "SELECT doc_id, field, gold FROM (" + "SELECT 'r' || CAST(o_orderkey AS STRING) AS doc_id, 'date' AS field, " + f"{d.ymd('o_orderdate')} AS gold FROM orders WHERE o_orderkey % 2 = 0) v"
     f = f"SELECT f.doc_id, f.field, coalesce(v.gold, f.value) AS value, CASE WHEN v.gold IS NOT NULL THEN CAST(0.8 AS DOUBLE) ELSE CAST(f.confidence AS DOUBLE) END AS confidence FROM ({layout.fields(d)}) f LEFT JOIN ({second}) v ON v.doc_id = f.doc_id AND v.field = f.field"
-    return f"SELECT f.doc_id, max(CASE WHEN f.value IS NULL OR f.confidence < r.least THEN 1 ELSE 0 END) AS needs_review FROM ({f}) f JOIN {layout.THRESHOLDS} AS r(field, ord, least) ON r.field = f.field GROUP BY f.doc_id"
+    return f"SELECT doc_id, needs_review, reasons FROM ({layout.routing(d, f)}) r"
 
 
 def entity_text(d, tags):

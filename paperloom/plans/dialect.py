@@ -26,6 +26,9 @@ class Spark:
     def commas(self, x):
         return f"format_number({x}, 0)"
 
+    def fixed2(self, x):
+        return f"format_number({x}, '0.00')"
+
     def dmy(self, t):
         return f"date_format({t}, 'dd/MM/yyyy')"
 
@@ -35,6 +38,18 @@ class Spark:
     def epoch(self, t):
         return f"unix_timestamp({t})"
 
+    def point(self):
+        return "named_struct('cx', cx, 'cy', cy)"
+
+    def pair(self, a, b):
+        return f"struct({a}, {b})"
+
+    def gather(self, x, over):
+        return f"collect_list({x}) {over}"
+
+    def best(self, array, name, value):
+        return f"array_max(transform({array}, {name} -> {value}))"
+
     def exact(self, x, q):
         return f"percentile({x}, {q})"
 
@@ -63,6 +78,9 @@ class Duck(Spark):
     def commas(self, x):
         return f"format('{{:,}}', CAST({x} AS BIGINT))"
 
+    def fixed2(self, x):
+        return f"format('{{:.2f}}', CAST({x} AS DOUBLE))"
+
     def dmy(self, t):
         return f"strftime({t}, '%d/%m/%Y')"
 
@@ -72,6 +90,18 @@ class Duck(Spark):
     def epoch(self, t):
         return f"CAST(floor(epoch({t})) AS BIGINT)"
 
+    def point(self):
+        return "{'cx': cx, 'cy': cy}"
+
+    def pair(self, a, b):
+        return f"row({a}, {b})"
+
+    def gather(self, x, over):
+        return f"list({x}) FILTER (WHERE {x} IS NOT NULL) {over}"
+
+    def best(self, array, name, value):
+        return f"list_max(list_transform({array}, lambda {name}: {value}))"
+
     def exact(self, x, q):
         return f"quantile_cont({x}, {q})"
 

@@ -46,7 +46,7 @@ sql("ledger", "S13 D6 W4", lambda d: f"SELECT doc_id, CAST(row_idx AS BIGINT) AS
 sql("upload_gate", "S3", lambda d: f"SELECT page_id, ext, CASE WHEN length(html) > 2000 THEN 413 WHEN ext NOT IN ('.jpg', '.jpeg', '.png', '.tiff', '.tif', '.pdf') THEN 415 ELSE 200 END AS status FROM (SELECT page_id, html, lower(coalesce({d.rx('url', '[.][a-z]+$')}, '')) AS ext FROM pages) p")
 sql("split_test_train", "S7", lambda d: "SELECT doc_id, CASE WHEN rn <= 50 THEN 'test' ELSE 'train' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) r")
 sql("latest_state", "S18 M15", lambda d: "SELECT user_id AS doc_id, max_by(event_type, event_id) AS state, count(*) AS n_updates FROM events GROUP BY user_id")
-sql("results_of_job", "S19", lambda d: f"SELECT event_id, user_id, {d.json_int('props', 'k')} AS k FROM events WHERE {d.json_int('props', 'k')} IS NOT NULL AND user_id % 10 = 3")
+sql("results_of_job", "S19", lambda d: f"SELECT user_id AS job_id, event_id, {d.json_int('props', 'k')} AS k FROM events WHERE {d.json_int('props', 'k')} IS NOT NULL")
 
 
 # ---- normalisers
@@ -69,7 +69,7 @@ PLAUSIBLE = lambda d: f"SELECT doc_id, tok_idx, CAST(v AS DOUBLE) AS amount FROM
 sql("plausible_amounts", "N13", PLAUSIBLE)
 sql("box_normalise", "N17", lambda d: f"SELECT doc_id, tok_idx, greatest(0, least(1000, CAST(floor(x0 / w * 1000) AS INT))) AS x0, greatest(0, least(1000, CAST(floor(y1 / h * 1000) AS INT))) AS y1 FROM (SELECT doc_id, tok_idx, x0, y1, max(x1) OVER (PARTITION BY doc_id) AS w, max(y1) OVER (PARTITION BY doc_id) AS h FROM ({R.receipts(d)}) t) b")
 sql("charset", "N19", lambda d: "SELECT ch, count(*) AS n FROM (SELECT " + ("explode(split(text, ''))" if d.name == "spark" else "unnest(string_split(text, ''))") + " AS ch FROM benchmark) c WHERE ch <> '' GROUP BY ch")
-sql("subset_tags", "N22", lambda d: f"SELECT item_id, CASE WHEN length(text) > 0 AND CAST(length(text) - length({d.ra('text', '[0-9]', '')}) AS DOUBLE) / length(text) >= 0.3 THEN 1 ELSE 0 END AS digits FROM benchmark")
+sql("subset_tags", "N22", lambda d: f"SELECT doc_id, CASE WHEN length(text) > 0 AND CAST(length(text) - length({d.ra('text', '[0-9]', '')}) AS DOUBLE) / length(text) >= 0.3 THEN 1 ELSE 0 END AS digits, CASE WHEN length(translate(text, '{N.VN_LETTERS}', '')) < length(text) THEN 1 ELSE 0 END AS diacritic FROM documents")
 sql("exact_match", "N24", lambda d: f"SELECT item_id, exact FROM ({E.text_scores(d)}) s")
 QUERIES["guard_repeats"] = lambda spark, sf_dir: run(spark, sf_dir, "SELECT doc_id, text FROM documents").select("doc_id", ((F.length("text") == 0) | (F.length("text") > 4000) | F.col("text").rlike(r"(.{4,})\1{4,}")).alias("rejected"))
 COVERS["guard_repeats"] = "N14"
@@ -79,11 +79,12 @@ sql("lines", "L1 D2 W1 W10", lambda d: L.lines(d, R.receipts(d)))
 sql("rows", "L2 W1", lambda d: L.lines(d, R.statements(d), 0.7, "greatest(hh, 1)"))
 sql("reading_order", "L3 W10", lambda d: f"SELECT doc_id, tok_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY (y0 + y1) / 2, (x0 + x1) / 2, tok_idx) AS BIGINT) AS pos FROM ({R.statements(d)}) t")
 sql("anchor_hits", "L4", lambda d: f"SELECT doc_id, tok_idx, field, min(CAST(instr(lower(text), kw) AS BIGINT)) AS first_at FROM ({R.receipts(d)}) t JOIN {L.ANCHORS} AS a(field, kw) ON contains(lower(t.text), a.kw) GROUP BY doc_id, tok_idx, field")
-sql("header_row", "L6 L7 W6", lambda d: L.header(d))
-sql("column_bounds", "L8 W8", lambda d: f"SELECT doc_id, col, cx, (cx + lead(cx) OVER (PARTITION BY doc_id ORDER BY cx)) / 2 AS bound FROM ({L.header(d)}) h")
+sql("header_row", "L6 L7 W6", lambda d: f"SELECT doc_id, yrow, col, cx FROM ({L.header(d)}) h")
+sql("column_bounds", "L8 W8", lambda d: f"SELECT doc_id, col, cx, (cx + lead(cx) OVER (PARTITION BY doc_id ORDER BY cx, ord)) / 2 AS bound FROM ({L.header(d)}) h")
 sql("cells", "L9", lambda d: L.cells(d))
 sql("line_items", "L10 L12 D6", lambda d: L.items(d))
-sql("required_columns", "L12", lambda d: f"SELECT doc_id, CASE WHEN sum(CASE WHEN col IN ('date', 'description', 'balance') THEN 1 ELSE 0 END) = 3 AND (max(CASE WHEN col = 'amount' THEN 1 ELSE 0 END) = 1 OR sum(CASE WHEN col IN ('debit', 'credit') THEN 1 ELSE 0 END) = 2) THEN 1 ELSE 0 END AS ok FROM ({L.header(d)}) h GROUP BY doc_id")
+COLUMNS_OK = lambda d: f"SELECT doc_id, CASE WHEN sum(CASE WHEN col IN ('date', 'description', 'balance') THEN 1 ELSE 0 END) = 3 AND (max(CASE WHEN col = 'amount' THEN 1 ELSE 0 END) = 1 OR sum(CASE WHEN col IN ('debit', 'credit') THEN 1 ELSE 0 END) = 2) THEN 1 ELSE 0 END AS ok FROM ({L.header(d)}) h GROUP BY doc_id"
+sql("required_columns", "L12", lambda d: COLUMNS_OK(d))
 sql("tall_boxes", "L20 W11", lambda d: f"SELECT t.doc_id, t.tok_idx, CASE WHEN t.y1 - t.y0 > 1.8 * m.h THEN 1 ELSE 0 END AS tall FROM ({L.all_tokens(d)}) t JOIN (SELECT doc_id, {d.exact('y1 - y0', 0.5)} AS h FROM ({L.all_tokens(d)}) u GROUP BY doc_id) m ON m.doc_id = t.doc_id")
 sql("critical_boxes", "L21", lambda d: f"SELECT t.doc_id, t.tok_idx, CASE WHEN t.y0 < 0.3 * p.h OR {d.has('t.text', L.DATE)} OR {d.has('t.text', L.MONEY)} THEN 1 ELSE 0 END AS critical FROM ({R.receipts(d)}) t JOIN (SELECT doc_id, max(y1) AS h FROM ({R.receipts(d)}) u GROUP BY doc_id) p ON p.doc_id = t.doc_id")
 sql("page_stats", "L23", lambda d: f"SELECT doc_id, max(nullif({L.money(d, 'text')}, 0)) AS max_money, max(x1) AS w, max(y1) AS h, max(y1 - y0) AS line_h FROM ({L.lines(d, R.receipts(d))}) l GROUP BY doc_id")
@@ -92,7 +93,8 @@ sql("region_tokens", "L15 L22", lambda d: f"SELECT img, idx, {d.agg('CAST(box AS
 sql("choose_span", "L14", lambda d: f"SELECT img, box, idx FROM (SELECT b.img, b.box, g.idx, row_number() OVER (PARTITION BY b.img, b.box ORDER BY CASE WHEN (b.y0 + b.y1) / 2 BETWEEN g.y0 AND g.y1 THEN 0 ELSE 1 END, abs((b.y0 + b.y1 - g.y0 - g.y1) / 2), g.idx) AS rn FROM ({E.boxes(d)[1]}) b JOIN ({E.boxes(d)[0]}) g ON g.img = b.img) r WHERE rn = 1")
 
 # ---- features, classification, selection
-sql("candidates", "C1 C2 C3 L23", lambda d: f"SELECT doc_id, line_idx, field, norm, round(prox, 6) AS prox, round(score, 6) AS score FROM ({L.candidates(d)}) c")
+sql("candidates", "C1 C3 L23", lambda d: f"SELECT doc_id, line_idx, field, norm, round(prox, 6) AS prox, round(score, 6) AS score FROM ({L.candidates(d)}) c")
+sql("candidate_features", "C2 D13", lambda d: L.features(d))
 sql("receipt_fields", "C4 W7 D4", lambda d: f"SELECT doc_id, field, value, confidence FROM ({L.fields(d)}) f")
 sql("document_features", "C6 W2 D14", lambda d: f"SELECT doc_id, stmt, rcpt, po, round(money_share, 6) AS money_share, round(CAST(row_share AS DOUBLE), 6) AS row_share, n_money FROM ({L.document_features(d)}) f")
 sql("document_type", "C7", lambda d: L.document_type(d))
@@ -101,19 +103,22 @@ BIO = lambda d: f"SELECT doc_id, tok_idx, CASE WHEN {d.has('text', L.DATE)} THEN
 sql("bio_labels", "C13 W5", lambda d: f"SELECT doc_id, tok_idx, CASE WHEN cls = 'O' THEN 'O' WHEN lag(cls) OVER (PARTITION BY doc_id ORDER BY tok_idx) = cls THEN 'I-' || cls ELSE 'B-' || cls END AS tag FROM ({BIO(d)}) b")
 sql("field_merge", "C15", lambda d: f"SELECT doc_id, field, CASE WHEN value IS NULL OR confidence < 0.75 THEN coalesce(gold, value) ELSE value END AS value FROM (SELECT g.doc_id, g.field, g.pred AS value, coalesce(g.confidence, 0) AS confidence, g.gold FROM ({E.gold_fields(d)}) g WHERE g.field = 'merchant_name') m")
 PO_KEYS = "(VALUES ('sender_name', 'remitter'), ('sender_account', 'from account'), ('beneficiary_name', 'payee'), ('beneficiary_account', 'to account'), ('amount', 'amount'), ('content', 'remark'), ('date', 'date'))"
-sql("key_values", "C16", lambda d: f"SELECT doc_id, field, CASE WHEN contains(field, 'account') THEN {d.rx('''replace(text, ' ', '')''', '[0-9]{6,}')} WHEN field = 'amount' THEN CAST({L.signed(d, 'text')} AS STRING) WHEN field = 'date' THEN {L.date(d, 'text')} ELSE lower(trim(substr(text, instr(text, ':') + 1))) END AS value FROM (SELECT t.doc_id, k.field, t.text, row_number() OVER (PARTITION BY t.doc_id, k.field ORDER BY t.tok_idx) AS rn FROM ({R.payment_orders(d)}) t JOIN {PO_KEYS} AS k(field, kw) ON contains(lower(t.text), k.kw)) r WHERE rn = 1")
-sql("statement_header", "C17", lambda d: f"SELECT doc_id, max(CASE WHEN tok_idx = 0 THEN text END) AS bank_name, max(CASE WHEN contains(lower(text), 'account no') THEN {d.rx('''replace(text, ' ', '')''', '[0-9]{8,}')} END) AS account_number, max(CASE WHEN contains(lower(text), 'opening balance') THEN {L.signed(d, 'text')} END) AS opening, max(CASE WHEN contains(lower(text), 'closing balance') THEN {L.signed(d, 'text')} END) AS closing FROM ({R.statements(d)}) t GROUP BY doc_id")
-sql("language_route", "C18", lambda d: f"SELECT lang, count(*) AS n, CAST(sum(CASE WHEN CAST(length(text) - length(translate(text, '{N.VN_LETTERS}', '')) AS DOUBLE) / greatest(length(text), 1) >= 0.06 THEN 1 ELSE 0 END) AS BIGINT) AS routed FROM documents GROUP BY lang")
+sql("key_values", "C16", lambda d: f"SELECT doc_id, field, value, CASE WHEN value IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(0.82 AS DOUBLE) END AS confidence FROM (SELECT doc_id, field, CASE WHEN contains(field, 'account') THEN {d.rx('''replace(text, ' ', '')''', '[0-9]{6,}')} WHEN field = 'amount' THEN CAST({L.signed(d, 'text')} AS STRING) WHEN field = 'date' THEN {L.date(d, 'text')} ELSE lower(trim(substr(text, instr(text, ':') + 1))) END AS value FROM (SELECT t.doc_id, k.field, t.text, row_number() OVER (PARTITION BY t.doc_id, k.field ORDER BY t.tok_idx) AS rn FROM ({R.payment_orders(d)}) t JOIN {PO_KEYS} AS k(field, kw) ON contains(lower(t.text), k.kw)) r WHERE rn = 1) v UNION ALL SELECT doc_id, 'bank_name', lower(trim(text)), CAST(0.85 AS DOUBLE) FROM ({R.payment_orders(d)}) b WHERE tok_idx = 0")
+FIRST_DIGITS = lambda d: "min_by(" + d.rx("replace(text, ' ', '')", "[0-9]{8,}") + ", CASE WHEN " + d.has("replace(text, ' ', '')", "[0-9]{8,}") + " THEN tok_idx END)"
+sql("statement_header", "C17", lambda d: f"SELECT doc_id, bank_name, coalesce(stated_account, first_digits) AS account_number, CASE WHEN stated_account IS NOT NULL THEN CAST(0.82 AS DOUBLE) WHEN first_digits IS NOT NULL THEN CAST(0.78 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS account_confidence, opening, closing FROM (SELECT doc_id, max(CASE WHEN tok_idx = 0 THEN text END) AS bank_name, max(CASE WHEN {d.has('lower(text)', 'account no|so tai khoan')} THEN {d.rx('''replace(text, ' ', '')''', '[0-9]{8,}')} END) AS stated_account, {FIRST_DIGITS(d)} AS first_digits, max(CASE WHEN {d.has('lower(text)', 'opening balance|so du dau')} THEN {L.signed(d, 'text')} END) AS opening, max(CASE WHEN {d.has('lower(text)', 'closing balance|so du cuoi')} THEN {L.signed(d, 'text')} END) AS closing FROM ({R.statements(d)}) t GROUP BY doc_id) h")
+PROBE = lambda d: f"SELECT doc_id, avg(CASE WHEN CAST(length(text) - length(translate(text, '{N.VN_LETTERS}', '')) AS DOUBLE) / greatest(length(text), 1) >= 0.06 THEN 1.0 ELSE 0.0 END) AS share, CAST(sum(length(text) - length(translate(text, '{N.VN_LETTERS}', ''))) AS DOUBLE) / greatest(sum(length(text)), 1) AS ratio FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx) AS rn FROM (SELECT doc_id, tok_idx, CASE WHEN CAST(length(doc_id) AS INT) % 2 = 0 THEN replace(text, 'a', 'ă') ELSE text END AS text FROM ({L.all_tokens(d)}) t0) t) p WHERE rn <= 8 GROUP BY doc_id"
+sql("language_route", "C18", lambda d: f"SELECT doc_id, round(ratio, 6) AS ratio, CASE WHEN ratio >= 0.06 THEN 'tuned' ELSE 'default' END AS recogniser FROM ({PROBE(d)}) p")
 
 # ---- guards, routing, reconciliation
 sql("routing", "G1 D10", lambda d: f"SELECT doc_id, reasons, needs_review FROM ({L.routing(d)}) r")
 sql("sanity_flags", "G2", lambda d: f"SELECT doc_id, flags FROM ({L.sanity(d)}) s")
 sql("cross_validate_total", "G3", lambda d: f"SELECT s.doc_id, s.total, m.seen FROM (SELECT doc_id, try_cast(gold AS DOUBLE) AS total FROM ({E.gold_fields(d)}) g WHERE field = 'total_amount') s JOIN (SELECT doc_id, max(amount) AS seen FROM ({PLAUSIBLE(d)}) a GROUP BY doc_id) m ON m.doc_id = s.doc_id WHERE s.total > 0 AND m.seen >= 2.1 * s.total")
 sql("reconcile", "G5 G6 W3", lambda d: f"SELECT doc_id, CAST(row_reconcile AS DOUBLE) AS row_reconcile, closing_reconcile, n_rows FROM ({L.reconcile(d)}) r")
-sql("statement_triggers", "G8", lambda d: f"SELECT doc_id, concat_ws(',', CASE WHEN row_reconcile < 0.7 THEN 'reconcile' END, CASE WHEN n_rows < 3 THEN 'few_items' END) AS reasons FROM ({L.reconcile(d)}) r")
+TRIGGERS = lambda d: f"SELECT r.doc_id, concat_ws(',', CASE WHEN r.row_reconcile < 0.7 THEN 'reconcile' END, CASE WHEN coalesce(c.ok, 0) = 0 THEN 'missing_columns' END, CASE WHEN coalesce(m.rate, 0) < 0.75 THEN 'assignment' END, CASE WHEN r.n_rows < 3 AND w.n >= 6 THEN 'few_items' END) AS reasons FROM ({L.reconcile(d)}) r LEFT JOIN ({COLUMNS_OK(d)}) c ON c.doc_id = r.doc_id LEFT JOIN ({T.table_mode(d)}) m ON m.doc_id = r.doc_id LEFT JOIN (SELECT doc_id, max(yrow) + 1 AS n FROM ({L.row_tokens(d, R.statements(d))}) t GROUP BY doc_id) w ON w.doc_id = r.doc_id"
+sql("statement_triggers", "G8", lambda d: TRIGGERS(d))
 RESULTS = lambda d: f"SELECT t.doc_id, t.doc_type, coalesce(r.needs_review, CASE WHEN q.row_reconcile < 0.7 THEN 1 ELSE 0 END, 0) AS needs_review, coalesce(r.reasons, '') AS reasons FROM ({L.document_type(d)}) t LEFT JOIN ({L.routing(d)}) r ON r.doc_id = t.doc_id LEFT JOIN ({L.reconcile(d)}) q ON q.doc_id = t.doc_id"
 sql("document_results", "G10 G11 D8 D9", RESULTS)
-sql("batch_summary", "A23 D9", lambda d: f"SELECT doc_type, count(*) AS total, CAST(sum(needs_review) AS BIGINT) AS needs_review, CASE WHEN sum(needs_review) = 0 THEN 'completed' ELSE 'partial_completed' END AS status FROM ({RESULTS(d)}) r GROUP BY doc_type")
+sql("batch_summary", "A23 D9", lambda d: E.batches(d))
 sql("data_validation", "G13", lambda d: f"SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS non_empty, CASE WHEN avg(CASE WHEN gold IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 1 ELSE 0 END AS covered, CASE WHEN min(CASE WHEN field = 'total_amount' THEN try_cast(gold AS DOUBLE) END) > 0 THEN 1 ELSE 0 END AS totals_ok FROM ({E.gold_fields(d)}) g")
 sql("eval_gate", "G14 A8", lambda d: f"SELECT round(avg(CAST({E.F1} AS DOUBLE)), 4) AS macro_f1, CASE WHEN avg({E.F1}) >= 0.6 THEN 1 ELSE 0 END AS passed FROM ({E.counts(d)}) c WHERE tp + fn > 0")
 sql("latency_gate", "G15", lambda d: f"SELECT config, median, CASE WHEN median <= 50 * 1.4 THEN 1 ELSE 0 END AS passed FROM ({E.percentiles(d)}) p")
@@ -131,19 +136,24 @@ sql("unseen_gold_rows", "A12", lambda d: f"SELECT doc_id, count(*) AS fn FROM ({
 TRUE_TYPE = "CASE substr(doc_id, 1, 1) WHEN 'r' THEN 'receipt' WHEN 's' THEN 'bank_statement' ELSE 'payment_order' END"
 sql("routing_accuracy", "A14 A24", lambda d: f"SELECT {TRUE_TYPE} AS true_type, doc_type, count(*) AS n FROM ({L.document_type(d)}) t GROUP BY {TRUE_TYPE}, doc_type")
 sql("box_overlap", "A15", lambda d: f"SELECT img, idx, box, share FROM ({E.overlaps(d)}) o WHERE share >= 0.3")
-sql("detector_taxonomy", "A16", lambda d: f"SELECT kind, count(*) AS n FROM (SELECT g.img, g.idx, CASE WHEN coalesce(o.n, 0) = 0 THEN 'DETECT_MISS' WHEN o.n > 1 THEN 'OVERSPLIT' ELSE 'OK' END AS kind FROM ({E.boxes(d)[0]}) g LEFT JOIN (SELECT img, idx, count(*) AS n FROM ({E.overlaps(d)}) o0 WHERE share >= 0.3 GROUP BY img, idx) o ON o.img = g.img AND o.idx = g.idx) k GROUP BY kind")
+sql("detector_taxonomy", "A16", lambda d: f"SELECT cause, count(*) AS n FROM ({E.taxonomy(d)}) t GROUP BY cause")
 sql("order_inversions", "A17", lambda d: f"SELECT a.img, max(CASE WHEN a.y0 > b.y0 THEN 1 ELSE 0 END) AS inverted FROM ({E.boxes(d)[1]}) a JOIN ({E.boxes(d)[1]}) b ON a.img = b.img AND a.box < b.box GROUP BY a.img")
-sql("bucket_errors", "A18", lambda d: f"SELECT item_id % 4 AS bucket, round(avg(cer), 4) AS cer FROM ({E.text_scores(d)}) s GROUP BY item_id % 4")
-sql("model_comparison", "A19 A32", lambda d: f"SELECT item_id % 2 AS model, item_id % 5 AS field, round(avg(anls), 4) AS anls, round(avg(cer), 4) AS cer FROM ({E.text_scores(d)}) s GROUP BY item_id % 2, item_id % 5")
+sql("bucket_errors", "A18", lambda d: E.bucket_errors(d))
+sql("model_comparison", "A19 A32", lambda d: f"SELECT model, field, count(*) AS n, round(avg(anls), 4) AS anls, round(avg(cer), 4) AS cer, round(avg(CAST(exact AS DOUBLE)), 4) AS f1 FROM ({E.scored(d, E.runs(d))}) s GROUP BY model, field")
 sql("best_region", "A20", lambda d: f"SELECT img, idx, box, share FROM (SELECT *, row_number() OVER (PARTITION BY img, idx ORDER BY share DESC, box) AS rn FROM ({E.overlaps(d)}) o) r WHERE rn = 1 AND share >= 0.3")
 sql("throughput", "A21", lambda d: f"SELECT config, round(60000 * 5 / avg(ms), 4) AS per_minute FROM ({E.latencies(d)}) l GROUP BY config")
 sql("sweep_best", "A22", lambda d: f"SELECT config, median FROM (SELECT config, median, row_number() OVER (ORDER BY median, config) AS rn FROM ({E.percentiles(d)}) p) r WHERE rn = 1")
-sql("token_f1", "A25", lambda d: f"SELECT tag, count(*) AS n FROM (SELECT CASE WHEN cls = 'O' THEN 'O' ELSE 'E' END AS tag FROM ({BIO(d)}) b) t GROUP BY tag")
-sql("entity_spans", "A26", lambda d: f"SELECT doc_id, cls, min(tok_idx) AS first, max(tok_idx) AS last FROM (SELECT *, tok_idx - row_number() OVER (PARTITION BY doc_id, cls ORDER BY tok_idx) AS island FROM ({BIO(d)}) b) i WHERE cls <> 'O' GROUP BY doc_id, cls, island")
-sql("reject_counts", "A27", lambda d: "SELECT lang, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) < 50 THEN 'short' ELSE 'ok' END AS reason, count(*) AS n FROM documents GROUP BY lang, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) < 50 THEN 'short' ELSE 'ok' END")
+sql("token_f1", "A25", lambda d: E.token_f1(d))
+sql("entity_spans", "A26", lambda d: E.spans(d, E.tags(d), "gold"))
+sql("entity_f1", "A26", lambda d: E.entity_f1(d))
+REJECTS = lambda d: "SELECT doc_id, CASE WHEN text IS NULL THEN 'malformed_line' WHEN trim(text) = '' THEN 'empty_label' WHEN source IS NULL THEN 'missing_image' WHEN n_chars <> length(text) THEN 'corrupt_image' ELSE 'ok' END AS reason FROM documents"
+sql("reject_counts", "A27", lambda d: f"SELECT coalesce(l.part, 'none') AS part, r.reason, count(*) AS n FROM ({REJECTS(d)}) r LEFT JOIN (SELECT doc_id, min(CASE WHEN quality = 1 THEN 'train' ELSE 'test' END) AS part FROM labels GROUP BY doc_id) l ON l.doc_id = r.doc_id GROUP BY coalesce(l.part, 'none'), r.reason")
+sql("split_sanity", "A27", lambda d: "SELECT CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS repeated_texts, CAST(sum(CASE WHEN n_parts > 1 THEN 1 ELSE 0 END) AS BIGINT) AS in_both_parts, count(*) AS texts FROM (SELECT d.text, count(*) AS n, count(DISTINCT l.quality) AS n_parts FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.text) t")
 sql("high_risk", "A28", lambda d: f"SELECT count(*) AS docs, CAST(sum(CASE WHEN f.conf > 0.85 AND r.needs_review = 1 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk FROM (SELECT doc_id, avg(confidence) AS conf FROM ({L.fields(d)}) x GROUP BY doc_id) f JOIN ({L.routing(d)}) r ON r.doc_id = f.doc_id")
 sql("route_identity", "A30", lambda d: f"SELECT a.doc_id, CASE WHEN a.t = b.t THEN 1 ELSE 0 END AS same FROM (SELECT doc_id, {d.agg('text', 'tok_idx')} AS t FROM ({R.receipts(d)}) x GROUP BY doc_id) a JOIN (SELECT doc_id, {d.agg('text', 'line_idx')} AS t FROM ({L.lines(d, R.receipts(d))}) y GROUP BY doc_id) b ON a.doc_id = b.doc_id")
-sql("robustness", "A31", lambda d: f"SELECT item_id % 4 AS degradation, count(*) AS n, round(avg(cer), 4) AS cer, round(avg(anls), 4) AS anls, round(avg(CAST(exact AS DOUBLE)), 4) AS exact FROM ({E.text_scores(d)}) s GROUP BY item_id % 4")
+sql("robustness", "A31", lambda d: f"SELECT degradation, model, count(*) AS n, round(avg(cer), 4) AS cer, round(avg(anls), 4) AS anls, round(avg(CAST(exact AS DOUBLE)), 4) AS exact FROM ({E.scored(d, E.runs(d))}) s GROUP BY degradation, model")
+
+sql("worst_items", "W9", lambda d: f"SELECT model, place, item_id, cer FROM (SELECT model, item_id, cer, CAST(row_number() OVER (PARTITION BY model ORDER BY cer DESC, item_id) AS BIGINT) AS place FROM ({E.scored(d, E.runs(d))}) s WHERE exact = 0) r WHERE place <= 8")
 
 # ---- monitoring
 sql("histogram_buckets", "M12 D20", lambda d: E.histogram(d))
@@ -160,11 +170,12 @@ sql("idempotent_upload", "M14", lambda d: "SELECT user_id, props, min(event_id)
 sql("request_counters", "M16", lambda d: "SELECT event_type AS endpoint, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY event_type")
 
 # ---- registry
-sql("registry_state", "R1 R2 D17", lambda d: f"SELECT model, version, max_by(op, seq) AS stage, count(*) AS n_events FROM ({E.registry_events(d)}) e GROUP BY model, version")
-sql("registry_active", "R3", lambda d: f"SELECT model, coalesce(max_by(CASE WHEN op = 'production' THEN version END, CASE WHEN op = 'production' THEN seq END), max_by(version, seq)) AS active FROM ({E.registry_events(d)}) e GROUP BY model")
+sql("registry_state", "R1 R2 D17", lambda d: E.registry_state(d))
+sql("registry_active", "R3", lambda d: E.registry_active(d))
 
 # ---- table structure, merged tokens, guards
 sql("split_merged_tokens", "L5", lambda d: T.split_merged(d, T.merged_tokens(d)))
+sql("semantic_columns", "L11", lambda d: T.semantic_columns(d))
 sql("header_contamination", "L13", lambda d: T.contaminated(d))
 sql("grid", "L16 L14", lambda d: T.grid(d))
 sql("grid_items", "L17", lambda d: T.grid_items(d))
@@ -196,6 +207,7 @@ column_query("nfc_labels", "N18", lambda d: "SELECT doc_id, text FROM documents"
 CHARSET = "abcdefghijklmnopqrstuvwxyz"
 QUERIES["charset_codec"] = lambda spark, sf_dir: run(spark, sf_dir, "SELECT item_id, text FROM benchmark").select("item_id", C.collapse(C.encode_chars(F.col("text"), CHARSET), CHARSET).alias("text"))
 COVERS["charset_codec"] = "N20"
+ORACLE["charset_codec"] = f"SELECT item_id, array_to_string(list_filter(own, lambda c, i: i = 1 OR c <> own[i - 1]), '') AS text FROM (SELECT item_id, list_filter(string_split(text, ''), lambda c: c <> '' AND contains('{CHARSET}', c)) AS own FROM benchmark) b"
 QUERIES["word_error_rate"] = lambda spark, sf_dir: run(spark, sf_dir, E.pairs(Spark())).select("item_id", F.round(C.wer("pred", "gold"), 6).alias("wer"))
 COVERS["word_error_rate"] = "A6"
 

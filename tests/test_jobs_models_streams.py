@@ -3,7 +3,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from paperloom.operators import models
-from paperloom.plans.jobs import Job, StepFailed, train_and_promote
+from paperloom.plans.jobs import Notes, State, Step, run_job, training_steps
 from paperloom.plans.registry import ORACLE, QUERIES
 from paperloom.streaming import events as S
 
@@ -13,25 +13,33 @@ SF = "/root/testdata/sf0.001"
 def test_steps_resume_and_retry(spark, tmp_path):
     calls = []
 
-    def flaky():
+    def flaky(before):
         calls.append(1)
         if len(calls) < 2:
             raise ValueError("once")
         return 7
 
-    job = Job(spark, str(tmp_path))
-    assert job.step("a", flaky) == 7 and job.steps["a"]["attempt"] == 1
-    again = Job(spark, str(tmp_path))
-    assert again.step("a", flaky) == 7 and again.steps["a"]["cached"] and len(calls) == 2
-    with pytest.raises(StepFailed):
-        again.step("b", lambda: 1 / 0, retries=1)
-    assert "error" in again.finish()["steps"]["b"]
+    notes = Notes(spark, str(tmp_path))
+    got = run_job([Step("a", flaky), Step("b", lambda before: before["a"] + 1)], notes)
+    assert (got["a"].state, got["a"].value, got["a"].faults, got["b"].value) == (State.DONE, 7, ["ValueError: once"], 8)
+    got = run_job([Step("a", flaky), Step("c", lambda before: 1 / 0), Step("d", lambda before: 1)], notes)
+    assert (got["a"].state, got["a"].value, len(calls)) == (State.REUSED, 7, 2)
+    assert got["c"].state == State.FAILED and len(got["c"].faults) == 2 and got["d"].state == State.WAITING
+    assert notes.get("manifest")["c"]["state"] == "failed" and notes.get("c") is None
+    assert run_job([Step("a", flaky)], notes, fresh=True)["a"].state == State.DONE and len(calls) == 3
 
 
 def test_promotion_gate(spark, tmp_path):
     done = []
-    run = lambda name, score: train_and_promote(Job(spark, str(tmp_path / name)), lambda: 1, lambda: True, lambda: 1, lambda: score, lambda: done.append(name))
-    assert run("good", 0.7) and not run("bad", 0.5) and done == ["good"]
+
+    def run(name, score, valid=True):
+        steps = training_steps(lambda b: 1, lambda b: valid, lambda b: 1, lambda b: score, lambda b: done.append(name))
+        return [r.state.value for r in run_job(steps, Notes(spark, str(tmp_path / name))).values()]
+
+    assert run("good", 0.7) == ["done"] * 5
+    assert run("bad", 0.5) == ["done", "done", "done", "refused", "waiting"]
+    assert run("void", 0.9, False) == ["done", "refused", "waiting", "waiting", "waiting"]
+    assert done == ["good"]
 
 
 def test_models(spark):

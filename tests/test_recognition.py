@@ -29,6 +29,25 @@ def test_wer(spark):
     assert value(spark, C.wer("p", "g"), p="", g="") == 0 and value(spark, C.wer("p", "g"), p="x", g="") == 1
 
 
+def test_wer_equals_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(" ".join(r.choices("a b c dd é 日本".split(), k=r.randrange(12))), "  ".join(r.choices("a b c dd é 日本".split(), k=r.randrange(12)))) for _ in range(80)]
+
+    def distance(p, g):
+        best = {(0, j): j for j in range(len(g) + 1)} | {(i, 0): i for i in range(len(p) + 1)}
+        for i in range(1, len(p) + 1):
+            for j in range(1, len(g) + 1):
+                best[i, j] = min(best[i - 1, j] + 1, best[i, j - 1] + 1, best[i - 1, j - 1] + (p[i - 1] != g[j - 1]))
+        return best[len(p), len(g)]
+
+    got = {(x.p, x.g): x.v for x in spark.createDataFrame(rows, "p string, g string").select("p", "g", C.wer("p", "g").alias("v")).collect()}
+    for p, g in rows:
+        want = distance(p.split(), g.split()) / len(g.split()) if g.split() else float(bool(p.split()))
+        assert got[p, g] == pytest.approx(want)
+
+
 def page(angle=0.0):
     y, x = np.mgrid[:600, :700]
     t = np.radians(angle)
