@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from . import normalise as N
 
-TRANSACTIONS = "array<struct<date:string,description:string,amount:string,balance:string>>"
+TRANSACTION = "date string, description string, amount string, balance string"
 
 
 def reply_json(s: Column, schema: str) -> Column:
@@ -21,7 +21,8 @@ def reply_json(s: Column, schema: str) -> Column:
 
 def transactions(s: Column) -> Column:
     """A JSON list of transactions, typed; entries that aren't objects drop out."""
-    rows = F.filter(F.from_json(s, TRANSACTIONS), lambda t: t.isNotNull() & F.coalesce(t.date, t.description, t.amount, t.balance).isNotNull())
+    objects = F.filter(F.from_json(s, "array<string>"), lambda x: x.startswith("{"))
+    rows = F.filter(F.transform(objects, lambda x: F.from_json(x, TRANSACTION)), lambda t: F.coalesce(t.date, t.description, t.amount, t.balance).isNotNull())
     return F.transform(rows, lambda t: F.struct(N.norm_date(t.date).alias("date"), F.lower(F.nullif(t.description, F.lit(""))).alias("description"), N.signed_money(t.amount).alias("amount"), N.signed_money(t.balance).alias("balance")))
 
 

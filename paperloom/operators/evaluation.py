@@ -96,9 +96,28 @@ def latencies(d):
     return f"SELECT event_type AS config, abs(value) AS ms, event_id FROM events"
 
 
-def percentiles(d):
-    pick = lambda k: f"max(CASE WHEN rn = {k} THEN ms END)"
-    return f"SELECT config, n, {pick('CAST(floor(n / 2) AS BIGINT) + 1')} AS p50_upper, {pick('CAST(floor(0.95 * n) AS BIGINT)')} AS p95_below, {pick('least(CAST(floor(0.95 * n) AS BIGINT) + 1, n)')} AS p95_capped, round({d.exact('ms', 0.5)}, 6) AS median FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY ms, event_id) AS rn, count(*) OVER (PARTITION BY config) AS n FROM ({latencies(d)}) l) r GROUP BY config, n"
+def order_statistics(d, rows, ranks):
+    """The rows (config, ms) at given ranks of each config: config, n, and a column for each of `ranks` (name: SQL of the rank from 1, by the count n).
+
+    Counts by whole millisecond say which bucket holds a rank, and only such buckets are sorted, so no task orders a whole config.
+    """
+    counts = f"SELECT config, floor(ms) AS b, count(*) AS m FROM ({rows}) r0 GROUP BY config, floor(ms)"
+    before = f"SELECT config, b, m, CAST(sum(m) OVER (PARTITION BY config ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - m AS before, CAST(sum(m) OVER (PARTITION BY config) AS BIGINT) AS n FROM ({counts}) c0"
+    rank = "CASE k.name " + " ".join(f"WHEN '{name}' THEN {sql}" for name, sql in ranks.items()) + " END"
+    names = ", ".join(f"('{x}')" for x in ranks)
+    wanted = f"SELECT * FROM (SELECT c.config, c.b, c.m, c.before, c.n, k.name, CAST({rank} AS BIGINT) AS place FROM ({before}) c CROSS JOIN (VALUES {names}) AS k(name)) w0 WHERE place > before AND place <= before + m"
+    inside = f"SELECT r.config, r.b, r.ms, row_number() OVER (PARTITION BY r.config, r.b ORDER BY r.ms) AS rn FROM (SELECT config, floor(ms) AS b, ms FROM ({rows}) r1) r JOIN (SELECT DISTINCT config, b FROM ({wanted}) w1) q ON q.config = r.config AND q.b = r.b"
+    pick = ", ".join(f"max(CASE WHEN w.name = '{x}' THEN i.ms END) AS {x}" for x in ranks)
+    return f"SELECT w.config, max(w.n) AS n, {pick} FROM ({wanted}) w JOIN ({inside}) i ON i.config = w.config AND i.b = w.b AND i.rn = w.place - w.before GROUP BY w.config"
+
+
+#: The two middle ranks, whose mean is the median.
+MIDDLE = {"low": "floor((n + 1) / 2.0)", "high": "ceil((n + 1) / 2.0)"}
+
+
+def percentiles(d, rows=None):
+    ranks = {"p50_upper": "floor(n / 2.0) + 1", "p95_below": "floor(0.95 * n)", "p95_capped": "least(floor(0.95 * n) + 1, n)", **MIDDLE}
+    return f"SELECT config, n, p50_upper, p95_below, p95_capped, round((low + high) / 2, 6) AS median FROM ({order_statistics(d, rows or latencies(d), ranks)}) o"
 
 
 def windows(d, seconds):

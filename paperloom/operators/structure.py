@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources import render
-from . import layout
+from . import evaluation, layout
 
 CJK = "[一-鿿　-〿]"
 
@@ -147,22 +147,31 @@ def merged_recognisers(d):
 
 
 # ---- profiles
+def after_first(d, n):
+    """Events after the first n of their type, as (config, ms)."""
+    last = f"SELECT event_type, max(event_id) AS last FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events) f WHERE rn <= {n} GROUP BY event_type"
+    return f"SELECT e.event_type AS config, abs(e.value) AS ms FROM events e JOIN ({last}) l ON l.event_type = e.event_type AND e.event_id > l.last"
+
+
 def nearest_rank(d):
     """p50, p95 and p99 by nearest rank, half to even, over stages; the first run is cold and stays out. Slowest stage first."""
     even = "bround" if d.name == "spark" else "round_even"
-    k = lambda p: f"max(CASE WHEN rn = CAST({even}({p} * CAST(n - 1 AS DOUBLE), 0) AS BIGINT) + 1 THEN round(ms, 1) END)"
-    rows = "SELECT event_type AS stage, abs(value) AS ms, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM events"
-    return f"SELECT stage, n, p50, p95, p99, CAST(row_number() OVER (ORDER BY p50 DESC, stage) AS BIGINT) AS place FROM (SELECT stage, n, {k(0.5)} AS p50, {k(0.95)} AS p95, {k(0.99)} AS p99 FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY ms, event_id) AS rn, count(*) OVER (PARTITION BY stage) AS n FROM ({rows}) r WHERE run > 1) s GROUP BY stage, n) p"
+    ranks = {f"p{p}": f"{even}({p / 100} * CAST(n - 1 AS DOUBLE), 0) + 1" for p in (50, 95, 99)}
+    o = evaluation.order_statistics(d, after_first(d, 1), ranks)
+    return f"SELECT stage, n, p50, p95, p99, CAST(row_number() OVER (ORDER BY p50 DESC, stage) AS BIGINT) AS place FROM (SELECT config AS stage, n, round(p50, 1) AS p50, round(p95, 1) AS p95, round(p99, 1) AS p99 FROM ({o}) o) p"
 
 
 def warm_latency(d, warmup=5):
     """Mean, median and best over the runs after the warm-up."""
-    return f"SELECT event_type AS config, count(*) AS n, round(avg(abs(value)), 4) AS mean, round({d.exact('abs(value)', 0.5)}, 6) AS median, min(abs(value)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS idx FROM events) e WHERE idx >= {warmup} GROUP BY event_type"
+    rows = after_first(d, warmup)
+    return f"SELECT m.config, m.n, m.mean, round((o.low + o.high) / 2, 6) AS median, m.best FROM (SELECT config, count(*) AS n, round(avg(ms), 4) AS mean, min(ms) AS best FROM ({rows}) r GROUP BY config) m JOIN ({evaluation.order_statistics(d, rows, evaluation.MIDDLE)}) o ON o.config = m.config"
 
 
 def stress(d, sla=200):
     """Completed requests, errors, median and 95th place of latency against a limit."""
-    return f"SELECT count(*) AS total, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, round({d.exact('abs(value)', 0.5)}, 6) AS median, CASE WHEN max(CASE WHEN rn = least(CAST(floor(0.95 * n) AS BIGINT) + 1, n) THEN abs(value) END) <= {sla} THEN 1 ELSE 0 END AS within FROM (SELECT *, row_number() OVER (ORDER BY abs(value), event_id) AS rn, count(*) OVER () AS n FROM events) e"
+    rows = "SELECT 'all' AS config, abs(value) AS ms FROM events"
+    o = evaluation.order_statistics(d, rows, {"p95": "least(floor(0.95 * n) + 1, n)", **evaluation.MIDDLE})
+    return f"SELECT o.n AS total, e.errors, round((o.low + o.high) / 2, 6) AS median, CASE WHEN o.p95 <= {sla} THEN 1 ELSE 0 END AS within FROM ({o}) o CROSS JOIN (SELECT CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events) e"
 
 
 def timings(d):

@@ -15,6 +15,7 @@ from ..operators import layout as L
 from ..operators import structure as T
 from ..sources import render as R
 from ..streaming import events as S
+from . import file_queries
 from .dialect import Duck, Spark, run, shared_folder
 
 QUERIES: dict = {}
@@ -44,7 +45,8 @@ sql("tokens_statement", "S13 S14 S24 W4", lambda d: R.statements(d))
 sql("tokens_payment_order", "S15", lambda d: R.payment_orders(d))
 sql("ledger", "S13 D6 W4", lambda d: f"SELECT doc_id, CAST(row_idx AS BIGINT) AS row_idx, date, description, amount, balance, opening FROM ({R.ledger(d)}) l")
 sql("upload_gate", "S3", lambda d: f"SELECT page_id, ext, CASE WHEN length(html) > 2000 THEN 413 WHEN ext NOT IN ('.jpg', '.jpeg', '.png', '.tiff', '.tif', '.pdf') THEN 415 ELSE 200 END AS status FROM (SELECT page_id, html, lower(coalesce({d.rx('url', '[.][a-z]+$')}, '')) AS ext FROM pages) p")
-sql("split_test_train", "S7", lambda d: "SELECT doc_id, CASE WHEN rn <= 50 THEN 'test' ELSE 'train' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) r")
+KNOWN = "SELECT DISTINCT l.doc_id FROM labels l JOIN documents t ON t.doc_id = l.doc_id"
+sql("split_test_train", "S7", lambda d: f"SELECT doc_id, CASE WHEN doc_id <= (SELECT max(doc_id) FROM (SELECT doc_id FROM ({KNOWN}) k0 ORDER BY doc_id LIMIT 50) f) THEN 'test' ELSE 'train' END AS part FROM ({KNOWN}) k")
 sql("latest_state", "S18 M15", lambda d: "SELECT user_id AS doc_id, max_by(event_type, event_id) AS state, count(*) AS n_updates FROM events GROUP BY user_id")
 sql("results_of_job", "S19", lambda d: f"SELECT user_id AS job_id, event_id, {d.json_int('props', 'k')} AS k FROM events WHERE {d.json_int('props', 'k')} IS NOT NULL")
 
@@ -196,7 +198,7 @@ sql("warm_latency", "X7 X8", lambda d: T.warm_latency(d))
 sql("latency_ablation", "A29", lambda d: f"SELECT p.config, p.p50_upper, p.p95_capped, w.mean, w.n FROM ({E.percentiles(d)}) p JOIN ({T.warm_latency(d)}) w ON w.config = p.config")
 sql("stress", "X5", lambda d: T.stress(d))
 sql("stage_timings", "R8", lambda d: T.timings(d))
-sql("labels_by_parent", "X3", lambda d: f"SELECT source AS parent, {d.agg('lang', 'doc_id', ',')} AS labels, count(*) AS n FROM documents GROUP BY source")
+sql("labels_by_parent", "X3", lambda d: f"SELECT parent, {d.agg('lang', 'doc_id', ',')} AS labels, count(*) AS n FROM (SELECT doc_id, lang, source || '_' || CAST(CAST(floor(doc_id / 20) AS BIGINT) AS STRING) AS parent FROM documents) x GROUP BY parent")
 sql("document_training_set", "X11 L23", lambda d: f"SELECT f.doc_id, f.stmt, f.rcpt, f.po, f.n_money, s.w, s.h, {TRUE_TYPE.replace('doc_id', 'f.doc_id')} AS label FROM ({L.document_features(d)}) f JOIN (SELECT doc_id, max(x1) AS w, max(y1) AS h FROM ({L.all_tokens(d)}) t GROUP BY doc_id) s ON s.doc_id = f.doc_id")
 sql("weighted_mix", "X12", lambda d: "SELECT lang, item, count(*) AS n FROM (SELECT lang, doc_id % 10 AS item FROM documents UNION ALL SELECT 'benchmark', item_id % 10 FROM benchmark CROSS JOIN (VALUES (1), (2), (3)) AS w(k)) m GROUP BY lang, item")
 sql("best_epoch", "X13 X1", lambda d: f"SELECT bucket, min_by(epoch, cer) AS best, min(cer) AS cer FROM (SELECT item_id % 4 AS bucket, item_id % 5 AS epoch, round(avg(cer), 6) + CAST(item_id % 5 AS DOUBLE) / 1000000000 AS cer FROM ({E.text_scores(d)}) s GROUP BY item_id % 4, item_id % 5) e GROUP BY bucket")
@@ -223,3 +225,8 @@ for _name, _covers, _stream, _mode in (
 ORACLE["stream_tumbling"] = "SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 ORACLE["stream_sliding"] = "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) + k * 3600 AS instant, count(*) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS n_error FROM events CROSS JOIN (VALUES (1), (2)) AS o(k) GROUP BY 1"
 ORACLE["stream_sessions"] = "SELECT user_id, min(t) AS start, max(t) + 1800 AS stop, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id) AS s FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 1800 THEN 0 ELSE 1 END AS b FROM events) x) y GROUP BY user_id, s"
+
+# ---- files and column functions
+QUERIES.update(file_queries.QUERIES)
+ORACLE.update(file_queries.ORACLE)
+COVERS.update(file_queries.COVERS)

@@ -114,3 +114,8 @@ def mix(parts) -> DataFrame:
         one = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(int(weight)))))
         out = one if out is None else out.unionByName(one)
     return out.drop("copy")
+
+
+def field_manifest(records: DataFrame) -> DataFrame:
+    """One row for each true field of each labelled record: image, field, value."""
+    return records.select("image", F.explode("gold").alias("field", "value"))

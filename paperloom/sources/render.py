@@ -5,12 +5,29 @@ Each builder returns SQL for (doc_id, tok_idx, text, x0, y0, x1, y1, conf); d is
 
 from __future__ import annotations
 
-#: Words of the statements, by language.
-WORDS = "(VALUES (0, 'Account No', 'Opening Balance', 'Closing Balance', 'Total', 'ACCOUNT STATEMENT'), (1, 'So tai khoan', 'So du dau', 'So du cuoi', 'Tong', 'SAO KE TAI KHOAN')) AS w(lang, account, opens, closes, total, title)"
-#: Columns of the three table layouts: layout, place from the left, kind, left edge, header word by language.
-TABLE = """(VALUES (0, 0, 'date', 40, 'Date', 'Ngay'), (0, 1, 'description', 220, 'Description', 'Dien giai'), (0, 2, 'amount', 560, 'Amount', 'So tien'), (0, 3, 'balance', 760, 'Balance', 'So du'),
-  (1, 0, 'date', 40, 'Date', 'Ngay'), (1, 1, 'description', 220, 'Description', 'Dien giai'), (1, 2, 'debit', 480, 'Debit', 'No'), (1, 3, 'credit', 640, 'Credit', 'Co'), (1, 4, 'balance', 800, 'Balance', 'So du'),
-  (2, 0, 'ref', 40, 'Ref', 'SoCT'), (2, 1, 'date', 160, 'Date', 'Ngay'), (2, 2, 'description', 320, 'Description', 'Dien giai'), (2, 3, 'amount', 600, 'Amount', 'So tien'), (2, 4, 'balance', 780, 'Balance', 'So du')) AS k(layout, place, kind, x, en, vi)"""
+#: Heading lines of the statements and their footer, by language.
+HEADING, FOOT = (("", ""), ("ACCOUNT STATEMENT", "SAO KE TAI KHOAN"), ("Account No", "So tai khoan"), ("Opening Balance", "So du dau"), ("Closing Balance", "So du cuoi")), ("Total", "Tong")
+#: Columns of the three table layouts: kind, left edge.
+LAYOUTS = (
+    (("date", 40), ("description", 220), ("amount", 560), ("balance", 760)),
+    (("date", 40), ("description", 220), ("debit", 480), ("credit", 640), ("balance", 800)),
+    (("ref", 40), ("date", 160), ("description", 320), ("amount", 600), ("balance", 780)),
+)
+#: Header words of a kind of column, by language.
+TITLES = {"date": ("Date", "Ngay"), "description": ("Description", "Dien giai"), "amount": ("Amount", "So tien"), "debit": ("Debit", "No"), "credit": ("Credit", "Co"), "balance": ("Balance", "So du"), "ref": ("Ref", "SoCT")}
+
+
+def _slots() -> str:
+    """What a transaction prints: its cells; the first of a page also the heading and the table's header, the last the footer."""
+    rows = []
+    for k, columns in enumerate(LAYOUTS):
+        rows += [(k, "line", n, 40, f"line{n}", *words) for n, words in enumerate(HEADING)]
+        rows += [(k, "head", n, x, kind, *TITLES[kind]) for n, (kind, x) in enumerate(columns)]
+        rows += [(k, "cell", n, x, kind, "", "") for n, (kind, x) in enumerate(columns)]
+        rows += [(k, "foot", 0, 40, "total", *FOOT), (k, "foot", 1, 790, "closing", "", "")]
+    return "(VALUES " + ", ".join(f"({k}, '{part}', {n}, {x}, '{kind}', '{en}', '{vi}')" for k, part, n, x, kind, en, vi in rows) + ") AS k(layout, part, place, x, kind, en, vi)"
+
+
 #: Transactions on a page of a statement; every page is a document of its own.
 PAGE = 12
 
@@ -32,29 +49,31 @@ def receipts(d) -> str:
 
 
 def ledger(d) -> str:
-    """Transactions behind the statements, one document a page: doc_id, row_idx, date, description, amount, balance, opening (of the page)."""
+    """Transactions behind the statements, one document a page: doc_id, row_idx (of n), date, description, amount, balance, opening and closing (of the page)."""
     over = "PARTITION BY c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    page = "(PARTITION BY c, page ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     return f"""
     SELECT 's' || CAST(c AS STRING) || '.' || CAST(page AS STRING) AS doc_id, c, k, page, CAST(r - page * {PAGE} AS INT) AS row_idx, {d.ymd('t')} AS date, t, 'Transfer ' || CAST(k AS STRING) AS description, CAST(a AS DOUBLE) AS amount,
-      CAST(balance AS DOUBLE) AS balance, CAST(first_value(balance - a) OVER (PARTITION BY c, page ORDER BY r) AS DOUBLE) AS opening
+      CAST(balance AS DOUBLE) AS balance, CAST(first_value(balance - a) OVER {page} AS DOUBLE) AS opening, CAST(last_value(balance) OVER {page} AS DOUBLE) AS closing, count(*) OVER {page} AS n
     FROM (SELECT *, CAST(floor((r - 1) / {PAGE}) AS INT) AS page, (c % 50 + 10) * 100000 + sum(a) OVER ({over}) AS balance
       FROM (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r,
         (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (o_orderkey % 900 + 100) * 1000 AS a FROM orders) x) y"""
 
 
 def statements(d) -> str:
-    """Three table layouts, two languages, three ways to write a debit, jittered cells, and a footer row below each table."""
-    signed = lambda v: f"CASE WHEN {v} < 0 THEN CASE c % 5 WHEN 0 THEN '(' || {d.commas('-' + v)} || ')' WHEN 1 THEN {d.commas('-' + v)} || ' DR' ELSE '-' || {d.commas('-' + v)} END ELSE {d.commas(v)} || CASE WHEN c % 5 = 1 THEN ' CR' ELSE '' END END"
+    """Three table layouts, two languages, three ways to write a debit, jittered cells, and a footer row below each table. One pass over the ledger."""
     plain = lambda v: f"CASE WHEN {v} < 0 THEN '-' || {d.commas('-' + v)} ELSE {d.commas(v)} END"
-    pages = f"SELECT doc_id, c, c % 3 AS layout, c % 2 AS lang, max(opening) AS opening, max_by(balance, row_idx) AS closing, max(row_idx) AS n FROM ({ledger(d)}) l GROUP BY doc_id, c"
-    head = "CASE ln WHEN 0 THEN 'ACME BANK' WHEN 1 THEN w.title WHEN 2 THEN w.account || ': ' || lpad(CAST(c AS STRING), 10, '7') WHEN 3 THEN w.opens || ': ' || {o} ELSE w.closes || ': ' || {z} END".format(o=plain("opening"), z=plain("closing"))
-    cell = f"CASE k.kind WHEN 'date' THEN {d.dmy('t')} WHEN 'description' THEN description WHEN 'ref' THEN 'CT' || CAST(l.k % 900 + 100 AS STRING) WHEN 'amount' THEN {signed('amount')} WHEN 'debit' THEN CASE WHEN amount < 0 THEN {d.commas('-amount')} END WHEN 'credit' THEN CASE WHEN amount > 0 THEN {d.commas('amount')} END ELSE {plain('balance')} END"
+    signed = f"CASE WHEN amount < 0 THEN CASE c % 5 WHEN 0 THEN '(' || {d.commas('-amount')} || ')' WHEN 1 THEN {d.commas('-amount')} || ' DR' ELSE '-' || {d.commas('-amount')} END ELSE {d.commas('amount')} || CASE WHEN c % 5 = 1 THEN ' CR' ELSE '' END END"
+    word = "CASE c % 2 WHEN 0 THEN k.en ELSE k.vi END"
+    text = f"""CASE WHEN k.part = 'head' THEN {word} WHEN k.part = 'foot' THEN CASE k.place WHEN 0 THEN {word} ELSE {plain('closing')} END
+        WHEN k.part = 'line' THEN CASE k.place WHEN 0 THEN 'ACME BANK' WHEN 1 THEN {word} WHEN 2 THEN {word} || ': ' || lpad(CAST(c AS STRING), 10, '7') WHEN 3 THEN {word} || ': ' || {plain('opening')} ELSE {word} || ': ' || {plain('closing')} END
+        WHEN k.kind = 'date' THEN {d.dmy('t')} WHEN k.kind = 'description' THEN description WHEN k.kind = 'ref' THEN 'CT' || CAST(l.k % 900 + 100 AS STRING) WHEN k.kind = 'amount' THEN {signed}
+        WHEN k.kind = 'debit' THEN CASE WHEN amount < 0 THEN {d.commas('-amount')} END WHEN k.kind = 'credit' THEN CASE WHEN amount > 0 THEN {d.commas('amount')} END ELSE {plain('balance')} END"""
+    y = "CASE k.part WHEN 'line' THEN 20 + 36 * k.place WHEN 'head' THEN 300 + (c + k.place) % 4 WHEN 'cell' THEN 300 + 36 * row_idx + (c * row_idx) % 3 + (l.k + k.place) % 4 ELSE 308 + 36 * (n + 1) END"
     return f"""
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0) - 1 AS INT) AS tok_idx, text, x0, y0, x0 + 100 AS x1, y0 + 20 AS y1, 0.9 + CAST(c % 10 AS DOUBLE) / 100 AS conf FROM (
-      SELECT doc_id, c, CAST(40 AS DOUBLE) AS x0, CAST(20 + 36 * ln AS DOUBLE) AS y0, {head} AS text FROM ({pages}) p JOIN {WORDS} ON w.lang = p.lang CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS n(ln)
-      UNION ALL SELECT doc_id, c, CAST(k.x AS DOUBLE), CAST(300 + (c + k.place) % 4 AS DOUBLE), CASE p.lang WHEN 0 THEN k.en ELSE k.vi END FROM ({pages}) p JOIN {TABLE} ON k.layout = p.layout
-      UNION ALL SELECT doc_id, c, CAST(k.x + (l.k * 7 + k.place * 5) % 13 - 4 AS DOUBLE), CAST(300 + 36 * row_idx + (c * row_idx) % 3 + (l.k + k.place) % 4 AS DOUBLE), {cell} FROM (SELECT *, c % 3 AS layout FROM ({ledger(d)}) l0) l JOIN {TABLE} ON k.layout = l.layout
-      UNION ALL SELECT doc_id, c, CAST(CASE f.side WHEN 0 THEN 40 ELSE 790 END AS DOUBLE), CAST(300 + 36 * (n + 1) + 8 AS DOUBLE), CASE f.side WHEN 0 THEN w.total ELSE {plain('closing')} END FROM ({pages}) p JOIN {WORDS} ON w.lang = p.lang CROSS JOIN (VALUES (0), (1)) AS f(side)) t WHERE text IS NOT NULL"""
+      SELECT l.doc_id, l.c, CAST(k.x + CASE k.part WHEN 'cell' THEN (l.k * 7 + k.place * 5) % 13 - 4 ELSE 0 END AS DOUBLE) AS x0, CAST({y} AS DOUBLE) AS y0, {text} AS text
+      FROM (SELECT *, c % 3 AS layout FROM ({ledger(d)}) l0) l JOIN {_slots()} ON k.layout = l.layout WHERE k.part = 'cell' OR (k.part = 'foot' AND row_idx = n) OR (k.part <> 'foot' AND row_idx = 1)) t WHERE text IS NOT NULL"""
 
 
 def payment_orders(d) -> str:

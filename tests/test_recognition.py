@@ -13,7 +13,7 @@ def value(spark, column, **cols):
 def test_reply_and_transactions(spark):
     assert value(spark, C.reply_json(F.col("s"), "a int"), s='x {"a": 3} y').a == 3
     assert value(spark, C.reply_json(F.col("s"), "a int"), s="none") is None
-    got = value(spark, C.transactions(F.col("s")), s='[{"date": "1/2/26", "description": "ABC", "amount": "-4,500"}, null]')
+    got = value(spark, C.transactions(F.col("s")), s='[{"date": "1/2/26", "description": "ABC", "amount": "-4,500"}, null, 7, "x", {"other": 1}]')
     assert [tuple(t) for t in got] == [("2026-02-01", "abc", -4500.0, None)]
 
 

@@ -8,7 +8,7 @@ import pytest
 from paperloom.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["lines", "line_items", "receipt_fields", "document_type", "routing", "reconcile", "norm_money", "norm_date", "signed_money", "latency_p95", "alert_hold", "registry_active", "calibration_bins", "box_overlap"]
+SAMPLE = ["lines", "line_items", "receipt_fields", "document_type", "routing", "reconcile", "norm_money", "norm_date", "signed_money", "latency_p95", "alert_hold", "registry_active", "calibration_bins", "box_overlap", "percentiles", "stress", "entity_f1", "detector_taxonomy", "semantic_columns", "label_files", "region_files", "reply_transactions"]
 
 
 def canonical(rows, columns):
