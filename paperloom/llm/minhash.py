@@ -210,7 +210,7 @@ def shared_prefixes(members: DataFrame, sets: DataFrame, percent: int = PERCENT)
     grid = own.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).filter(F.col("all") > F.col("main.n"))
     blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
     grid = cut(grid.select("key", F.col("main.component").alias("main"), blocks_of(F.col("all")).alias("across"), blocks_of(F.col("all") - F.col("main.n")).alias("down")))
-    dealt = cut(rows.join(grid, "key"))
+    dealt = rows.join(grid, "key")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     salt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     left = dealt.filter("component <> main").withColumn("i", salt("down")).withColumn("j", every("across")).alias("l")
@@ -223,22 +223,23 @@ def shared_prefixes(members: DataFrame, sets: DataFrame, percent: int = PERCENT)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every vertex of the edges (a, b): the smallest id reachable. Labels spread to neighbours, then jump to their label's label.
+    """(id, component) of every vertex of the edges (a, b): the smallest id reachable. A round takes the least of a vertex's label, its neighbours' and its label's label.
 
-    Both joins of a round read what was cut before, so that Spark can split the task of a vertex or label that many rows share.
+    What the joins of a round read was cut before, so that Spark can split the task of a vertex or label that many rows share.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    none = F.lit(None).cast("long")
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("of_b")), "b").groupBy("a").agg(F.min("of_b").alias("near"))
-        spread = cut(labels.join(near, "a").select("a", F.least("label", "near").alias("new"), F.col("label").alias("old")))
-        moved = cut(spread.join(spread.select(F.col("a").alias("new"), F.col("new").alias("far")), "new", "left").select("a", F.least("new", F.coalesce("far", "new")).alias("label"), "old"))
-        forget(labels, spread)
+        of = labels.select(F.col("a").alias("b"), F.col("label").alias("to"))
+        near = both.join(of, "b").select("a", "to", none.alias("was"))
+        far = labels.withColumnRenamed("label", "b").join(of, "b").select("a", "to", none.alias("was"))
+        moved = cut(near.unionByName(far).unionByName(labels.select("a", F.col("label").alias("to"), F.col("label").alias("was"))).groupBy("a").agg(F.min("to").alias("label"), F.max("was").alias("was")))
+        forget(labels)
         labels = moved.select("a", "label")
-        if moved.filter(F.col("label") != F.col("old")).isEmpty():
+        if moved.filter("label < was").isEmpty():
             forget(both)
             return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
-        labels, moved = cut(labels), forget(moved)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     forget(classes, stars)
 
     repeated = reps.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("doc_id")
-    links = cut(reps.join(repeated, "doc_id").filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = reps.join(repeated, "doc_id").filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = members.filter("rep > centre").groupBy("rep", "centre").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("best"))
     pairs = cut(stars.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")))
     label = None

@@ -33,12 +33,4 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, m.c AS component_id, s.doc_id =
 FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id
 """
 
-#: Exact search; at this size the index visits all cells.
-OP9 = """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
-"""
-
-ORACLE = {"op7_minhash_dedup": OP7, "op9_multi_index": OP9}
+ORACLE = {"op7_minhash_dedup": OP7}
