@@ -12,6 +12,7 @@ from ..functions import normalise as N
 from ..functions import recognition as C
 from ..operators import evaluation as E
 from ..operators import layout as L
+from ..operators import learned as M
 from ..operators import structure as T
 from ..sources import render as R
 from ..streaming import events as S
@@ -119,6 +120,7 @@ sql("reconcile", "G5 G6 W3", lambda d: f"SELECT doc_id, CAST(row_reconcile AS DO
 TRIGGERS = lambda d: f"SELECT r.doc_id, concat_ws(',', CASE WHEN r.row_reconcile < 0.7 THEN 'reconcile' END, CASE WHEN coalesce(c.ok, 0) = 0 THEN 'missing_columns' END, CASE WHEN coalesce(m.rate, 0) < 0.75 THEN 'assignment' END, CASE WHEN r.n_rows < 3 AND w.n >= 6 THEN 'few_items' END) AS reasons FROM ({L.reconcile(d)}) r LEFT JOIN ({COLUMNS_OK(d)}) c ON c.doc_id = r.doc_id LEFT JOIN ({T.table_mode(d)}) m ON m.doc_id = r.doc_id LEFT JOIN (SELECT doc_id, max(yrow) + 1 AS n FROM ({L.row_tokens(d, R.statements(d))}) t GROUP BY doc_id) w ON w.doc_id = r.doc_id"
 sql("statement_triggers", "G8", lambda d: TRIGGERS(d))
 RESULTS = lambda d: f"SELECT t.doc_id, t.doc_type, coalesce(r.needs_review, CASE WHEN q.row_reconcile < 0.7 THEN 1 ELSE 0 END, 0) AS needs_review, coalesce(r.reasons, '') AS reasons FROM ({L.document_type(d)}) t LEFT JOIN ({L.routing(d)}) r ON r.doc_id = t.doc_id LEFT JOIN ({L.reconcile(d)}) q ON q.doc_id = t.doc_id"
+SUMMARY_LINE = lambda d: f"'| ' || field || ' | ' || coalesce(value, '-') || ' | ' || {d.fixed2('confidence')} || ' |'"
 sql("document_results", "G10 G11 D8 D9", RESULTS)
 sql("batch_summary", "A23 D9", lambda d: E.batches(d))
 sql("data_validation", "G13", lambda d: f"SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS non_empty, CASE WHEN avg(CASE WHEN gold IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 1 ELSE 0 END AS covered, CASE WHEN min(CASE WHEN field = 'total_amount' THEN try_cast(gold AS DOUBLE) END) > 0 THEN 1 ELSE 0 END AS totals_ok FROM ({E.gold_fields(d)}) g")
@@ -226,6 +228,11 @@ ORACLE["stream_tumbling"] = "SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIG
 ORACLE["stream_sliding"] = "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) + k * 3600 AS instant, count(*) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS n_error FROM events CROSS JOIN (VALUES (1), (2)) AS o(k) GROUP BY 1"
 ORACLE["stream_sessions"] = "SELECT user_id, min(t) AS start, max(t) + 1800 AS stop, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id) AS s FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 1800 THEN 0 ELSE 1 END AS b FROM events) x) y GROUP BY user_id, s"
 
+# ---- learned models: fitted, so without SQL
+for _name, _covers, _query in (("learned_fields", "C5 C10 C11", M.field_scores), ("learned_types", "C8 C12", M.document_types), ("model_predictions", "X10", M.predictions)):
+    QUERIES[_name], COVERS[_name] = _query, _covers
+sql("document_summary", "X23", lambda d: f"SELECT t.doc_id, 'document type: ' || t.doc_type || ', needs review: ' || CASE WHEN t.needs_review = 1 THEN 'yes' ELSE 'no' END || coalesce(chr(10) || f.lines, '') AS summary FROM ({RESULTS(d)}) t LEFT JOIN (SELECT doc_id, {d.agg(SUMMARY_LINE(d), 'ord', chr(10))} AS lines FROM ({L.fields(d)}) x GROUP BY doc_id) f ON f.doc_id = t.doc_id")
+
 # ---- files and column functions
 QUERIES.update(file_queries.QUERIES)
 ORACLE.update(file_queries.ORACLE)

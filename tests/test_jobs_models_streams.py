@@ -52,6 +52,20 @@ def test_models(spark):
     assert cal.filter((F.col("p") >= 0.5) == (F.col("label") == 1)).count() > 0.85 * test.count() and cal.filter("p < 0 or p > 1").count() == 0
 
 
+def test_learned_fields_and_types(spark):
+    """Right on documents that the fit hasn't seen; every document and field has a row."""
+    from paperloom.operators import evaluation, learned
+    from paperloom.plans.dialect import Spark, run
+
+    gold = run(spark, SF, f"SELECT doc_id, field, gold FROM ({evaluation.gold_fields(Spark())}) g")
+    got = learned.field_scores(spark, SF).join(gold, ["doc_id", "field"]).cache()
+    _, test = models.split(got, "doc_id")
+    assert got.count() == gold.count() and test.filter("value <=> gold").count() > 0.9 * test.count() and got.filter("confidence < 0 or confidence > 1").count() == 0
+    types = learned.document_types(spark, SF)
+    right = types.filter("doc_type = CASE substr(doc_id, 1, 1) WHEN 'r' THEN 'receipt' WHEN 's' THEN 'bank_statement' ELSE 'payment_order' END")
+    assert right.count() > 0.95 * types.count()
+
+
 @pytest.mark.parametrize("name", ["stream_tumbling", "stream_sliding", "stream_sessions"])
 def test_streams_equal_batch(spark, name):
     import duckdb
