@@ -166,13 +166,17 @@ def document_features(d):
     count = lambda kws: " + ".join(f"CAST((length(t) - length(replace(t, '{k}', ''))) / {len(k)} AS BIGINT)" for k in kws)
     money_token = d.has("text", "[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+[.][0-9]{2}")
     return f"""
-    SELECT doc_id, {count(STATEMENT)} AS stmt, {count(RECEIPT)} AS rcpt, {count(ORDER)} AS po, n_money / n AS money_share, (1 + gaps) / 20.0 AS row_share, n_money, n / 50.0 AS size FROM (
-      SELECT doc_id, {d.agg('lower(text)', 'tok_idx')} AS t, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN {money_token} THEN 1 ELSE 0 END) AS DOUBLE) AS n_money, CAST(sum(CASE WHEN cy - pcy > 12 THEN 1 ELSE 0 END) AS DOUBLE) AS gaps
+    SELECT doc_id, {count(STATEMENT)} AS stmt, {count(RECEIPT)} AS rcpt, {count(ORDER)} AS po, n_money / n AS money_share, (1 + gaps) / 20.0 AS row_share, n_money, n / 50.0 AS size, least_conf FROM (
+      SELECT doc_id, {d.agg('lower(text)', 'tok_idx')} AS t, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN {money_token} THEN 1 ELSE 0 END) AS DOUBLE) AS n_money, CAST(sum(CASE WHEN cy - pcy > 12 THEN 1 ELSE 0 END) AS DOUBLE) AS gaps, min(CAST(conf AS DOUBLE)) AS least_conf
       FROM (SELECT *, lag(cy) OVER (PARTITION BY doc_id ORDER BY cy, tok_idx) AS pcy FROM (SELECT *, (y0 + y1) / 2 AS cy FROM ({all_tokens(d)}) t0) t1) t2 GROUP BY doc_id) f"""
 
 
+#: A page with a token below this confidence fails the quality gate.
+UNREADABLE = 0.605
+
+
 def document_type(d):
-    return f"SELECT doc_id, stmt, rcpt, po, CASE WHEN stmt >= rcpt AND stmt >= po THEN 'bank_statement' WHEN rcpt >= po THEN 'receipt' ELSE 'payment_order' END AS doc_type, CAST(0.6 AS DOUBLE) AS confidence FROM ({document_features(d)}) f"
+    return f"SELECT doc_id, stmt, rcpt, po, CASE WHEN stmt >= rcpt AND stmt >= po THEN 'bank_statement' WHEN rcpt >= po THEN 'receipt' ELSE 'payment_order' END AS doc_type, CAST(0.6 AS DOUBLE) AS confidence, CASE WHEN least_conf < {UNREADABLE} THEN 0 ELSE 1 END AS quality_pass FROM ({document_features(d)}) f"
 
 
 def reasons(d, f="f", required=REQUIRED):

@@ -122,11 +122,26 @@ def geometry(d):
     return "SELECT event_id, skew, CASE WHEN abs(skew) > 5 AND abs(skew) >= 8.0 THEN 1 ELSE 0 END AS risky FROM (SELECT event_id, CAST(event_id % 25 AS DOUBLE) - 12 AS skew FROM events) e"
 
 
-def escalated(d):
-    """A second reader's values replace the first's at 0.80; review follows from the required fields again."""
-    second = "SELECT doc_id, field, gold FROM (" + "SELECT 'r' || CAST(o_orderkey AS STRING) AS doc_id, 'date' AS field, " + f"{d.ymd('o_orderdate')} AS gold FROM orders WHERE o_orderkey % 2 = 0) v"
-    f = f"SELECT f.doc_id, f.field, coalesce(v.gold, f.value) AS value, CASE WHEN v.gold IS NOT NULL THEN CAST(0.8 AS DOUBLE) ELSE CAST(f.confidence AS DOUBLE) END AS confidence FROM ({layout.fields(d)}) f LEFT JOIN ({second}) v ON v.doc_id = f.doc_id AND v.field = f.field"
-    return f"SELECT doc_id, needs_review, reasons FROM ({layout.routing(d, f)}) r"
+def second_reader(d):
+    """Another reader's field values, as a fixture: it knows only some fields of some receipts."""
+    return f"SELECT doc_id, field, value FROM (SELECT 'r' || CAST(o_orderkey AS STRING) AS doc_id, f.field, CASE f.field WHEN 'merchant_name' THEN CASE WHEN o_orderkey % 4 <> 0 THEN 'shop ' || CAST(o_custkey % 97 AS STRING) END WHEN 'date' THEN CASE WHEN o_orderkey % 2 = 0 THEN {d.ymd('o_orderdate')} END WHEN 'total_amount' THEN CASE WHEN o_orderkey % 5 = 2 THEN CAST(CAST(o_orderkey % 900 AS DOUBLE) AS STRING) END END AS value FROM orders CROSS JOIN {layout.FIELDS} AS f(field, ord)) x WHERE value IS NOT NULL"
+
+
+def merged_fields(d, fields=None, second=None, mode="all"):
+    """A layout model's values where the extraction has none or an unsure one: the merchant below 0.75, in mode `all` date and total below 0.60."""
+    weak = lambda least: f"s.value IS NOT NULL AND (f.value IS NULL OR f.confidence < {least})"
+    rules = [("f.field = 'merchant_name'", weak(0.75), 0.72)] + ([("f.field IN ('date', 'total_amount')", weak(0.60), 0.65)] if mode == "all" else [])
+    value = "CASE " + " ".join(f"WHEN {which} AND {when} THEN s.value" for which, when, _ in rules) + " ELSE f.value END"
+    conf = "CASE " + " ".join(f"WHEN {which} AND {when} THEN greatest(CAST(f.confidence AS DOUBLE), CAST({least} AS DOUBLE))" for which, when, least in rules) + " ELSE CAST(f.confidence AS DOUBLE) END"
+    return f"SELECT f.doc_id, f.field, {value} AS value, {conf} AS confidence FROM ({fields or layout.fields(d)}) f LEFT JOIN ({second or second_reader(d)}) s ON s.doc_id = f.doc_id AND s.field = f.field"
+
+
+def escalated(d, fields=None, second=None):
+    """Receipts that need review are read again: what the second reader has replaces the first's at 0.80, and review follows from the required fields anew."""
+    fields = fields or layout.fields(d)
+    again = f"SELECT doc_id FROM ({layout.routing(d, fields)}) q WHERE needs_review = 1"
+    f = f"SELECT f.doc_id, f.field, coalesce(s.value, f.value) AS value, CASE WHEN s.value IS NOT NULL THEN CAST(0.8 AS DOUBLE) ELSE CAST(f.confidence AS DOUBLE) END AS confidence, CASE WHEN s.value IS NOT NULL THEN 1 ELSE 0 END AS replaced FROM ({fields}) f LEFT JOIN ({again}) a ON a.doc_id = f.doc_id LEFT JOIN ({second or second_reader(d)}) s ON s.doc_id = a.doc_id AND s.field = f.field"
+    return f"SELECT r.doc_id, r.needs_review, r.reasons, CASE WHEN x.n > 0 THEN 'vlm_fallback' ELSE 'traditional_ocr' END AS route FROM ({layout.routing(d, f)}) r JOIN (SELECT doc_id, sum(replaced) AS n FROM ({f}) f1 GROUP BY doc_id) x ON x.doc_id = r.doc_id"
 
 
 def entity_text(d, tags):
@@ -140,10 +155,25 @@ def first_subword(d):
     return f"SELECT conv_id, word, role AS tag FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, word ORDER BY turn, role) AS rn FROM ({rows}) r) x WHERE rn = 1"
 
 
+def tuned_tokens(d):
+    """What a recogniser tuned to the language reads in the same boxes, as a fixture: with diacritics, and surer."""
+    return f"SELECT doc_id, tok_idx, replace(replace(replace(text, 'tien mat', 'tiền mặt'), 'TONG CONG', 'TỔNG CỘNG'), 'CUA HANG SO', 'CỬA HÀNG SỐ') AS text, least(CAST(conf AS DOUBLE) + 0.05, 1) AS conf FROM ({render.receipts(d)}) t"
+
+
 def merged_recognisers(d):
-    """Critical boxes take the second recogniser's text, the others the first's."""
-    critical = f"t.y0 < 0.3 * p.h OR {d.has('t.text', layout.DATE)} OR {d.has('t.text', layout.MONEY)}"
-    return f"SELECT t.doc_id, t.tok_idx, CASE WHEN {critical} THEN lower(t.text) ELSE t.text END AS text FROM ({render.receipts(d)}) t JOIN (SELECT doc_id, max(y1) AS h FROM ({render.receipts(d)}) u GROUP BY doc_id) p ON p.doc_id = t.doc_id"
+    """Critical boxes (in the top 30 %, or a date, money or anchor) take the tuned recogniser's text and confidence, the others the default one's."""
+    words = "|".join(w for ws in layout.ANCHOR_WORDS.values() for w in ws)
+    critical = f"(t.y0 < 0.3 * t.page_h OR {d.has('t.text', layout.DATE)} OR {d.has('t.text', layout.MONEY)} OR {d.has('lower(t.text)', words)})"
+    return f"SELECT t.doc_id, t.tok_idx, CASE WHEN {critical} THEN coalesce(s.text, t.text) ELSE t.text END AS text, round(CASE WHEN {critical} THEN coalesce(s.conf, CAST(t.conf AS DOUBLE)) ELSE CAST(t.conf AS DOUBLE) END, 6) AS conf FROM (SELECT *, max(y1) OVER (PARTITION BY doc_id) AS page_h FROM ({render.receipts(d)}) r) t LEFT JOIN ({tuned_tokens(d)}) s ON s.doc_id = t.doc_id AND s.tok_idx = t.tok_idx"
+
+
+def route_report(d, probe):
+    """By the route that was right for a document: how many took it, and of those that kept the default recogniser how many have its very tokens."""
+    shown = "CASE WHEN p.recogniser = 'tuned' THEN upper(t.text) ELSE t.text END"
+    auto = f"SELECT t.doc_id, p.recogniser, {d.agg('t.text', 't.tok_idx')} AS base, {d.agg(shown, 't.tok_idx')} AS auto FROM ({layout.all_tokens(d)}) t JOIN ({probe}) p ON p.doc_id = t.doc_id GROUP BY t.doc_id, p.recogniser"
+    one = lambda c: f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
+    default = "recogniser = 'default'"
+    return f"SELECT expected, count(*) AS n, {one('recogniser = expected')} AS n_right, {one(default)} AS n_default, {one(default + ' AND auto = base')} AS n_identical FROM (SELECT *, CASE WHEN CAST(length(doc_id) AS INT) % 2 = 0 THEN 'tuned' ELSE 'default' END AS expected FROM ({auto}) a) e GROUP BY expected"
 
 
 # ---- profiles

@@ -104,12 +104,13 @@ sql("document_type", "C7", lambda d: L.document_type(d))
 sql("training_set", "C9", lambda d: f"SELECT c.doc_id, c.line_idx, c.field, CASE WHEN c.norm = g.gold THEN 1 ELSE 0 END AS label FROM ({L.candidates(d)}) c JOIN ({E.gold_fields(d)}) g ON g.doc_id = c.doc_id AND g.field = c.field WHERE c.norm IS NOT NULL AND g.gold IS NOT NULL")
 BIO = lambda d: f"SELECT doc_id, tok_idx, CASE WHEN {d.has('text', L.DATE)} THEN 'DATE' WHEN {d.has('text', '^[0-9,.]+$')} THEN 'TOTAL' WHEN tok_idx = 0 THEN 'MERCHANT' ELSE 'O' END AS cls FROM ({R.receipts(d)}) t"
 sql("bio_labels", "C13 W5", lambda d: f"SELECT doc_id, tok_idx, CASE WHEN cls = 'O' THEN 'O' WHEN lag(cls) OVER (PARTITION BY doc_id ORDER BY tok_idx) = cls THEN 'I-' || cls ELSE 'B-' || cls END AS tag FROM ({BIO(d)}) b")
-sql("field_merge", "C15", lambda d: f"SELECT doc_id, field, CASE WHEN value IS NULL OR confidence < 0.75 THEN coalesce(gold, value) ELSE value END AS value FROM (SELECT g.doc_id, g.field, g.pred AS value, coalesce(g.confidence, 0) AS confidence, g.gold FROM ({E.gold_fields(d)}) g WHERE g.field = 'merchant_name') m")
+sql("field_merge", "C15", lambda d: T.merged_fields(d))
+sql("merchant_merge", "C15", lambda d: T.merged_fields(d, mode="merchant"))
 PO_KEYS = "(VALUES ('sender_name', 'remitter'), ('sender_account', 'from account'), ('beneficiary_name', 'payee'), ('beneficiary_account', 'to account'), ('amount', 'amount'), ('content', 'remark'), ('date', 'date'))"
 sql("key_values", "C16", lambda d: f"SELECT doc_id, field, value, CASE WHEN value IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(0.82 AS DOUBLE) END AS confidence FROM (SELECT doc_id, field, CASE WHEN contains(field, 'account') THEN {d.rx('''replace(text, ' ', '')''', '[0-9]{6,}')} WHEN field = 'amount' THEN CAST({L.signed(d, 'text')} AS STRING) WHEN field = 'date' THEN {L.date(d, 'text')} ELSE lower(trim(substr(text, instr(text, ':') + 1))) END AS value FROM (SELECT t.doc_id, k.field, t.text, row_number() OVER (PARTITION BY t.doc_id, k.field ORDER BY t.tok_idx) AS rn FROM ({R.payment_orders(d)}) t JOIN {PO_KEYS} AS k(field, kw) ON contains(lower(t.text), k.kw)) r WHERE rn = 1) v UNION ALL SELECT doc_id, 'bank_name', lower(trim(text)), CAST(0.85 AS DOUBLE) FROM ({R.payment_orders(d)}) b WHERE tok_idx = 0")
 FIRST_DIGITS = lambda d: "min_by(" + d.rx("replace(text, ' ', '')", "[0-9]{8,}") + ", CASE WHEN " + d.has("replace(text, ' ', '')", "[0-9]{8,}") + " THEN tok_idx END)"
 sql("statement_header", "C17", lambda d: f"SELECT doc_id, bank_name, coalesce(stated_account, first_digits) AS account_number, CASE WHEN stated_account IS NOT NULL THEN CAST(0.82 AS DOUBLE) WHEN first_digits IS NOT NULL THEN CAST(0.78 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS account_confidence, opening, closing FROM (SELECT doc_id, max(CASE WHEN tok_idx = 0 THEN text END) AS bank_name, max(CASE WHEN {d.has('lower(text)', 'account no|so tai khoan')} THEN {d.rx('''replace(text, ' ', '')''', '[0-9]{8,}')} END) AS stated_account, {FIRST_DIGITS(d)} AS first_digits, max(CASE WHEN {d.has('lower(text)', 'opening balance|so du dau')} THEN {L.signed(d, 'text')} END) AS opening, max(CASE WHEN {d.has('lower(text)', 'closing balance|so du cuoi')} THEN {L.signed(d, 'text')} END) AS closing FROM ({R.statements(d)}) t GROUP BY doc_id) h")
-PROBE = lambda d: f"SELECT doc_id, avg(CASE WHEN CAST(length(text) - length(translate(text, '{N.VN_LETTERS}', '')) AS DOUBLE) / greatest(length(text), 1) >= 0.06 THEN 1.0 ELSE 0.0 END) AS share, CAST(sum(length(text) - length(translate(text, '{N.VN_LETTERS}', ''))) AS DOUBLE) / greatest(sum(length(text)), 1) AS ratio FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx) AS rn FROM (SELECT doc_id, tok_idx, CASE WHEN CAST(length(doc_id) AS INT) % 2 = 0 THEN replace(text, 'a', 'ă') ELSE text END AS text FROM ({L.all_tokens(d)}) t0) t) p WHERE rn <= 8 GROUP BY doc_id"
+PROBE = lambda d: f"SELECT doc_id, avg(CASE WHEN CAST(length(text) - length(translate(text, '{N.VN_LETTERS}', '')) AS DOUBLE) / greatest(length(text), 1) >= 0.06 THEN 1.0 ELSE 0.0 END) AS share, CAST(sum(length(text) - length(translate(text, '{N.VN_LETTERS}', ''))) AS DOUBLE) / greatest(sum(length(text)), 1) AS ratio FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx) AS rn FROM (SELECT doc_id, tok_idx, CASE WHEN CAST(length(doc_id) AS INT) % 2 = 0 THEN translate(text, 'aAoOuUeE', 'ăĂơƠưƯêÊ') ELSE text END AS text FROM ({L.all_tokens(d)}) t0) t) p WHERE rn <= 8 GROUP BY doc_id"
 sql("language_route", "C18", lambda d: f"SELECT doc_id, round(ratio, 6) AS ratio, CASE WHEN ratio >= 0.06 THEN 'tuned' ELSE 'default' END AS recogniser FROM ({PROBE(d)}) p")
 
 # ---- guards, routing, reconciliation
@@ -119,7 +120,7 @@ sql("cross_validate_total", "G3", lambda d: f"SELECT s.doc_id, s.total, m.seen F
 sql("reconcile", "G5 G6 W3", lambda d: f"SELECT doc_id, CAST(row_reconcile AS DOUBLE) AS row_reconcile, closing_reconcile, n_rows FROM ({L.reconcile(d)}) r")
 TRIGGERS = lambda d: f"SELECT r.doc_id, concat_ws(',', CASE WHEN r.row_reconcile < 0.7 THEN 'reconcile' END, CASE WHEN coalesce(c.ok, 0) = 0 THEN 'missing_columns' END, CASE WHEN coalesce(m.rate, 0) < 0.75 THEN 'assignment' END, CASE WHEN r.n_rows < 3 AND w.n >= 6 THEN 'few_items' END) AS reasons FROM ({L.reconcile(d)}) r LEFT JOIN ({COLUMNS_OK(d)}) c ON c.doc_id = r.doc_id LEFT JOIN ({T.table_mode(d)}) m ON m.doc_id = r.doc_id LEFT JOIN (SELECT doc_id, max(yrow) + 1 AS n FROM ({L.row_tokens(d, R.statements(d))}) t GROUP BY doc_id) w ON w.doc_id = r.doc_id"
 sql("statement_triggers", "G8", lambda d: TRIGGERS(d))
-RESULTS = lambda d: f"SELECT t.doc_id, t.doc_type, coalesce(r.needs_review, CASE WHEN q.row_reconcile < 0.7 THEN 1 ELSE 0 END, 0) AS needs_review, coalesce(r.reasons, '') AS reasons FROM ({L.document_type(d)}) t LEFT JOIN ({L.routing(d)}) r ON r.doc_id = t.doc_id LEFT JOIN ({L.reconcile(d)}) q ON q.doc_id = t.doc_id"
+RESULTS = lambda d: f"SELECT t.doc_id, t.doc_type, CASE WHEN r.needs_review = 1 OR q.row_reconcile < 0.7 OR t.quality_pass = 0 THEN 1 ELSE 0 END AS needs_review, t.quality_pass, coalesce(r.reasons, '') AS reasons FROM ({L.document_type(d)}) t LEFT JOIN ({L.routing(d)}) r ON r.doc_id = t.doc_id LEFT JOIN ({L.reconcile(d)}) q ON q.doc_id = t.doc_id"
 SUMMARY_LINE = lambda d: f"'| ' || field || ' | ' || coalesce(value, '-') || ' | ' || {d.fixed2('confidence')} || ' |'"
 sql("document_results", "G10 G11 D8 D9", RESULTS)
 sql("batch_summary", "A23 D9", lambda d: E.batches(d))
@@ -153,10 +154,13 @@ sql("entity_f1", "A26", lambda d: E.entity_f1(d))
 REJECTS = lambda d: "SELECT doc_id, CASE WHEN text IS NULL THEN 'malformed_line' WHEN trim(text) = '' THEN 'empty_label' WHEN source IS NULL THEN 'missing_image' WHEN n_chars <> length(text) THEN 'corrupt_image' ELSE 'ok' END AS reason FROM documents"
 sql("reject_counts", "A27", lambda d: f"SELECT coalesce(l.part, 'none') AS part, r.reason, count(*) AS n FROM ({REJECTS(d)}) r LEFT JOIN (SELECT doc_id, min(CASE WHEN quality = 1 THEN 'train' ELSE 'test' END) AS part FROM labels GROUP BY doc_id) l ON l.doc_id = r.doc_id GROUP BY coalesce(l.part, 'none'), r.reason")
 sql("split_sanity", "A27", lambda d: "SELECT CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS repeated_texts, CAST(sum(CASE WHEN n_parts > 1 THEN 1 ELSE 0 END) AS BIGINT) AS in_both_parts, count(*) AS texts FROM (SELECT d.text, count(*) AS n, count(DISTINCT l.quality) AS n_parts FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.text) t")
-sql("high_risk", "A28", lambda d: f"SELECT count(*) AS docs, CAST(sum(CASE WHEN f.conf > 0.85 AND r.needs_review = 1 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk FROM (SELECT doc_id, avg(confidence) AS conf FROM ({L.fields(d)}) x GROUP BY doc_id) f JOIN ({L.routing(d)}) r ON r.doc_id = f.doc_id")
-sql("route_identity", "A30", lambda d: f"SELECT a.doc_id, CASE WHEN a.t = b.t THEN 1 ELSE 0 END AS same FROM (SELECT doc_id, {d.agg('text', 'tok_idx')} AS t FROM ({R.receipts(d)}) x GROUP BY doc_id) a JOIN (SELECT doc_id, {d.agg('text', 'line_idx')} AS t FROM ({L.lines(d, R.receipts(d))}) y GROUP BY doc_id) b ON a.doc_id = b.doc_id")
+sql("high_risk", "A28", lambda d: f"SELECT r.needs_review, count(*) AS docs, CAST(sum(f.n_low) AS BIGINT) AS low_confidence, CAST(sum(CASE WHEN f.conf > 0.85 AND r.needs_review = 1 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk FROM (SELECT doc_id, avg(confidence) AS conf, sum(CASE WHEN value IS NOT NULL AND confidence < 0.75 THEN 1 ELSE 0 END) AS n_low FROM ({L.fields(d)}) x GROUP BY doc_id) f JOIN ({L.routing(d)}) r ON r.doc_id = f.doc_id GROUP BY r.needs_review")
+sql("confidence_histogram", "A28 M12", lambda d: f"SELECT CAST(k.le AS DOUBLE) AS le, CAST(sum(CASE WHEN confidence <= k.le THEN 1 ELSE 0 END) AS BIGINT) AS n FROM ({L.fields(d)}) x CROSS JOIN (VALUES (0.5), (0.7), (0.8), (0.9), (1.0)) AS k(le) WHERE value IS NOT NULL GROUP BY k.le")
+ROUTES = lambda d: f"SELECT doc_id, round(ratio, 6) AS ratio, CASE WHEN ratio >= 0.06 THEN 'tuned' ELSE 'default' END AS recogniser FROM ({PROBE(d)}) p"
+sql("route_identity", "A30", lambda d: T.route_report(d, ROUTES(d)))
 sql("robustness", "A31", lambda d: f"SELECT degradation, model, count(*) AS n, round(avg(cer), 4) AS cer, round(avg(anls), 4) AS anls, round(avg(CAST(exact AS DOUBLE)), 4) AS exact FROM ({E.scored(d, E.runs(d))}) s GROUP BY degradation, model")
 
+sql("recogniser_report", "X1 X13", lambda d: f"SELECT n, round(base, 4) AS base, round(tuned, 4) AS tuned, base_exact, tuned_exact, CASE WHEN base > 0 THEN round((base - tuned) / base * 100, 1) END AS drop_percent FROM (SELECT CAST(count(*) / 2 AS BIGINT) AS n, avg(CASE WHEN model = 'base' THEN cer END) AS base, avg(CASE WHEN model = 'tuned' THEN cer END) AS tuned, round(avg(CASE WHEN model = 'base' THEN CAST(exact AS DOUBLE) END), 4) AS base_exact, round(avg(CASE WHEN model = 'tuned' THEN CAST(exact AS DOUBLE) END), 4) AS tuned_exact FROM ({E.scored(d, E.runs(d))}) s) r")
 sql("worst_items", "W9", lambda d: f"SELECT model, place, item_id, cer FROM (SELECT model, item_id, cer, CAST(row_number() OVER (PARTITION BY model ORDER BY cer DESC, item_id) AS BIGINT) AS place FROM ({E.scored(d, E.runs(d))}) s WHERE exact = 0) r WHERE place <= 8")
 
 # ---- monitoring

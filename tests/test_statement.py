@@ -131,3 +131,17 @@ def test_routing(spark):
     assert got == {"a": ("low_conf:date=0.74", 1), "b": ("missing:date,low_conf:total_amount=0.80", 1), "c": ("", 0)}
     more = {r.doc_id: r.reasons for r in spark.sql(L.routing(Spark(), fields, ("merchant_name", "date", "other"))).collect()}
     assert more["c"] == "missing:merchant_name"
+
+
+def test_merge_and_escalation(spark):
+    from paperloom.operators import structure as T
+
+    fields = "SELECT * FROM VALUES ('a', 'merchant_name', 'x', 0.74D), ('a', 'date', null, 0.0D), ('a', 'total_amount', '5', 0.7D), ('b', 'merchant_name', 'y', 0.75D), ('b', 'date', 'd', 0.9D), ('b', 'total_amount', '6', 0.9D) AS f(doc_id, field, value, confidence)"
+    second = "SELECT * FROM VALUES ('a', 'merchant_name', 'X'), ('a', 'date', 'D'), ('a', 'total_amount', '7'), ('b', 'merchant_name', 'Y'), ('b', 'date', 'E') AS s(doc_id, field, value)"
+    merged = lambda mode: {(r.doc_id, r.field): (r.value, r.confidence) for r in spark.sql(T.merged_fields(Spark(), fields, second, mode)).collect()}
+    assert merged("all") == {("a", "merchant_name"): ("X", 0.74), ("a", "date"): ("D", 0.65), ("a", "total_amount"): ("5", 0.7), ("b", "merchant_name"): ("y", 0.75), ("b", "date"): ("d", 0.9), ("b", "total_amount"): ("6", 0.9)}
+    assert merged("merchant")["a", "date"] == (None, 0.0)
+    got = {r.doc_id: (r.needs_review, r.reasons, r.route) for r in spark.sql(T.escalated(Spark(), fields, second)).collect()}
+    assert got == {"a": (0, "", "vlm_fallback"), "b": (0, "", "traditional_ocr")}
+    less = "SELECT * FROM VALUES ('a', 'total_amount', '7') AS s(doc_id, field, value)"
+    assert {r.doc_id: r.reasons for r in spark.sql(T.escalated(Spark(), fields, less)).collect()} == {"a": "missing:date", "b": ""}
