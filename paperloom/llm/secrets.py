@@ -26,10 +26,16 @@ ORDER = ("assign", "access", "hex", "live")
 COPIED_OWNERS, COPIED_REPOS = 3, 4
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression that is written twice, or within a lambda, is computed again each time."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _running(values: Column, op) -> Column:
     """Running totals of an array under an associative op: shifts by 1, 2, 4, ..., each one pass over the array."""
-    shifts = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(values))
-    return F.reduce(shifts, values, lambda a, s: F.transform(a, lambda x, i: F.when(i >= s, op(F.get(a, i - s), x)).otherwise(x)))
+    shifts = F.array(*[F.lit(1 << k) for k in range(31)])
+    step = lambda a, s: F.transform(a, lambda x, i: F.when(i >= s, op(F.get(a, i - s), x)).otherwise(x))
+    return _let(values, lambda v: F.reduce(F.filter(shifts, lambda s: s < F.size(v)), v, step))
 
 
 def _spans(text: Column, pattern: str, kind: int, value: Column | None = None, least: int = 0) -> Column:
@@ -37,9 +43,9 @@ def _spans(text: Column, pattern: str, kind: int, value: Column | None = None, l
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     secret = (lambda m: F.regexp_replace(m, VALUE, "")) if value is not None else (lambda m: m)
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("text"), g.alias("gap"), F.length(m).alias("n")))
-    ends = _running(F.transform(pairs, lambda x: x.gap + x.n), lambda a, b: a + b)
-    spans = F.zip_with(pairs, ends, lambda x, end: F.struct((end - x.n).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), secret(x.text).alias("secret")))
+    pairs = _let(found, lambda f: F.zip_with(f, F.slice(between, 1, F.size(f)), lambda m, g: F.struct(m.alias("text"), g.alias("gap"), F.length(m).alias("n"))))
+    placed = lambda p, ends: F.zip_with(p, ends, lambda x, end: F.struct((end - x.n).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), secret(x.text).alias("secret")))
+    spans = _let(pairs, lambda p: _let(_running(F.transform(p, lambda x: x.gap + x.n), lambda a, b: a + b), lambda ends: placed(p, ends)))
     if least:
         spans = F.filter(spans, lambda s: F.length(s.secret) >= least)
     none = F.array().cast("array<struct<start:int,kind:int,end:int,secret:string>>")
@@ -109,11 +115,13 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     live = F.filter("spans", lambda s: ~s.copied)
     hits = cut(judged(rows).select(F.col("doc_id").alias("__key"), live.alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["__key"]))
     spans = F.col("__spans")
-    reach = _running(F.transform(spans, lambda s: s.end), F.greatest)  # where the spans up to here end
-    before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
-    kept = F.transform(spans, lambda s, i: F.when((i > 0) & (s.start < before(i)), F.lit("")).otherwise(F.concat(F.substring(text, before(i) + 1, s.start - before(i)), F.lit(mark))))
-    rest = F.substring(text, F.element_at(reach, -1) + 1, F.length(text))
-    new = F.when(spans.isNotNull(), F.concat(F.array_join(kept, ""), rest)).otherwise(text)
+
+    def cleaned(reach):  # reach: where the spans up to each end
+        before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+        kept = F.transform(spans, lambda s, i: F.when((i > 0) & (s.start < before(i)), F.lit("")).otherwise(F.concat(F.substring(text, before(i) + 1, s.start - before(i)), F.lit(mark))))
+        return F.concat(F.array_join(kept, ""), F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
+
+    new = F.when(spans.isNotNull(), _let(_running(F.transform(spans, lambda s: s.end), F.greatest), cleaned)).otherwise(text)
     out = docs.withColumn("__key", key).join(hits, "__key", "left").withColumn("text", new)
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(spans.isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
