@@ -188,6 +188,14 @@ class Level:
         return self.quantisers[which](self.codes[which][index])
 
 
+def _in_order(w: np.ndarray, v: np.ndarray, u: np.ndarray) -> bool:
+    """Whether rows ascend by w, then v, then u."""
+    up = u[1:] >= u[:-1]
+    for x in (v, w):
+        up = (x[1:] > x[:-1]) | ((x[1:] == x[:-1]) & up)
+    return bool(up.all())
+
+
 class Trie:
     """Reversed trigram trie: words, their predecessors, and theirs. Words are keyed by 64-bit hashes through a sorted vocabulary."""
 
@@ -201,8 +209,9 @@ class Trie:
         w, v, u, count = w[keep], v[keep], u[keep], count[keep]
         words = np.unique(np.concatenate((w, v, u)))
         w, v, u = (np.searchsorted(words, x) for x in (w, v, u))
-        order = np.lexsort((u, v, w))
-        w, v, u, count = w[order], v[order], u[order], count[order]
+        if not _in_order(w, v, u):
+            order = np.lexsort((u, v, w))
+            w, v, u, count = w[order], v[order], u[order], count[order]
         pair_at = runs(w.astype(_U) << _U(32) | v.astype(_U)) if len(w) else runs(w)
         pw, pv = w[pair_at[:-1]], v[pair_at[:-1]]
         pair_count = np.add.reduceat(count, pair_at[:-1]) if len(w) else count
@@ -236,10 +245,12 @@ class Trie:
             ok[ok] = self.vocabulary[at[ok]] == h[ok]
             return np.where(ok, at, -1)
 
-        wi, vi, ui = index(w), index(v), index(u)
+        at = runs(w)  # equal words mostly stand together
+        wi, vi, ui = np.repeat(index(w[at[:-1]]), np.diff(at)), index(v), index(u)
         k1, k2, k3 = no.copy(), no.copy(), no.copy()
-        s = np.flatnonzero(wi >= 0)
-        k1[s] = one.find(np.zeros(len(s), np.int64), np.full(len(s), one.ids.n), wi[s])
+        own = wi[at[:-1]]
+        k1 = np.where(own >= 0, one.find(np.zeros(len(own), np.int64), np.full(len(own), one.ids.n), np.maximum(own, 0)), -1)
+        k1 = np.repeat(k1, np.diff(at))
         s = np.flatnonzero((k1 >= 0) & (vi >= 0))
         k2[s] = two.find(one.pointers[k1[s]].astype(np.int64), one.pointers[k1[s] + 1].astype(np.int64), vi[s])
         s = np.flatnonzero((k2 >= 0) & (ui >= 0))
