@@ -3,7 +3,7 @@
 A linear classifier over hashed binary features (words, and their first four and five bytes) is trained from confirmed
 toxic documents and unlabelled text only. The risk is  P * R+(positive)  +  max(0, R-(unlabelled) - P * R-(positive)),
 P being the class prior; when the second part falls below zero, the step climbs it instead, so that the model can't
-explain the hidden positives among the unlabelled away. P is the share of toxic ones among labelled training documents.
+explain the hidden positives among the unlabelled away. P is the share of toxic ones among labelled training documents, with a margin (PRIOR_MARGIN).
 Both are samples by a hash of doc_id, each row taken with the chance that makes POSITIVES and UNLABELLED documents of
 them all (all, if there are fewer). Features are counted and chosen where the sample is; the driver gets the chosen
 features (MOST of them at most) and, for each sampled document, which of them it has.
@@ -22,6 +22,9 @@ POSITIVES, UNLABELLED = 1500, 4500
 ROUNDS = 1500
 #: Share of the positives that a feature must be in, so that copies of one document choose none.
 LEAST_SHARE = 0.02
+#: What the share of toxic ones among labelled documents is multiplied by: too small a prior turns hidden positives into negatives, while
+#: the bound at zero holds too large a one.
+PRIOR_MARGIN = 1.15
 #: Features of a model, the ones with the largest excess among positives.
 MOST = 4096
 _U = np.uint64
@@ -105,7 +108,7 @@ def train(rows: DataFrame, labels: DataFrame, prior: float | None = None, positi
     """rows: doc_id, text. labels: doc_id, toxic; both without what is held out. Of rows that share a doc_id the smallest text counts."""
     labels = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
-        prior = float(labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.1)
+        prior = PRIOR_MARGIN * float(labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.1)
     prior = min(max(prior, 0.01), 0.9)
     rows = rows.filter("doc_id is not null").select("doc_id", "text")
     scale = 1 << 30
