@@ -17,10 +17,10 @@ FLAGS = ("field_merchant_name", "field_date", "field_total_amount", "field_invoi
 TYPES = ("receipt", "bank_statement", "payment_order")
 
 
-def sampled(df: DataFrame, n_docs: int, sample: int = SAMPLE) -> DataFrame:
-    """The rows of about `sample` of the documents (all, if there are fewer)."""
+def sampled(df: DataFrame, n_docs: int, sample: int | None = None) -> DataFrame:
+    """The rows of about `sample` (SAMPLE) of the documents, or all, if there are fewer."""
     scale = 1 << 30
-    return df.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(scale)) < int(scale * min(1.0, sample / max(n_docs, 1))))
+    return df.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(scale)) < int(scale * min(1.0, (sample or SAMPLE) / max(n_docs, 1))))
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -52,11 +52,13 @@ def test_models(spark):
     assert cal.filter((F.col("p") >= 0.5) == (F.col("label") == 1)).count() > 0.85 * test.count() and cal.filter("p < 0 or p > 1").count() == 0
 
 
-def test_learned_fields_and_types(spark):
+def test_learned_fields_and_types(spark, monkeypatch):
     """Right on documents that the fit hasn't seen; every document and field has a row."""
     from paperloom.operators import evaluation, learned
     from paperloom.plans.dialect import Spark, run
 
+    monkeypatch.setattr(learned, "SAMPLE", 300)
+
     gold = run(spark, SF, f"SELECT doc_id, field, gold FROM ({evaluation.gold_fields(Spark())}) g")
     got = learned.field_scores(spark, SF).join(gold, ["doc_id", "field"]).cache()
     _, test = models.split(got, "doc_id")
