@@ -103,6 +103,21 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which holds each key once; keys that many rows of left share are split, and their rows of right copied.
+
+    A key is hot with over a quarter of a partition's fair share of left's rows, so at most four keys a partition are; these alone are
+    broadcast, and copied as often as they have quarters. by: a column that deals a key's rows out. left is read twice: cut() it first.
+    """
+    n = F.col("__n")
+    counts = left.groupBy(*on).agg(F.count("*").alias("__n"))
+    share = max(1, -(-left.count() // (4 * width(left.sparkSession))))
+    hot = F.broadcast(cut(counts.filter(n > share).select(*on, F.ceil(n / share).cast("int").alias("__parts"))))
+    dealt = left.join(hot, on, "left").withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("__parts"))).cast("int"))
+    copied = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    return dealt.drop("__parts").join(copied.drop("__parts"), [*on, "__salt"], how).drop("__salt")
+
+
 def crc_mod(doc_id, mod: int):
     """crc32 of the id's decimal text, modulo mod."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod))
