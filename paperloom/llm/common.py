@@ -175,14 +175,14 @@ class Texts:
     def bytes(self, i: int) -> bytes:
         return self.data[self.at[i] : self.at[i + 1]].tobytes()
 
-    def words(self, lower: bool = True):
-        """Words are runs of bytes other than space and 0x09-0x0D. Returns (starts, lengths, doc of each, 64-bit hash of each)."""
+    def words(self, lower: bool = True, apart: np.ndarray = _SPACE):
+        """Words are runs of bytes other than those apart (space and 0x09-0x0D). Returns (starts, lengths, doc of each, 64-bit hash of each)."""
         data = _LOWER[self.data] if lower else self.data
         n = len(data)
         if not n:
             z = np.zeros(0, np.int64)
             return z, z, z, np.zeros(0, _U)
-        inside = ~_SPACE[data]
+        inside = ~apart[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         edge = self.at[:-1][self.at[:-1] < n]

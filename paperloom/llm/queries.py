@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, compress, language, links, minhash, ngram, packing, secrets, spotsigs, toxicity
+from . import ann, bpe, compress, language, licenses, links, minhash, ngram, packing, secrets, spotsigs, toxicity
 
 QUERIES = {
     "op1_lm_score": ngram.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.query,
     "op9_multi_index": ann.query,
     "op10_bpe": bpe.query,
+    "op12_licenses": licenses.query,
     "op13_vector_codes": compress.query,
 }
 
