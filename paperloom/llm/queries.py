@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, compress, language, licenses, links, minhash, ngram, packing, secrets, spotsigs, toxicity
+from . import ann, bpe, collocations, compress, language, licenses, links, minhash, ngram, packing, secrets, spotsigs, toxicity
 
 QUERIES = {
     "op1_lm_score": ngram.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.query,
     "op9_multi_index": ann.query,
     "op10_bpe": bpe.query,
+    "op11_collocations": collocations.query,
     "op12_licenses": licenses.query,
     "op13_vector_codes": compress.query,
 }
@@ -35,4 +36,25 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, m.c AS component_id, s.doc_id =
 FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id
 """
 
-ORACLE = {"op7_minhash_dedup": OP7}
+#: Collocations from the counts of all phrases of up to four words.
+OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])))) AS ph FROM w),
+f AS (SELECT lang, ph, count(*) AS a FROM g GROUP BY ALL),
+c AS (SELECT * FROM f WHERE len(ph) >= 2 AND a >= 30),
+x AS (
+  SELECT c.lang, c.ph, c.a, l.a AS l, r.a AS r, c.k, 2000000::HUGEINT * c.a // (l.a + r.a) AS score FROM (SELECT *, unnest(range(1, len(ph))) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.ph = c.ph[1:c.k] JOIN f r ON r.lang = c.lang AND r.ph = c.ph[c.k + 1:]
+), s AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+m AS (SELECT lang, sub, max(a) AS most FROM (
+  SELECT lang, a, unnest(flatten(list_transform(range(2, len(ph)), lambda k: list_transform(range(1, len(ph) - k + 2), lambda i: ph[i:i + k - 1])))) AS sub FROM c
+) GROUP BY ALL),
+o AS (SELECT s.lang, array_to_string(s.ph, ' ') AS phrase, s.a, s.l, s.r, t.n, s.score::BIGINT AS score FROM s JOIN t ON t.lang = s.lang LEFT JOIN m ON m.lang = s.lang AND m.sub = s.ph WHERE m.most IS NULL OR 100 * m.most < 80 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+ORACLE = {"op7_minhash_dedup": OP7, "op11_collocations": OP11}
