@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from paperloom.llm import ann, bpe, language, links, minhash, ngram, packing, secrets, spotsigs, toxicity
+from paperloom.llm import bpe, language, links, minhash, ngram, packing, secrets, spotsigs, toxicity
 from paperloom.llm.common import Texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -220,24 +220,6 @@ def test_links(spark):
     assert links.judge_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_nearest_equals_brute_force(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 8))
-    x[50:200] = x[50]
-    rows = [(k, [float(y) for y in v]) for k, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 8), (1020, [float("nan")] * 8), (1040, [None] * 8)]
-    got = {}
-    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
-    for q in range(0, 400, 20):
-        s = np.zeros(400)
-        for d in range(8):
-            s += x[q, d] * x[:, d]
-        s[q] = -np.inf
-        assert [v for _, v in sorted(got[q])] == np.lexsort((np.arange(400), -s))[:20].tolist()
-    assert 1020 not in got
-    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
-
-
 def test_words():
     t = Texts(pa.array(["Ab  cd\tab", None, "é\x0bAB"]))
     starts, lengths, doc, h = t.words()
