@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.normalise import LABELS
+from ..functions.normalise import PAYMENT as PAYMENT_WORDS
 from ..sources import render
 
 #: Money and date patterns of amounts in tables.
@@ -9,17 +11,20 @@ MONEY = "[0-9]{1,3}(?:,[0-9]{3})+(?:[.][0-9]{1,2})?|[0-9]+[.][0-9]{2}|[0-9]{3,}"
 DATE = "[0-9]{1,2} *[/.-] *[0-9]{1,2} *[/.-] *[0-9]{2,4}"
 #: Keywords of the receipt fields, of table columns, of document kinds and of footers.
 ANCHOR_WORDS = {
-    "date": ("date", "ngay"), "total_amount": ("total", "amount", "sum", "tong cong", "thanh tien", "tong"),
-    "invoice_id": ("invoice", "bill", "receipt", "no", "hoa don", "so hd", "ma gd"), "payment_method": ("cash", "card", "qr", "visa", "momo", "tien mat", "the", "payment", "chuyen khoan"),
+    "date": ("date", "ngay", "ngày"), "total_amount": ("total", "amount", "sum", "tong cong", "tổng cộng", "thanh tien", "thành tiền", "tong", "tổng"),
+    "invoice_id": ("invoice", "bill", "receipt", "no", "hoa don", "hóa đơn", "so hd", "số hđ", "ma gd", "mã gd"),
+    "payment_method": ("cash", "card", "qr", "visa", "momo", "tien mat", "tiền mặt", "the", "thẻ", "payment", "chuyen khoan"),
 }
-ANCHORS = "(VALUES " + ",".join(f"('{f}','{w}')" for f, words in ANCHOR_WORDS.items() for w in words) + ")"
+#: Keywords with their turn: of a field's keywords in a text the longest counts, of those the first in the list.
+ANCHOR_TURNS = sorted(((f, w) for f, words in ANCHOR_WORDS.items() for w in words), key=lambda x: -len(x[1]))
+ANCHORS = "(VALUES " + ",".join(f"({k},'{f}','{w}')" for k, (f, w) in enumerate(ANCHOR_TURNS)) + ")"
 COLUMNS = {
     "date": ("date", "ngay", "ngày"), "description": ("desc", "description", "dien giai", "diễn giải", "noi dung", "nội dung"), "amount": ("amount", "so tien", "số tiền"),
     "debit": ("debit", "withdrawal", "no", "nợ"), "credit": ("credit", "deposit", "co", "có"), "balance": ("balance", "so du", "số dư"), "ref": ("ref", "soct", "so ct", "số ct"),
 }
-STATEMENT = ("statement", "sao ke", "balance", "so du", "account no", "so tai khoan", "opening", "closing")
-RECEIPT = ("total", "tong cong", "invoice", "hoa don", "thanh tien", "receipt")
-ORDER = ("payment order", "uy nhiem chi", "beneficiary", "nguoi huong", "remitter", "ben chuyen", "to account", "tk huong")
+STATEMENT = ("statement", "sao ke", "sao kê", "balance", "so du", "số dư", "account no", "so tai khoan", "số tài khoản", "opening", "closing")
+RECEIPT = ("total", "tong cong", "tổng cộng", "invoice", "hoa don", "hóa đơn", "thanh tien", "thành tiền", "receipt")
+ORDER = ("payment order", "uy nhiem chi", "ủy nhiệm chi", "beneficiary", "nguoi huong", "người hưởng", "remitter", "ben chuyen", "to account", "tk huong")
 FOOTER = "total|tong|tổng|closing|ending|so du cuoi|số dư cuối|c/f|carried"
 FIELDS = "(VALUES ('merchant_name', 0), ('date', 1), ('total_amount', 2), ('invoice_id', 3), ('payment_method', 4))"
 #: Least confidence by field, the one of other fields, and the fields that a receipt needs.
@@ -51,8 +56,8 @@ def lines(d, tokens, factor=0.6, h="greatest(ph, 1)"):
     GROUP BY doc_id, line"""
 
 
-#: Payment words and what they stand for.
-PAYMENT = (("cash", "CASH"), ("card", "CARD"), ("qr", "QR"), ("visa", "CARD"), ("momo", "MOMO"), ("tien mat", "CASH"), ("the", "THE"), ("payment", "PAYMENT"), ("chuyen khoan", "CHUYEN KHOAN"))
+#: Payment words and what they stand for.
+PAYMENT = tuple((k, LABELS.get(k, k.upper())) for k in PAYMENT_WORDS)
 
 
 def line_facts(d, tokens=None):

@@ -16,10 +16,10 @@ def merged_tokens(d):
 def split_merged(d, tokens):
     """Tokens of eight characters or more naming two kinds of field are cut where a kind is named past the fourth character.
 
-    A kind is found where its longest keyword in the text stands; the box is cut in proportion to characters.
+    A kind is found where its longest keyword in the text first stands; the box is cut in proportion to characters.
     """
     return f"""
-    WITH t AS ({tokens}), a AS (SELECT field, kw, row_number() OVER (ORDER BY length(kw) DESC, field, kw) AS turn FROM {layout.ANCHORS} AS a(field, kw)),
+    WITH t AS ({tokens}), a AS (SELECT turn, field, kw FROM {layout.ANCHORS} AS a(turn, field, kw)),
     hit AS (SELECT doc_id, tok_idx, field, pos FROM (SELECT t.doc_id, t.tok_idx, a.field, CAST(instr(lower(t.text), a.kw) AS BIGINT) - 1 AS pos, row_number() OVER (PARTITION BY t.doc_id, t.tok_idx, a.field ORDER BY a.turn) AS rn FROM t JOIN a ON contains(lower(t.text), a.kw) WHERE length(t.text) >= 8) h WHERE rn = 1),
     kinds AS (SELECT doc_id, tok_idx FROM hit GROUP BY doc_id, tok_idx HAVING count(DISTINCT field) >= 2 AND max(pos) > 3),
     cuts AS (SELECT DISTINCT h.doc_id, h.tok_idx, h.pos FROM hit h JOIN kinds k ON k.doc_id = h.doc_id AND k.tok_idx = h.tok_idx WHERE h.pos > 3 UNION ALL SELECT doc_id, tok_idx, CAST(0 AS BIGINT) FROM t),

@@ -119,8 +119,20 @@ def run(spark, sf_dir, text):
     return spark.sql(text)
 
 
+_OWN: list[str] = []
+
+
 def shared_folder(spark) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir; a temporary one, removed at the end, only where that is unset, which a local master alone can share."""
+    import atexit
+    import shutil
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-")
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="paperloom-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]

@@ -16,7 +16,7 @@ from ..operators import learned as M
 from ..operators import structure as T
 from ..sources import render as R
 from ..streaming import events as S
-from . import file_queries
+from . import file_queries, sql_queries
 from .dialect import Duck, Spark, run, shared_folder
 
 QUERIES: dict = {}
@@ -81,7 +81,7 @@ COVERS["guard_repeats"] = "N14"
 sql("lines", "L1 D2 W1 W10", lambda d: L.lines(d, R.receipts(d)))
 sql("rows", "L2 W1", lambda d: L.lines(d, R.statements(d), 0.7, "greatest(hh, 1)"))
 sql("reading_order", "L3 W10", lambda d: f"SELECT doc_id, tok_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY (y0 + y1) / 2, (x0 + x1) / 2, tok_idx) AS BIGINT) AS pos FROM ({R.statements(d)}) t")
-sql("anchor_hits", "L4", lambda d: f"SELECT doc_id, tok_idx, field, min(CAST(instr(lower(text), kw) AS BIGINT)) AS first_at FROM ({R.receipts(d)}) t JOIN {L.ANCHORS} AS a(field, kw) ON contains(lower(t.text), a.kw) GROUP BY doc_id, tok_idx, field")
+sql("anchor_hits", "L4", lambda d: f"SELECT doc_id, tok_idx, field, min_by(CAST(instr(lower(text), kw) AS BIGINT), turn) AS first_at FROM ({R.receipts(d)}) t JOIN {L.ANCHORS} AS a(turn, field, kw) ON contains(lower(t.text), a.kw) GROUP BY doc_id, tok_idx, field")
 sql("header_row", "L6 L7 W6", lambda d: f"SELECT doc_id, yrow, col, cx FROM ({L.header(d)}) h")
 sql("column_bounds", "L8 W8", lambda d: f"SELECT doc_id, col, cx, (cx + lead(cx) OVER (PARTITION BY doc_id ORDER BY cx, ord)) / 2 AS bound FROM ({L.header(d)}) h")
 sql("cells", "L9", lambda d: L.cells(d))
@@ -237,7 +237,8 @@ for _name, _covers, _query in (("learned_fields", "C5 C10 C11", M.field_scores),
     QUERIES[_name], COVERS[_name] = _query, _covers
 sql("document_summary", "X23", lambda d: f"SELECT t.doc_id, 'document type: ' || t.doc_type || ', needs review: ' || CASE WHEN t.needs_review = 1 THEN 'yes' ELSE 'no' END || coalesce(chr(10) || f.lines, '') AS summary FROM ({RESULTS(d)}) t LEFT JOIN (SELECT doc_id, {d.agg(SUMMARY_LINE(d), 'ord', chr(10))} AS lines FROM ({L.fields(d)}) x GROUP BY doc_id) f ON f.doc_id = t.doc_id")
 
-# ---- files and column functions
-QUERIES.update(file_queries.QUERIES)
-ORACLE.update(file_queries.ORACLE)
-COVERS.update(file_queries.COVERS)
+# ---- files, column functions and functions in SQL
+for _more in (file_queries, sql_queries):
+    QUERIES.update(_more.QUERIES)
+    ORACLE.update(_more.ORACLE)
+    COVERS.update(_more.COVERS)
