@@ -16,7 +16,7 @@ from ..operators import learned as M
 from ..operators import structure as T
 from ..sources import render as R
 from ..streaming import events as S
-from . import file_queries, sql_queries
+from . import file_queries, live_queries, sql_queries
 from .dialect import Duck, Spark, run, shared_folder
 
 QUERIES: dict = {}
@@ -238,7 +238,7 @@ for _name, _covers, _query in (("learned_fields", "C5 C10 C11", M.field_scores),
 sql("document_summary", "X23", lambda d: f"SELECT t.doc_id, 'document type: ' || t.doc_type || ', needs review: ' || CASE WHEN t.needs_review = 1 THEN 'yes' ELSE 'no' END || coalesce(chr(10) || f.lines, '') AS summary FROM ({RESULTS(d)}) t LEFT JOIN (SELECT doc_id, {d.agg(SUMMARY_LINE(d), 'ord', chr(10))} AS lines FROM ({L.fields(d)}) x GROUP BY doc_id) f ON f.doc_id = t.doc_id")
 
 # ---- files, column functions and functions in SQL
-for _more in (file_queries, sql_queries):
+for _more in (file_queries, sql_queries, live_queries):
     QUERIES.update(_more.QUERIES)
     ORACLE.update(_more.ORACLE)
     COVERS.update(_more.COVERS)
