@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import recognition as C
 from ..operators import evaluation as E
 from ..operators import images as I
-from ..sources import files
+from ..sources import archives, files, tables
 from ..sources import render as R
 from .dialect import Duck, Spark, run, shared_folder
 
@@ -111,6 +112,30 @@ def counter_lines(spark, sf_dir):
     return files.exposition(run(spark, sf_dir, "SELECT event_type AS endpoint, count(*) AS n FROM events GROUP BY event_type"))
 
 
+@query("S10", "SELECT doc_id, lang || '/' || source || '.' || CAST(doc_id AS VARCHAR) || '.txt' AS member, CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS digest FROM documents WHERE lang = 'en'")
+def archive_members(spark, sf_dir):
+    """Documents as members of zip archives, one archive a task, and those of one language read back by ranges of members."""
+    at = folder(spark)
+    archives.register(spark)
+    docs = run(spark, sf_dir, "SELECT lang || '/' || source || '.' || CAST(doc_id AS STRING) || '.txt' AS member, CAST(text AS BINARY) AS content FROM documents")
+    docs.write.format("archive").mode("append").save(at)
+    t = spark.read.format("archive").option("partitionBytes", 1 << 20).load(at).filter(F.col("member").startswith("en/"))
+    return t.select(F.regexp_extract("member", r"([0-9]+)[.]txt$", 1).cast("long").alias("doc_id"), "member", "size", F.md5("content").alias("digest"))
+
+
+@query("S18 S17", "SELECT user_id, max_by(event_type, event_id) AS state, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id")
+def upserted_state(spark, sf_dir):
+    """The event log upserted by user in micro-batches, each of them delivered twice: one row a user, the last."""
+    at, events = folder(spark), run(spark, sf_dir, "SELECT user_id, event_type, event_id FROM events")
+    table = tables.Table(spark, at, ("user_id",), "event_id")
+    once = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    log = events.select("user_id", F.col("event_type").alias("state"), "event_id", F.count("*").over(once).alias("n")).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    log.write.partitionBy("part").parquet(f"{at}-log")
+    for batch, part in ((0, 2), (1, 0), (1, 0), (2, 1), (0, 2)):
+        table.upsert(spark.read.parquet(f"{at}-log/part={part}"), "events", batch)
+    return table.read()
+
+
 @query("N16 D6", f"SELECT doc_id, CAST(row_idx AS INTEGER) AS row_idx, date, lower(description) AS description, amount, balance FROM ({R.ledger(DUCK)}) l")
 def reply_transactions(spark, sf_dir):
     """Transactions as a model's JSON reply states them, typed again."""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
+from . import archives
 
 LABELS = "image string, tokens array<struct<text:string,bbox:array<double>,conf:double>>, gold map<string,string>, doc_type string"
 
@@ -76,19 +76,10 @@ def region_gold(spark: SparkSession, path: str, fields=("SELLER", "ADDRESS", "TI
 
 
 def zip_members(spark: SparkSession, path: str, suffixes=(".jpg", ".txt", ".csv")) -> DataFrame:
-    """Members of zip files with the wanted endings: archive, member, content. An archive is read by one task."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for origin, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for name in z.namelist():
-                        if name.lower().endswith(suffixes):
-                            yield pa.RecordBatch.from_arrays([pa.array([origin]), pa.array([name]), pa.array([z.read(name)], pa.binary())], names=["archive", "member", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, content binary")
+    """Members of zip files with the wanted endings: archive, member, content."""
+    archives.register(spark)
+    wanted = reduce(lambda a, b: a | b, [F.lower("member").endswith(s) for s in suffixes])
+    return spark.read.format("archive").load(path).filter(wanted).select("archive", "member", "content")
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
