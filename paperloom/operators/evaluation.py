@@ -166,8 +166,9 @@ def registry_events(d):
 
 
 def _accepted(d, events):
-    """Operations on versions that are registered by then."""
-    return f"SELECT * FROM (SELECT *, min(CASE WHEN op = 'register' THEN seq END) OVER (PARTITION BY model, version) AS since FROM ({events or registry_events(d)}) e0) e1 WHERE seq >= since"
+    """Operations on versions that are registered by then; when each was is one row a version."""
+    events = events or registry_events(d)
+    return f"SELECT e0.* FROM ({events}) e0 JOIN (SELECT model, version, min(seq) AS since FROM ({events}) f WHERE op = 'register' GROUP BY model, version) r ON r.model = e0.model AND r.version = e0.version WHERE e0.seq >= r.since"
 
 
 def registry_state(d, events=None):

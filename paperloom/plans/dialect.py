@@ -109,13 +109,27 @@ class Duck(Spark):
         return f"CAST(json_extract_string({s}, '$.{key}') AS BIGINT)"
 
 
+#: Views that are built from tables by operators beyond SQL: name, the table they read, builder.
+_BUILT: dict = {}
+
+
 def run(spark, sf_dir, text):
-    """Spark SQL over the tables that the text names."""
+    """Spark SQL over the tables, and the views built from them, that the text names."""
     import re
 
+    from ..sources import render
+
+    views = {"running_orders": ("orders", render.running_orders)}
+    names = lambda t: re.search(rf"\b{t}\b", text)
     for t in TABLES:
-        if re.search(rf"\b{t}\b", text):
+        if names(t) or any(names(v) and of == t for v, (of, _) in views.items()):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    for v, (_, build) in views.items():
+        if names(v):
+            key = v, sf_dir, spark.sparkContext.applicationId
+            if key not in _BUILT:  # hot keys are looked for once
+                _BUILT[key] = build(spark)
+            _BUILT[key].createOrReplaceTempView(v)
     return spark.sql(text)
 
 

@@ -13,6 +13,7 @@ from ..functions import recognition as C
 from ..operators import evaluation as E
 from ..operators import layout as L
 from ..operators import learned as M
+from ..operators import scan as scans
 from ..operators import structure as T
 from ..sources import render as R
 from ..streaming import events as S
@@ -177,6 +178,31 @@ sql("alert_hold", "M10", lambda d: E.held(d, "CAST(n_error AS DOUBLE) / n > 0.05
 sql("idempotent_upload", "M14", lambda d: "SELECT user_id, props, min(event_id) AS first_id, count(*) AS n FROM events GROUP BY user_id, props")
 sql("request_counters", "M16", lambda d: "SELECT event_type AS endpoint, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY event_type")
 
+
+def _running(spark, sf_dir):
+    """Each customer's account over all orders: its number, balance, and the last payment out before it."""
+    orders = run(spark, sf_dir, "SELECT o_custkey, o_orderkey, o_orderdate, " + AMOUNT + " AS amount FROM orders").withColumn("paid", F.when(F.col("amount") < 0, F.col("amount")))
+    ops = [scans.Count("n"), scans.Sum("amount", "balance"), scans.Last("paid", "last_paid")]
+    return scans.scan(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], ops, spread=F.unix_date(F.to_date("o_orderdate"))).select("o_custkey", "o_orderkey", "n", "balance", "last_paid")
+
+
+AMOUNT = "(CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (o_orderkey % 900 + 100) * 1000"
+QUERIES["account_running"], COVERS["account_running"] = _running, "W3 W4"
+ORACLE["account_running"] = f"""SELECT o_custkey, o_orderkey, row_number() OVER w AS n, CAST(sum(amount) OVER w AS BIGINT) AS balance, last_value(CASE WHEN amount < 0 THEN amount END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_paid
+FROM (SELECT *, {AMOUNT} AS amount FROM orders) o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def _visits(spark, sf_dir):
+    """Sessions of all events, and of each kind of event: a row over half an hour after the one before starts a new one. The kinds are few, so each is a hot key."""
+    events = run(spark, sf_dir, "SELECT event_id, event_type, CAST(unix_micros(CAST(ts AS TIMESTAMP)) AS BIGINT) AS t FROM events")
+    out = scans.scan(events, ["event_type"], ["t", "event_id"], [scans.Session("t", 1.8e9, "session")])
+    return out.groupBy("event_type", "session").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.count("*").alias("n"))
+
+
+QUERIES["kind_sessions"], COVERS["kind_sessions"] = _visits, "W1"
+ORACLE["kind_sessions"] = """SELECT event_type, session, min(t) AS start, max(t) AS stop, count(*) AS n FROM (SELECT *, CAST(sum(b) OVER (PARTITION BY event_type ORDER BY t, event_id) AS BIGINT) AS session FROM (
+  SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY event_type ORDER BY t, event_id) > 1800000000 THEN 1 ELSE 0 END AS b FROM (SELECT event_id, event_type, epoch_us(ts) AS t FROM events) e) x) y GROUP BY event_type, session"""
+
 # ---- registry
 sql("registry_state", "R1 R2 D17", lambda d: E.registry_state(d))
 sql("registry_active", "R3", lambda d: E.registry_active(d))

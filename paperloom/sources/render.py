@@ -5,6 +5,10 @@ Each builder returns SQL for (doc_id, tok_idx, text, x0, y0, x1, y1, conf); d is
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators.scan import Count, Sum, scan
+
 #: Heading lines of the statements and their footer, by language.
 HEADING, FOOT = (("", ""), ("ACCOUNT STATEMENT", "SAO KE TAI KHOAN"), ("Account No", "So tai khoan"), ("Opening Balance", "So du dau"), ("Closing Balance", "So du cuoi")), ("Total", "Tong")
 #: Columns of the three table layouts: kind, left edge.
@@ -48,16 +52,29 @@ def receipts(d) -> str:
     FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS t FROM orders) o CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6)) AS l(ln)"""
 
 
+def running(d) -> str:
+    """Orders as transactions c, k, t, a with their number r within the customer and the sum of amounts up to them; Spark reads them from the view that running_orders() makes."""
+    over = "PARTITION BY c ORDER BY t, k"
+    if d.name == "spark":
+        return "SELECT * FROM running_orders"
+    return f"SELECT *, row_number() OVER ({over}) AS r, sum(a) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM ({AMOUNTS}) x"
+
+
+AMOUNTS = "SELECT o_custkey AS c, o_orderkey AS k, o_orderdate AS t, (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (o_orderkey % 900 + 100) * 1000 AS a FROM orders"
+
+
+def running_orders(spark):
+    """By a prefix scan, so that a customer with many orders is split over tasks; `orders` must be a view."""
+    return scan(spark.sql(AMOUNTS), ["c"], ["t", "k"], [Count("r"), Sum("a", "total")], spread=F.unix_date(F.to_date("t")))
+
+
 def ledger(d) -> str:
     """Transactions behind the statements, one document a page: doc_id, row_idx (of n), date, description, amount, balance, opening and closing (of the page)."""
-    over = "PARTITION BY c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     page = "(PARTITION BY c, page ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     return f"""
     SELECT 's' || CAST(c AS STRING) || '.' || CAST(page AS STRING) AS doc_id, c, k, page, CAST(r - page * {PAGE} AS INT) AS row_idx, {d.ymd('t')} AS date, t, 'Transfer ' || CAST(k AS STRING) AS description, CAST(a AS DOUBLE) AS amount,
       CAST(balance AS DOUBLE) AS balance, CAST(first_value(balance - a) OVER {page} AS DOUBLE) AS opening, CAST(last_value(balance) OVER {page} AS DOUBLE) AS closing, count(*) OVER {page} AS n
-    FROM (SELECT *, CAST(floor((r - 1) / {PAGE}) AS INT) AS page, (c % 50 + 10) * 100000 + sum(a) OVER ({over}) AS balance
-      FROM (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r,
-        (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (o_orderkey % 900 + 100) * 1000 AS a FROM orders) x) y"""
+    FROM (SELECT *, CAST(floor((r - 1) / {PAGE}) AS INT) AS page, (c % 50 + 10) * 100000 + total AS balance FROM ({running(d)}) x) y"""
 
 
 def statements(d) -> str:
