@@ -14,6 +14,7 @@ from ..operators import evaluation as E
 from ..operators import layout as L
 from ..operators import learned as M
 from ..operators import scan as scans
+from ..operators import spatial as P
 from ..operators import structure as T
 from ..sources import render as R
 from ..streaming import events as S
@@ -179,6 +180,41 @@ sql("idempotent_upload", "M14", lambda d: "SELECT user_id, props, min(event_id)
 sql("request_counters", "M16", lambda d: "SELECT event_type AS endpoint, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY event_type")
 
 
+def _boxes(spark, sf_dir):
+    """Gold regions and detected boxes as tables."""
+    return tuple(run(spark, sf_dir, text) for text in E.boxes(Spark()))
+
+
+def _overlap(spark, sf_dir):
+    gold, found = _boxes(spark, sf_dir)
+    pairs = P.touching(gold, found, "img").withColumn("share", F.round(P.overlap_share(), 6))
+    return pairs.filter("share >= 0.3").select(F.col("l_img").alias("img"), F.col("l_idx").alias("idx"), F.col("r_box").alias("box"), "share")
+
+
+def _best_region(spark, sf_dir):
+    best = F.min(F.struct((-F.col("share")).alias("less"), "box")).alias("b")
+    return _overlap(spark, sf_dir).groupBy("img", "idx").agg(best).select("img", "idx", "b.box", (-F.col("b.less")).alias("share"))
+
+
+def _region_tokens(spark, sf_dir):
+    """Boxes whose centre lies in a region or at most five beside it."""
+    gold, found = _boxes(spark, sf_dir)
+    wide = gold.select("img", "idx", *[(F.col(c) + by).alias(c) for c, by in (("x0", -5), ("y0", -5), ("x1", 5), ("y1", 5))])
+    centre = lambda a, b: (F.col(a) + F.col(b)) / 2
+    points = found.select("img", "box", *[centre(a, b).alias(c) for c, a, b in (("cx", "x0", "x1"), ("cy", "y0", "y1"))]).select("img", "box", *[F.col(c).alias(n) for n, c in (("x0", "cx"), ("y0", "cy"), ("x1", "cx"), ("y1", "cy"))])
+    pairs = P.touching(wide, points, "img").groupBy(F.col("l_img").alias("img"), F.col("l_idx").alias("idx"))
+    return pairs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_x0", "r_box"))), lambda r: r.r_box.cast("string")), " ").alias("boxes"), F.count("*").alias("n"))
+
+
+def _choose_span(spark, sf_dir):
+    gold, found = _boxes(spark, sf_dir)
+    return P.nearest_span(found.select("img", "box", ((F.col("y0") + F.col("y1")) / 2).alias("at")), gold.select("img", "idx", F.col("y0").alias("lo"), F.col("y1").alias("hi")), "img", "at").select("img", "box", "idx")
+
+
+# box joins run by cells; their checks join all boxes of a page with all regions
+QUERIES.update(box_overlap=_overlap, best_region=_best_region, region_tokens=_region_tokens, choose_span=_choose_span)
+
+
 def _running(spark, sf_dir):
     """Each customer's account over all orders: its number, balance, and the last payment out before it."""
     orders = run(spark, sf_dir, "SELECT o_custkey, o_orderkey, o_orderdate, " + AMOUNT + " AS amount FROM orders").withColumn("paid", F.when(F.col("amount") < 0, F.col("amount")))
