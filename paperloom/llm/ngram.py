@@ -39,7 +39,7 @@ from .common import Texts, batch_of, blocks, column, crc_mod, documents, mix, ru
 A, MU = 0.02, 4.0
 ALPHA = 0.1
 #: Tokens of a shard.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 #: Contexts are told apart by so many bits of their hash, predicted words by all 64.
 CONTEXT_BITS = 48
 BITS = 16
