@@ -152,3 +152,23 @@ def scan(df: DataFrame, keys: list[str], order: list[str], ops: list, spread: Co
 
 def _named(df: DataFrame, ops: list, value, columns: list[str]) -> DataFrame:
     return df.select(*columns, *[value(k).alias(op.out) for k, op in enumerate(ops)])
+
+
+def inversions(df: DataFrame, key: str, order: list[str], value: str, parts: int | None = None) -> DataFrame:
+    """key, n, inverted, inversions: of each key's rows in the given order, the pairs whose earlier row has the greater value. No pair is formed.
+
+    Values are ranked from 0 and told apart bit by bit, from the highest: rows that agree in all higher bits are a group, and each row with a
+    0 comes after as many greater ones as there are 1s before it in its group. Ties are no inversions, null values take no part.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.struct(*order).alias("place"), F.col(value).alias("value"))
+    ranks = scan(rows.groupBy("key", "value").agg(F.count("*").alias("n")), ["key"], ["value"], [Count("rank")], parts=parts).select("key", "value", (F.col("rank") - 1).alias("rank"))
+    placed = scan(rows.select("key", *[F.col(f"place.{c}").alias(c) for c in order], "value"), ["key"], order, [Count("at")], parts=parts)
+    ranked = placed.select("key", "value", "at").join(ranks, ["key", "value"])
+    top = ranks.groupBy("key").agg(F.max("rank").alias("top"))
+    bits = ranked.join(top, "key").select("key", "at", "rank", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("top") + 1)).cast("int") - 1))).alias("bit"))
+    bits = bits.select("key", "at", "bit", F.expr("shiftright(rank, bit + 1)").alias("above"), F.expr("shiftright(rank, bit) & 1").alias("one"))
+    seen = scan(bits, ["key", "bit", "above"], ["at"], [Sum("one", "ones")], parts=parts)
+    out = seen.groupBy("key").agg(F.sum(F.when(F.col("one") == 0, F.col("ones")).otherwise(0)).alias("inversions"))
+    n = rows.groupBy("key").agg(F.count("*").alias("n"))
+    out = n.join(out, "key").select(F.col("key").alias(key), "n", (F.col("inversions") > 0).cast("int").alias("inverted"), "inversions")
+    return out

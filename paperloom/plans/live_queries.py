@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import layout as R
+from ..sources import render
 from ..streaming import alerts as A
 from ..streaming import events as S
 from ..streaming import lifecycle as L
+from ..streaming.observe import Progress, Stages
 from .dialect import Duck, Spark, run, shared_folder
 
 QUERIES: dict = {}
@@ -77,3 +82,44 @@ s AS (
   ) b
 )
 SELECT doc_id, state, CAST(failures AS INTEGER) AS failures, n_rejected FROM s WHERE rn = (SELECT max(rn) FROM z WHERE z.doc_id = s.doc_id)"""
+
+
+def measured_stages(spark, sf_dir):
+    """Receipts through lines, fields and routing, each stage a table, with what was observed while it ran."""
+    stages = Stages(spark, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}")
+    view = lambda df, name: df.createOrReplaceTempView(name) or f"SELECT * FROM {name}"
+    tokens = stages.run("tokens", lambda: run(spark, sf_dir, render.receipts(Spark())), unsure=F.count_if(F.col("conf") < 0.75))
+    text = view(tokens, "measured_tokens")
+    stages.run("lines", lambda: spark.sql(R.lines(Spark(), text)), longest=F.max("n_tokens"))
+    fields = stages.run("fields", lambda: spark.sql(R.fields(Spark(), text)), empty=F.count_if(F.col("value").isNull()))
+    stages.run("routing", lambda: spark.sql(R.routing(Spark(), view(fields, "measured_fields"))), review=F.count_if(F.col("needs_review") == 1))
+    return stages.table().select("stage", "place", F.col("metrics")["rows"].alias("n"), F.aggregate(F.map_values(F.map_filter("metrics", lambda k, v: k != "rows")), F.lit(0).cast("long"), lambda a, v: a + v).alias("seen"))
+
+
+QUERIES["measured_stages"], COVERS["measured_stages"] = measured_stages, "R8"
+ORACLE["measured_stages"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS stage, {k} AS place, count(*) AS n, CAST({seen} AS BIGINT) AS seen FROM ({sql}) t"
+    for k, (name, seen, sql) in enumerate([("tokens", "sum(CASE WHEN conf < 0.75 THEN 1 ELSE 0 END)", render.receipts(Duck())), ("lines", "max(n_tokens)", R.lines(Duck(), render.receipts(Duck()))), ("fields", "sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END)", R.fields(Duck())), ("routing", "sum(needs_review)", R.routing(Duck()))])
+)
+
+
+def stream_batches(spark, sf_dir):
+    """What a listener heard of a stream over files: rows of all micro-batches and the largest, against the rows that the sink holds."""
+    at = f"{shared_folder(spark)}/heard-{uuid.uuid4().hex}"
+    run(spark, sf_dir, "SELECT event_id, event_type, ts, event_id % 4 AS part FROM events").write.partitionBy("part").parquet(f"{at}/in")
+    heard = Progress()
+    spark.streams.addListener(heard)
+    try:
+        stream = spark.readStream.schema("event_id long, event_type string, ts timestamp_ntz, part int").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        q = stream.observe("kinds", F.count_if(F.col("event_type") == "error").alias("errors")).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
+        q.awaitTermination()
+        batches = heard.of(q)
+    finally:
+        spark.streams.removeListener(heard)
+    row = (sum(b["rows"] for b in batches), sum(b["observed"]["kinds"]["errors"] for b in batches), len(batches) >= 1)
+    kept = spark.read.parquet(f"{at}/out").agg(F.count("*").alias("n_kept"))
+    return kept.select(F.lit(row[0]).cast("long").alias("n_heard"), F.lit(row[1]).cast("long").alias("n_errors"), F.lit(row[2]).alias("in_batches"), "n_kept")
+
+
+QUERIES["stream_batches"], COVERS["stream_batches"] = stream_batches, "M1 M2"
+ORACLE["stream_batches"] = "SELECT count(*) AS n_heard, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS n_errors, true AS in_batches, count(*) AS n_kept FROM events"

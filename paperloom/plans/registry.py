@@ -144,7 +144,8 @@ TRUE_TYPE = "CASE substr(doc_id, 1, 1) WHEN 'r' THEN 'receipt' WHEN 's' THEN 'ba
 sql("routing_accuracy", "A14 A24", lambda d: f"SELECT {TRUE_TYPE} AS true_type, doc_type, count(*) AS n FROM ({L.document_type(d)}) t GROUP BY {TRUE_TYPE}, doc_type")
 sql("box_overlap", "A15", lambda d: f"SELECT img, idx, box, share FROM ({E.overlaps(d)}) o WHERE share >= 0.3")
 sql("detector_taxonomy", "A16", lambda d: f"SELECT cause, count(*) AS n FROM ({E.taxonomy(d)}) t GROUP BY cause")
-sql("order_inversions", "A17", lambda d: f"SELECT a.img, max(CASE WHEN a.y0 > b.y0 THEN 1 ELSE 0 END) AS inverted FROM ({E.boxes(d)[1]}) a JOIN ({E.boxes(d)[1]}) b ON a.img = b.img AND a.box < b.box GROUP BY a.img")
+QUERIES["order_inversions"], COVERS["order_inversions"] = lambda spark, sf_dir: scans.inversions(run(spark, sf_dir, E.boxes(Spark())[1]), "img", ["box"], "y0"), "A17"
+ORACLE["order_inversions"] = f"WITH b AS ({E.boxes(Duck())[1]}), p AS (SELECT l.img, count(*) AS c FROM b l JOIN b r ON r.img = l.img AND l.box < r.box AND l.y0 > r.y0 GROUP BY l.img) SELECT n.img, n.n, CASE WHEN p.c > 0 THEN 1 ELSE 0 END AS inverted, coalesce(p.c, 0) AS inversions FROM (SELECT img, count(*) AS n FROM b GROUP BY img) n LEFT JOIN p ON p.img = n.img"
 sql("bucket_errors", "A18", lambda d: E.bucket_errors(d))
 sql("model_comparison", "A19 A32", lambda d: f"SELECT model, field, count(*) AS n, round(avg(anls), 4) AS anls, round(avg(cer), 4) AS cer, round(avg(CAST(exact AS DOUBLE)), 4) AS f1 FROM ({E.scored(d, E.runs(d))}) s GROUP BY model, field")
 sql("best_region", "A20", lambda d: f"SELECT img, idx, box, share FROM (SELECT *, row_number() OVER (PARTITION BY img, idx ORDER BY share DESC, box) AS rn FROM ({E.overlaps(d)}) o) r WHERE rn = 1 AND share >= 0.3")
@@ -279,6 +280,13 @@ QUERIES["charset_codec"] = lambda spark, sf_dir: run(spark, sf_dir, "SELECT item
 COVERS["charset_codec"] = "N20"
 ORACLE["charset_codec"] = f"SELECT item_id, array_to_string(list_filter(own, lambda c, i: i = 1 OR c <> own[i - 1]), '') AS text FROM (SELECT item_id, list_filter(string_split(text, ''), lambda c: c <> '' AND contains('{CHARSET}', c)) AS own FROM benchmark) b"
 QUERIES["word_error_rate"] = lambda spark, sf_dir: run(spark, sf_dir, E.pairs(Spark())).select("item_id", F.round(C.wer("pred", "gold"), 6).alias("wer"))
+#: The distance table by rows: r[j] is the distance of the first words of the prediction to the first j of the gold text.
+ORACLE["word_error_rate"] = f"""
+WITH RECURSIVE t AS (SELECT item_id, list_filter(string_split_regex(coalesce(pred, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS p, list_filter(string_split_regex(coalesce(gold, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS g FROM ({E.pairs(Duck())}) q),
+d AS (SELECT item_id, p, g, CAST(0 AS BIGINT) AS i, range(0, len(g) + 1) AS r FROM t
+  UNION ALL SELECT item_id, p, g, i + 1, list_transform(range(0, len(g) + 1), lambda j: j + list_min(s[1:j + 1]))
+  FROM (SELECT item_id, p, g, i, list_transform(range(0, len(g) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(r[j + 1] + 1, r[j] + CASE WHEN p[i + 1] = g[j] THEN 0 ELSE 1 END) - j END) AS s FROM d WHERE i < len(p)) x)
+SELECT item_id, round(CASE WHEN len(g) = 0 THEN CASE WHEN len(p) > 0 THEN 1.0::DOUBLE ELSE 0 END ELSE CAST(r[len(g) + 1] AS DOUBLE) / len(g) END, 6) AS wer FROM d WHERE i = len(p)"""
 COVERS["word_error_rate"] = "A6"
 
 # ---- streams
