@@ -136,6 +136,8 @@ def header_rows(d, tokens):
 
 def header(d, tokens=None):
     """doc_id, yrow, col, cx of the columns that the header row names, from the left."""
+    if d.name == "spark" and tokens is None:
+        return "SELECT * FROM statement_columns"
     pick = "CASE k.ord " + " ".join(f"WHEN {k} THEN h.c{k}" for k in range(len(COLUMNS))) + " END"
     names = ", ".join(f"({k}, '{c}')" for k, c in enumerate(COLUMNS))
     return f"SELECT * FROM (SELECT h.doc_id, CAST(h.yrow AS BIGINT) AS yrow, k.col, k.ord, {pick} AS cx FROM ({header_rows(d, tokens or render.statements(d))}) h CROSS JOIN (VALUES {names}) AS k(ord, col)) u WHERE cx IS NOT NULL"
@@ -143,6 +145,8 @@ def header(d, tokens=None):
 
 def cells(d, tokens=None):
     """Tokens below the header dealt to columns by their left edge against the midpoints of the header's centres."""
+    if d.name == "spark" and tokens is None:
+        return "SELECT * FROM statement_cells"
     tokens = tokens or render.statements(d)
     return f"""
     SELECT t.doc_id, CAST(t.yrow AS BIGINT) AS yrow, b.col, trim({d.agg('t.text', 't.pos')}) AS text FROM ({row_tokens(d, tokens)}) t JOIN (
@@ -151,7 +155,12 @@ def cells(d, tokens=None):
 
 
 def items(d, tokens=None):
-    """Transactions: rows with a date, without a footer word in the description, and with an amount (else credit less debit) or a balance."""
+    """Transactions: rows with a date, without a footer word in the description, and with an amount (else credit less debit) or a balance.
+
+    For Spark the statements' own are those that operators/statements.py finds in one pass; this text is its check.
+    """
+    if d.name == "spark" and tokens is None:
+        return "SELECT * FROM statement_items"
     cell = lambda c: f"coalesce(max(CASE WHEN col = '{c}' THEN text END), '')"
     side = lambda c: f"coalesce({signed(d, c)}, 0)"
     pair = f"CASE WHEN {side('deb')} <> 0 OR {side('cre')} <> 0 THEN abs({side('cre')}) - abs({side('deb')}) END"

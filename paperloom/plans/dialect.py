@@ -109,26 +109,36 @@ class Duck(Spark):
         return f"CAST(json_extract_string({s}, '$.{key}') AS BIGINT)"
 
 
-#: Views that are built from tables by operators beyond SQL: name, the table they read, builder.
 _BUILT: dict = {}
 
 
+def _views() -> dict:
+    """Views that operators beyond SQL build from the tables: builder(spark, sf_dir) by name."""
+    from ..operators import statements
+    from ..sources import render
+
+    tokens = lambda spark, sf_dir: run(spark, sf_dir, render.statements(Spark()))
+    return {
+        "running_orders": lambda spark, sf_dir: render.running_orders(run(spark, sf_dir, render.AMOUNTS)),
+        "statement_columns": lambda spark, sf_dir: statements.header(tokens(spark, sf_dir)),
+        "statement_cells": lambda spark, sf_dir: statements.cells(tokens(spark, sf_dir)),
+        "statement_items": lambda spark, sf_dir: statements.items(tokens(spark, sf_dir)),
+    }
+
+
 def run(spark, sf_dir, text):
     """Spark SQL over the tables, and the views built from them, that the text names."""
     import re
 
-    from ..sources import render
-
-    views = {"running_orders": ("orders", render.running_orders)}
     names = lambda t: re.search(rf"\b{t}\b", text)
     for t in TABLES:
-        if names(t) or any(names(v) and of == t for v, (of, _) in views.items()):
+        if names(t):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for v, (_, build) in views.items():
+    for v, build in _views().items():
         if names(v):
             key = v, sf_dir, spark.sparkContext.applicationId
-            if key not in _BUILT:  # hot keys are looked for once
-                _BUILT[key] = build(spark)
+            if key not in _BUILT:  # plans, which are made once; hot keys are looked for once
+                _BUILT[key] = build(spark, sf_dir)
             _BUILT[key].createOrReplaceTempView(v)
     return spark.sql(text)
 

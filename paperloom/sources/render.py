@@ -63,9 +63,9 @@ def running(d) -> str:
 AMOUNTS = "SELECT o_custkey AS c, o_orderkey AS k, o_orderdate AS t, (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (o_orderkey % 900 + 100) * 1000 AS a FROM orders"
 
 
-def running_orders(spark):
-    """By a prefix scan, so that a customer with many orders is split over tasks; `orders` must be a view."""
-    return scan(spark.sql(AMOUNTS), ["c"], ["t", "k"], [Count("r"), Sum("a", "total")], spread=F.unix_date(F.to_date("t")))
+def running_orders(amounts):
+    """By a prefix scan over AMOUNTS, so that a customer with many orders is split over tasks."""
+    return scan(amounts, ["c"], ["t", "k"], [Count("r"), Sum("a", "total")], spread=F.unix_date(F.to_date("t")))
 
 
 def ledger(d) -> str:
