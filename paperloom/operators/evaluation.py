@@ -6,13 +6,18 @@ from ..sources import render
 from . import layout
 
 
-def gold_fields(d):
-    """Truth of the rendered receipts, and predictions from the extraction, in long form."""
-    gold = f"""
+def true_fields(d):
+    """Truth of the rendered receipts in long form: doc_id, field, gold."""
+    return f"""
     SELECT 'r' || CAST(o_orderkey AS STRING) AS doc_id, f.field, CASE f.field WHEN 'date' THEN CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE {d.ymd('o_orderdate')} END
       WHEN 'total_amount' THEN CAST(CASE WHEN o_orderkey % 11 = 0 THEN CAST(o_orderkey % 90 + 10 AS DOUBLE) + 0.5 ELSE CAST((o_orderkey % 300 + 20) * 1000 AS DOUBLE) END AS STRING)
       WHEN 'invoice_id' THEN 'HD' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0') WHEN 'merchant_name' THEN 'cua hang so ' || CAST(o_custkey % 97 AS STRING) ELSE CASE o_orderkey % 4 WHEN 0 THEN 'QR' WHEN 1 THEN 'CARD' WHEN 2 THEN 'CASH' ELSE 'MOMO' END END AS gold
     FROM orders CROSS JOIN {layout.FIELDS} AS f(field, ord)"""
+
+
+def gold_fields(d):
+    """Truth of the rendered receipts, and predictions from the extraction, in long form."""
+    gold = true_fields(d)
     return f"SELECT g.doc_id, g.field, g.gold, p.value AS pred, p.confidence FROM ({gold}) g LEFT JOIN ({layout.fields(d)}) p ON p.doc_id = g.doc_id AND p.field = g.field"
 
 
@@ -87,8 +92,17 @@ def counts(d):
 F1 = "CASE WHEN tp = 0 THEN 0.0 ELSE round(2.0 * tp / (2.0 * tp + fp + fn), 4) END"
 
 
+def _confident(d):
+    return f"SELECT greatest(CAST(ceil(confidence * 10) AS INT) - 1, 0) AS bin, confidence, CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END AS ok FROM ({gold_fields(d)}) g WHERE pred IS NOT NULL AND gold IS NOT NULL"
+
+
+def calibration_error(d):
+    """Over tenths of confidence, rounded once."""
+    return f"SELECT round(sum(n * abs(c - a)) / sum(n), 4) AS ece FROM (SELECT bin, count(*) AS n, avg(CAST(confidence AS DOUBLE)) AS c, avg(CAST(ok AS DOUBLE)) AS a FROM ({_confident(d)}) r GROUP BY bin) b"
+
+
 def calibration(d):
-    rows = f"SELECT greatest(CAST(ceil(confidence * 10) AS INT) - 1, 0) AS bin, confidence, CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END AS ok FROM ({gold_fields(d)}) g WHERE pred IS NOT NULL AND gold IS NOT NULL"
+    rows = _confident(d)
     return f"SELECT bin, count(*) AS n, round(avg(confidence), 4) AS mean_conf, round(avg(CAST(ok AS DOUBLE)), 4) AS accuracy FROM ({rows}) r GROUP BY bin"
 
 

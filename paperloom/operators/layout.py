@@ -66,10 +66,9 @@ def line_facts(d, tokens=None):
     One pass over the lines of a document: the anchors' centres are gathered by a window (a page has few lines) instead of a self-join.
     """
     over = "OVER (PARTITION BY doc_id)"
-    says = lambda f: "(" + " OR ".join(f"contains(low, '{w}')" for w in ANCHOR_WORDS[f]) + ")"
     pay = "CASE " + " ".join(f"WHEN contains(low, '{k}') THEN '{v}'" for k, v in PAYMENT) + " END"
     near = ", ".join(f"coalesce({d.best(f'at_{f}', 'h', 'greatest(0, 1 - (abs(cx - h.cx) + abs(cy - h.cy)) / 1000)')}, 0) AS near_{f}" for f in ANCHOR_WORDS)
-    at = ", ".join(f"{d.gather(f'CASE WHEN {says(f)} THEN {d.point()} END', over)} AS at_{f}" for f in ANCHOR_WORDS)
+    at = ", ".join(f"{d.gather(f'CASE WHEN {says(ANCHOR_WORDS[f])} THEN {d.point()} END', over)} AS at_{f}" for f in ANCHOR_WORDS)
     return f"""
     SELECT *, {near} FROM (
       SELECT *, max(nullif(amt, 0)) {over} AS max_amt, max(y1) {over} AS page_h, max(x1) {over} AS page_w, max(y1 - y0) {over} AS line_h, {at} FROM (
@@ -207,11 +206,72 @@ def routing(d, fields_sql=None, required=REQUIRED):
     return f"SELECT doc_id, coalesce({d.agg('reason', 'turn', ',')}, '') AS reasons, max(CASE WHEN reason IS NULL THEN 0 ELSE 1 END) AS needs_review FROM (SELECT f.doc_id, {reason} AS reason, {turn} AS turn FROM ({fields_sql or fields(d)}) f WHERE f.field IN ({names})) r GROUP BY doc_id"
 
 
+#: Keywords of the fields of statements and payment orders, and the fields that each needs.
+STATEMENT_ANCHORS = {
+    "account_number": ("account no", "account number", "a/c no", "so tai khoan", "số tài khoản", "stk", "acc no"), "account_holder": ("account holder", "name", "chu tai khoan", "chủ tài khoản", "ten", "tên"),
+    "statement_period": ("period", "statement period", "from", "ky sao ke", "kỳ", "tu ngay"), "opening_balance": ("opening balance", "beginning balance", "so du dau", "số dư đầu"),
+    "closing_balance": ("closing balance", "ending balance", "so du cuoi", "số dư cuối"),
+}
+ORDER_ANCHORS = {
+    "sender_name": ("remitter", "sender", "nguoi chuyen", "người chuyển", "ben chuyen", "bên chuyển"), "sender_account": ("from account", "debit account", "tk chuyen", "tk nguoi chuyen", "so tk chuyen"),
+    "beneficiary_name": ("beneficiary", "payee", "nguoi huong", "người hưởng", "ben huong", "đơn vị hưởng"), "beneficiary_account": ("beneficiary account", "credit account", "tk huong", "tk nguoi huong", "so tk huong", "to account"),
+    "amount": ("amount", "so tien", "số tiền"), "content": ("content", "remark", "noi dung", "nội dung", "description"), "date": ("date", "ngay", "ngày"),
+}
+NEEDED = {"receipt": REQUIRED, "bank_statement": ("account_number", "closing_balance"), "payment_order": ("beneficiary_account", "amount")}
+PLAIN_DATE = "[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}"
+
+
+def says(words, low="low"):
+    return "(" + " OR ".join(f"contains({low}, '{w}')" for w in words) + ")"
+
+
+def digits(d, line, least):
+    return d.rx(f"replace({line}, ' ', '')", f"[0-9]{{{least},}}")
+
+
+def statement_value(d, field, line="line"):
+    """SQL of what a statement's line says of a field, as text."""
+    if field == "account_number":
+        return digits(d, line, 8)
+    if field == "statement_period":
+        dates = d.found(line, PLAIN_DATE)
+        return f"CASE WHEN {d.has(line, PLAIN_DATE)} THEN {d.first_two(dates, ' - ')} ELSE trim({d.after_last(line, ':')}) END"
+    if field in ("opening_balance", "closing_balance"):
+        return d.fixed2(signed(d, line))
+    return f"nullif(lower(trim({d.after_last(line, ':')})), '')"
+
+
+def order_value(d, field, line="line"):
+    """SQL of what a payment order's line says of a field, by the kind that its name tells, as text."""
+    if "account" in field:
+        return digits(d, line, 6)
+    if "amount" in field or "balance" in field:
+        return d.fixed2(signed(d, line))
+    if field == "date":
+        return date(d, line)
+    return f"nullif(lower(trim(substr({line}, instr({line}, ':') + 1))), '')"
+
+
+def line_fields(d, tokens, anchors, value, fallback=""):
+    """Long form (doc_id, field, value, confidence): the bank's name is the top line, another field what its first line that holds a keyword says. fallback: SQL of an account number of a line, for documents that state none."""
+    named = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, min_by(text, CASE WHEN {says(words, 'lower(text)')} THEN line_idx END) AS line, {'min_by(' + fallback + ', CASE WHEN ' + fallback + ' IS NOT NULL THEN line_idx END)' if fallback and f == 'account_number' else 'CAST(null AS STRING)'} AS other FROM ({lines(d, tokens)}) l GROUP BY doc_id" for f, words in anchors.items())
+    said = "CASE field " + " ".join(f"WHEN '{f}' THEN {value(d, f)}" for f in anchors) + " END"
+    top = f"SELECT doc_id, 'bank_name' AS field, lower(min_by(text, line_idx)) AS value, CAST(0.85 AS DOUBLE) AS confidence FROM ({lines(d, tokens)}) b GROUP BY doc_id"
+    return f"{top} UNION ALL SELECT doc_id, field, coalesce(value, other) AS value, CAST(CASE WHEN value IS NOT NULL THEN 0.82 WHEN other IS NOT NULL THEN 0.78 ELSE 0 END AS DOUBLE) AS confidence FROM (SELECT doc_id, field, {said} AS value, other FROM ({named}) n) v"
+
+
+def statement_fields(d, tokens=None):
+    return line_fields(d, tokens or render.statements(d), STATEMENT_ANCHORS, statement_value, digits(d, "text", 8))
+
+
+def order_fields(d, tokens=None):
+    return line_fields(d, tokens or render.payment_orders(d), ORDER_ANCHORS, order_value)
+
+
 def stated(d):
-    """The opening and closing balances that each statement's head states."""
-    rest = "trim(substr(text, instr(text, ':') + 1))"
-    said = lambda words: f"max(CASE WHEN {d.has('lower(text)', words)} THEN {signed(d, rest)} END)"
-    return f"SELECT doc_id, {said('^(opening balance|so du dau):')} AS opening, {said('^(closing balance|so du cuoi):')} AS closing FROM ({render.statements(d)}) t GROUP BY doc_id"
+    """The opening and closing balances that each statement states."""
+    of = lambda f: f"max(CASE WHEN field = '{f}' THEN CAST(value AS DOUBLE) END)"
+    return f"SELECT doc_id, {of('opening_balance')} AS opening, {of('closing_balance')} AS closing FROM ({statement_fields(d)}) f GROUP BY doc_id"
 
 
 def reconcile(d, items_sql=None, heads=None):
@@ -224,9 +284,30 @@ def reconcile(d, items_sql=None, heads=None):
     GROUP BY doc_id"""
 
 
+def plausible(d, tokens):
+    """Tokens that are amounts of money by themselves: not years, not too small, not beyond a receipt's."""
+    return f"SELECT doc_id, tok_idx, CAST(v AS DOUBLE) AS amount FROM (SELECT doc_id, tok_idx, trim(replace(replace(text, ',', ''), ' ', '')) AS v FROM ({tokens}) t) x WHERE {d.has('v', '^[0-9]{1,6}([.][0-9]{1,2})?$')} AND try_cast(v AS DOUBLE) BETWEEN 0.1 AND 50000 AND NOT try_cast(v AS DOUBLE) BETWEEN 1900 AND 2100"
+
+
+def subtotal(d, fields_sql=None, tokens=None):
+    """Receipts whose extracted total is less than half of an amount that is seen: doc_id, total, seen."""
+    total = f"SELECT doc_id, try_cast(value AS DOUBLE) AS total FROM ({fields_sql or fields(d)}) f WHERE field = 'total_amount'"
+    return f"SELECT s.doc_id, s.total, m.seen FROM ({total}) s JOIN (SELECT doc_id, max(amount) AS seen FROM ({plausible(d, tokens or render.receipts(d))}) a GROUP BY doc_id) m ON m.doc_id = s.doc_id WHERE s.total > 0 AND m.seen >= 2.1 * s.total"
+
+
+def date_flags(d, value="dt"):
+    part = lambda at, n: f"try_cast(substr({value}, {at}, {n}) AS INT)"
+    say = lambda name, x, lo, hi: f"CASE WHEN {x} NOT BETWEEN {lo} AND {hi} THEN 'implausible_{name}:' || CAST({x} AS STRING) END"
+    return f"{say('year', part(1, 4), 2000, 2035)}, {say('month', part(6, 2), 1, 12)}, {say('day', part(9, 2), 1, 31)}"
+
+
+def total_flag(d, total="total"):
+    said = lambda name: f"'{name}:' || CAST({total} AS STRING)"
+    return f"CASE WHEN {total} <= 0 THEN {said('nonpositive_total')} WHEN {total} < 0.5 THEN {said('implausibly_small_total')} WHEN {total} > 50000 THEN {said('implausible_total')} END"
+
+
 def sanity(d):
+    """Why a receipt's values are implausible, with the values, in the order of year, month, day, total and what may be a subtotal."""
     v = lambda f: f"max(CASE WHEN field = '{f}' THEN value END)"
-    return f"""
-    SELECT doc_id, concat_ws(',', CASE WHEN y NOT BETWEEN 2000 AND 2035 THEN 'implausible_year' END, CASE WHEN m NOT BETWEEN 1 AND 12 THEN 'implausible_month' END, CASE WHEN dd NOT BETWEEN 1 AND 31 THEN 'implausible_day' END,
-      CASE WHEN total <= 0 THEN 'nonpositive_total' WHEN total < 0.5 THEN 'implausibly_small_total' WHEN total > 50000 THEN 'implausible_total' END) AS flags, total FROM (
-      SELECT doc_id, try_cast(substr(dt, 1, 4) AS INT) AS y, try_cast(substr(dt, 6, 2) AS INT) AS m, try_cast(substr(dt, 9, 2) AS INT) AS dd, try_cast(ta AS DOUBLE) AS total FROM (SELECT doc_id, {v('date')} AS dt, {v('total_amount')} AS ta FROM ({fields(d)}) f GROUP BY doc_id) p) q"""
+    sub = f"CASE WHEN s.seen IS NOT NULL THEN 'total_may_be_subtotal:got=' || CAST(s.total AS STRING) || ',max_seen=' || {d.fixed2('s.seen')} END"
+    return f"SELECT q.doc_id, concat_ws(',', {date_flags(d, 'q.dt')}, {total_flag(d, 'q.total')}, {sub}) AS flags, q.total FROM (SELECT doc_id, {v('date')} AS dt, try_cast({v('total_amount')} AS DOUBLE) AS total FROM ({fields(d)}) f GROUP BY doc_id) q LEFT JOIN ({subtotal(d)}) s ON s.doc_id = q.doc_id"

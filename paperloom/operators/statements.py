@@ -13,11 +13,14 @@ from ..plans.dialect import Spark
 from . import layout as L
 
 S = Spark()
-DOC = Window.partitionBy("doc_id")
 #: A table names so many columns at least.
 NAMED = 3
 
 
+def doc():
+    return Window.partitionBy("doc_id")
+
+
 def _has(text: Column, pattern: str) -> Column:
     return text.rlike(pattern)
 
@@ -25,11 +28,11 @@ def _has(text: Column, pattern: str) -> Column:
 def rows(tokens: DataFrame) -> DataFrame:
     """tokens with cx, cy, their row (yrow, from 0 at the top), place on the page (pos) and the page's number of rows (n_rows)."""
     t = tokens.withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
-    down = DOC.orderBy("cy", "tok_idx")
+    down = doc().orderBy("cy", "tok_idx")
     t = t.withColumn("pcy", F.lag("cy").over(down))
     near = F.col("pcy").isNull() | (F.abs(F.col("cy") - F.col("pcy")) <= 0.7 * F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0)))
     t = t.withColumn("yrow", F.sum(F.when(near, 0).otherwise(1)).over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.withColumn("pos", F.row_number().over(DOC.orderBy("yrow", "x0", "cy", "tok_idx"))).withColumn("n_rows", F.max("yrow").over(DOC) + 1).drop("pcy")
+    return t.withColumn("pos", F.row_number().over(doc().orderBy("yrow", "x0", "cy", "tok_idx"))).withColumn("n_rows", F.max("yrow").over(doc()) + 1).drop("pcy")
 
 
 def placed(tokens: DataFrame) -> DataFrame:
@@ -43,10 +46,10 @@ def placed(tokens: DataFrame) -> DataFrame:
     for k, named in enumerate(names):
         t = t.withColumn(f"c{k}", F.min(F.when(named, F.struct("pos", "cx"))).over(row).getField("cx"))
     count = sum((F.col(f"c{k}").isNotNull().cast("int") for k in range(len(names))), F.lit(0))
-    t = t.withColumn("hrow", F.min(F.when(count >= NAMED, F.col("yrow"))).over(DOC))
+    t = t.withColumn("hrow", F.min(F.when(count >= NAMED, F.col("yrow"))).over(doc()))
     here = F.col("yrow") == F.col("hrow")
     heads = F.array(*[F.struct(F.col(f"c{k}").alias("cx"), F.lit(k).alias("ord")) for k in range(len(names))])
-    t = t.withColumn("cols", F.max(F.when(here, F.array_sort(F.filter(heads, lambda h: h.cx.isNotNull())))).over(DOC))
+    t = t.withColumn("cols", F.max(F.when(here, F.array_sort(F.filter(heads, lambda h: h.cx.isNotNull())))).over(doc()))
     cols = F.col("cols")
     past = F.size(F.filter(F.sequence(F.lit(1), F.size(cols) - 1), lambda i: (F.get(cols, i - 1).cx + F.get(cols, i).cx) / 2 <= F.col("x0")))
     own = F.get(cols, past).getField("ord")

@@ -49,7 +49,7 @@ def semantic_columns(d):
     """
     sql = f"SELECT doc_id, cell, text, ord, CAST(0 AS INT) AS taken FROM ({cell_columns(d)}) c0"
     # round k: a cell whose best remaining column is taken by an earlier cell moves on to its next one
-    for _ in range(3):
+    for _ in range(len(layout.COLUMNS) - 1):
         best = f"SELECT *, min(ord) OVER (PARTITION BY doc_id, cell) AS best FROM ({sql}) b0"
         owner = f"SELECT *, min(CASE WHEN ord = best THEN cell END) OVER (PARTITION BY doc_id, ord) AS owner FROM ({best}) b1"
         sql = f"SELECT doc_id, cell, text, ord, taken FROM ({owner}) b2 WHERE owner IS NULL OR owner >= cell"
@@ -149,6 +149,19 @@ def entity_text(d, tags):
     return f"SELECT doc_id, substr(tag, 3) AS entity, lower({d.agg('text', 'tok_idx')}) AS value FROM ({tags}) t WHERE tag <> 'O' GROUP BY doc_id, substr(tag, 3)"
 
 
+def bio(d, tokens, gold):
+    """Tags of tokens by the true values: a token whose text is part of the date, else of the total, else of the merchant's name belongs to that field; runs of a field start with B.
+
+    tokens: doc_id, tok_idx, text; gold: doc_id, field, gold. Signs within dates and amounts don't count.
+    """
+    of = lambda f: f"max(CASE WHEN field = '{f}' THEN gold END)"
+    bare = lambda s: f"replace(replace({s}, '.', ''), ',', '')"
+    low = "lower(trim(coalesce(t.text, '')))"
+    cls = f"CASE WHEN contains(replace(replace(lower(g.day), '-', ''), '/', ''), {low}) THEN 'DATE' WHEN contains({bare('g.total')}, {bare(low)}) THEN 'TOTAL' WHEN contains(lower(g.merchant), {low}) THEN 'MERCHANT' ELSE 'O' END"
+    rows = f"SELECT t.doc_id, t.tok_idx, t.text, {cls} AS cls FROM ({tokens}) t JOIN (SELECT doc_id, nullif({of('date')}, '') AS day, nullif({of('total_amount')}, '') AS total, nullif({of('merchant_name')}, '') AS merchant FROM ({gold}) g0 GROUP BY doc_id) g ON g.doc_id = t.doc_id"
+    return f"SELECT doc_id, tok_idx, text, cls, CASE WHEN cls = 'O' THEN 'O' WHEN lag(cls) OVER (PARTITION BY doc_id ORDER BY tok_idx) = cls THEN 'I-' || cls ELSE 'B-' || cls END AS tag FROM ({rows}) r"
+
+
 def first_subword(d):
     """The first sub-word of each run of equal word numbers speaks for the word."""
     rows = "SELECT conv_id, turn, CAST(floor(turn / 2) AS BIGINT) AS word, role FROM conversations"
@@ -161,9 +174,9 @@ def tuned_tokens(d):
 
 
 def merged_recognisers(d):
-    """Critical boxes (in the top 30 %, or a date, money or anchor) take the tuned recogniser's text and confidence, the others the default one's."""
-    words = "|".join(w for ws in layout.ANCHOR_WORDS.values() for w in ws)
-    critical = f"(t.y0 < 0.3 * t.page_h OR {d.has('t.text', layout.DATE)} OR {d.has('t.text', layout.MONEY)} OR {d.has('lower(t.text)', words)})"
+    """Critical boxes (their centre in the top 30 %, or a date, money or a keyword of date and total) take the tuned recogniser's text and confidence, the others the default one's."""
+    words = (*layout.ANCHOR_WORDS["date"], *layout.ANCHOR_WORDS["total_amount"])
+    critical = f"((t.y0 + t.y1) / 2 < 0.3 * greatest(t.page_h, 1) OR {d.has('t.text', layout.DATE)} OR {d.has('t.text', layout.MONEY)} OR {layout.says(words, 'lower(t.text)')})"
     return f"SELECT t.doc_id, t.tok_idx, CASE WHEN {critical} THEN coalesce(s.text, t.text) ELSE t.text END AS text, round(CASE WHEN {critical} THEN coalesce(s.conf, CAST(t.conf AS DOUBLE)) ELSE CAST(t.conf AS DOUBLE) END, 6) AS conf FROM (SELECT *, max(y1) OVER (PARTITION BY doc_id) AS page_h FROM ({render.receipts(d)}) r) t LEFT JOIN ({tuned_tokens(d)}) s ON s.doc_id = t.doc_id AND s.tok_idx = t.tok_idx"
 
 

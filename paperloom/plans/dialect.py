@@ -56,6 +56,15 @@ class Spark:
     def part(self, s, sep, k):
         return f"split_part({s}, '{sep}', {k})"
 
+    def found(self, s, p):
+        return f"regexp_extract_all({s}, '{p}', 0)"
+
+    def first_two(self, array, sep):
+        return f"array_join(slice({array}, 1, 2), '{sep}')"
+
+    def after_last(self, s, sep):
+        return f"substring_index({s}, '{sep}', -1)"
+
     def json_int(self, s, key):
         return f"CAST(get_json_object({s}, '$.{key}') AS BIGINT)"
 
@@ -105,6 +114,15 @@ class Duck(Spark):
     def exact(self, x, q):
         return f"quantile_cont({x}, {q})"
 
+    def found(self, s, p):
+        return f"regexp_extract_all({s}, '{p}')"
+
+    def first_two(self, array, sep):
+        return f"array_to_string(({array})[1:2], '{sep}')"
+
+    def after_last(self, s, sep):
+        return f"string_split({s}, '{sep}')[-1]"
+
     def json_int(self, s, key):
         return f"CAST(json_extract_string({s}, '$.{key}') AS BIGINT)"
 
@@ -116,12 +134,14 @@ def _views() -> dict:
     """Views that operators beyond SQL build from the tables: builder(spark, sf_dir) by name."""
     from ..operators import statements
     from ..sources import render
+    from . import registry
 
     tokens = lambda spark, sf_dir: run(spark, sf_dir, render.statements(Spark()))
     return {
         "running_orders": lambda spark, sf_dir: render.running_orders(run(spark, sf_dir, render.AMOUNTS)),
         "statement_columns": lambda spark, sf_dir: statements.header(tokens(spark, sf_dir)),
         "statement_cells": lambda spark, sf_dir: statements.cells(tokens(spark, sf_dir)),
+        "document_reviews": lambda spark, sf_dir: registry.reviews(spark, sf_dir),
         "statement_items": lambda spark, sf_dir: statements.items(tokens(spark, sf_dir)),
     }
 

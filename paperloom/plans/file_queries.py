@@ -52,14 +52,14 @@ def label_files(spark, sf_dir):
     return files.label_lines(spark, at).select(F.when(F.col("text").isNull(), F.trim("name")).otherwise(F.col("name")).alias("name"), "text")
 
 
-GOLD = "SELECT doc_id, field, gold FROM ({}) g WHERE gold IS NOT NULL AND field IN ('date', 'invoice_id')"
+GOLD = "SELECT doc_id, field, gold FROM ({}) g WHERE gold IS NOT NULL"
 
 
 def _records(spark, sf_dir):
     """Labelled records as JSON arrays, five hundred a file, read back."""
     at = folder(spark)
     tokens = run(spark, sf_dir, R.receipts(Spark())).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("tok_idx", "text", F.array("x0", "y0", "x1", "y1").alias("bbox"), F.col("conf").cast("double").alias("conf")))).alias("t"))
-    gold = run(spark, sf_dir, GOLD.format(E.gold_fields(Spark()))).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "gold"))).alias("gold"))
+    gold = run(spark, sf_dir, GOLD.format(E.true_fields(Spark()))).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "gold"))).alias("gold"))
     record = F.to_json(F.struct(F.col("doc_id").alias("image"), F.transform("t", lambda x: F.struct(x.text.alias("text"), x.bbox.alias("bbox"), x.conf.alias("conf"))).alias("tokens"), "gold", F.lit("receipt").alias("doc_type")))
     chunk = F.floor(F.substring("doc_id", 2, 20).cast("long") / 500)
     arrays = tokens.join(gold, "doc_id", "left").groupBy(chunk.alias("chunk")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]")).alias("value"))
@@ -73,7 +73,7 @@ def label_records(spark, sf_dir):
     return t.groupBy("image").agg(F.count("*").alias("n_tokens"), F.max(F.col("t.bbox")[2]).alias("right_edge"), F.round(F.sum("t.conf"), 4).alias("conf"))
 
 
-@query("S11 S16", "SELECT doc_id AS image, field, gold AS value FROM (" + GOLD.format(E.gold_fields(DUCK)) + ") x")
+@query("S11 S16", "SELECT doc_id AS image, field, gold AS value FROM (" + GOLD.format(E.true_fields(DUCK)) + ") x")
 def manifest_fields(spark, sf_dir):
     """The true fields, exploded and written as JSON lines."""
     at = folder(spark)

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators.scan import Count, Sum, scan
 
-#: Heading lines of the statements and their footer, by language.
-HEADING, FOOT = (("", ""), ("ACCOUNT STATEMENT", "SAO KE TAI KHOAN"), ("Account No", "So tai khoan"), ("Opening Balance", "So du dau"), ("Closing Balance", "So du cuoi")), ("Total", "Tong")
+#: Heading lines of the statements and their footer, by language: English, Vietnamese without and with accents.
+HEADING = (
+    ("", "", ""), ("ACCOUNT STATEMENT", "SAO KE TAI KHOAN", "SAO KÊ TÀI KHOẢN"), ("Account No", "So tai khoan", "Số tài khoản"), ("Account Holder", "Chu tai khoan", "Chủ tài khoản"),
+    ("Statement Period", "Ky sao ke", "Kỳ sao kê"), ("Opening Balance", "So du dau", "Số dư đầu"), ("Closing Balance", "So du cuoi", "Số dư cuối"),
+)
+FOOT = ("Total", "Tong", "Tổng")
 #: Columns of the three table layouts: kind, left edge.
 LAYOUTS = (
     (("date", 40), ("description", 220), ("amount", 560), ("balance", 760)),
@@ -18,7 +22,10 @@ LAYOUTS = (
     (("ref", 40), ("date", 160), ("description", 320), ("amount", 600), ("balance", 780)),
 )
 #: Header words of a kind of column, by language.
-TITLES = {"date": ("Date", "Ngay"), "description": ("Description", "Dien giai"), "amount": ("Amount", "So tien"), "debit": ("Debit", "No"), "credit": ("Credit", "Co"), "balance": ("Balance", "So du"), "ref": ("Ref", "SoCT")}
+TITLES = {
+    "date": ("Date", "Ngay", "Ngày"), "description": ("Description", "Dien giai", "Diễn giải"), "amount": ("Amount", "So tien", "Số tiền"), "debit": ("Debit", "No", "Nợ"), "credit": ("Credit", "Co", "Có"),
+    "balance": ("Balance", "So du", "Số dư"), "ref": ("Ref", "SoCT", "Số CT"),
+}
 
 
 def _slots() -> str:
@@ -27,9 +34,9 @@ def _slots() -> str:
     for k, columns in enumerate(LAYOUTS):
         rows += [(k, "line", n, 40, f"line{n}", *words) for n, words in enumerate(HEADING)]
         rows += [(k, "head", n, x, kind, *TITLES[kind]) for n, (kind, x) in enumerate(columns)]
-        rows += [(k, "cell", n, x, kind, "", "") for n, (kind, x) in enumerate(columns)]
-        rows += [(k, "foot", 0, 40, "total", *FOOT), (k, "foot", 1, 790, "closing", "", "")]
-    return "(VALUES " + ", ".join(f"({k}, '{part}', {n}, {x}, '{kind}', '{en}', '{vi}')" for k, part, n, x, kind, en, vi in rows) + ") AS k(layout, part, place, x, kind, en, vi)"
+        rows += [(k, "cell", n, x, kind, "", "", "") for n, (kind, x) in enumerate(columns)]
+        rows += [(k, "foot", 0, 40, "total", *FOOT), (k, "foot", 1, 790, "closing", "", "", "")]
+    return "(VALUES " + ", ".join(f"({k}, '{part}', {n}, {x}, '{kind}', '{en}', '{vi}', '{accented}')" for k, part, n, x, kind, en, vi, accented in rows) + ") AS k(layout, part, place, x, kind, en, vi, accented)"
 
 
 #: Transactions on a page of a statement; every page is a document of its own.
@@ -37,15 +44,16 @@ PAGE = 12
 
 
 def receipts(d) -> str:
+    """Every second receipt writes its total's label with accents, every fourth its date's, every eighth its payment."""
     total = f"CASE WHEN k % 11 = 0 THEN {d.commas('k % 90 + 10')} || '.50' ELSE {d.commas('(k % 300 + 20) * 1000')} END"
     return f"""
     SELECT 'r' || CAST(k AS STRING) AS doc_id, ln AS tok_idx,
       CASE ln WHEN 0 THEN 'CUA HANG SO ' || CAST(c % 97 AS STRING)
         WHEN 1 THEN 'Invoice No: HD' || lpad(CAST(k % 10000 AS STRING), 4, '0')
-        WHEN 2 THEN CASE WHEN k % 9 = 0 THEN 'Counter 4' ELSE 'Date: ' || {d.dmy('t')} END
+        WHEN 2 THEN CASE WHEN k % 9 = 0 THEN 'Counter 4' ELSE CASE WHEN k % 4 = 1 THEN 'Ngày: ' ELSE 'Date: ' END || {d.dmy('t')} END
         WHEN 3 THEN CASE WHEN k % 11 = 0 THEN '' ELSE 'Item A ' END || {d.commas('(k % 50 + 1) * 100')}
-        WHEN 4 THEN 'TONG CONG:' WHEN 5 THEN {total}
-        ELSE 'Payment: ' || CASE k % 4 WHEN 0 THEN 'QR Pay' WHEN 1 THEN 'VISA' WHEN 2 THEN 'tien mat' ELSE 'Momo' END END AS text,
+        WHEN 4 THEN CASE WHEN k % 2 = 1 THEN 'TỔNG CỘNG:' ELSE 'TONG CONG:' END WHEN 5 THEN {total}
+        ELSE 'Payment: ' || CASE k % 4 WHEN 0 THEN 'QR Pay' WHEN 1 THEN 'VISA' WHEN 2 THEN CASE WHEN k % 8 = 2 THEN 'tiền mặt' ELSE 'tien mat' END ELSE 'Momo' END END AS text,
       CAST(CASE WHEN ln = 5 THEN 300 ELSE 40 END AS DOUBLE) AS x0, CAST(20 + 34 * CASE WHEN ln >= 5 THEN ln - 1 ELSE ln END + CASE WHEN ln = 5 THEN k % 5 ELSE 0 END AS DOUBLE) AS y0,
       CAST(CASE WHEN ln = 5 THEN 420 ELSE 260 END AS DOUBLE) AS x1, CAST(40 + 34 * CASE WHEN ln >= 5 THEN ln - 1 ELSE ln END + CASE WHEN ln = 5 THEN k % 5 ELSE 0 END AS DOUBLE) AS y1,
       CAST(60 + (k * 7 + ln * 13) % 40 AS DOUBLE) / 100 AS conf
@@ -73,17 +81,18 @@ def ledger(d) -> str:
     page = "(PARTITION BY c, page ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     return f"""
     SELECT 's' || CAST(c AS STRING) || '.' || CAST(page AS STRING) AS doc_id, c, k, page, CAST(r - page * {PAGE} AS INT) AS row_idx, {d.ymd('t')} AS date, t, 'Transfer ' || CAST(k AS STRING) AS description, CAST(a AS DOUBLE) AS amount,
-      CAST(balance AS DOUBLE) AS balance, CAST(first_value(balance - a) OVER {page} AS DOUBLE) AS opening, CAST(last_value(balance) OVER {page} AS DOUBLE) AS closing, count(*) OVER {page} AS n
+      CAST(balance AS DOUBLE) AS balance, CAST(first_value(balance - a) OVER {page} AS DOUBLE) AS opening, CAST(last_value(balance) OVER {page} AS DOUBLE) AS closing, min(t) OVER {page} AS since, max(t) OVER {page} AS until, count(*) OVER {page} AS n
     FROM (SELECT *, CAST(floor((r - 1) / {PAGE}) AS INT) AS page, (c % 50 + 10) * 100000 + total AS balance FROM ({running(d)}) x) y"""
 
 
 def statements(d) -> str:
-    """Three table layouts, two languages, three ways to write a debit, jittered cells, and a footer row below each table. One pass over the ledger."""
+    """Three table layouts, two languages (one with and without accents), three ways to write a debit, jittered cells, and a footer row below each table. One pass over the ledger."""
     plain = lambda v: f"CASE WHEN {v} < 0 THEN '-' || {d.commas('-' + v)} ELSE {d.commas(v)} END"
     signed = f"CASE WHEN amount < 0 THEN CASE c % 5 WHEN 0 THEN '(' || {d.commas('-amount')} || ')' WHEN 1 THEN {d.commas('-amount')} || ' DR' ELSE '-' || {d.commas('-amount')} END ELSE {d.commas('amount')} || CASE WHEN c % 5 = 1 THEN ' CR' ELSE '' END END"
-    word = "CASE c % 2 WHEN 0 THEN k.en ELSE k.vi END"
+    word = "CASE c % 4 WHEN 0 THEN k.en WHEN 1 THEN k.vi ELSE k.accented END"
     text = f"""CASE WHEN k.part = 'head' THEN {word} WHEN k.part = 'foot' THEN CASE k.place WHEN 0 THEN {word} ELSE {plain('closing')} END
-        WHEN k.part = 'line' THEN CASE k.place WHEN 0 THEN 'ACME BANK' WHEN 1 THEN {word} WHEN 2 THEN {word} || ': ' || lpad(CAST(c AS STRING), 10, '7') WHEN 3 THEN {word} || ': ' || {plain('opening')} ELSE {word} || ': ' || {plain('closing')} END
+        WHEN k.part = 'line' THEN CASE k.place WHEN 0 THEN 'ACME BANK' WHEN 1 THEN {word} WHEN 2 THEN {word} || ': ' || lpad(CAST(c AS STRING), 10, '7') WHEN 3 THEN {word} || ': Customer ' || CAST(c AS STRING)
+          WHEN 4 THEN {word} || ': ' || CASE WHEN c % 6 = 5 THEN 'all of it' ELSE {d.dmy('since')} || ' - ' || {d.dmy('until')} END WHEN 5 THEN {word} || ': ' || {plain('opening')} ELSE {word} || ': ' || {plain('closing')} END
         WHEN k.kind = 'date' THEN {d.dmy('t')} WHEN k.kind = 'description' THEN description WHEN k.kind = 'ref' THEN 'CT' || CAST(l.k % 900 + 100 AS STRING) WHEN k.kind = 'amount' THEN {signed}
         WHEN k.kind = 'debit' THEN CASE WHEN amount < 0 THEN {d.commas('-amount')} END WHEN k.kind = 'credit' THEN CASE WHEN amount > 0 THEN {d.commas('amount')} END ELSE {plain('balance')} END"""
     y = "CASE k.part WHEN 'line' THEN 20 + 36 * k.place WHEN 'head' THEN 300 + (c + k.place) % 4 WHEN 'cell' THEN 300 + 36 * row_idx + (c * row_idx) % 3 + (l.k + k.place) % 4 ELSE 308 + 36 * (n + 1) END"
@@ -94,8 +103,11 @@ def statements(d) -> str:
 
 
 def payment_orders(d) -> str:
+    """Two languages, the labels of the second without and with accents; dates by number."""
+    say = lambda en, vi, accented: f"CASE k % 4 WHEN 1 THEN '{vi}' WHEN 3 THEN '{accented}' ELSE '{en}' END"
     return f"""
-    SELECT 'p' || CAST(k AS STRING) AS doc_id, ln AS tok_idx, CASE ln WHEN 0 THEN 'UY NHIEM CHI / PAYMENT ORDER' WHEN 1 THEN 'Remitter: ' || s WHEN 2 THEN 'From account: ' || lpad(CAST(k AS STRING), 9, '4')
-        WHEN 3 THEN 'Payee: ' || n WHEN 4 THEN 'To account: ' || lpad(CAST(k AS STRING), 10, '8') WHEN 5 THEN 'Amount: ' || {d.commas('(k % 500 + 1) * 10000')} WHEN 6 THEN 'Remark: invoice ' || CAST(k AS STRING) ELSE 'Date: 05/03/2025' END AS text,
+    SELECT 'p' || CAST(k AS STRING) AS doc_id, ln AS tok_idx, CASE ln WHEN 0 THEN {say('PAYMENT ORDER', 'UY NHIEM CHI', 'ỦY NHIỆM CHI')} WHEN 1 THEN {say('Remitter', 'Nguoi chuyen', 'Người chuyển')} || ': ' || s WHEN 2 THEN {say('From account', 'TK chuyen', 'TK chuyen')} || ': ' || lpad(CAST(k AS STRING), 9, '4')
+        WHEN 3 THEN {say('Payee', 'Nguoi huong', 'Người hưởng')} || ': ' || n WHEN 4 THEN {say('To account', 'TK huong', 'TK huong')} || ': ' || lpad(CAST(k AS STRING), 10, '8') WHEN 5 THEN {say('Amount', 'So tien', 'Số tiền')} || ': ' || {d.commas('(k % 500 + 1) * 10000')}
+        WHEN 6 THEN {say('Remark', 'Noi dung', 'Nội dung')} || ': invoice ' || CAST(k AS STRING) ELSE {say('Date', 'Ngay', 'Ngày')} || ': ' || lpad(CAST(k % 28 + 1 AS STRING), 2, '0') || '/' || lpad(CAST(k % 12 + 1 AS STRING), 2, '0') || '/2025' END AS text,
       CAST(40 AS DOUBLE) AS x0, CAST(20 + 34 * ln AS DOUBLE) AS y0, CAST(400 AS DOUBLE) AS x1, CAST(40 + 34 * ln AS DOUBLE) AS y1, CAST(0.9 AS DOUBLE) AS conf
     FROM (SELECT s_suppkey AS k, s_name AS s, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey) x CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS l(ln)"""
