@@ -39,7 +39,7 @@ from .common import Texts, batch_of, blocks, column, crc_mod, documents, mix, ru
 A, MU = 0.02, 4.0
 ALPHA = 0.1
 #: Tokens of a shard.
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 1_500_000
 #: Contexts are told apart by so many bits of their hash, predicted words by all 64.
 CONTEXT_BITS = 48
 BITS = 16
@@ -205,13 +205,23 @@ class Trie:
     @classmethod
     def build(cls, w, v, u, count, hot: tuple[Hot, Hot], scale: float, a: float = A, mu: float = MU, bits: int = BITS) -> Trie:
         """w, v, u: hashes, with the training counts; rows distinct. hot: counts of split words and pairs. scale: MU / Z."""
-        keep = count > 0
-        w, v, u, count = w[keep], v[keep], u[keep], count[keep]
         words = np.unique(np.concatenate((w, v, u)))
         w, v, u = (np.searchsorted(words, x) for x in (w, v, u))
         if not _in_order(w, v, u):
             order = np.lexsort((u, v, w))
             w, v, u, count = w[order], v[order], u[order], count[order]
+        return cls.of_ranks(words, w, v, u, count, hot, scale, a, mu, bits)
+
+    @classmethod
+    def of_ranks(cls, words, w, v, u, count, hot: tuple[Hot, Hot], scale: float, a: float = A, mu: float = MU, bits: int = BITS) -> Trie:
+        """As build(), of places in the sorted hashes `words`, in ascending order."""
+        keep = count > 0
+        w, v, u, count = w[keep], v[keep], u[keep], count[keep]
+        used = np.zeros(len(words), bool)
+        for x in (w, v, u):
+            used[x] = True
+        place = np.cumsum(used) - 1
+        words, w, v, u = words[used], place[w], place[v], place[u]
         pair_at = runs(w.astype(_U) << _U(32) | v.astype(_U)) if len(w) else runs(w)
         pw, pv = w[pair_at[:-1]], v[pair_at[:-1]]
         pair_count = np.add.reduceat(count, pair_at[:-1]) if len(w) else count
@@ -231,22 +241,22 @@ class Trie:
         one.exact = word_count
         return cls(EliasFano.of(words), one, two, three)
 
-    def lookup(self, w, v, u, scale: float, hot: tuple[Hot, Hot], mu: float = MU, a: float = A) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def index(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash in the vocabulary, -1 for unknown ones."""
+        at = self.vocabulary.successor(h)
+        ok = at < self.vocabulary.n
+        ok[ok] = self.vocabulary[at[ok]] == h[ok]
+        return np.where(ok, at, -1)
+
+    def lookup(self, w, v, u, scale: float, hot: tuple[Hot, Hot], mu: float = MU, a: float = A, places: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each trigram: log10 of the numerator, log10 of the denominator of contexts that end in (v, w), and the count of w.
 
-        hot: counts of words and pairs dealt over several shards, for those whose training rows are elsewhere.
+        hot: counts of words and pairs dealt over several shards, for those whose training rows are elsewhere. places: index() of w, v and u, if known.
         """
         one, two, three = self.levels
         n, no = len(w), np.full(len(w), -1, np.int64)
-
-        def index(h):
-            at = self.vocabulary.successor(h)
-            ok = at < self.vocabulary.n
-            ok[ok] = self.vocabulary[at[ok]] == h[ok]
-            return np.where(ok, at, -1)
-
         at = runs(w)  # equal words mostly stand together
-        wi, vi, ui = np.repeat(index(w[at[:-1]]), np.diff(at)), index(v), index(u)
+        wi, vi, ui = places or (np.repeat(self.index(w[at[:-1]]), np.diff(at)), self.index(v), self.index(u))
         k1, k2, k3 = no.copy(), no.copy(), no.copy()
         own = wi[at[:-1]]
         k1 = np.where(own >= 0, one.find(np.zeros(len(own), np.int64), np.full(len(own), one.ids.n), np.maximum(own, 0)), -1)
@@ -460,15 +470,35 @@ def _coded(h: np.ndarray, code: np.ndarray, n_codes: int, literal_bytes: int) ->
     return _planes(np.where(rare, n_codes, code)), literal.tobytes()
 
 
-def _decoded(codes: bytes, literals: bytes, table: np.ndarray, literal_bytes: int) -> np.ndarray:
-    code = _from_planes(codes).astype(np.int64)
-    rare = code == len(table)
-    out = np.zeros(len(code), _U)
-    out[~rare] = table[code[~rare]]
-    wide = np.zeros((int(rare.sum()), 8), np.uint8)
-    wide[:, :literal_bytes] = np.frombuffer(literals, np.uint8).reshape(-1, literal_bytes)
-    out[rare] = wide.view(_U).reshape(-1)
-    return out
+def _decoded(codes: bytes, literals: bytes, literal_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of words (the table's size: none), and the hashes of those without one."""
+    literal = np.frombuffer(literals, np.uint8).reshape(-1, literal_bytes)
+    wide = np.zeros((len(literal), 8), np.uint8)
+    wide[:, :literal_bytes] = literal
+    return _from_planes(codes).astype(np.int32), wide.view(_U).reshape(-1)
+
+
+def _ranked(w, v, u, table: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All hashes of a shard, sorted, and the place of each position's w, v and u among them. w, v, u: codes and hashes, as _decoded() gives them by blob.
+
+    Only rare words are sorted; words with a code find their place by it.
+    """
+    codes = [np.concatenate([c for c, _ in x]) for x in (w, v, u)]
+    rare, of_rare = zip(*(np.unique(np.concatenate([h for _, h in x]), return_inverse=True) for x in (w, [*v, *u])), strict=True)
+    split = sum(len(h) for _, h in v)
+    of_rare = (of_rare[0], of_rare[1][:split], of_rare[1][split:])
+    spaces = (np.concatenate((table, rare[0])), np.concatenate((table & _CONTEXT, rare[1] & _CONTEXT)))
+    used = [np.zeros(len(x), bool) for x in spaces]
+    ids = []
+    for k, (code, own) in enumerate(zip(codes, of_rare, strict=True)):
+        code[code == len(table)] = len(table) + own
+        used[min(k, 1)][code] = True
+        ids.append(code)
+    at = [np.flatnonzero(x) for x in used]
+    words, place = np.unique(np.concatenate([x[i] for x, i in zip(spaces, at, strict=True)]), return_inverse=True)
+    ranks = [np.zeros(len(x), np.int32) for x in spaces]
+    ranks[0][at[0]], ranks[1][at[1]] = place[: len(at[0])], place[len(at[0]) :]
+    return words, [ranks[min(k, 1)][x] for k, x in enumerate(ids)]
 
 
 def _position_blobs(rows: DataFrame, shards: int, hot: tuple[Hot, Hot, Hot], table: np.ndarray) -> DataFrame:
@@ -522,19 +552,25 @@ def _score_shard(blobs: list[tuple[int, bytes]], scale: float, hot: tuple[Hot, H
         docs.append(np.cumsum(_from_planes(gaps)).astype(np.int32))
         trains.append(_from_planes(train).astype(bool))
         for k, size in enumerate((8, CONTEXT_BITS // 8, CONTEXT_BITS // 8)):
-            parts[k].append(_decoded(coded[2 * k], coded[2 * k + 1], table, size))
+            parts[k].append(_decoded(coded[2 * k], coded[2 * k + 1], size))
     if not docs:
         return
-    w, v, u = (np.concatenate(x) for x in parts)
+    words, (w, v, u) = _ranked(*parts, table)
     parts = None
-    v &= _CONTEXT
-    u &= _CONTEXT
-    order = np.lexsort((u, v, w))
-    new = np.ones(len(order), bool)
-    new[1:] = False
-    for x in (w, v, u):
-        x = x[order]
-        new[1:] |= x[1:] != x[:-1]
+    bits = max(1, (len(words) - 1).bit_length())
+    if 3 * bits <= 63:
+        key = (w.astype(np.int64) << 2 * bits) | (v.astype(np.int64) << bits) | u
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        del key
+    else:
+        order = np.lexsort((u, v, w))
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for x in (w, v, u):
+            x = x[order]
+            new[1:] |= x[1:] != x[:-1]
     firsts = np.flatnonzero(new)
     inverse = np.empty(len(order), np.int32)
     inverse[order] = np.cumsum(new, dtype=np.int32) - 1
@@ -542,19 +578,20 @@ def _score_shard(blobs: list[tuple[int, bytes]], scale: float, hot: tuple[Hot, H
     w, v, u = (x[order[firsts]] for x in (w, v, u))
     del order, new
     if len(hot[2].keys):
-        total = hot[2].of(triple_key(w, v, u), total)
+        total = hot[2].of(triple_key(words[w], words[v], words[u]), total)
     handle, path = tempfile.mkstemp(suffix=".trie")  # this task's own; unlinked once it is mapped
     os.close(handle)
     try:
-        Trie.build(w, v, u, total, hot[:2], scale).save(path)
+        Trie.of_ranks(words, w, v, u, total, hot[:2], scale).save(path)
         trie = Trie.map(path)
     finally:
         os.unlink(path)
     num, den, c = np.empty(len(w)), np.empty(len(w)), np.empty(len(w), np.int64)
+    known_at = np.concatenate([trie.index(words[s : s + 250_000]) for s in range(0, len(words), 250_000)])
     for s in range(0, len(w), 250_000):
-        e = s + 250_000
-        num[s:e], den[s:e], c[s:e] = trie.lookup(w[s:e], v[s:e], u[s:e], scale, hot[:2])
-    den[w == _END] = 0.0  # nothing follows it
+        x = [y[s : s + 250_000] for y in (w, v, u)]
+        num[s : s + 250_000], den[s : s + 250_000], c[s : s + 250_000] = trie.lookup(*(words[y] for y in x), scale, hot[:2], places=tuple(known_at[y] for y in x))
+    den[words[w] == _END] = 0.0  # nothing follows it
     gain, base, known = num - den, np.log10(c + ALPHA), c > 0
     at = 0
     for (block, _), doc in zip(blobs, docs, strict=True):
@@ -598,7 +635,7 @@ def score_documents(docs: DataFrame, holdout_mod: int = 10, id_col: str = "doc_i
 
     Null and empty texts have one token, the end. Every row is a document of its own, also where rows share a doc_id or
     have none (such learn). With no training document, counts are zero and every word is as likely as an unknown one.
-    An empty table gives an empty result. Other columns are ignored.
+    Very long texts are scored whole, a block of text by itself. No ties arise. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
