@@ -3,7 +3,8 @@
 A linear classifier over hashed binary features (words, and their first four and five bytes) is trained from confirmed
 toxic documents and unlabelled text only. The risk is  P * R+(positive)  +  max(0, R-(unlabelled) - P * R-(positive)),
 P being the class prior; when the second part falls below zero, the step climbs it instead, so that the model can't
-explain the hidden positives among the unlabelled away. P is the share of toxic ones among labelled training documents, with a margin (PRIOR_MARGIN).
+explain the hidden positives among the unlabelled away. P is the share of toxic ones among labelled training documents times a margin that is chosen on training rows: by folds, the
+one under which models tell held positives from documents labelled clean best.
 Both are samples by a hash of doc_id, each row taken with the chance that makes POSITIVES and UNLABELLED documents of
 them all (all, if there are fewer). Features are counted and chosen where the sample is; the driver gets the chosen
 features (MOST of them at most) and, for each sampled document, which of them it has.
@@ -22,10 +23,10 @@ POSITIVES, UNLABELLED = 1500, 4500
 ROUNDS = 1500
 #: Share of the positives that a feature must be in, so that copies of one document choose none.
 LEAST_SHARE = 0.02
-#: What the share of toxic ones among labelled documents is multiplied by: too small a prior turns hidden positives into negatives, while
-#: the bound at zero holds too large a one.
-PRIOR_MARGIN = 1.15
-#: Features of a model, the ones with the largest excess among positives.
+#: What the share of toxic ones among labelled documents may be multiplied by (the middle one where nothing tells): too small a prior turns
+#: hidden positives into negatives, while the bound at zero holds too large a one. Folds and rounds of the choice.
+MARGINS, FOLDS, CHOICE_ROUNDS = (1.0, 1.15, 1.3), 3, 300
+#: Features of a model, the ones with the largest excess among positives; the size of the model, not a cap on documents.
 MOST = 4096
 _U = np.uint64
 _PUNCTUATION = b".,!?;:\"'()"
@@ -104,12 +105,32 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, chosen: np.ndarray, prior:
     return Model(chosen, w, b)
 
 
+def chosen_margin(rows: list[np.ndarray], positive: np.ndarray, clean: np.ndarray, fold: np.ndarray, chosen: np.ndarray, share: float) -> float:
+    """The margin whose models, each fitted without a fold, get most of that fold right: the mean of the shares of positives and of clean documents. Ties go to the one nearest the middle, then to the larger."""
+    middle = MARGINS[len(MARGINS) // 2]
+    if min(positive.sum(), clean.sum()) < 10 * FOLDS or not len(chosen):
+        return middle
+    best = {}
+    for margin in MARGINS:
+        z = np.zeros(len(rows))
+        for k in range(FOLDS):
+            own = np.flatnonzero(fold != k)
+            model = fit([rows[i] for i in own], positive[own], chosen, bounded(margin * share), CHOICE_ROUNDS)
+            for i in np.flatnonzero(fold == k):
+                z[i] = model.bias + (model.weights[rows[i].astype(np.int64)].sum() if len(model.weights) else 0.0)
+        best[margin] = ((z[positive] >= 0).mean() + (z[clean] < 0).mean()) / 2
+    return max(MARGINS, key=lambda m: (round(best[m], 9), -abs(m - middle), m))
+
+
+def bounded(prior: float) -> float:
+    return min(max(prior, 0.01), 0.9)
+
+
 def train(rows: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """rows: doc_id, text. labels: doc_id, toxic; both without what is held out. Of rows that share a doc_id the smallest text counts."""
     labels = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    if prior is None:
-        prior = PRIOR_MARGIN * float(labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.1)
-    prior = min(max(prior, 0.01), 0.9)
+    share = None if prior is not None else float(labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.1)
+    prior = bounded(prior if share is None else MARGINS[len(MARGINS) // 2] * share)
     rows = rows.filter("doc_id is not null").select("doc_id", "text")
     scale = 1 << 30
     chance = lambda n, total, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(scale)) < int(scale * min(1.0, n / max(total, 1)))
@@ -117,7 +138,9 @@ def train(rows: DataFrame, labels: DataFrame, prior: float | None = None, positi
     known = F.broadcast(toxic.filter(chance(positives, toxic.count(), 1)).withColumn("positive", F.lit(True)))  # about `positives` ids, whatever the input
     total = rows.count()
     own = [rows.join(known, "doc_id"), rows.filter(chance(unlabelled, total, 2)).withColumn("positive", F.lit(False))]
-    sample = cut(own[0].unionByName(own[1]).groupBy("doc_id", "positive").agg(F.min("text").alias("text")))
+    sample = own[0].unionByName(own[1]).groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    told = F.broadcast(sample.select("doc_id").distinct()).join(labels, "doc_id").select("doc_id", (F.col("toxic") == 0).alias("clean"))  # of the sampled ids
+    sample = cut(sample.join(told, "doc_id", "left").withColumn("clean", F.coalesce("clean", F.lit(False))))
     n_p, n_u = (sample.filter(c).count() for c in ("positive", "not positive"))
     counted = pa.schema([("code", pa.int64()), ("in_p", pa.int64()), ("in_u", pa.int64())])
 
@@ -141,10 +164,14 @@ def train(rows: DataFrame, labels: DataFrame, prior: float | None = None, positi
                 k = np.minimum(np.searchsorted(chosen, codes), max(len(chosen) - 1, 0))
                 hit = chosen[k] == codes if len(chosen) else np.zeros(len(codes), bool)
                 own = [np.unique(k[s:e][hit[s:e]]).astype(np.uint16).tobytes() for s, e in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "positive"), pa.array(own, pa.binary())], ["doc_id", "positive", "x"])
-
-        got = sorted(sample.mapInArrow(places, "doc_id long, positive boolean, x binary").collect())
-        model = fit([np.frombuffer(bytes(r.x), np.uint16) for r in got], np.array([r.positive for r in got]), chosen, prior)
+                yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "positive"), column(b, "clean"), pa.array(own, pa.binary())], ["doc_id", "positive", "clean", "x"])
+
+        got = sorted(sample.mapInArrow(places, "doc_id long, positive boolean, clean boolean, x binary").collect())
+        own, positive, clean = [np.frombuffer(bytes(r.x), np.uint16) for r in got], np.array([r.positive for r in got]), np.array([r.clean for r in got])
+        if share is not None:
+            fold = (mix(np.array([r.doc_id for r in got], np.int64).view(_U)) % _U(FOLDS)).astype(np.int64)  # an id's rows share a fold
+            prior = bounded(share * chosen_margin(own, positive, clean & ~positive, fold, chosen, share))
+        model = fit(own, positive, chosen, prior)
     forget(toxic, sample)
     return model
 
@@ -169,7 +196,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, holdout_mod: int = 5) ->
     """doc_id, held_out, score, predicted of every document; learns from labels of documents that aren't held out.
 
     Null and empty texts score what the bias alone gives. Without positives or unlabelled text every score is that of
-    an untrained bias (below 0.5). Repeated label rows count once, toxic if any says so; repeated documents give repeated results.
+    an untrained bias (below 0.5). Very long texts are read whole; no ties arise. An empty table gives an empty result, and other columns,
+    whatever their names, are left alone. Repeated label rows count once, toxic if any says so; repeated documents give repeated results.
     """
     small_batches(docs.sparkSession)
     doc_id = docs["doc_id"].cast("long")
