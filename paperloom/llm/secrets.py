@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, join_hot
 
 #: The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,7 +76,7 @@ def judged(docs: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: in
     scanned = cut(scan(docs).withColumn("uid", F.monotonically_increasing_id()))
     copied = cut(ownership(scanned).select("hash", ((F.col("n_owners") >= copied_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= copied_repos))).alias("copied")))
     rows = scanned.select("uid", F.explode(F.concat("base", "mixed")).alias("s")).withColumn("hash", F.sha2(F.col("s.secret"), 256))
-    rows = rows.join(copied, "hash").filter((F.col("s.kind") < 3) | ~F.col("copied"))
+    rows = join_hot(rows, copied, ["hash"], by="uid").filter((F.col("s.kind") < 3) | ~F.col("copied"))
     spans = rows.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end", "copied"))).alias("spans"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,copied:boolean>>")
     return scanned.select("doc_id", "uid").join(spans, "uid", "left").select("doc_id", "uid", F.coalesce("spans", none).alias("spans"))
@@ -91,7 +91,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Digest of the spans of every document, with counts of copied base spans and of added ones.
 
     A repository is one of repo_col's values (nulls are one of their own), an owner one of owner_col's. Null texts are empty and have no
-    spans. Repeated rows count as further copies within their repository and each keep a row. An empty table gives an empty result.
+    spans. Very long texts are scanned whole. Spans that start together come in the order of kinds. Repeated rows count as further copies within their repository and each keep a row. An empty table gives an empty result.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[repo_col].cast("string").alias("repo"), docs[owner_col].cast("string").alias("owner"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     base = F.filter("spans", lambda s: s.kind < 3)
