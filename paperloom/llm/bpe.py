@@ -288,6 +288,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     """Token count and digests of ids and decoded text of every document. Runs per row: no shuffle.
 
     Null and empty texts have no tokens and decode to the empty text; repeated rows give repeated results;
+    very long texts are encoded whole, pieces of text at a time; no ties arise;
     extra columns are ignored; an empty table gives an empty result. path: the vocabulary file, by default the
     public one of the worker's own installation.
     """

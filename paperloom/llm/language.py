@@ -202,7 +202,7 @@ def identify_languages(docs: DataFrame, holdout_mod: int = 4, holdout: int = 2)
     """doc_id, held_out, lang_pred, score, rejected of every document; learns from the documents that aren't held out.
 
     Null texts and those without a letter are und, with score 0, and rejected. With no document to learn from, all are und.
-    Ties go to the language first in the alphabet. Repeated rows give repeated results; other columns are ignored.
+    Ties go to the language first in the alphabet. Very long texts are read whole. Repeated rows give repeated results, an empty table an empty one; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     doc_id = docs["doc_id"].cast("long")

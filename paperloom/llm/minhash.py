@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that share a doc_id are one document: they are
     linked, by whatever any of their texts links with, and each has its row. A null doc_id links with nothing and is kept.
-    An empty table gives an empty result. Other columns are ignored.
+    Very long texts are compared whole, by all their shingles. Equal texts share a group, whose smallest doc_id is kept; no other tie arises. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)

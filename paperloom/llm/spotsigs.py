@@ -121,7 +121,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null texts are empty; empty ones have the empty fingerprint, and are alike (1) to empty ones only (else 0). Rows
     that share a doc_id follow each other in the order of their texts; a null doc_id comes first. A lone document is its own
-    next. An empty table gives an empty result. Other columns are ignored.
+    next. Very long texts are read whole. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)

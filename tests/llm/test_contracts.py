@@ -1,6 +1,7 @@
 """Each operator's rows against a brute-force version, and the rows that are odd: nulls, repeats, clashing names, ties, no rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -206,11 +207,26 @@ def base_spans(text):
     return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
 
 
+def live_spans(docs, sources, doc_id):
+    """Mixed tokens outside base spans of one document, but for those that enough owners share."""
+    if not hasattr(live_spans, "owners") or live_spans.docs is not docs:
+        live_spans.docs, live_spans.owners, live_spans.found = docs, {}, {}
+        for k, t in docs:
+            base = base_spans(t)
+            mixed = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9_@./-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_@./-])", t)]
+            live_spans.found[k] = [(s, e, t[s:e]) for s, e in mixed if not any(s < b[2] and b[1] < e for b in base)]
+            value = lambda kind, s, e, t=t: re.sub(r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "", t[s:e]) if kind == "assign" else t[s:e]
+            for secret in [value(*b) for b in base] + [m[2] for m in live_spans.found[k]]:
+                live_spans.owners.setdefault(secret, set()).add(sources[k])
+    return [f"live:{s}:{e}" for s, e, secret in live_spans.found[doc_id] if len(live_spans.owners[secret]) < 3]
+
+
 def test_secrets_equal_brute_force(spark):
     r = random.Random(3)
     parts = ["password", "Token", "API_KEY", "apikey", "secret", ": ", "=", '"', "'", " ", "AKIA", "A" * 14, "0123456789abcdef", "deadbeef", "é", "🤣", "\n", "x" * 12, "zz_+/.=-", "AKIA" + "Z9" * 8, "ghp_" + "a1B2" * 7]
     docs = [(k, "".join(r.choices(parts, k=r.randrange(60)))) for k in range(300)] + [(900, 'secret: "aaaaaaaaaaaaaaaa" ' * 3000)]
     frame = spark.createDataFrame([(k, t, f"s{k % 5}") for k, t in docs], "doc_id long, text string, source string")
+    frame_sources = {k: f"s{k % 5}" for k, _ in docs}
     for x in secrets.find_secrets(frame).collect():
         want = base_spans(dict(docs)[x.doc_id])
         assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(s[0] == k for s in want) for k in ("assign", "access", "hex"))
@@ -218,6 +234,7 @@ def test_secrets_equal_brute_force(spark):
         assert x.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         spans = [s for s in x.spans.split(",") if s]
         assert [s for s in spans if not s.startswith("live")] == [s for s in joined.split(",") if s]
+        assert [s for s in spans if s.startswith("live")] == live_spans(docs, frame_sources, x.doc_id)
     # redaction: live spans give way to one mark for each run of overlapping ones
     live = {x.doc_id: [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s] for x in secrets.find_secrets(frame).filter("n_copied = 0").collect()}
     for x in secrets.redact(frame).filter(F.col("doc_id").isin(list(live))).collect():
@@ -309,6 +326,43 @@ def test_toxicity_equals_brute_force(spark):
     assert sum(x.predicted == int(x.doc_id % 6 == 1) for x in got) >= 0.97 * len(got)
 
 
+def test_toxicity_fit_equals_a_slow_version():
+    """Descent on the non-negative risk, one document and one feature at a time."""
+    r = random.Random(6)
+    rows = [np.array(sorted(r.sample(range(6), r.randrange(5))), np.uint16) for _ in range(40)]
+    positive = np.array([k < 12 for k in range(40)])
+    for prior in (0.1, 0.6):
+        bias, w = math.log(prior / (1 - prior)), [0.0] * 6
+        turned = 0
+        for _ in range(60):
+            z = [bias + sum(w[f] for f in own) for own in rows]
+            s, loss = [1 / (1 + math.exp(-x)) for x in z], [math.log1p(math.exp(x)) for x in z]
+            of = lambda x, p: [v for v, is_p in zip(x, positive) if is_p == p]
+            good = sum(of(loss, False)) / 28 - prior * sum(of(loss, True)) / 12 >= 0
+            turned += not good
+            g = [(prior * (a - 1) / 12 - prior * a / 12 if p else a / 28) if good else (prior * a / 12 if p else -a / 28) for a, p in zip(s, positive)]
+            step = [sum(x for x, own in zip(g, rows) if f in own) for f in range(6)]
+            w = [v - 4.0 * (d + 1e-4 * v) for v, d in zip(w, step)]
+            bias -= 4.0 * sum(g)
+        model = toxicity.fit(rows, positive, np.arange(6), prior, rounds=60)
+        assert model.weights == pytest.approx(w) and model.bias == pytest.approx(bias) and (prior < 0.5 or turned)
+
+
+def test_the_margin_is_chosen_on_training_rows():
+    """Hidden positives among the unlabelled: the choice sees training rows only, and gives one of the margins."""
+    r = np.random.default_rng(3)
+    rows, positive, clean = [], [], []
+    for k in range(600):
+        toxic = k % 3 == 0
+        own = np.flatnonzero(r.random(20) < np.where(np.arange(20) < 6, 0.5 if toxic else 0.03, 0.2)).astype(np.uint16)
+        rows.append(own)
+        positive.append(toxic and k % 2 == 0)
+        clean.append(not toxic and k % 4 == 1)
+    got = toxicity.chosen_margin(rows, np.array(positive), np.array(clean), np.arange(600) // 7 % toxicity.FOLDS, np.arange(20), 1 / 3)
+    assert got in toxicity.MARGINS
+    assert toxicity.chosen_margin(rows, np.array(positive), np.zeros(600, bool), np.zeros(600, int), np.arange(20), 1 / 3) == toxicity.MARGINS[1]
+
+
 def test_digests_of_empty_texts(spark):
     rows = {x.doc_id: x for x in bpe.encode_decode(spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id long, text string")).collect()}
     none = hashlib.sha256(b"").hexdigest()
