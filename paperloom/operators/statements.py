@@ -36,12 +36,13 @@ def rows(tokens: DataFrame) -> DataFrame:
 
 
 def placed(tokens: DataFrame) -> DataFrame:
-    """rows() with the header's row (hrow, null without one), its columns from the left (cols: cx, ord), and for tokens below it the column that holds their left edge (ord)."""
+    """rows() with the header's row (hrow, null without one), its columns from the left (cols: cx, ord), which columns a token could name (could), and for tokens below it the column that holds their left edge (ord)."""
     t = rows(tokens).withColumn("low", F.lower("text"))
     edge = "[^a-z0-9_À-ỹ]"
     any_word = "|".join(w for words in L.COLUMNS.values() for w in words)
     t = t.withColumn("word", F.coalesce(_has(F.col("low"), any_word), F.lit(False)))  # most tokens are told by one pattern
     names = [F.col("word") & _has(F.col("low"), f"(^|{edge})({'|'.join(words)})({edge}|$)") for words in L.COLUMNS.values()]
+    t = t.withColumn("could", F.when(F.col("word"), F.filter(F.array(*[F.when(named, k) for k, named in enumerate(names)]), lambda k: k.isNotNull())))
     row = Window.partitionBy("doc_id", "yrow")
     for k, named in enumerate(names):
         t = t.withColumn(f"c{k}", F.min(F.when(named, F.struct("pos", "cx"))).over(row).getField("cx"))
@@ -121,3 +122,104 @@ def closes(items_: Column, opening: Column, closing: Column) -> Column:
     amounts = F.filter(F.transform(items_, lambda i: i.amount), lambda a: a.isNotNull())
     total = F.aggregate(amounts, F.lit(0.0), lambda a, x: a + x)
     return F.when((F.size(amounts) > 0) & (F.abs(F.round(opening + total, 2) - closing) < 1), 1).otherwise(0)
+
+
+# ---- the grid of a table
+
+
+def gridded(tokens: DataFrame) -> DataFrame:
+    """Tokens from the header row down with the row (r) and the column (c) of the table that they are dealt to, and the page's header cells (heads: pos, x0, text, could).
+
+    Row boxes are those of the clustered rows, column boxes reach from one header cell to the next. A token goes to the box that holds its
+    centre, else to the nearest; of those that tie to the lowest. It can only move to a neighbouring row.
+    """
+    t = placed(tokens)
+    head = F.when(F.col("yrow") == F.col("hrow"), F.struct("pos", "x0", "text", "could"))
+    t = t.withColumn("heads", F.array_sort(F.collect_list(head).over(doc())))
+    of_row = Window.partitionBy("doc_id", "yrow")
+    box = F.struct(F.col("yrow").cast("long").alias("k"), F.min("y0").over(of_row).alias("lo"), F.max("y1").over(of_row).alias("hi"))
+    t = t.withColumn("box", box).filter("yrow >= hrow").withColumn("boxes", F.collect_set("box").over(doc()))
+    columns = F.transform("heads", lambda h, k: F.struct(k.cast("long").alias("k"), h.x0.alias("lo"), (F.coalesce(F.get(F.col("heads"), k + 1).x0, h.x0 + 200) - 1).alias("hi")))
+
+    def own(at: Column, boxes: Column) -> Column:
+        far = lambda b: F.when(at.between(b.lo, b.hi), 0.0).otherwise(F.abs(at - (b.lo + b.hi) / 2))
+        return F.array_min(F.transform(boxes, lambda b: F.struct((~at.between(b.lo, b.hi)).alias("out"), far(b).alias("far"), b.k.alias("k")))).getField("k")
+
+    near = F.filter("boxes", lambda b: F.abs(b.k - F.col("yrow")) <= 1)
+    return t.withColumn("r", own(F.col("cy"), near) - F.col("hrow")).withColumn("c", own(F.col("cx"), columns)).drop("box", "boxes")
+
+
+def grid(tokens: DataFrame) -> DataFrame:
+    """doc_id, r, c, text, n: the cells of the grid."""
+    return _cells(gridded(tokens)).select("doc_id", "r", "c", "text", "n")
+
+
+def _cells(g: DataFrame) -> DataFrame:
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("cx", "tok_idx", "text"))), lambda x: x.text)
+    return g.groupBy("doc_id", "r", "c").agg(F.array_join(F.filter(texts, lambda x: x.isNotNull()), " ").alias("text"), F.count("*").alias("n"), F.first("heads").alias("heads"))
+
+
+def named(heads: Column) -> Column:
+    """The column (ord) of each header cell: from the left, a cell takes the first column that it could name and no cell before it has taken; null if there is none."""
+    start = F.array().cast("array<int>")
+
+    def take(done: Column, h: Column) -> Column:
+        free = F.array_min(F.filter(F.coalesce(h.could, start), lambda k: ~F.array_contains(done, k)))
+        return F.concat(done, F.array(F.coalesce(free, F.lit(-1))))
+
+    return F.transform(F.aggregate(heads, start, take), lambda k: F.when(k >= 0, k))
+
+
+def contaminated(heads: Column) -> Column:
+    """Whether a header cell that names a column already holds what a row would: a date, an amount, an account number, a footer word."""
+    ords = {c: k for k, c in enumerate(L.COLUMNS)}
+
+    def bad(h: Column, own: Column) -> Column:
+        amount = F.replace(h.text, F.lit(" "), F.lit("")).rlike(L.MONEY)
+        kinds = ((("date",), h.text.rlike(L.DATE)), (("amount", "balance", "debit", "credit"), amount), (("ref",), F.replace(h.text, F.lit(" "), F.lit("")).rlike("[0-9]{8,}")), (("description",), F.lower(h.text).rlike(L.FOOTER)))
+        out = F.lit(False)
+        for names, holds in kinds:
+            out = out | (own.isin(*[ords[n] for n in names]) & holds)
+        return F.coalesce(out, F.lit(False))
+
+    return F.exists(F.zip_with(heads, named(heads), bad), lambda x: x)
+
+
+def grid_items(tokens: DataFrame) -> DataFrame:
+    """Transactions of the grid below its header row, by the columns that the header cells name: doc_id, row_idx, date, description, amount, balance."""
+    ords = {c: k for k, c in enumerate(L.COLUMNS)}
+    cells_ = _cells(gridded(tokens)).filter("r > 0").withColumn("own", F.get(named(F.col("heads")), F.col("c").cast("int")))
+    cell = lambda c: F.coalesce(F.max(F.when(F.col("own") == ords[c], F.col("text"))), F.lit("")).alias(c)
+    lines = cells_.groupBy("doc_id", "r").agg(*[cell(c) for c in ("date", "description", "amount", "debit", "credit", "balance")])
+    money = lambda c: F.expr(L.signed(S, c))
+    side = lambda c: F.coalesce(money(c), F.lit(0.0))
+    paired = F.when((side("debit") != 0) | (side("credit") != 0), F.abs(side("credit")) - F.abs(side("debit")))
+    kept = lines.filter(_has(F.col("date"), L.PLAIN_DATE) & ~_has(F.lower("description"), L.FOOTER))
+    out = kept.select("doc_id", F.col("r").alias("row_idx"), F.expr(L.date(S, "date")).alias("date"), F.nullif(F.lower("description"), F.lit("")).alias("description"), F.when(F.col("amount") != "", money("amount")).otherwise(paired).alias("amount"), money("balance").alias("balance"))
+    return out.filter("amount is not null or balance is not null")
+
+
+def modes(tokens: DataFrame, least: float = 0.75) -> DataFrame:
+    """doc_id, rate (the share of a table's tokens that its grid holds), contaminated, chosen: the grid's reading is taken with a clean header and a rate of `least`."""
+    g = gridded(tokens)
+    dealt = F.round(F.count_if(F.col("r").isNotNull() & F.col("c").isNotNull()) / F.greatest(F.count("*"), F.lit(1)), 3)
+    out = g.groupBy("doc_id").agg(dealt.alias("rate"), F.first("heads").alias("heads")).withColumn("contaminated", contaminated(F.col("heads")).cast("int"))
+    good = (F.col("contaminated") == 0) & (F.col("rate") >= least)
+    return out.select("doc_id", "rate", "contaminated", F.when(good, "structure").otherwise("rules").alias("chosen"))
+
+
+def head_columns(tokens: DataFrame) -> DataFrame:
+    """doc_id, cell, text, col of the header cells that name a column."""
+    one = gridded(tokens).groupBy("doc_id").agg(F.first("heads").alias("heads"))
+    both = one.select("doc_id", F.posexplode(F.zip_with("heads", named(F.col("heads")), lambda h, k: F.struct(h.text.alias("text"), k.alias("ord")))).alias("cell", "x")).filter("x.ord is not null")
+    return both.select("doc_id", F.col("cell").cast("long").alias("cell"), "x.text", _name(F.col("x.ord")).alias("col"))
+
+
+def triggers(tokens: DataFrame, heads: DataFrame) -> DataFrame:
+    """Why a statement's table is not to be trusted: doc_id, reasons. heads: doc_id, opening, closing, as its lines state them."""
+    t = table(tokens).select("doc_id", "n_rows", "cols", "items").join(modes(tokens).select("doc_id", "rate"), "doc_id", "left").join(heads.select("doc_id", "opening"), "doc_id")
+    why = [
+        F.when(balance_share(F.col("items"), F.col("opening")) < 0.7, "reconcile"), F.when(~columns_ok(F.col("cols")), "missing_columns"), F.when(F.coalesce("rate", F.lit(0.0)) < 0.75, "assignment"),
+        F.when((F.size("items") < 3) & (F.col("n_rows") >= 6), "few_items"),
+    ]
+    return t.select("doc_id", F.concat_ws(",", *why).alias("reasons"))

@@ -45,11 +45,11 @@ def cell_columns(d):
 def semantic_columns(d):
     """Header cells folded into columns: from the left, each cell takes the first column that it names and no cell before it has taken.
 
-    A cell's first choice goes to the leftmost that makes it; rounds settle the rest, as many as a cell can name columns.
+    A cell's first choice goes to the leftmost that makes it; rounds settle the rest, as many as there are columns: each settles one column at least.
     """
     sql = f"SELECT doc_id, cell, text, ord, CAST(0 AS INT) AS taken FROM ({cell_columns(d)}) c0"
     # round k: a cell whose best remaining column is taken by an earlier cell moves on to its next one
-    for _ in range(len(layout.COLUMNS) - 1):
+    for _ in range(len(layout.COLUMNS)):
         best = f"SELECT *, min(ord) OVER (PARTITION BY doc_id, cell) AS best FROM ({sql}) b0"
         owner = f"SELECT *, min(CASE WHEN ord = best THEN cell END) OVER (PARTITION BY doc_id, ord) AS owner FROM ({best}) b1"
         sql = f"SELECT doc_id, cell, text, ord, taken FROM ({owner}) b2 WHERE owner IS NULL OR owner >= cell"

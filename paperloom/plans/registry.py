@@ -16,6 +16,7 @@ from ..operators import learned as M
 from ..operators import pages as G
 from ..operators import scan as scans
 from ..operators import spatial as P
+from ..operators import statements as ST
 from ..operators import structure as T
 from ..sources import render as R
 from ..streaming import events as S
@@ -123,7 +124,7 @@ sql("routing", "G1 D10", lambda d: f"SELECT doc_id, reasons, needs_review FROM (
 sql("sanity_flags", "G2", lambda d: f"SELECT doc_id, flags FROM ({L.sanity(d)}) s")
 sql("cross_validate_total", "G3", lambda d: L.subtotal(d))
 sql("reconcile", "G5 G6 W3", lambda d: f"SELECT doc_id, CAST(row_reconcile AS DOUBLE) AS row_reconcile, closing_reconcile, n_rows FROM ({L.reconcile(d)}) r")
-TRIGGERS = lambda d: f"SELECT r.doc_id, concat_ws(',', CASE WHEN r.row_reconcile < 0.7 THEN 'reconcile' END, CASE WHEN coalesce(c.ok, 0) = 0 THEN 'missing_columns' END, CASE WHEN coalesce(m.rate, 0) < 0.75 THEN 'assignment' END, CASE WHEN r.n_rows < 3 AND w.n >= 6 THEN 'few_items' END) AS reasons FROM ({L.reconcile(d)}) r LEFT JOIN ({COLUMNS_OK(d)}) c ON c.doc_id = r.doc_id LEFT JOIN ({T.table_mode(d)}) m ON m.doc_id = r.doc_id LEFT JOIN (SELECT doc_id, max(yrow) + 1 AS n FROM ({L.row_tokens(d, R.statements(d))}) t GROUP BY doc_id) w ON w.doc_id = r.doc_id"
+TRIGGERS = lambda d: f"SELECT w.doc_id, concat_ws(',', CASE WHEN coalesce(r.row_reconcile, 0) < 0.7 THEN 'reconcile' END, CASE WHEN coalesce(c.ok, 0) = 0 THEN 'missing_columns' END, CASE WHEN coalesce(m.rate, 0) < 0.75 THEN 'assignment' END, CASE WHEN coalesce(r.n_rows, 0) < 3 AND w.n >= 6 THEN 'few_items' END) AS reasons FROM (SELECT doc_id, max(yrow) + 1 AS n FROM ({L.row_tokens(d, R.statements(d))}) t GROUP BY doc_id) w LEFT JOIN ({L.reconcile(d)}) r ON r.doc_id = w.doc_id LEFT JOIN ({COLUMNS_OK(d)}) c ON c.doc_id = w.doc_id LEFT JOIN ({T.table_mode(d)}) m ON m.doc_id = w.doc_id"
 sql("statement_triggers", "G8", lambda d: TRIGGERS(d))
 #: A page's blur and skew, as the tables hold no scans: by arithmetic from the number in doc_id.
 BLUR, SKEW = "CAST(70 + {k} * 37 % 400 AS DOUBLE)", "CAST({k} % 23 - 11 AS DOUBLE)"
@@ -244,6 +245,26 @@ def _choose_span(spark, sf_dir):
 QUERIES.update(box_overlap=_overlap, best_region=_best_region, region_tokens=_region_tokens, choose_span=_choose_span)
 
 
+def _statement(find):
+    """A query over the statements' tokens by operators/statements.py, in one pass; its check is SQL that joins rows, cells and header."""
+    return lambda spark, sf_dir: find(run(spark, sf_dir, R.statements(Spark())))
+
+
+def _triggers(spark, sf_dir):
+    return ST.triggers(run(spark, sf_dir, R.statements(Spark())), run(spark, sf_dir, L.stated(Spark())))
+
+
+def _reconcile(spark, sf_dir):
+    """Share of rows whose balance follows, and whether the closing balance does, of statements with rows."""
+    t = ST.table(run(spark, sf_dir, R.statements(Spark()))).filter(F.size("items") > 0).join(run(spark, sf_dir, L.stated(Spark())), "doc_id")
+    return t.select("doc_id", ST.balance_share(F.col("items"), F.col("opening")).alias("row_reconcile"), ST.closes(F.col("items"), F.col("opening"), F.col("closing")).alias("closing_reconcile"), F.size("items").cast("long").alias("n_rows"))
+
+
+def use_single_pass():
+    """Called once the SQL forms are registered: these stay as the checks."""
+    QUERIES.update(grid=_statement(ST.grid), grid_items=_statement(ST.grid_items), table_mode=_statement(ST.modes), semantic_columns=_statement(ST.head_columns), header_contamination=_statement(lambda t: ST.modes(t).select("doc_id", "contaminated")), statement_triggers=_triggers, reconcile=_reconcile)
+
+
 def _running(spark, sf_dir):
     """Each customer's account over all orders: its number, balance, and the last payment out before it."""
     orders = run(spark, sf_dir, "SELECT o_custkey, o_orderkey, o_orderdate, " + AMOUNT + " AS amount FROM orders").withColumn("paid", F.when(F.col("amount") < 0, F.col("amount")))
@@ -341,3 +362,5 @@ for _more in (file_queries, sql_queries, live_queries):
     QUERIES.update(_more.QUERIES)
     ORACLE.update(_more.ORACLE)
     COVERS.update(_more.COVERS)
+
+use_single_pass()
