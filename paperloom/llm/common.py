@@ -41,6 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not shared and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paperloom-"))
+        own = spark._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())  # Spark's, of this application; gone when it ends
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
