@@ -176,7 +176,7 @@ def held(d, condition, seconds, hold):
 
 def registry_events(d):
     """Registry operations, derived from the stream: register a version or move it to a stage."""
-    return "SELECT event_id AS seq, 'm' || CAST(user_id % 7 AS STRING) AS model, 'v' || CAST(event_id % 5 AS STRING) AS version, CASE event_type WHEN 'purchase' THEN 'production' WHEN 'signup' THEN 'staging' WHEN 'error' THEN 'archived' ELSE 'register' END AS op FROM events WHERE event_type <> 'view'"
+    return "SELECT event_id AS seq, 'm' || CAST(user_id % 7 AS STRING) AS model, 'v' || CAST(event_id % 5 AS STRING) AS version, CASE event_type WHEN 'purchase' THEN 'production' WHEN 'signup' THEN 'staging' WHEN 'error' THEN 'archived' ELSE 'register' END AS op FROM events"
 
 
 def _accepted(d, events):

@@ -163,20 +163,22 @@ def run(spark, sf_dir, text):
     return spark.sql(text)
 
 
-_OWN: list[str] = []
+_OWN: dict[str, str] = {}
 
 
 def shared_folder(spark) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one, removed at the end, only where that is unset, which a local master alone can share."""
-    import atexit
-    import shutil
+    """A folder of this application's own in the cluster's shared one (spark.checkpoint.dir), gone when the application ends; without that setting a temporary one, which a local master alone can share."""
     import tempfile
 
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        return shared
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="paperloom-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return _OWN[0]
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"{shared.rstrip('/')}/paperloom-{app}" if shared else tempfile.mkdtemp(prefix="paperloom-")
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = own.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(own)
+        store.deleteOnExit(own)
+        _OWN[app] = path
+    return _OWN[app]

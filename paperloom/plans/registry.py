@@ -318,7 +318,7 @@ sql("stress", "X5", lambda d: T.stress(d))
 sql("stage_timings", "R8", lambda d: T.timings(d))
 sql("labels_by_parent", "X3", lambda d: f"SELECT parent, {d.agg('lang', 'doc_id', ',')} AS labels, count(*) AS n FROM (SELECT doc_id, lang, source || '_' || CAST(CAST(floor(doc_id / 20) AS BIGINT) AS STRING) AS parent FROM documents) x GROUP BY parent")
 sql("document_training_set", "X11 L23", lambda d: f"SELECT f.doc_id, f.stmt, f.rcpt, f.po, f.n_money, s.w, s.h, {TRUE_TYPE.replace('doc_id', 'f.doc_id')} AS label FROM ({L.document_features(d)}) f JOIN (SELECT doc_id, max(x1) AS w, max(y1) AS h FROM ({L.all_tokens(d)}) t GROUP BY doc_id) s ON s.doc_id = f.doc_id")
-sql("weighted_mix", "X12", lambda d: "SELECT lang, item, count(*) AS n FROM (SELECT lang, doc_id % 10 AS item FROM documents UNION ALL SELECT 'benchmark', item_id % 10 FROM benchmark CROSS JOIN (VALUES (1), (2), (3)) AS w(k)) m GROUP BY lang, item")
+sql("weighted_mix", "X12", lambda d: "SELECT part, item, count(*) AS n FROM (SELECT lang AS part, doc_id AS item FROM documents UNION ALL SELECT 'benchmark', item_id FROM benchmark CROSS JOIN (VALUES (1), (2), (3)) AS w(k)) m GROUP BY part, item")
 sql("best_epoch", "X13 X1", lambda d: f"SELECT bucket, min_by(epoch, cer) AS best, min(cer) AS cer FROM (SELECT item_id % 4 AS bucket, item_id % 5 AS epoch, round(avg(cer), 6) + CAST(item_id % 5 AS DOUBLE) / 1000000000 AS cer FROM ({E.text_scores(d)}) s GROUP BY item_id % 4, item_id % 5) e GROUP BY bucket")
 sql("sorted_boxes", "X16 X18", lambda d: f"SELECT img, box, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, round(x0, 1) AS left_x, CAST(row_number() OVER (PARTITION BY img ORDER BY y0, x0, box) AS BIGINT) AS place FROM ({E.boxes(d)[1]}) b")
 sql("detections", "X17", lambda d: f"SELECT img, box, CASE box % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'table row' ELSE 'table column' END AS label, x0, y0, x1, y1 FROM (SELECT *, CAST(box * 37 % 100 AS DOUBLE) / 100 AS score FROM ({E.boxes(d)[1]}) b) s WHERE score > 0.5")

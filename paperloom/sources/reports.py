@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 EVENTS = "seq long, model string, version string, op string, path string, metrics string, lineage string"
 
 
+#: Rows of a report's table at most: it goes through the driver and into one file.
+MOST_ROWS = 10_000
+
+
 def markdown_lines(table: DataFrame, columns: Sequence[str] | None = None, order: Sequence[str] = ()) -> DataFrame:
-    """A small table as lines of a markdown table: place, line."""
+    """A small table, of MOST_ROWS rows at most, as lines of a markdown table: place, line."""
     columns = list(columns or table.columns)
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), F.lit(" |"))
     head = [f"| {' | '.join(columns)} |", "|" + "---|" * len(columns)]
     spark = table.sparkSession
-    body = table.orderBy(*(order or columns[:1])).select(row.alias("line")).collect()  # a report's table: a row for each field or model
+    body = table.orderBy(*(order or columns[:1])).select(row.alias("line")).limit(MOST_ROWS + 1).collect()
+    if len(body) > MOST_ROWS:
+        raise ValueError(f"a report's table has {MOST_ROWS} rows at most; write larger ones as data")
     return spark.createDataFrame([(k, line) for k, line in enumerate([*head, *(r.line for r in body)])], "place int, line string")
 
 

@@ -20,6 +20,13 @@ def test_report(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r/raw")).count() == 2
 
 
+def test_a_large_table_is_no_report(spark, monkeypatch):
+    monkeypatch.setattr(reports, "MOST_ROWS", 3)
+    assert reports.markdown_lines(spark.range(3)).count() == 5
+    with pytest.raises(ValueError, match="3 rows at most"):
+        reports.markdown_lines(spark.range(4))
+
+
 def test_summary(spark):
     fields = spark.createDataFrame([("a", "total", "5", 0.9), ("a", "date", None, 0.0)], "doc_id string, field string, value string, confidence double")
     results = spark.createDataFrame([("a", "receipt", 1), ("b", "payment_order", 0)], "doc_id string, doc_type string, needs_review int")
