@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.dialect import Spark, run, shared_folder
+from ..sources import reports
 from . import evaluation, layout, models
+from .calibrated import CalibratedClassifier
 
 #: Documents of each kind that models are fitted on, about so many, by a hash of doc_id.
 SAMPLE = 2000
@@ -31,14 +35,20 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def field_scores(spark, sf_dir) -> DataFrame:
-    """The candidate with the largest learned score of each receipt and field: doc_id, field, value, confidence. Fields without a candidate value are null at 0."""
+    """The candidate with the largest learned score of each receipt and field: doc_id, field, value, confidence. Fields without a candidate value are null at 0.
+
+    The fitted pipeline is saved as a version and scores come from the one that is loaded again.
+    """
     features = run(spark, sf_dir, layout.features(Spark()))
     norms = run(spark, sf_dir, f"SELECT c.doc_id, c.line_idx, c.field, c.norm, CASE WHEN g.gold IS NULL THEN NULL WHEN c.norm = g.gold THEN 1.0D ELSE 0.0D END AS label FROM ({layout.candidates(Spark())}) c JOIN ({evaluation.gold_fields(Spark())}) g ON g.doc_id = c.doc_id AND g.field = c.field")
     n = run(spark, sf_dir, "SELECT count(*) AS n FROM orders").first().n
     key = ["doc_id", "line_idx", "field"]
     learn = sampled(features, n).join(sampled(norms, n).filter("norm IS NOT NULL AND label IS NOT NULL"), key)
     train, _ = models.split(kept(learn), "doc_id")
-    scored = models.score_calibrated(models.fit_calibrated(train, [*NUMBERS, *FLAGS], "doc_id"), features.join(norms.select(*key, "norm"), key))
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=[*NUMBERS, *FLAGS], outputCol="features"), CalibratedClassifier(keyCol="doc_id", probabilityCol="p", predictionCol="taken")])
+    folder = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    reports.save_model(pipeline.fit(train), folder, "fields", "v1")
+    scored = reports.load_model(folder, "fields", "v1").transform(features.join(norms.select(*key, "norm"), key))
     turn = F.when(F.col("norm").isNotNull(), F.struct((-F.round("p", 9)).alias("p"), "line_idx"))
     best = scored.groupBy("doc_id", "field").agg(F.min_by("norm", turn).alias("value"), F.max(F.when(F.col("norm").isNotNull(), F.col("p"))).alias("p"))
     return best.select("doc_id", "field", "value", F.coalesce(F.round("p", 3), F.lit(0.0)).alias("confidence"))

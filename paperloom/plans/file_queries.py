@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import recognition as C
 from ..operators import evaluation as E
 from ..operators import images as I
-from ..sources import archives, files, tables
+from ..sources import archives, files, reports, tables
 from ..sources import render as R
 from .dialect import Duck, Spark, run, shared_folder
 
@@ -123,6 +123,19 @@ def archive_members(spark, sf_dir):
     return t.select(F.regexp_extract("member", r"([0-9]+)[.]txt$", 1).cast("long").alias("doc_id"), "member", "size", F.md5("content").alias("digest"))
 
 
+_FIELD_LINES = f"SELECT '| ' || field || ' | ' || CAST(tp AS VARCHAR) || ' | ' || CAST(fn AS VARCHAR) || ' |' AS line, 10 + row_number() OVER (ORDER BY field) AS k FROM ({E.counts(DUCK)}) c"
+
+
+@query("S20", f"SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS place, line FROM (SELECT * FROM (VALUES ('# Fields', 0), ('', 1)) a(line, k) UNION ALL SELECT '- receipts=' || CAST(count(*) AS VARCHAR), 2 FROM orders UNION ALL SELECT * FROM (VALUES ('', 3), ('| field | tp | fn |', 4), ('|---|---|---|', 5), ('', 99)) b(line, k) UNION ALL {_FIELD_LINES}) x")
+def run_report(spark, sf_dir):
+    """The report of a run as its lines: title, facts and a table, written to a file and read back."""
+    at, counts = folder(spark), run(spark, sf_dir, f"SELECT field, tp, fn FROM ({E.counts(Spark())}) c")
+    n = run(spark, sf_dir, "SELECT count(*) AS n FROM orders").first().n
+    reports.write_report("Fields", {"receipts": n}, counts, counts, at)
+    text = spark.read.text(f"{at}/report", wholetext=True)
+    return text.select(F.posexplode(F.split("value", "\n")).alias("place", "line"))
+
+
 @query("S18 S17", "SELECT user_id, max_by(event_type, event_id) AS state, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id")
 def upserted_state(spark, sf_dir):
     """The event log upserted by user in micro-batches, each of them delivered twice: one row a user, the last."""

@@ -353,7 +353,7 @@ ORACLE["stream_sliding"] = "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT
 ORACLE["stream_sessions"] = "SELECT user_id, min(t) AS start, max(t) + 1800 AS stop, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id) AS s FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 1800 THEN 0 ELSE 1 END AS b FROM events) x) y GROUP BY user_id, s"
 
 # ---- learned models: fitted, so without SQL
-for _name, _covers, _query in (("learned_fields", "C5 C10 C11", M.field_scores), ("learned_types", "C8 C12", M.document_types), ("model_predictions", "X10", M.predictions)):
+for _name, _covers, _query in (("learned_fields", "C5 C10 C11 X19", M.field_scores), ("learned_types", "C8 C12", M.document_types), ("model_predictions", "X10", M.predictions)):
     QUERIES[_name], COVERS[_name] = _query, _covers
 sql("document_summary", "X23", lambda d: f"SELECT t.doc_id, 'document type: ' || t.doc_type || ', needs review: ' || CASE WHEN t.needs_review = 1 THEN 'yes' ELSE 'no' END || coalesce(chr(10) || f.lines, '') AS summary FROM ({RESULTS(d)}) t LEFT JOIN (SELECT doc_id, {d.agg(SUMMARY_LINE(d), 'ord', chr(10))} AS lines FROM ({L.fields(d)}) x GROUP BY doc_id) f ON f.doc_id = t.doc_id")
 
