@@ -30,7 +30,10 @@ def fit(df: DataFrame, features, label: str = "label", weight: str | None = None
     lr = LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=50, regParam=1e-3)
     if weight:
         lr = lr.setWeightCol(weight)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), lr]).fit(df)
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), lr]).fit(df)
+    # the training summary holds the session, which can't be sent to tasks once anything was observed in it
+    model.stages[-1]._java_obj.setSummary(df.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def probabilities(model, df: DataFrame, name: str = "p") -> DataFrame:

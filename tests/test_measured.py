@@ -125,3 +125,10 @@ def test_inversions_of_a_large_page(spark):
     """A page of 20,000 boxes in falling order, which has as many inversions as pairs."""
     df = spark.range(20_000).select(F.lit(1).alias("img"), F.col("id").alias("box"), (20_000 - F.col("id")).alias("y"))
     assert inversions(df, "img", ["box"], "y").first().inversions == 20_000 * 19_999 // 2
+
+
+def test_models_work_after_something_was_observed(spark, labelled, tmp_path):
+    """A fitted model's summary would hold the session, which isn't serialisable any more then."""
+    Stages(spark, str(tmp_path)).run("one", lambda: spark.range(3))
+    model = models.fit(labelled, ["f", "g"])
+    assert models.probabilities(model, labelled).filter("p[1] > 1").count() == 0
