@@ -126,9 +126,10 @@ class Model:
             return ["und"] * texts.n, np.zeros(texts.n), np.ones(texts.n, bool)
         counts = gram_counts(texts, len(self.idf))
         classes = gram_classes(counts)
-        cosine = vectors(counts, self.idf) @ self.centroids.T
-        best = cosine.argmax(axis=1)
-        score = np.clip(cosine[np.arange(texts.n), best], 0, 1).astype(float)
+        v = vectors(counts, self.idf)
+        # a product's last digits hang on how many texts it holds: equal texts must agree, so the winner's cosine is summed text by text
+        best = np.round(v @ self.centroids.T, 6).argmax(axis=1)
+        score = np.clip(np.einsum("ij,ij->i", v, self.centroids[best]), 0, 1).astype(float)
         score[~letters] = 0.0
         return [self.languages[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist(), strict=True)], score, ~letters | (score < self.floors[best, classes])
 
