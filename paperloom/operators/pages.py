@@ -101,12 +101,25 @@ def _line_fields(anchors, value, account: bool) -> str:
     return f"array({', '.join(out)})"
 
 
+FIELDS = "array<struct<field:string,value:string,confidence:double>>"
+
+
+def with_fields(docs: DataFrame, kind: str) -> DataFrame:
+    """documents(), all of one kind, with their fields (field, value, confidence)."""
+    by = {"bank_statement": lambda: _line_fields(L.STATEMENT_ANCHORS, L.statement_value, True), "payment_order": lambda: _line_fields(L.ORDER_ANCHORS, L.order_value, False), "receipt": _receipt_fields}
+    return docs.withColumn("fields", F.expr(by[kind]()).cast(FIELDS))
+
+
+def balance(name: str) -> Column:
+    """A field of with_fields() as a number."""
+    return _value(name).try_cast("double")
+
+
 def extracted(docs: DataFrame) -> DataFrame:
     """documents() with doc_type and fields (field, value, confidence) by what the document is taken for; line items stay with statements only."""
     typed = docs.withColumn("stmt", _count(L.STATEMENT)).withColumn("rcpt", _count(L.RECEIPT)).withColumn("po", _count(L.ORDER)).withColumn("doc_type", doc_type())
-    kind = "array<struct<field:string,value:string,confidence:double>>"
-    by = F.when(F.col("doc_type") == "bank_statement", F.expr(_line_fields(L.STATEMENT_ANCHORS, L.statement_value, True)).cast(kind))
-    by = by.when(F.col("doc_type") == "payment_order", F.expr(_line_fields(L.ORDER_ANCHORS, L.order_value, False)).cast(kind)).otherwise(F.expr(_receipt_fields()).cast(kind))
+    by = F.when(F.col("doc_type") == "bank_statement", F.expr(_line_fields(L.STATEMENT_ANCHORS, L.statement_value, True)).cast(FIELDS))
+    by = by.when(F.col("doc_type") == "payment_order", F.expr(_line_fields(L.ORDER_ANCHORS, L.order_value, False)).cast(FIELDS)).otherwise(F.expr(_receipt_fields()).cast(FIELDS))
     return typed.withColumn("fields", by).withColumn("items", F.when(F.col("doc_type") == "bank_statement", F.col("items")).otherwise(F.slice("items", 1, 0)))
 
 
@@ -143,7 +156,7 @@ def reviewed(docs: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     after.append(F.when((F.col("total") > 0) & (F.col("seen") >= 2.1 * F.col("total")), F.concat(F.lit("total_may_be_subtotal:got="), F.col("total").cast("string"), F.lit(",max_seen="), _fixed("seen"))))
     skewed = (F.abs("skew") > knobs.rotated) & (F.abs("skew") >= knobs.skew)
     after.append(F.when(skewed, F.concat(F.lit("geometry_risk:skew="), _fixed("skew", "0.0"))))
-    is_statement, balance = kind == "bank_statement", lambda f: _value(f).try_cast("double")
+    is_statement = kind == "bank_statement"
     d = d.withColumn("row_reconcile", F.when(is_statement, T.balance_share(F.col("items"), balance("opening_balance")).cast("double")))
     after.append(F.when(F.col("row_reconcile") < knobs.reconciled, F.concat(F.lit("low_table_reconciliation:"), F.col("row_reconcile").cast("string"))))
     after.append(F.when(is_statement & F.col("cols").isNotNull() & ~T.columns_ok(F.col("cols")), F.lit("missing_statement_columns")))

@@ -215,9 +215,9 @@ def head_columns(tokens: DataFrame) -> DataFrame:
     return both.select("doc_id", F.col("cell").cast("long").alias("cell"), "x.text", _name(F.col("x.ord")).alias("col"))
 
 
-def triggers(tokens: DataFrame, heads: DataFrame) -> DataFrame:
-    """Why a statement's table is not to be trusted: doc_id, reasons. heads: doc_id, opening, closing, as its lines state them."""
-    t = table(tokens).select("doc_id", "n_rows", "cols", "items").join(modes(tokens).select("doc_id", "rate"), "doc_id", "left").join(heads.select("doc_id", "opening"), "doc_id")
+def triggers(pages: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Why a statement's table is not to be trusted: doc_id, reasons. pages: doc_id, n_rows, cols, items and the opening balance that the page states."""
+    t = pages.select("doc_id", "n_rows", "cols", "items", "opening").join(modes(tokens).select("doc_id", "rate"), "doc_id", "left")
     why = [
         F.when(balance_share(F.col("items"), F.col("opening")) < 0.7, "reconcile"), F.when(~columns_ok(F.col("cols")), "missing_columns"), F.when(F.coalesce("rate", F.lit(0.0)) < 0.75, "assignment"),
         F.when((F.size("items") < 3) & (F.col("n_rows") >= 6), "few_items"),

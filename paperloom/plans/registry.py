@@ -250,19 +250,45 @@ def _statement(find):
     return lambda spark, sf_dir: find(run(spark, sf_dir, R.statements(Spark())))
 
 
+def _statement_pages(spark, sf_dir):
+    """Every statement as a row: lines, table and fields from one dealing of its tokens."""
+    return G.with_fields(G.documents(run(spark, sf_dir, R.statements(Spark()))), "bank_statement")
+
+
 def _triggers(spark, sf_dir):
-    return ST.triggers(run(spark, sf_dir, R.statements(Spark())), run(spark, sf_dir, L.stated(Spark())))
+    return ST.triggers(_statement_pages(spark, sf_dir).withColumn("opening", G.balance("opening_balance")), run(spark, sf_dir, R.statements(Spark())))
 
 
 def _reconcile(spark, sf_dir):
     """Share of rows whose balance follows, and whether the closing balance does, of statements with rows."""
-    t = ST.table(run(spark, sf_dir, R.statements(Spark()))).filter(F.size("items") > 0).join(run(spark, sf_dir, L.stated(Spark())), "doc_id")
-    return t.select("doc_id", ST.balance_share(F.col("items"), F.col("opening")).alias("row_reconcile"), ST.closes(F.col("items"), F.col("opening"), F.col("closing")).alias("closing_reconcile"), F.size("items").cast("long").alias("n_rows"))
+    t = _statement_pages(spark, sf_dir).filter(F.size("items") > 0)
+    opening, closing = G.balance("opening_balance"), G.balance("closing_balance")
+    return t.select("doc_id", ST.balance_share(F.col("items"), opening).alias("row_reconcile"), ST.closes(F.col("items"), opening, closing).alias("closing_reconcile"), F.size("items").cast("long").alias("n_rows"))
+
+
+def _fields_of(kind, tokens):
+    def query(spark, sf_dir):
+        docs = G.with_fields(G.documents(run(spark, sf_dir, tokens(Spark()))), kind)
+        return docs.select("doc_id", F.explode("fields").alias("f")).select("doc_id", "f.field", "f.value", "f.confidence")
+
+    return query
+
+
+def _period(spark, sf_dir):
+    return QUERIES["statement_fields"](spark, sf_dir).filter("field = 'statement_period'").select("doc_id", F.col("value").alias("period"))
+
+
+def _header(spark, sf_dir):
+    of = lambda f, c="value": F.max(F.when(F.col("field") == f, F.col(c)))
+    text = [of(f).alias(f) for f in ("bank_name", "account_number", "account_holder", "statement_period")]
+    sums = [of(f"{w}_balance").cast("double").alias(w) for w in ("opening", "closing")]
+    return QUERIES["statement_fields"](spark, sf_dir).groupBy("doc_id").agg(*text, of("account_number", "confidence").alias("account_confidence"), *sums)
 
 
 def use_single_pass():
     """Called once the SQL forms are registered: these stay as the checks."""
     QUERIES.update(grid=_statement(ST.grid), grid_items=_statement(ST.grid_items), table_mode=_statement(ST.modes), semantic_columns=_statement(ST.head_columns), header_contamination=_statement(lambda t: ST.modes(t).select("doc_id", "contaminated")), statement_triggers=_triggers, reconcile=_reconcile)
+    QUERIES.update(statement_fields=_fields_of("bank_statement", R.statements), key_values=_fields_of("payment_order", R.payment_orders), statement_period=_period, statement_header=_header)
 
 
 def _running(spark, sf_dir):

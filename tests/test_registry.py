@@ -1,6 +1,7 @@
 """Each query against its SQL equivalent on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from paperloom.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["lines", "line_items", "receipt_fields", "document_type", "routing", "reconcile", "norm_money", "norm_date", "signed_money", "latency_p95", "alert_hold", "registry_active", "calibration_bins", "box_overlap", "percentiles", "stress", "entity_f1", "detector_taxonomy", "semantic_columns", "label_files", "region_files", "reply_transactions"]
+SAMPLE = ["lines", "line_items", "receipt_fields", "document_type", "routing", "reconcile", "norm_money", "norm_date", "signed_money", "latency_p95", "alert_hold", "registry_active", "calibration_bins", "box_overlap", "percentiles", "stress", "entity_f1", "detector_taxonomy", "semantic_columns", "label_files", "region_files", "reply_transactions", "document_results", "statement_triggers", "grid_items", "statement_header", "sql_normalised", "sql_split_tokens", "sql_grid", "alerts_live", "document_states", "archive_members", "upserted_state", "account_running", "kind_sessions", "choose_span", "region_tokens", "order_inversions", "word_error_rate", "measured_stages", "stream_batches", "run_report", "routing_rates"]
 
 
 def canonical(rows, columns):
@@ -20,7 +21,7 @@ def canonical(rows, columns):
 @pytest.mark.parametrize("name", SAMPLE)
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("nation", "customer", "supplier", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels"):
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got = QUERIES[name](spark, SF)
     want = con.sql(ORACLE[name])
@@ -28,6 +29,13 @@ def test_equals_sql(spark, name):
     assert canonical([tuple(r) for r in got.collect()], got.columns) == canonical(want.fetchall(), want.columns)
 
 
+@pytest.mark.parametrize("name, most", [("line_items", 2), ("reconcile", 2), ("grid_items", 2), ("table_mode", 2), ("statement_header", 2), ("document_results", 3), ("statement_triggers", 4)])
+def test_documents_are_dealt_once(spark, name, most):
+    """Shuffles of the plan: the rendering's by customer, the documents' own, and one more where kinds come together."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange (?:hash|range|single|round)", plan, re.I)) <= most
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
