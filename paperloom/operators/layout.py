@@ -105,7 +105,7 @@ def fields(d, tokens=None):
     """Argmax per field over candidates with a value; the earliest line wins ties."""
     first = lambda x: f"min_by(CASE WHEN norm IS NOT NULL THEN {x} END, CASE WHEN norm IS NOT NULL THEN {d.pair('-round(score, 9)', 'line_idx')} END)"
     return f"""
-    SELECT doc_id, field, ord, value, coalesce(round(least(1, 0.6 * score + 0.4 * (0.5 * conf + 0.5)), 3), 0) AS confidence FROM (
+    SELECT doc_id, field, ord, value, CASE WHEN value IS NULL THEN 0 ELSE round(least(1, 0.6 * score + 0.4 * (0.5 * conf + 0.5)), 3) END AS confidence FROM (
       SELECT doc_id, field, ord, {first('norm')} AS value, {first('score')} AS score, {first('conf')} AS conf FROM ({candidates(d, tokens)}) c GROUP BY doc_id, field, ord) b"""
 
 

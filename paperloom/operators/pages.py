@@ -45,16 +45,17 @@ def documents(tokens: DataFrame) -> DataFrame:
     line = F.struct("line", words.alias("text"), *[f(c).over(of_line).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"), (F.min, "conf"))])
     t = t.withColumn("as_line", F.when(F.row_number().over(of_line.orderBy("x0", "tok_idx")) == 1, line.cast(LINE)))
     ords = {c: k for k, c in enumerate(L.COLUMNS)}
-    cell = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("ord") == ords[c]) & F.col("text").isNotNull(), F.struct("pos", "text"))).over(of_row)), lambda x: x.text), " ")
+    t = t.withColumn("first", (F.row_number().over(of_row.orderBy("pos")) == 1) & (F.col("yrow") > F.col("hrow")))
+    t = t.withColumn("own", F.collect_list(F.when(F.col("ord").isNotNull() & F.col("text").isNotNull(), F.struct("pos", "ord", "text"))).over(of_row))
+    cell = lambda c: F.trim(F.array_join(F.transform(F.array_sort(F.filter("own", lambda x: x.ord == ords[c])), lambda x: x.text), " "))
     for c in ("date", "description", "amount", "debit", "credit", "balance"):
-        t = t.withColumn(f"cell_{c}", F.trim(cell(c)))
+        t = t.withColumn(f"cell_{c}", F.when(F.col("first"), cell(c)))  # once a row of the table
     money = lambda c: F.expr(L.signed(S, f"cell_{c}"))
     side = lambda c: F.coalesce(money(c), F.lit(0.0))
     amount = F.when(F.col("cell_amount") != "", money("amount")).when((side("debit") != 0) | (side("credit") != 0), F.abs(side("credit")) - F.abs(side("debit")))
     is_row = F.col("cell_date").rlike(L.PLAIN_DATE) & ~F.lower("cell_description").rlike(L.FOOTER)
     item = F.struct("yrow", F.expr(L.date(S, "cell_date")).alias("date"), F.nullif(F.lower("cell_description"), F.lit("")).alias("description"), amount.alias("amount"), money("balance").alias("balance"))
-    first = F.row_number().over(of_row.orderBy("pos")) == 1
-    t = t.withColumn("as_item", F.when(first & is_row & (amount.isNotNull() | money("balance").isNotNull()), item))
+    t = t.withColumn("as_item", F.when(F.col("first") & is_row & (amount.isNotNull() | money("balance").isNotNull()), item))
     bare = F.trim(F.replace(F.replace(F.col("text"), F.lit(","), F.lit("")), F.lit(" "), F.lit("")))
     value = bare.try_cast("double")
     seen = F.when(bare.rlike("^[0-9]{1,6}([.][0-9]{1,2})?$") & value.between(0.1, 50000) & ~value.between(1900, 2100), value)
@@ -78,15 +79,16 @@ def _receipt_fields() -> str:
     """SQL of a receipt's fields: for each the line of the highest score that has a value, the earlier one of those that tie."""
     pay = "CASE " + " ".join(f"WHEN contains(lower(x.text), '{k}') THEN '{v}'" for k, v in L.PAYMENT) + " END"
     facts = f"transform(lines, x -> named_struct('line', x.line, 'low', lower(x.text), 'cx', (x.x0 + x.x1) / 2, 'cy', (x.y0 + x.y1) / 2, 'y1', x.y1, 'conf', x.conf, 'amt', {L.money(S, 'x.text')}, 'dt', {L.date(S, 'x.text')}, 'inv', {S.rx('upper(x.text)', '[A-Z]{1,4}[0-9]{3,}')}, 'pay', {pay}))"
-    page = "named_struct('facts', facts, 'height', array_max(transform(facts, f -> f.y1)), 'most', array_max(transform(facts, f -> nullif(f.amt, 0))))"
+    page = "named_struct('facts', facts, " + ", ".join(f"'near_{f}', filter(facts, a -> {L.says(words, 'a.low')})" for f, words in L.ANCHOR_WORDS.items()) + ", 'height', array_max(transform(facts, f -> f.y1)), 'most', array_max(transform(facts, f -> nullif(f.amt, 0))))"
     out = []
     for name, norm in (("merchant_name", "h.low"), ("date", "h.dt"), ("total_amount", "CAST(h.amt AS STRING)"), ("invoice_id", "h.inv"), ("payment_method", "h.pay")):
         words = L.ANCHOR_WORDS.get(name)
-        near = f"coalesce(array_max(transform(filter(p.facts, a -> {L.says(words, 'a.low')}), a -> greatest(0, 1 - (abs(a.cx - h.cx) + abs(a.cy - h.cy)) / 1000))), 0)" if words else "0"
+        near = f"coalesce(array_max(transform(p.near_{name}, a -> greatest(0, 1 - (abs(a.cx - h.cx) + abs(a.cy - h.cy)) / 1000))), 0)" if words else "0"
         score = "1 - h.cy / p.height" if not words else f"0.5 * {near} + 0.5 * (CASE WHEN h.amt = p.most THEN 1 ELSE 0 END)" if name == "total_amount" else f"0.4 + 0.6 * ({near})"
-        best = f"array_min(transform(filter(p.facts, h -> {norm} IS NOT NULL), h -> named_struct('less', -round({score}, 9), 'line', h.line, 'value', {norm}, 'confidence', CAST(round(least(1, 0.6 * ({score}) + 0.4 * (0.5 * h.conf + 0.5)), 3) AS DOUBLE))))"
+        scored = f"transform(transform(filter(p.facts, h -> {norm} IS NOT NULL), h -> named_struct('line', h.line, 'value', {norm}, 'conf', h.conf, 'score', CAST({score} AS DOUBLE))), h -> named_struct('less', -round(h.score, 9), 'line', h.line, 'value', h.value, 'conf', h.conf, 'score', h.score))"
+        best = f"array_min({scored})"
         out.append(f"named_struct('field', '{name}', 'best', {best})")
-    fields = f"transform(array({', '.join(out)}), r -> named_struct('field', r.field, 'value', r.best.value, 'confidence', coalesce(r.best.confidence, CAST(0 AS DOUBLE))))"
+    fields = f"transform(array({', '.join(out)}), r -> named_struct('field', r.field, 'value', r.best.value, 'confidence', CASE WHEN r.best IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(round(least(1, 0.6 * r.best.score + 0.4 * (0.5 * r.best.conf + 0.5)), 3) AS DOUBLE) END))"
     return f"element_at(transform(transform(array({facts}), facts -> {page}), p -> {fields}), 1)"
 
 

@@ -43,18 +43,18 @@ def placed(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("word", F.coalesce(_has(F.col("low"), any_word), F.lit(False)))  # most tokens are told by one pattern
     names = [F.col("word") & _has(F.col("low"), f"(^|{edge})({'|'.join(words)})({edge}|$)") for words in L.COLUMNS.values()]
     t = t.withColumn("could", F.when(F.col("word"), F.filter(F.array(*[F.when(named, k) for k, named in enumerate(names)]), lambda k: k.isNotNull())))
-    row = Window.partitionBy("doc_id", "yrow")
-    for k, named in enumerate(names):
-        t = t.withColumn(f"c{k}", F.min(F.when(named, F.struct("pos", "cx"))).over(row).getField("cx"))
-    count = sum((F.col(f"c{k}").isNotNull().cast("int") for k in range(len(names))), F.lit(0))
+    # the row's tokens that could name a column; seldom any
+    hits = F.collect_list(F.when(F.size("could") > 0, F.struct("pos", "cx", "could"))).over(Window.partitionBy("doc_id", "yrow"))
+    t = t.withColumn("hits", hits)
+    count = F.when(F.size("hits") > 0, F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: h.could)))))
     t = t.withColumn("hrow", F.min(F.when(count >= NAMED, F.col("yrow"))).over(doc()))
-    here = F.col("yrow") == F.col("hrow")
-    heads = F.array(*[F.struct(F.col(f"c{k}").alias("cx"), F.lit(k).alias("ord")) for k in range(len(names))])
-    t = t.withColumn("cols", F.max(F.when(here, F.array_sort(F.filter(heads, lambda h: h.cx.isNotNull())))).over(doc()))
+    first = lambda k: F.array_min(F.transform(F.filter("hits", lambda h: F.array_contains(h.could, k)), lambda h: F.struct(h.pos.alias("pos"), h.cx.alias("cx")))).getField("cx")
+    heads = F.filter(F.array(*[F.struct(first(k).alias("cx"), F.lit(k).alias("ord")) for k in range(len(names))]), lambda h: h.cx.isNotNull())
+    t = t.withColumn("cols", F.max(F.when(F.col("yrow") == F.col("hrow"), F.array_sort(heads))).over(doc()))
     cols = F.col("cols")
     past = F.size(F.filter(F.sequence(F.lit(1), F.size(cols) - 1), lambda i: (F.get(cols, i - 1).cx + F.get(cols, i).cx) / 2 <= F.col("x0")))
     own = F.get(cols, past).getField("ord")
-    return t.withColumn("ord", F.when(F.col("yrow") > F.col("hrow"), own)).drop("low", "word", *[f"c{k}" for k in range(len(names))])
+    return t.withColumn("ord", F.when(F.col("yrow") > F.col("hrow"), own)).drop("low", "word", "hits")
 
 
 def _name(ord_: Column) -> Column:
